@@ -12,6 +12,8 @@ import tempfile
 import uuid
 from pathlib import Path
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -133,3 +135,44 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", most_rounds: int =
     else:
         raise RuntimeError("components did not settle")
     return now.groupBy(F.col("a").alias("id")).agg(F.min("b").alias("component")).union(now.select(F.col("b"), F.col("b")).distinct())
+
+
+def dealt_in_blocks(rows: DataFrame, key: str, item: str, block: int, most_long: int = 20_000, met: int | None = None) -> DataFrame:
+    """rows dealt out so that every two rows of a key meet in some group (key, lo, hi) and a group holds about two blocks of rows at most.
+
+    The rows of a key with over 2 * block rows (or over a 1/most_long of all, which
+    bounds the table of such keys that is broadcast) get a block number, own, by their
+    item; a group is a pair of blocks. Other keys are one group. Sorted by group, the
+    key under the name key.
+    """
+    rows = rows.withColumnRenamed(key, "key")
+    if met is None:
+        met = rows.count()
+    counts = rows.groupBy("key").count()
+    long_keys = counts.where(F.col("count") > max(2 * block, met // most_long)).select("key", F.ceil(F.col("count") / block).cast("int").alias("_blocks"))
+    out = rows.join(F.broadcast(long_keys), "key", "left").withColumn("_blocks", F.coalesce("_blocks", F.lit(1)))
+    out = out.withColumn("own", F.pmod(F.xxhash64(item), F.col("_blocks")).cast("int"))
+    out = out.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)))
+    rest = [c for c in rows.columns if c != "key"]
+    out = out.select("key", F.least("own", "_other").alias("lo"), F.greatest("own", "_other").alias("hi"), "own", *rest)
+    return out.repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi", item)
+
+
+def in_groups(batches):
+    """The groups of dealt_in_blocks(), one pyarrow Table at a time."""
+    held: list[pa.RecordBatch] = []
+    last = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        marks = np.stack([batch.column(c).to_numpy() for c in (0, 1, 2)])
+        cuts = [0, *(np.flatnonzero((marks[:, 1:] != marks[:, :-1]).any(axis=0)) + 1).tolist(), batch.num_rows]
+        for s, e in zip(cuts, cuts[1:], strict=False):
+            mark = tuple(marks[:, s].tolist())
+            if mark != last and held:
+                yield pa.Table.from_batches(held)
+                held = []
+            last = mark
+            held.append(batch.slice(s, e - s))
+    if held:
+        yield pa.Table.from_batches(held)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, licenses, packing, quality, secret_scan, token_counts, toxicity
+from . import bpe, embedding_dedup, licenses, ngram_join, packing, quality, secret_scan, token_counts, toxicity, warc
 
 
 def tokenizer_path(name: str) -> str:
@@ -32,6 +32,10 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", toxicity.held_out("doc_id").alias("held_out"), "score", "predicted", "toxicity_weight", "toxicity_hits")
 
 
+def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(spark, table(spark, sf_dir, "pages"))
+
+
 def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.digest(secret_scan.scan(table(spark, sf_dir, "documents")))
 
@@ -54,18 +58,61 @@ def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
 
 
+def op8_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.near_components(table(spark, sf_dir, "documents"))
+
+
+def op9_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
 
 
 QUERIES = {
     "op1_toxicity": op1_toxicity,
+    "op2_warc": op2_warc,
     "op3_secret_scan": op3_secret_scan,
     "op4_license_scan": op4_license_scan,
     "op5_best_fit_packing": op5_best_fit_packing,
     "op6_quality_rules": op6_quality_rules,
     "op7_token_counts": op7_token_counts,
+    "op8_ngram_join": op8_ngram_join,
+    "op9_embedding_dedup": op9_embedding_dedup,
     "op10_bpe": op10_bpe,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+#: One row per page: SQL of what the archives must give back.
+WARC_SQL = r"""
+WITH p AS (
+  SELECT page_id, coalesce(html, '') AS payload FROM pages
+), m AS (
+  SELECT *, max(page_id) OVER (PARTITION BY payload) AS first_id, sha1(payload) AS hex FROM p
+), d AS (
+  SELECT *, list_aggregate(list_transform(range(0, 40, 5), k -> list_aggregate(list_transform(range(0, 20, 5), j ->
+    substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + ((CAST('0x' || substr(hex, CAST(k + 1 AS INT), 5) AS BIGINT) >> (15 - j)) & 31)::INT, 1)), 'string_agg', '')), 'string_agg', '') AS b32 FROM m
+)
+SELECT page_id, strlen(payload) AS payload_bytes, b32 AS payload_digest,
+  CASE WHEN page_id = first_id THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id <> first_id THEN first_id END AS refers_to, TRUE AS digest_ok
+FROM d
+"""
+
+#: Exact similarity join by shared shingles, and components by reachability.
+JOIN_SQL = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), x -> x <> '') AS w FROM documents
+), s AS (
+  SELECT doc_id, list_distinct(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 4 THEN [array_to_string(w, ' ')]
+    ELSE list_transform(range(1, len(w) - 2), k -> array_to_string(list_slice(w, k, k + 3), ' ')) END) AS s FROM w
+), e AS (SELECT doc_id, len(s) AS n, unnest(s) AS x FROM s),
+l AS (
+  SELECT a.doc_id AS a, b.doc_id AS b FROM e a JOIN e b ON a.x = b.x AND a.doc_id <> b.doc_id
+  GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 85 * (a.n + b.n - count(*))
+), r AS (SELECT a, b FROM l UNION SELECT r.a, l.b FROM r JOIN l ON r.b = l.a)
+SELECT s.doc_id, CAST(len(s.s) AS BIGINT) AS n_shingles, coalesce(least(min(r.b), s.doc_id), s.doc_id) AS component_id
+FROM s LEFT JOIN r ON s.doc_id = r.a GROUP BY s.doc_id, s.s
+"""
+
+ORACLE_SQL: dict[str, str] = {"op2_warc": WARC_SQL, "op8_ngram_join": JOIN_SQL}
