@@ -90,7 +90,7 @@ WITH p AS (
 ), m AS (
   SELECT *, max(page_id) OVER (PARTITION BY payload) AS first_id, sha1(payload) AS hex FROM p
 ), d AS (
-  SELECT *, list_aggregate(list_transform(range(0, 40, 5), k -> list_aggregate(list_transform(range(0, 20, 5), j ->
+  SELECT *, list_aggregate(list_transform(range(0, 40, 5), lambda k: list_aggregate(list_transform(range(0, 20, 5), lambda j:
     substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + ((CAST('0x' || substr(hex, CAST(k + 1 AS INT), 5) AS BIGINT) >> (15 - j)) & 31)::INT, 1)), 'string_agg', '')), 'string_agg', '') AS b32 FROM m
 )
 SELECT page_id, strlen(payload) AS payload_bytes, b32 AS payload_digest,
@@ -102,10 +102,10 @@ FROM d
 #: Exact similarity join by shared shingles, and components by reachability.
 JOIN_SQL = r"""
 WITH RECURSIVE w AS (
-  SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), x -> x <> '') AS w FROM documents
+  SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents
 ), s AS (
   SELECT doc_id, list_distinct(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 4 THEN [array_to_string(w, ' ')]
-    ELSE list_transform(range(1, len(w) - 2), k -> array_to_string(list_slice(w, k, k + 3), ' ')) END) AS s FROM w
+    ELSE list_transform(range(1, len(w) - 2), lambda k: array_to_string(list_slice(w, k, k + 3), ' ')) END) AS s FROM w
 ), e AS (SELECT doc_id, len(s) AS n, unnest(s) AS x FROM s),
 l AS (
   SELECT a.doc_id AS a, b.doc_id AS b FROM e a JOIN e b ON a.x = b.x AND a.doc_id <> b.doc_id
