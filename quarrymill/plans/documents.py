@@ -9,6 +9,8 @@ from quarrymill.functions import arrow, grades, stats, text
 from quarrymill.operators import labeling as lb
 from quarrymill.operators import retrieval as ir
 
+from quarrymill.session import shipped
+
 from .projections import GOLD, PRED, gold, predictions, read
 from .relational import ORDER_SQL
 
@@ -30,6 +32,12 @@ def docs(spark, d):
     return read(spark, d, "documents")
 
 
+def docs_for_python(spark, d):
+    """documents, and this package on the path of the Python workers."""
+    shipped(spark)
+    return docs(spark, d)
+
+
 def rounded(df, *columns: str, places: int = 9):
     return df.withColumns({c: F.round(c, places) for c in columns})
 
@@ -37,7 +45,7 @@ def rounded(df, *columns: str, places: int = 9):
 @query()
 def txt01_normalize(spark, d):
     """TXT-01, TXT-02: an Arrow UDF, as NFKC has no built-in."""
-    return docs(spark, d).select("doc_id", F.sha1(arrow.normalize("text")).alias("normal_sha1"))
+    return docs_for_python(spark, d).select("doc_id", F.sha1(arrow.normalize("text")).alias("normal_sha1"))
 
 
 _COLLAPSED = r"""trim(array_to_string(list_transform(string_split(regexp_replace(regexp_replace(regexp_replace(text, '\r\n?', chr(10), 'g'), '[ \t]+', ' ', 'g'), '\n{3,}', chr(10) || chr(10), 'g'), chr(10)), lambda x: trim(x)), chr(10)))"""
@@ -67,7 +75,7 @@ def txt04_mask_pii(spark, d):
 @query()
 def txt05_business_numbers(spark, d):
     """TXT-05: bare ten-digit numbers are masked only if their check digit fits."""
-    return docs(spark, d).select("doc_id", F.sha1(arrow.mask_business_numbers("text")).alias("masked_sha1"))
+    return docs_for_python(spark, d).select("doc_id", F.sha1(arrow.mask_business_numbers("text")).alias("masked_sha1"))
 
 
 @query(r"SELECT doc_id, sha1(regexp_replace(coalesce(text, ''), '[ \t\r\n\f\x0B]+', '', 'g')) AS strip_key, sha1(lower(trim(regexp_replace(coalesce(text, ''), '[ \t\r\n\f\x0B]+', ' ', 'g')))) AS collapse_key FROM documents")
@@ -136,14 +144,14 @@ def chk05_sliding_windows(spark, d):
 @query()
 def chk01_split(spark, d):
     """CHK-01: recursive separators, an Arrow UDF."""
-    c = docs(spark, d).select("doc_id", F.explode(arrow.split_chunks()("text")).alias("c"))
+    c = docs_for_python(spark, d).select("doc_id", F.explode(arrow.split_chunks()("text")).alias("c"))
     return c.select("doc_id", "c.idx", "c.char_count", "c.overlap_prev", F.sha1("c.content").alias("content_sha1"))
 
 
 @query()
 def chk02_heading_split(spark, d):
     """CHK-02, 03, 04: sections by heading, packed sentences."""
-    c = docs(spark, d).select("doc_id", F.explode(arrow.split_chunks(headings=True)("text")).alias("c"))
+    c = docs_for_python(spark, d).select("doc_id", F.explode(arrow.split_chunks(headings=True)("text")).alias("c"))
     return c.select("doc_id", "c.idx", "c.char_count", "c.heading_path", F.sha1("c.content").alias("content_sha1"))
 
 
@@ -182,7 +190,7 @@ def vec04_centroids(spark, d):
 @query()
 def vec01_hash_embedding(spark, d):
     """VEC-01, IR-16: distinct texts are embedded once and joined back by key."""
-    t = docs(spark, d).select("doc_id", "text", text.text_key("text", "collapse").alias("key"))
+    t = docs_for_python(spark, d).select("doc_id", "text", text.text_key("text", "collapse").alias("key"))
     once = t.groupBy("key").agg(F.min("text").alias("text")).select("key", arrow.hash_embedding(64)("text").alias("v"))
     return t.select("doc_id", "key").join(once, "key").select("doc_id", F.round(F.get("v", F.lit(0)), 9).alias("v0"), F.size("v").alias("dims"))
 
@@ -196,7 +204,7 @@ JOIN (SELECT term, count(*)::DOUBLE AS df FROM (SELECT id, unnest(list_distinct(
 def _bm25(spark, d):
     tokens = lambda c: F.regexp_extract_all(F.lower(c), F.lit("([a-z0-9]{4,})"), F.lit(1))
     q = read(spark, d, "benchmark").select(F.col("item_id").alias("qid"), F.explode(F.array_distinct(tokens(F.col("text")))).alias("term"))
-    return ir.bm25(q, docs(spark, d).select(F.col("doc_id").alias("id"), "text"), tokens(F.col("text")))
+    return ir.bm25(q, docs_for_python(spark, d).select(F.col("doc_id").alias("id"), "text"), tokens(F.col("text")))
 
 
 @query(f"SELECT qid, id, rank::INT AS rank FROM (SELECT qid, id, row_number() OVER (PARTITION BY qid ORDER BY round(score, 9) DESC, id) AS rank FROM ({_BM25}) WHERE score > 0) WHERE rank <= 10")

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import os
+import shutil
 import tempfile
 import uuid
+from pathlib import Path
 
 from pyspark.sql import SparkSession
 
@@ -29,3 +32,16 @@ def scratch(spark: SparkSession, name: str) -> str:
         base = "file://" + tempfile.mkdtemp(prefix="quarrymill-")
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/quarrymill/{name}-{uuid.uuid4().hex}"
+
+
+def shipped(spark: SparkSession) -> None:
+    """Send this package to the executors, once for each Spark application."""
+    context = spark.sparkContext
+    if getattr(context, "_quarrymill_shipped", False):
+        return
+    top = Path(__file__).resolve().parent
+    folder = tempfile.mkdtemp(prefix="quarrymill-code-")
+    copy = Path(folder, "code", top.name)
+    shutil.copytree(top, copy, ignore=shutil.ignore_patterns("__pycache__", "*.pyc"))
+    context.addPyFile(shutil.make_archive(os.path.join(folder, top.name), "zip", copy.parent))
+    context._quarrymill_shipped = True

@@ -12,6 +12,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from quarrymill.session import shipped
+
 EXTRACT = T.StructType([T.StructField("text", T.StringType()), T.StructField("method", T.StringType()), T.StructField("quality", T.DoubleType()), T.StructField("error", T.StringType())])
 
 
@@ -138,5 +140,6 @@ def extract(path: pd.Series, content: pd.Series) -> pd.DataFrame:
 
 def documents(spark: SparkSession, path: str) -> DataFrame:
     """(path, length, text, method, quality, error) of all files under path."""
+    shipped(spark)
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
     return files.select("path", "length", extract("path", "content").alias("x")).select("path", "length", "x.*")

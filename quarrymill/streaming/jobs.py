@@ -48,23 +48,25 @@ def sustained(df: DataFrame, key: str, order: str, flag: str, windows: int = 5)
 
 
 def outbox(df: DataFrame) -> DataFrame:
-    """df (message, ts, ok) to (message, status, tries, next_wait): delivered, retry or dead after the last try; a state a message, which expires after a day without news."""
+    """df (message, ts, ok) to (message, status, tries, next_wait): delivered, retry or dead after the last try; a state a message, which expires a day of event time after its last news."""
 
     def step(key: tuple, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
             state.remove()
             return
         tries, done = state.get if state.exists else (0, False)
+        newest = 0
         for pdf in pdfs:
+            newest = max(newest, int(pdf["ts"].max().timestamp() * 1000))
             for ok in pdf.sort_values("ts")["ok"]:
                 if not done and tries < MOST_TRIES:
                     tries, done = tries + 1, bool(ok)
         state.update((tries, done))
-        state.setTimeoutDuration(24 * 3600 * 1000)
+        state.setTimeoutTimestamp(max(newest, state.getCurrentWatermarkMs()) + 24 * 3600 * 1000)
         status = "delivered" if done else "dead" if tries >= MOST_TRIES else "retry"
         yield pd.DataFrame({"message": [key[0]], "status": [status], "tries": [tries], "next_wait": [0 if status != "retry" else min(2**tries, MOST_WAIT)]})
 
-    return df.groupBy("message").applyInPandasWithState(step, "message long, status string, tries int, next_wait int", "tries int, done boolean", "update", GroupStateTimeout.ProcessingTimeTimeout)
+    return df.withWatermark("ts", "1 hour").groupBy("message").applyInPandasWithState(step, "message long, status string, tries int, next_wait int", "tries int, done boolean", "update", GroupStateTimeout.EventTimeTimeout)
 
 
 def outbox_batch(df: DataFrame) -> DataFrame:

@@ -1,0 +1,170 @@
+"""Small literal examples of the formulas."""
+
+from __future__ import annotations
+
+import datetime
+import io
+import json
+import zipfile
+
+import pytest
+from pyspark.sql import functions as F
+
+from quarrymill.functions import arrow, grades, stats, text
+from quarrymill.operators import evaluation as ev
+from quarrymill.operators import hygiene, labeling, relational, retrieval
+from quarrymill.sources import readers, writers
+from quarrymill.streaming import jobs
+
+
+def one(spark, *columns):
+    return spark.range(1).select(*columns).first()
+
+
+def test_wilson(spark):
+    def w(s, n):
+        return tuple(one(spark, *stats.wilson(F.lit(s), F.lit(n))))
+
+    assert w(0, 0) == (0.0, 1.0)
+    low, high = w(0, 100)
+    assert low == 0.0 and high < 0.05
+    a, b = w(1, 10), w(10, 100)
+    assert a[1] - a[0] > b[1] - b[0]
+
+
+def test_direction_and_tiers(spark):
+    d = [one(spark, grades.direction(F.lit(a), F.lit(b)))[0] for a, b in ((3, 1), (1, 3), (2, 2), (9, 1))]
+    assert d == ["underclass", "overclass", "confirm", "lateral"]
+    assert one(spark, grades.is_human(F.lit(" LLM_judge_1")), grades.is_human(F.lit("kim")), grades.is_machine_strict(F.lit("gpt-4"))) == (False, True, True)
+
+
+@pytest.mark.parametrize(("raw", "masked", "kind"), [("901231-1234567", "[RRN]", "rrn"), ("a@b.co c@d.org", "[EMAIL] [EMAIL]", "email"), ("010-1234-5678", "[PHONE]", "phone_mobile"), ("02-123-4567", "[PHONE]", "phone_land"), ("123-45-67890", "[BIZNO]", "biz_no")])
+def test_mask(spark, raw, masked, kind):
+    t, counts = text.mask_pii(F.lit(raw))
+    r = one(spark, t.alias("t"), counts[kind].alias("n"))
+    assert r.t == masked and r.n == raw.count("@") or r.n == 1
+
+
+def test_mask_can_skip_a_kind(spark):
+    t, counts = text.mask_pii(F.lit("EMP12345"), skip=("employee",))
+    assert one(spark, t)[0] == "EMP12345" and "employee" not in counts
+
+
+def test_business_number_check_digit():
+    assert arrow.business_number_ok("1208147521") == (arrow.masked_business_numbers("1208147521") == "[BIZNO]")
+    good = next(f"12081{k:05d}" for k in range(10) if arrow.business_number_ok(f"12081{k:05d}"))
+    assert arrow.masked_business_numbers(f"no {good}.") == "no [BIZNO]."
+
+
+def test_page_numbers_and_chunks():
+    assert arrow.without_page_numbers("1\n\na\n\n2\n\nb\n\n3") == "\na\n\n\nb\n"
+    assert arrow.without_page_numbers("3\n\na\n\n2") == "3\n\na\n\n2"
+    parts = arrow.chunks("one two three four", size=8, overlap=2)
+    assert [p[0] for p in parts] == list(range(len(parts))) and all(len(p[1]) <= 10 for p in parts)
+    assert arrow.chunks(None) == [] and arrow.heading_chunks("") == []
+    assert [c[5] for c in arrow.heading_chunks("# A\nx. y.\n# B\nz.")] == ["# A", "# B"]
+
+
+def test_retrieval_metrics(spark):
+    ranks = spark.createDataFrame([(1, "a", 1), (1, "b", 2), (1, "c", 3), (2, "x", 1), (2, "a", 2), (2, "y", 3), (3, "x", 1)], "qid long, id string, rank int")
+    rel = spark.createDataFrame([(1, "a"), (2, "a"), (3, "a")], "qid long, id string")
+    m = {r.qid: r for r in retrieval.metrics(ranks, rel, 3).collect()}
+    assert (m[1].recall, m[1].mrr, m[1].ndcg) == (1.0, 1.0, 1.0) and abs(m[1].precision - 1 / 3) < 1e-12
+    assert m[2].mrr == 0.5 and abs(m[2].ndcg - 1 / 1.584962500721156) < 1e-9
+    assert m[3].recall == m[3].mrr == m[3].ndcg == 0.0
+
+
+@pytest.mark.parametrize(("s", "v", "m", "grade"), [(1, 1, 1, "S2"), (0, 0, 0, "S3"), (1, 2, 2, "S2"), (2, 2, 2, "TS"), (1, 1, 0, "S3"), (2, 2, 0, "S1")])
+def test_svm(spark, s, v, m, grade):
+    assert one(spark, labeling.svm_grade(F.lit(s), F.lit(v), F.lit(m)))[0] == grade
+
+
+def test_reviewer_reliability(spark):
+    rows = [("A", 1, 1, 1, "good"), ("A", 2, 2, 1, "good2"), ("B", 1, 1, 2, "bad"), ("B", 2, 2, 1, "good")]
+    r = {x.reviewer: x for x in ev.reviewer_reliability(spark.createDataFrame(rows, "item string, at int, tie int, level int, reviewer string")).collect()}
+    assert (r["good"].total, r["good"].reliability) == (2, 1.0) and r["good2"].reliability == 1.0
+    assert (r["bad"].reliability, r["bad"].overturned) == (0.0, 1)
+
+
+def test_eval_cards(spark):
+    rows = [("s", "S3", "S3")] * 50 + [("t", "TS", "TS")] * 5 + [("u", "TS", "TS")] * 100
+    c = {x.slice: x.verdict for x in ev.cards(spark.createDataFrame(rows, "src string, label string, pred string"), "src").collect()}
+    assert c == {"s": "N/A", "t": "INCONCLUSIVE", "u": "PASS"}
+
+
+def test_drift_and_cosine(spark):
+    v = spark.createDataFrame([(0.1,), (0.9,)], "c double")
+    assert tuple(ev.drift(spark, v, v.limit(0), "c").first()) == (0.0, False)
+    assert tuple(ev.drift(spark, v, v, "c").first()) == (0.0, False)
+    a = lambda *x: F.array(*[F.lit(float(k)) for k in x])
+    assert one(spark, stats.cosine(a(1, 0), a(1, 0)), stats.cosine(a(1, 0), a(0, 1)), stats.cosine(a(0, 0), a(0, 1))) == (1.0, 0.0, 0.0)
+
+
+def test_audit_chain(spark):
+    rows = [(1, "", "a" * 20), (2, "a" * 16, ""), (3, "a" * 16, "b" * 20), (4, "x" * 16, "c" * 20)]
+    got = relational.chain_breaks(spark.createDataFrame(rows, "id int, before string, own string"), ["id"], "before", "own").orderBy("id").collect()
+    assert [r.link_ok for r in got] == [True, True, True, False]
+
+
+def test_splits_are_stable_and_leak_free(spark):
+    df = spark.createDataFrame([(f"k{i % 40}", "AB"[i % 2]) for i in range(80)], "key string, label string")
+    h = hygiene.stratified_holdout(df, "key", "label", 0.25, at_least_one=True)
+    assert h.count() == 40 and h.where("held").count() == 10
+    assert sorted(map(tuple, h.collect())) == sorted(map(tuple, hygiene.stratified_holdout(df.repartition(3), "key", "label", 0.25, at_least_one=True).collect()))
+
+
+def test_jsonl_and_csv(spark, tmp_path):
+    p = tmp_path / "a.jsonl"
+    p.write_text('{"id": 1, "t": "é"}\n\n# note\n{broken\n{"id": 2}\n')
+    got = readers.jsonl(spark, str(p), "id long, t string").orderBy("id").collect()
+    assert [tuple(r) for r in got] == [(1, "é"), (2, None)]
+    writers.jsonl(spark.createDataFrame([(1, "é")], "id long, t string"), str(tmp_path / "out"))
+    lines = [x for f in (tmp_path / "out").glob("part-*") for x in f.read_text().splitlines()]
+    assert [json.loads(x) for x in lines] == [{"id": 1, "t": "é"}]
+    c = tmp_path / "r.csv"
+    c.write_text("﻿doc_id,model_label,human_label,review_decision,reviewer_id\nd1,TS,S1,,kim\n,TS,S1,,kim\nd3,TS,XX,,gpt-1\n")
+    good, bad = readers.review_csv(spark, str(c))
+    assert [(r.doc_id, r.review_decision) for r in good.collect()] == [("d1", "corrected")]
+    assert sorted(",".join(r.reasons) for r in bad.collect()) == ["bad_label,machine_reviewer", "no_id"]
+
+
+def test_office_files(spark, tmp_path):
+    b = io.BytesIO()
+    with zipfile.ZipFile(b, "w") as z:
+        z.writestr("word/document.xml", '<w:document xmlns:w="w"><w:body><w:p><w:r><w:t>Hi</w:t></w:r></w:p><w:tbl><w:tr><w:tc><w:p><w:r><w:t>a</w:t></w:r></w:p></w:tc><w:tc><w:p><w:r><w:t>b</w:t></w:r></w:p></w:tc></w:tr></w:tbl></w:body></w:document>')
+    (tmp_path / "a.docx").write_bytes(b.getvalue())
+    (tmp_path / "b.txt").write_bytes("가".encode("cp949"))
+    (tmp_path / "c.bin").write_bytes(b"x")
+    (tmp_path / "d.docx").write_bytes(b"not a zip")
+    (tmp_path / "e.html").write_text("<p>a &amp; b<script>x</script></p>")
+    got = {r.path.rsplit("/", 1)[-1]: r for r in readers.documents(spark, str(tmp_path)).collect()}
+    assert got["a.docx"].text == "Hi\na | b" and got["b.txt"].text == "가" and got["e.html"].text == "a & b"
+    assert got["c.bin"].error == "unsupported: bin" and got["d.docx"].text == "" and got["d.docx"].error
+
+
+def test_alias_swap(spark, tmp_path):
+    for v in ("1", "2"):
+        writers.swap(spark, spark.createDataFrame([(int(v),)], "x int"), str(tmp_path / "t"), v, str(tmp_path / "alias"), "now")
+    assert writers.through_alias(spark, str(tmp_path / "alias"), "now").first().x == 2
+    key = F.lit("0123456789abcdef")
+    assert one(spark, writers.opened(writers.sealed(F.lit("s"), key), key))[0] == "s"
+
+
+def test_outbox_stream_equals_batch(spark, tmp_path):
+    t = datetime.datetime(2024, 1, 1)
+    rows = [(m, t + datetime.timedelta(seconds=k), ok) for m, oks in ((1, [False, True, True]), (2, [False] * 6), (3, [False])) for k, ok in enumerate(oks)]
+    df = spark.createDataFrame(rows, "message long, ts timestamp, ok boolean")
+    df.coalesce(1).write.parquet(str(tmp_path / "in"))
+    stream = jobs.outbox(spark.readStream.schema(df.schema).parquet(str(tmp_path / "in")))
+    q = stream.writeStream.outputMode("update").format("memory").queryName("outbox_rows").option("checkpointLocation", str(tmp_path / "log")).trigger(availableNow=True).start()
+    q.awaitTermination()
+    got = sorted(map(tuple, spark.table("outbox_rows").collect()))
+    assert got == sorted(map(tuple, jobs.outbox_batch(df).collect())) == [(1, "delivered", 2, 0), (2, "dead", 5, 0), (3, "retry", 1, 2)]
+
+
+def test_empty_tables(spark):
+    g = spark.createDataFrame([], "doc_id long, text string, label string, pred string, confidence double, source string")
+    assert ev.confusion(g).agg(F.sum("n")).first()[0] == 0
+    assert ev.overall(ev.per_class(ev.confusion(g))).first().accuracy == 0.0
+    assert ev.reliability(g, "confidence", F.col("label") == F.col("pred")).count() == 0
+    assert relational.upsert(g, g, ["doc_id"]).count() == 0
