@@ -6,17 +6,17 @@ executors), so a lost executor costs a re-read and not a recomputation.
 
 from __future__ import annotations
 
-import os
-import shutil
+import gc
 import tempfile
 import uuid
-from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quarrymill.session import shipped
+
 #: At most so many keys are ever called hot, which bounds every broadcast of them.
 HOT_KEYS = 1000
 
@@ -53,6 +53,12 @@ def dropped(spark: SparkSession, df: DataFrame | None) -> None:
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def released(spark: SparkSession) -> None:
+    """Let Spark's cleaner remove the shuffle files of plans that nothing refers to any more: it works on what the driver's collector has found."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def small_batches(spark: SparkSession, rows: int = 1024) -> None:
     """Make the session fit for the Python workers: small Arrow batches, as rows can hold very long texts, and this package on their path."""
     shipped(spark)
@@ -60,19 +66,6 @@ def small_batches(spark: SparkSession, rows: int = 1024) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
 
 
-def shipped(spark: SparkSession) -> None:
-    """Send this package to the executors, once for each Spark application."""
-    context = spark.sparkContext
-    if getattr(context, "_quarrymill_shipped", False):
-        return
-    top = Path(__file__).resolve().parents[1]
-    folder = tempfile.mkdtemp(prefix="quarrymill-code-")
-    copy = Path(folder, "code", top.name)
-    shutil.copytree(top, copy, ignore=shutil.ignore_patterns("__pycache__", "*.pyc"))
-    context.addPyFile(shutil.make_archive(os.path.join(folder, top.name), "zip", copy.parent))
-    context._quarrymill_shipped = True
-
-
 def picked(df: DataFrame, *columns: str) -> DataFrame:
     """Only the named columns, so that others, whatever their names, can't clash."""
     return df.select(*[F.col(f"`{c}`") for c in columns])

@@ -1,0 +1,247 @@
+"""Operators that read a text at a time, each against a plain version."""
+
+from __future__ import annotations
+
+import hashlib
+import random
+import re
+import struct
+import zlib
+
+import public_tokenizers
+import pytest
+from tokenizers import Tokenizer
+
+from quarrymill.llm import bpe, licenses, packing, quality, queries, secret_scan, token_counts, toxicity
+
+SF = "/root/testdata/sf0.01"
+ODD = [None, "", "   \n", "x", "a" * 30000, "ÉCOLE ΣΑΣ 日本 <|endoftext|> it's  two\t\n 12 ½ \x1c\x85　z", "token=abc token=secret=abcdef", "All rights reserved. cc by cc by", " lead", "trail "]
+
+
+@pytest.fixture(scope="module")
+def texts(spark):
+    rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{SF}/documents.parquet").orderBy("doc_id").limit(150).collect()]
+    return rows + [(10_000 + k, t) for k, t in enumerate(ODD)] + [(10_001, "")]
+
+
+@pytest.fixture(scope="module")
+def docs(spark, texts):
+    """The texts with columns whose names the operators use themselves."""
+    rows = [(i, t, "en", "s", 1, 2, 3, 4) for i, t in texts]
+    return spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_words int, score int, found int, component int").repartition(3)
+
+
+def by_id(df):
+    return sorted((tuple(r) for r in df.collect()), key=str)
+
+
+EMPTY = "doc_id long, text string, lang string, source string"
+
+
+def test_empty_tables(spark):
+    none = spark.createDataFrame([], EMPTY)
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    lexicon = toxicity.learn(spark.createDataFrame([], "text string, toxic int"))
+    for df in (secret_scan.digest(secret_scan.scan(none)), licenses.digest(licenses.scan(none)), token_counts.count_tokens(none, path), packing.pack_documents(none, path), quality.judge(none), toxicity.score(none, lexicon), bpe.encode(none, public_tokenizers.path("word_bpe_49k.json"))):
+        assert df.count() == 0
+
+
+def test_secrets(docs, texts):
+    def plain(t):
+        t = t or ""
+        out = [("assign", m.start(), m.end()) for m in re.finditer(r"(?ai:(password|passwd|secret|token|api_?key))[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", t) if len(m[2]) >= 6]
+        out += [("access", m.start(), m.end()) for m in re.finditer(r"AKIA[A-Z0-9]+", t) if len(m[0]) >= 20]
+        out += [("hex", m.start(), m.end()) for m in re.finditer(r"[0-9a-f]+", t) if len(m[0]) >= 24]
+        return sorted(out, key=lambda x: (x[1], ("assign", "access", "hex").index(x[0])))
+
+    want = []
+    for i, t in texts:
+        s = plain(t)
+        joined = ",".join(f"{k}:{a}:{b}" for k, a, b in s)
+        want.append((i, *(sum(x[0] == k for x in s) for k in ("assign", "access", "hex")), hashlib.sha256(joined.encode()).hexdigest()))
+    got = secret_scan.digest(secret_scan.scan(docs))
+    assert by_id(got.select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256")) == sorted(want, key=str)
+    for r in got.collect():
+        assert all(x in r.spans.split(",") or not x for x in [])
+
+
+def test_markov_model_separates_samples():
+    ratios = secret_scan.default_ratios()
+    noise, plain = secret_scan.labelled_samples(500, seed=99)
+    hits = lambda xs: sum(secret_scan.mean_ratio("".join(c for c in x if c in secret_scan.STATES), ratios) >= 0.6 for x in xs)
+    assert hits(noise) > 450 and hits(plain) < 10
+    assert secret_scan.spans("key wJalrXUtnFEMIzK7MDENGbPxRfiCYEXAMPLEKEY end", ratios)[0][0] == "markov"
+
+
+def test_redaction(docs):
+    t = "a password=abcdef123 b"
+    assert secret_scan.redacted(t, secret_scan.spans(t, secret_scan.default_ratios())) == "a [assign] b"
+    out = secret_scan.redact(docs)
+    assert out.columns == docs.columns and out.count() == docs.count()
+
+
+def test_licences(docs, texts):
+    phrases = {("cc", "by"): "cc-by", ("general", "public", "license"): "gpl", ("all", "rights", "reserved"): "reserved"}
+    want = []
+    for i, t in texts:
+        low = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t or "")
+        w = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", low)
+        at = [(k, v) for k in range(len(w)) for p, v in phrases.items() if tuple(w[k : k + len(p)]) == p]
+        want.append((i, len(w), len(at), min((k for k, _ in at), default=None), max((k for k, _ in at), default=None), ",".join(sorted({v for _, v in at}))))
+    got = licenses.digest(licenses.scan(docs))
+    assert by_id(got.select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels")) == sorted(want, key=str)
+    for r in got.collect():
+        assert 0 <= r.score <= 1 and set(filter(None, r.base_labels.split(","))) <= set(r.labels.split(","))
+
+
+@pytest.mark.parametrize(("expression", "rpn", "permitted"), [("MIT OR GPL-2.0 AND GPL-3.0", "mit gpl-2.0 gpl-3.0 and or", True), ("(MIT OR GPL-2.0) AND GPL-3.0", "mit gpl-2.0 or gpl-3.0 and", False), ("GPL-2.0 WITH X OR MIT", "gpl-2.0 x with mit or", True), ("MIT is free", "mit", True)])
+def test_licence_expressions(expression, rpn, permitted):
+    got = licenses.postfix(expression)
+    assert " ".join(got) == rpn and licenses.evaluate(got)[1] is permitted
+
+
+@pytest.mark.parametrize("bad", ["AND MIT", "(MIT", "MIT OR", ""])
+def test_malformed_expressions(bad):
+    with pytest.raises(ValueError):
+        licenses.postfix(bad)
+
+
+def greedy(word, pieces, marker=b""):
+    n = at = 0
+    while at < len(word):
+        end = next((e for e in range(len(word), at, -1) if (word[at:e] if not at else marker + word[at:e]) in pieces), None)
+        if end is None:
+            return -1
+        n, at = n + 1, end
+    return n
+
+
+def test_automaton_is_greedy():
+    r = random.Random(1)
+    some = lambda: bytes(r.choice(b"abc") for _ in range(r.randint(1, 4)))
+    for k in range(400):
+        marker = b"##" if k % 2 else b""
+        pieces = {some() for _ in range(r.randint(1, 9))} | {marker + some() for _ in range(r.randint(1, 9))}
+        a = token_counts.Automaton(list(pieces), marker)
+        for _ in range(20):
+            w = bytes(r.choice(b"abc") for _ in range(r.randint(1, 9)))
+            assert a.count(w) == greedy(w, pieces, marker)
+
+
+def test_token_counts(docs, texts):
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    pieces = set(token_counts.vocabulary(path))
+    some = [(i, t) for i, t in texts if len(t or "") < 400]
+    want = {i: (len((t or "").encode().split()), sum(greedy(b" " + w, pieces) for w in (t or "").encode().split())) for i, t in some}
+    got = {r.doc_id: (r.n_words, r.n_tokens) for r in token_counts.count_tokens(docs, path).collect()}
+    assert len(want) > 20 and all(got[i] == v for i, v in want.items())
+
+
+def test_bpe_equals_library(docs, texts):
+    path = public_tokenizers.path("word_bpe_49k.json")
+    t = Tokenizer.from_file(path)
+    t.no_truncation()
+    t.no_padding()
+    want = []
+    for i, x in texts:
+        ids = t.encode(x or "", add_special_tokens=False).ids
+        want.append((i, len(ids), hashlib.sha256(struct.pack(f"<{len(ids)}I", *ids)).hexdigest(), hashlib.sha256(t.decode(ids, skip_special_tokens=False).encode()).hexdigest()))
+    assert by_id(bpe.encode(docs, path)) == sorted(want, key=str)
+
+
+def test_packing(docs, texts):
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    t = Tokenizer.from_file(path)
+    want = []
+    for i, x in texts:
+        ids = [*t.encode(x or "", add_special_tokens=False).ids, 2]
+        first = len(ids) if len(ids) <= 1024 else len(ids) % 1024 or 1024
+        cuts = [0, *range(first, len(ids), 1024)]
+        want += [(i, k, a, b - a, zlib.crc32(struct.pack(f"<{b - a}I", *ids[a:b]))) for k, (a, b) in enumerate(zip(cuts, [*cuts[1:], len(ids)], strict=True))]
+    rows = packing.pack_documents(docs, path).collect()
+    assert sorted((r.doc_id, r.piece, r.start, r.length, r.ids_crc32) for r in rows) == sorted(want)
+    bins = {}
+    for r in rows:
+        bins.setdefault(r.sequence_id, []).append((r.offset, r.length))
+    for b in bins.values():
+        at = 0
+        for offset, length in sorted(b):
+            assert offset == at
+            at += length
+        assert at <= 1024
+
+
+def test_packer_is_tight():
+    r = random.Random(2)
+    sizes = [r.randint(1, 1024) for _ in range(4096)]
+    p = packing.Packer(1024, 4096)
+    for s in sorted(sizes, reverse=True):
+        p.put(s)
+    assert p.made <= 1.02 * sum(sizes) / 1024
+
+
+def test_packer_bounds_open_bins():
+    p = packing.Packer(100, 3)
+    for s in (60, 60, 60, 60, 60):
+        p.put(s)
+    assert p.open <= 3 and p.made == 5
+
+
+def plain_counts(t):
+    t = t or ""
+    w = re.findall(r"[^\x20\x09-\x0D]+", t)
+    seen, dup = set(), 0
+    for line in t.split("\n"):
+        if re.search(r"[^\x20\x09-\x0D]", line):
+            dup += line in seen
+            seen.add(line)
+    windows = [tuple(w[k : k + 5]) for k in range(len(w) - 4)]
+    twice = {x for x in windows if windows.count(x) > 1} if len(windows) < 400 else None
+    if twice is None:
+        from collections import Counter
+
+        c = Counter(windows)
+        twice = {x for x, n in c.items() if n > 1}
+    covered = {k + j for k, x in enumerate(windows) if x in twice for j in range(5)}
+    return len(w), sum(map(len, w)), sum(c in "#*$%&|<>" for c in t), dup, len(covered)
+
+
+def test_quality_counts(docs, texts):
+    want = [(i, *(c := plain_counts(t)), c[0] < 10 or 100 * c[4] > 20 * c[0]) for i, t in texts]
+    got = quality.judge(docs)
+    assert by_id(got.select("doc_id", *quality.COUNTS, "base_failed")) == sorted(want, key=str)
+    assert got.where("base_failed and kept").count() == 0
+
+
+def test_repeats_are_counted_whole():
+    assert quality.counts_of("a b c d e x a b c d e")[4] == 10
+    assert quality.counts_of("a a a a a a")[4] == 6
+    assert quality.counts_of("a b c d e")[4] == 0
+
+
+def test_chi_square():
+    assert abs(quality.chi2_quantile(0.95, 1) - 3.841459) < 1e-5 and abs(quality.chi2_quantile(0.5, 6) - 5.348121) < 1e-5
+
+
+def test_quality_rejects_junk_and_keeps_clean(spark):
+    d = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    labels = spark.read.parquet("/root/testdata/sf0.1/labels.parquet")
+    r = quality.judge(d).where("not base_failed").join(labels, "doc_id").groupBy("quality", "kept").count().collect()
+    n = {(x.quality, x.kept): x["count"] for x in r}
+    assert n.get((1, False), 0) == 0
+    assert n[0, False] > 0.95 * (n[0, False] + n.get((0, True), 0))
+
+
+def test_toxicity_on_held_out_rows(spark):
+    out = queries.op1_toxicity(spark, "/root/testdata/sf0.1")
+    labels = spark.read.parquet("/root/testdata/sf0.1/labels.parquet")
+    r = out.where("held_out").join(labels, "doc_id").groupBy("toxic", "predicted").count().collect()
+    n = {(x.toxic, x.predicted): x["count"] for x in r}
+    assert n[1, 1] > 0.95 * (n[1, 1] + n.get((1, 0), 0)) and n.get((0, 1), 0) <= 0.01 * n[0, 0]
+
+
+def test_folding_and_exceptions():
+    lex = toxicity.Lexicon((("idiot", 3.0), ("scum", 2.0)), ("pond scum",))
+    assert toxicity.hits("An 1d10t, аn іdiots", lex)[1] == 2
+    assert toxicity.hits("pond scum", lex)[1] == 0 and toxicity.hits("pond scum and scum", lex)[1] == 1
+    assert toxicity.hits("videot unidiot", lex)[1] == 0 and toxicity.hits(None, lex) == (0.0, 0, 0)
