@@ -85,7 +85,8 @@ def _automaton(lexicon: Lexicon):
         found: dict[str, list] = {}
         for stem, weight in lexicon.stems:
             if s := fold(stem):
-                found.setdefault(s, [0.0, False])[0] = max(weight, found[s][0])
+                entry = found.setdefault(s, [0.0, False])
+                entry[0] = max(weight, entry[0])
         for phrase in lexicon.exceptions:
             if s := fold(phrase):
                 found.setdefault(s, [0.0, False])[1] = True
