@@ -14,11 +14,13 @@ only for classes that have more of them than the spare blocks make up for.
 
 Candidates. Keys are dealt out packed in arrays, not as rows. In a key's group every
 class is paired with the smallest; the pairs whose sketches differ in at most d bits are
-verified by their whole sets; linked classes form components. Groups that then still
-hold several components are gone through in blocks of rows, all pairs across components
-by sketch distance, and what passes is verified too. So no pair is left out, yet a
-group of thousands of near copies costs a pass and not the square of its size. A key
-that is common within a batch of rows sends one row on for all of them.
+verified by their whole sets; linked classes form components. In groups that then still
+hold several components, every class is paired with two more of the group, the largest
+and one chosen by hash. Groups that hold several components even then are gone through
+in blocks of rows, all pairs across components by sketch distance, and what passes is
+verified too. So no pair is left out, yet a group of thousands of near copies costs
+three passes and not the square of its size. A key that is common within a batch of
+rows sends one row on for all of them.
 
 Nulls: a null text, or one without words, has an empty set and links with nothing; a
 text with fewer words than words has its whole sequence as its one shingle. Rows with a
@@ -35,7 +37,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, dealt_in_blocks, dropped, in_groups, join_hot, saved, small_batches
+from .common import components, dealt_in_blocks, dropped, in_groups, join_hot, released, saved, small_batches
 
 #: A-Z to a-z, all else as it is.
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
@@ -135,8 +137,8 @@ def block_keys(h: np.ndarray, bands: Bands) -> np.ndarray:
 
 
 def parity(h: np.ndarray) -> bytes:
-    """The parity sketch of a set, of at least twice as many bits (a power of two) as it has shingles."""
-    width = max(64, 1 << (2 * len(h) - 1).bit_length()) if len(h) else 64
+    """The parity sketch of a set, of at least four times as many bits (a power of two) as it has shingles."""
+    width = max(64, 1 << (4 * len(h) - 1).bit_length()) if len(h) else 64
     odd = np.bincount((h & np.uint64(width - 1)).astype(np.int64), minlength=width) & 1
     return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
 
@@ -190,15 +192,14 @@ _MET = pa.schema([("kind", pa.int32()), ("x", pa.int64()), ("y", pa.int64())])
 
 
 def _met(keys: np.ndarray, docs: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> pa.RecordBatch:
-    """kind 0: pairs (class, smallest class of its group). kind 1: (key, class) of groups of three and more."""
-    inside = np.repeat(sizes > 1, sizes)
-    first = np.repeat(docs[starts], sizes)
-    star = np.unique(np.stack([docs, first], axis=1)[inside & (docs != first)], axis=0)
+    """kind 0: the two classes of a group of two. kind 1: (key, class) of groups of three and more."""
+    two = starts[sizes == 2]
+    pairs = np.unique(np.stack([docs[two + 1], docs[two]], axis=1), axis=0)
     many = np.repeat(sizes > 2, sizes)
     k, d = keys[many].view(np.int64), docs[many]
     once = np.r_[True, (k[1:] != k[:-1]) | (d[1:] != d[:-1])] if len(k) else np.zeros(0, bool)
     k, d = k[once], d[once]
-    return pa.RecordBatch.from_arrays([pa.array(np.repeat([0, 1], [len(star), len(k)]).astype(np.int32)), pa.array(np.concatenate([star[:, 0], k])), pa.array(np.concatenate([star[:, 1], d]))], schema=_MET)
+    return pa.RecordBatch.from_arrays([pa.array(np.repeat([0, 1], [len(pairs), len(k)]).astype(np.int32)), pa.array(np.concatenate([pairs[:, 0], k])), pa.array(np.concatenate([pairs[:, 1], d]))], schema=_MET)
 
 
 def met_in_groups(classes: DataFrame, buckets: int) -> DataFrame:
@@ -211,11 +212,12 @@ def met_in_groups(classes: DataFrame, buckets: int) -> DataFrame:
             keys, docs = _sorted_keys(batch)
             starts, sizes = _runs(keys)
             common = sizes >= COMMON_IN_BATCH
-            # two equal rows stand for a common key's classes, so that its group counts as one of three and more
+            # three equal rows stand for a common key's classes, so that its group counts as one of three and more
             keep = np.repeat(~common, sizes)
-            keep[starts[common]] = keep[starts[common] + 1] = True
             docs = docs.copy()
-            docs[starts[common] + 1] = docs[starts[common]]
+            for k in range(3):
+                keep[starts[common] + k] = True
+                docs[starts[common] + k] = docs[starts[common]]
             keys, docs = keys[keep], docs[keep]
             bucket = (keys % np.uint64(buckets)).astype(np.int64)
             order = np.argsort(bucket, kind="stable")
@@ -329,34 +331,70 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return met.where(both * 100 >= (F.size("ia") + F.size("ib") - both) * percent).select("a", "b").distinct()
 
 
+def _stars(members: DataFrame, centres: DataFrame, rows: int) -> DataFrame:
+    """Pairs (a, b) of every class of a group with the group's centre, where their components differ. members: key, doc, component; centres: key, centre, of, met."""
+    met = join_hot(members, centres, "key", "met", rows).where("component <> of")
+    return met.select(F.greatest("doc", "centre").alias("a"), F.least("doc", "centre").alias("b")).distinct()
+
+
 def near_components(docs: DataFrame, words: int = 4, percent: int = 85) -> DataFrame:
     """docs (doc_id, text) to (doc_id, n_shingles, component_id), a row each: the component's id is the smallest doc_id that links reach."""
     docs = docs.select("doc_id", "text")
     spark = docs.sparkSession
     whole = saved(describe(docs, words, percent), "sketches")
     linkable = whole.where("same is not null and doc_id is not null")
-    classes = saved(linkable.groupBy("same").agg(F.min("doc_id").alias("doc"), F.count("*").alias("copies"), F.first("n").alias("n"), F.first("keys").alias("keys"), F.first("sketch").alias("sketch")), "classes")
+    keyed = saved(linkable.groupBy("same").agg(F.min("doc_id").alias("doc"), F.count("*").alias("copies"), F.first("n").alias("n"), F.first("keys").alias("keys"), F.first("sketch").alias("sketch")), "keyed")
     rows = saved(whole.select("doc_id", "n", "same"), "documents")
     dropped(spark, whole)
-    keys = classes.agg(F.coalesce(F.sum(F.octet_length("keys")), F.lit(0)) / 8).first()[0]
+    del whole, linkable
+    released(spark)
+    keys = keyed.agg(F.coalesce(F.sum(F.octet_length("keys")), F.lit(0)) / 8).first()[0]
     least = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    met = saved(met_in_groups(classes, max(least, int(keys // 400_000) + 1)), "met")
-
-    pairs = saved(met.where("kind = 0").select(F.col("x").alias("a"), F.col("y").alias("b")).distinct(), "pairs")
-    sets = saved(sets_of(docs, pairs.select(F.explode(F.array("a", "b")).alias("doc")).distinct(), words), "sets")
-    linked = saved(verified(sketch_filter(pairs, classes, percent), sets, percent), "linked")
-    found = saved(components(linked), "components")
-
-    # groups that still hold several components
-    members = saved(met.where("kind = 1").select(F.col("x").alias("key"), F.col("y").alias("doc")).distinct().join(found.withColumnRenamed("id", "doc"), "doc", "left").select("key", "doc", F.coalesce("component", "doc").alias("component")), "members")
-    several = saved(members.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("n")).where("low <> high").select("key", F.col("n").alias("met")), "several")
-    left = join_hot(members, several, "key", "met", members.count())
-    left = left.join(classes.select("doc", "n", "sketch"), "doc")
-    more = saved(verified(across(left, percent), sets, percent), "more")
-    if not more.isEmpty():
-        found = saved(components(linked.unionByName(more)), "components")
+    met = saved(met_in_groups(keyed, max(least, int(keys // 400_000) + 1)), "met")
+    classes = saved(keyed.drop("keys"), "classes")
+    dropped(spark, keyed)
+    del keyed
+    released(spark)
+
+    members = saved(met.where("kind = 1").select(F.col("x").alias("key"), F.col("y").alias("doc")).distinct(), "members")
+    n_members = members.count()
+    alone = members.withColumn("component", F.col("doc"))
+    first = alone.groupBy("key").agg(F.min("doc").alias("centre"), F.min("doc").alias("of"), F.count("*").alias("met"))
+    pairs = met.where("kind = 0").select(F.col("x").alias("a"), F.col("y").alias("b")).where("a <> b").distinct()
+    linked = None
+    sketches = classes.select("doc", "n", "sketch")
+    for step in ("first", "more", "rest"):
+        if step == "first":
+            candidates = sketch_filter(pairs.unionByName(_stars(alone, first, n_members)), sketches, percent)
+        else:
+            # groups that still hold several components
+            named = saved(members.join(found.withColumnRenamed("id", "doc"), "doc", "left").select("key", "doc", F.coalesce("component", "doc").alias("component")), "named")  # noqa: F821
+            dropped(spark, members)
+            several = named.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("met")).where("low <> high").select("key", "met")
+            members = saved(join_hot(named, several.withColumnRenamed("met", "_met"), "key", "_met", n_members), step)
+            dropped(spark, named)
+            n_members = members.count()
+            if not n_members:
+                break
+            if step == "more":
+                by = (F.struct("doc"), F.struct((F.xxhash64("key", "doc")).alias("h"), "doc"))
+                stars = [_stars(members, members.groupBy("key").agg(F.max_by("doc", x).alias("centre"), F.max_by("component", x).alias("of"), F.count("*").alias("met")), n_members) for x in by]
+                candidates = sketch_filter(stars[0].union(stars[1]).distinct(), sketches, percent)
+            else:
+                candidates = across(members.join(sketches, "doc"), percent)
+            members = members.drop("component")
+        candidates = saved(candidates, "candidates")
+        sets = saved(sets_of(docs, candidates.select(F.explode(F.array("a", "b")).alias("doc")).distinct(), words), "sets")
+        now = saved(verified(candidates, sets, percent), "linked")
+        dropped(spark, sets)
+        dropped(spark, candidates)
+        linked = now if linked is None else saved(linked.unionByName(now), "linked")
+        found = saved(components(linked), "components")
+        released(spark)
 
     named = saved(classes.select("same", "doc", "copies").join(found.withColumnRenamed("id", "doc"), "doc", "left").select("same", "copies", F.coalesce("component", "doc").alias("component_id")), "named")
+    dropped(spark, classes)
+    dropped(spark, met)
     out = join_hot(rows.where("same is not null and doc_id is not null"), named, "same", "copies", rows.count())
     lone = rows.where("same is null or doc_id is null").withColumn("component_id", F.col("doc_id"))
     return out.unionByName(lone).select("doc_id", F.col("n").alias("n_shingles"), "component_id")
