@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from quarrymill.functions import stats
 
+from .relational import ranked_by_bins
+
 
 def first_of_key(df: DataFrame, key: Column, order: str) -> DataFrame:
     """Rows with is_first: whether a row is the smallest of its key. Keys are aggregated before the join back, so copies don't meet in one window."""
@@ -21,19 +23,20 @@ def stratified_holdout(df: DataFrame, key: str, stratum: str, share: float, at_l
     With at_least_one a stratum of two and more gives one at least, and a smaller one none.
     """
     keys = df.groupBy(key).agg(F.min(stratum).alias(stratum))
-    w = Window.partitionBy(stratum)
-    n = F.count("*").over(w)
+    ranks = ranked_by_bins(keys, stratum, [key], F.substring(key, 1, 3))
+    n = F.col("n")
     held = F.bround(n * F.lit(share), 0)
     if at_least_one:
         held = F.when(n < 2, 0).otherwise(F.greatest(F.lit(1), held))
-    return keys.withColumn("held", F.row_number().over(w.orderBy(key)) <= held)
+    return ranks.select(key, stratum, (F.col("rn") <= held).alias("held"))
 
 
 def three_way(df: DataFrame, key: str, stratum: str, cuts: tuple[float, float] = (0.7, 0.85)) -> DataFrame:
     """split of each key: train, dev or test by its place in its stratum, ordered by a hash in place of a seeded shuffle."""
-    w = Window.partitionBy(stratum)
-    at, n = F.row_number().over(w.orderBy(F.md5(F.col(key).cast("string")), key)), F.count("*").over(w)
-    return df.withColumn("split", F.when(at <= F.floor(n * F.lit(cuts[0])), "train").when(at <= F.floor(n * F.lit(cuts[1])), "dev").otherwise("test"))
+    hashed = df.withColumn("_h", F.md5(F.col(key).cast("string")))
+    ranks = ranked_by_bins(hashed, stratum, ["_h", key], F.substring("_h", 1, 3))
+    at, n = F.col("rn"), F.col("n")
+    return ranks.withColumn("split", F.when(at <= F.floor(n * F.lit(cuts[0])), "train").when(at <= F.floor(n * F.lit(cuts[1])), "dev").otherwise("test")).drop("_h", "rn", "n")
 
 
 def leakage_of(df: DataFrame, group: str, label: str) -> DataFrame:

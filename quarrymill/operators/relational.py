@@ -43,6 +43,21 @@ def not_in_either(df: DataFrame, other: DataFrame, keys: list[str]) -> DataFrame
     return df
 
 
+def ranked_by_bins(df: DataFrame, group: str, order: list[str], bin_: Column) -> DataFrame:
+    """df with rn, a row's place in its group by order, from 1, and n, the group's size.
+
+    bin_ must not fall as order rises. Rows are sorted within a group's bins and the
+    bins' sizes are summed up, so a group with most of the rows is spread over as many
+    tasks as it has bins; a plain window would sort it in one. Null groups are left out.
+    """
+    binned = df.withColumn("_bin", bin_)
+    sizes = binned.groupBy(group, "_bin").agg(F.count("*").alias("_c"))
+    w = Window.partitionBy(group)
+    sizes = sizes.select(group, "_bin", (F.sum("_c").over(w.orderBy("_bin")) - F.col("_c")).alias("_before"), F.sum("_c").over(w).alias("n"))
+    inside = F.row_number().over(Window.partitionBy(group, "_bin").orderBy(*order))
+    return binned.join(sizes, [group, "_bin"]).withColumn("rn", F.col("_before") + inside).drop("_bin", "_before")
+
+
 def cross_tab(df: DataFrame, keys: list[str]) -> DataFrame:
     return df.groupBy(*keys).agg(F.count("*").alias("n"))
 

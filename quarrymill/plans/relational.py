@@ -314,9 +314,8 @@ c AS (SELECT *, greatest(1, least(n - 1, ((n + 1) * 19) // 20)) AS j FROM s)
 SELECT event_type, round(CASE WHEN max(n) < 20 THEN 0.0::DOUBLE ELSE max(CASE WHEN rn = j THEN value END) * (1 - ((max(n) + 1) * 19 - max(j) * 20) / 20.0) + max(CASE WHEN rn = j + 1 THEN value END) * (((max(n) + 1) * 19 - max(j) * 20) / 20.0) END, 6) AS p95_exclusive,
 round(max(CASE WHEN rn = CAST(round_even(0.95::DOUBLE * (n - 1), 0) AS BIGINT) + 1 THEN value END), 6) AS p95_nearest FROM c GROUP BY event_type""")
 def agg09_percentiles(spark, d):
-    """AGG-09, AGG-10: p95 by the exclusive method, and by nearest rank. Ranks come from a window, so no group is gathered into one value."""
-    w = Window.partitionBy("event_type")
-    s = read(spark, d, "events").select("event_type", "value", F.row_number().over(w.orderBy("value")).alias("rn"), F.count("*").over(w).alias("n"))
+    """AGG-09, AGG-10: p95 by the exclusive method, and by nearest rank. Ranks come from binned windows, so no group meets in one task."""
+    s = op.ranked_by_bins(read(spark, d, "events").select("event_type", "value"), "event_type", ["value"], F.floor("value"))
     s = s.withColumn("j", F.greatest(F.lit(1), F.least(F.col("n") - 1, F.floor((F.col("n") + 1) * 19 / 20))))
     part = ((F.max("n") + 1) * 19 - F.max("j") * 20) / F.lit(20.0)
     at = lambda k: F.max(F.when(F.col("rn") == k, F.col("value")))
@@ -380,8 +379,8 @@ def agg18_skip_reasons(spark, d):
 @query(f"SELECT doc_id, rn FROM (SELECT doc_id, row_number() OVER (PARTITION BY label ORDER BY doc_id) AS rn, count(*) OVER (PARTITION BY label) AS n FROM ({GOLD})) WHERE rn <= round_even(n * 0.15::DOUBLE, 0)")
 def win05_rank_cut(spark, d):
     """WIN-05: the first share of each stratum by sorted key."""
-    w = Window.partitionBy("label")
-    return gold(spark, d).select("doc_id", F.row_number().over(w.orderBy("doc_id")).alias("rn"), F.count("*").over(w).alias("n")).where(F.col("rn") <= F.bround(F.col("n") * F.lit(0.15), 0)).select("doc_id", "rn")
+    ranks = op.ranked_by_bins(gold(spark, d).select("doc_id", "label"), "label", ["doc_id"], F.floor(F.col("doc_id") / 100_000))
+    return ranks.where(F.col("rn") <= F.bround(F.col("n") * F.lit(0.15), 0)).select("doc_id", "rn")
 
 
 @query(f"SELECT label, source, least(count(*), 3) AS kept, greatest(count(*) - 3, 0) AS dropped FROM ({GOLD}) GROUP BY label, source")
