@@ -1,16 +1,18 @@
 """Quality rules: fixed limits, and robust multivariate outliers.
 
 Every document gets counts of its whole text and a vector of transformed statistics.
-For each language and source with enough rows, location and scatter are estimated by
-the minimum covariance determinant: concentration steps, each one aggregation over all
-rows, keep the fraction of rows nearest by Mahalanobis distance until the estimate
-settles. A document far from its group's estimate is rejected.
-
-A group is estimated by itself if it has at least a 1/most_groups share of the rows
-and least_rows rows, so there are at most most_groups models by group, and as many by
-language; other rows take their language's model, or else that of all rows. The models
-are the only things that the driver holds or broadcasts; rows are aggregated in
-partial sums by group and distance, so a group with a third of all rows is no burden.
+For each language and source with least_rows rows, location and scatter are estimated
+by the minimum covariance determinant: concentration steps, each one aggregation over
+all rows, keep the fraction of rows nearest by Mahalanobis distance until the
+determinant falls no more. A document far from its group's estimate is rejected.
+
+Every group of least_rows rows has an estimate of its own, whatever the size of the
+table and the number of groups; the rows of smaller ones take their language's model
+if that has least_rows rows, or else that of all rows. The models are a table. Those
+with over 1/HOT_KEYS of the rows (so fewer than HOT_KEYS groups, as many languages,
+and all) are broadcast; rows of the others are shuffled to theirs. This doesn't touch
+the results. Rows are aggregated in partial sums by group and distance, so a group with
+a third of all rows is no burden.
 
 Null texts count as empty (no words: rejected by the limits); null lang or source is
 a group of its own. Repeated rows count each. An empty table gives no rows.
@@ -23,10 +25,10 @@ import re
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import saved, small_batches
+from .common import HOT_KEYS, dropped, join_hot, saved, small_batches
 
 _SYMBOLS = b"#*$%&|<>"
 _PUNCT = bytes(b for b in range(33, 127) if not chr(b).isalnum() and b not in _SYMBOLS)
@@ -134,15 +136,53 @@ def chi2_quantile(p: float, k: float) -> float:
 FLOORS = (0.05, 0.04, 0.10, 0.12, 0.03, 0.03)
 
 
-class Model:
-    """Location and inverse scatter of one group."""
+#: An estimate has settled once a step lowers the logarithm of its determinant by less than this.
+SETTLED = 1e-4
+
+_MODEL = pa.schema([("model", pa.string()), ("hot", pa.bool_()), ("centre", pa.list_(pa.float64())), ("inverse", pa.list_(pa.float64())), ("log_det", pa.float64()), ("settled", pa.bool_())])
+_MODEL_SQL = "model string, hot boolean, centre array<double>, inverse array<double>, log_det double, settled boolean"
+
+
+def _inverted(scatter: np.ndarray) -> tuple[list[float], float]:
+    """The inverse of a scatter matrix with its floors, and the logarithm of its determinant."""
+    whole = scatter + np.diag(np.square(FLOORS))
+    return np.linalg.inv(whole).reshape(-1).tolist(), float(np.linalg.slogdet(whole)[1])
+
 
-    def __init__(self, key: str, centre: np.ndarray, scatter: np.ndarray) -> None:
-        self.key, self.centre = key, centre
-        self.inverse = np.linalg.inv(scatter + np.diag(np.square(FLOORS)))
+def _first(batches):
+    """Rows (model, hot, quartiles of each statistic) to the models that the steps start from; their determinants count for nothing."""
+    for batch in batches:
+        out = []
+        for model, hot, *q in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+            inverse, _ = _inverted(np.diag([((x[2] - x[0]) / 1.349) ** 2 for x in q]))
+            out.append((model, hot, [x[1] for x in q], inverse, math.inf, False))
+        yield _models_batch(out)
 
-    def row(self) -> tuple:
-        return (self.key, self.centre.tolist(), self.inverse.reshape(-1).tolist())
+
+def _stepped(scale: float):
+    """Rows (model, hot, centre, inverse, log_det, sums) to the models after the step: of those before and after, the one with the smaller determinant."""
+    p = len(STATS)
+
+    def run(batches):
+        for batch in batches:
+            out = []
+            for model, hot, centre, inverse, log_det, sums in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+                n, first, second = sums[0], np.array(sums[1 : p + 1]), np.zeros((p, p))
+                second[np.triu_indices(p)] = sums[p + 1 :]
+                mean = first / n
+                scatter = (second + np.triu(second, 1).T) / n - np.outer(mean, mean)
+                new, new_det = _inverted(scatter * scale)
+                settled = not new_det <= log_det - SETTLED
+                if new_det < log_det:
+                    centre, inverse, log_det = mean.tolist(), new, new_det
+                out.append((model, hot, centre, inverse, log_det, settled))
+            yield _models_batch(out)
+
+    return run
+
+
+def _models_batch(rows: list[tuple]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], f.type) for k, f in enumerate(_MODEL)], schema=_MODEL)
 
 
 def _distance():
@@ -157,48 +197,59 @@ def _distance():
     return F.greatest(total, F.lit(0.0))
 
 
-def fit(rows: DataFrame, *, keep: float = 0.75, steps: int = 6, least_rows: int = 200, most_groups: int = 1000) -> tuple[list[Model], DataFrame]:
-    """Models by group, language and all, and rows with the key (model) of the model that is theirs.
+def _keyed(rows: DataFrame, total: int, least_rows: int) -> DataFrame:
+    """rows with by_grp and by_lng, the models that they count for besides that of all, whether those are hot, and model and hot of the one that is theirs."""
+    for c in ("grp", "lng"):
+        n = F.col("count")
+        own = F.when(n >= least_rows, F.concat(F.lit(c[0]), c))
+        counts = saved(rows.groupBy(c).count().select(c, own.alias(f"by_{c}"), (n > max(1, total // HOT_KEYS)).alias(f"hot_{c}"), n.alias("_n")), "quality-counts")
+        rows = join_hot(rows, counts, c, "_n", total)
+    theirs = F.when(F.col("by_grp").isNotNull(), F.col("hot_grp")).when(F.col("by_lng").isNotNull(), F.col("hot_lng")).otherwise(True)
+    return rows.withColumn("model", F.coalesce("by_grp", "by_lng", F.lit("a"))).withColumn("hot", theirs)
+
+
+def with_models(rows: DataFrame, models: DataFrame) -> DataFrame:
+    """rows (model, hot, ...) with centre and inverse of the models that are there."""
+    names = ["model", "centre", "inverse"]
+    near = rows.where("hot").join(F.broadcast(models.where("hot").select(names)), "model")
+    return near.unionByName(rows.where("not hot").join(models.where("not hot").select(names), "model"))
+
+
+def fit(rows: DataFrame, *, keep: float = 0.75, least_rows: int = 200) -> tuple[DataFrame, DataFrame]:
+    """A table of models by group, language and all, as far as rows take them, and rows with model and hot of the one that is theirs.
 
-    rows should be a table: each concentration step reads its statistics once.
+    rows should be a table. Each concentration step reads the statistics once or twice;
+    steps end when every estimate has settled, which they do: each step but the last
+    of a model lowers the logarithm of its determinant by SETTLED at least, and that
+    is bounded below by the floors.
     """
     spark = rows.sparkSession
+    small_batches(spark)
     p = len(STATS)
     total = rows.count()
-    if not total:
-        return [], rows.withColumn("model", F.lit(None).cast("string"))
-    least = max(least_rows, -(-total // most_groups))
-    own = rows.groupBy("grp").count().where(F.col("count") >= least).select("grp", F.concat(F.lit("g"), "grp").alias("by_grp"))
-    tongue = rows.groupBy("lng").count().where(F.col("count") >= least).select("lng", F.concat(F.lit("l"), "lng").alias("by_lng"))
-    keyed = rows.join(F.broadcast(own), "grp", "left").join(F.broadcast(tongue), "lng", "left")
-    keyed = keyed.withColumn("model", F.coalesce("by_grp", "by_lng", F.lit("a"))).drop("by_grp", "by_lng")
+    keyed = saved(_keyed(rows, total, least_rows), "quality-keyed")
     # every row counts for its group's model, its language's and that of all: at most three
-    wide = rows.join(F.broadcast(own), "grp", "left").join(F.broadcast(tongue), "lng", "left")
-    used = wide.select(F.explode(F.array_compact(F.array("by_grp", "by_lng", F.lit("a")))).alias("model"), *STATS)
+    key = lambda by, hot: F.when(F.col(by).isNotNull(), F.struct(F.col(by).alias("model"), F.col(hot).alias("hot")))
+    used = keyed.select(F.explode(F.array_compact(F.array(key("by_grp", "hot_grp"), key("by_lng", "hot_lng"), F.struct(F.lit("a").alias("model"), F.lit(True).alias("hot"))))).alias("m"), *STATS).select("m.*", *STATS)
 
-    middle = used.groupBy("model").agg(F.count("*").alias("n"), *[F.percentile_approx(s, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)), 2000).alias(s) for s in STATS])
-    models = {r["model"]: Model(r["model"], np.array([r[s][1] for s in STATS]), np.diag([((r[s][2] - r[s][0]) / 1.349) ** 2 for s in STATS])) for r in middle.collect()}
     share = chi2_cdf(chi2_quantile(keep, p), p + 2)
-    sums = [F.count("*").alias("n"), *[F.sum(s).alias(f"m{i}") for i, s in enumerate(STATS)], *[F.sum(F.col(a) * F.col(b)).alias(f"m{i}_{j}") for i, a in enumerate(STATS) for j, b in enumerate(STATS) if i <= j]]
-    names = ["n", *[f"m{i}" for i in range(p)], *[f"m{i}_{j}" for i in range(p) for j in range(i, p)]]
-    for _ in range(steps):
-        table = F.broadcast(spark.createDataFrame([m.row() for m in models.values()], "model string, centre array<double>, inverse array<double>"))
-        binned = used.join(table, "model").withColumn("bin", F.floor(F.log(_distance() + 1e-6) * 12).cast("int")).groupBy("model", "bin").agg(*sums)
-        binned.createOrReplaceTempView("quarrymill_mcd_bins")
-        running = ", ".join(f"sum({c}) over (partition by model order by bin) as {c}" for c in names)
-        nearest = spark.sql(f"select model, min_by(struct({', '.join(names)}), bin) as best from (select model, bin, {running}, sum(n) over (partition by model) as whole from quarrymill_mcd_bins) where n >= {keep} * whole group by model")
-        moved = 0.0
-        for r in nearest.collect():
-            b = r["best"]
-            centre = np.array([b[f"m{i}"] for i in range(p)]) / b["n"]
-            square = np.array([[b[f"m{min(i, j)}_{max(i, j)}"] for j in range(p)] for i in range(p)]) / b["n"]
-            scatter = (square - np.outer(centre, centre)) * (keep / share)
-            new = Model(r["model"], centre, scatter)
-            moved = max(moved, float(np.abs((new.centre - models[r["model"]].centre) / FLOORS).max()))
-            models[r["model"]] = new
-        if moved < 0.01:
-            break
-    return list(models.values()), keyed
+    pairs = [(i, j) for i in range(p) for j in range(i, p)]
+    sums = [F.count("*").cast("double").alias("s0"), *[F.sum(s).alias(f"s{k + 1}") for k, s in enumerate(STATS)], *[F.sum(F.col(STATS[i]) * F.col(STATS[j])).alias(f"s{p + 1 + k}") for k, (i, j) in enumerate(pairs)]]
+    names = [f"s{k}" for k in range(len(sums))]
+    quartiles = used.groupBy("model", "hot").agg(*[F.percentile_approx(s, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)), 2000).alias(s) for s in STATS])
+    needed = keyed.select("model").distinct()
+    models = saved(quartiles.join(needed, "model", "left_semi").mapInArrow(_first, _MODEL_SQL), "quality-models")
+    while (active := models.where("not settled")).limit(1).count():
+        binned = with_models(used, active).withColumn("bin", F.floor(F.log(_distance() + 1e-6) * 12).cast("int")).groupBy("model", "bin").agg(*sums)
+        by_bin, whole = Window.partitionBy("model").orderBy("bin"), Window.partitionBy("model")
+        upto = binned.select("model", "bin", *names, *[F.sum(c).over(by_bin).alias(f"t{c}") for c in names], (F.sum("s0").over(whole) * keep).alias("most"))
+        # of the last bin only the part that makes up the kept fraction counts
+        over = (F.col("ts0") - F.col("most")) / F.col("s0")
+        nearest = upto.where("ts0 >= most").groupBy("model").agg(F.min_by(F.array(*[F.col(f"t{c}") - over * F.col(c) for c in names]), "bin").alias("sums"))
+        step = active.join(nearest, "model").select("model", "hot", "centre", "inverse", "log_det", "sums").mapInArrow(_stepped(keep / share), _MODEL_SQL)
+        before, models = models, saved(step.union(models.where("settled")), "quality-models")
+        dropped(spark, before)
+    return models, keyed
 
 
 def limits_failed():
@@ -213,8 +264,6 @@ def judge(docs: DataFrame, *, tail: float = 1e-6, keep: float = 0.75) -> DataFra
     """
     rows = saved(measure(docs), "quality")
     models, keyed = fit(rows, keep=keep)
-    spark = docs.sparkSession
-    table = spark.createDataFrame([m.row() for m in models], "model string, centre array<double>, inverse array<double>")
-    far = keyed.join(F.broadcast(table), "model", "left").withColumn("distance", _distance())
+    far = with_models(keyed, models).withColumn("distance", _distance())
     limit = chi2_quantile(1.0 - tail, len(STATS))
     return far.select("doc_id", *COUNTS, limits_failed().alias("base_failed"), (~limits_failed() & F.coalesce(F.col("distance") <= limit, F.lit(True))).alias("kept"), "distance", *STATS)
