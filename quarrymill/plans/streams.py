@@ -54,7 +54,7 @@ def str06_idempotent(spark, d):
     stream = jobs.events(spark, f"{d}/events.parque[t]", source.schema)  # a pattern serves a file and a folder
     twice = stream.select("event_id", "event_type", "ts", F.explode(F.array(F.lit(1), F.lit(2))).alias("k"))
     path = scratch(spark, "idempotent")
-    jobs.run(jobs.once(twice, "event_id", "60 days").select("event_id", "event_type"), path, scratch(spark, "idempotent-log"))
+    jobs.run(jobs.once(twice, "event_id", None).select("event_id", "event_type"), path, scratch(spark, "idempotent-log"))
     return spark.read.schema("event_id long, event_type string").parquet(path)
 
 

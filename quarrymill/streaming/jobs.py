@@ -35,8 +35,10 @@ def rates(df: DataFrame, size: str = "5 minutes", slide: str = "1 minute", late:
     return g.select(F.col("window.start").alias("start"), F.col("window.end").alias("end"), "event_type", "n", "total")
 
 
-def once(df: DataFrame, key: str, late: str = "10 minutes") -> DataFrame:
-    """The first event of each key within the watermark."""
+def once(df: DataFrame, key: str, late: str | None = "10 minutes") -> DataFrame:
+    """The first event of each key within the watermark; late None: of each key at any age, with a state row for each key."""
+    if late is None:
+        return df.dropDuplicates([key])
     return df.withWatermark("ts", late).dropDuplicatesWithinWatermark([key]) if df.isStreaming else df.dropDuplicates([key])
 
 
