@@ -53,9 +53,9 @@ _COLLAPSED = r"""trim(array_to_string(list_transform(string_split(regexp_replace
 
 @query(f"SELECT doc_id, sha1({_COLLAPSED}) AS lines_sha1, CASE WHEN length(text) = 0 THEN 0.0::DOUBLE WHEN length({_COLLAPSED}) < 50 THEN 0.2::DOUBLE ELSE round(least(1.0::DOUBLE, 0.5 * length({_COLLAPSED}) / length(text)), 9) END AS quality FROM documents WHERE NOT regexp_matches(text, '[가-힯]')")
 def txt03_quality(spark, d):
-    """TXT-03 on texts without Hangul, and the line rules of TXT-01."""
+    """TXT-03, and the line rules of TXT-01, of every document; the SQL covers those without Hangul only, and not null texts."""
     normal = text.collapse_lines("text")
-    return docs(spark, d).where("not text rlike '[가-힯]'").select("doc_id", F.sha1(normal).alias("lines_sha1"), F.round(text.quality_score("text", normal), 9).alias("quality"))
+    return docs(spark, d).select("doc_id", F.sha1(normal).alias("lines_sha1"), F.round(text.quality_score("text", normal), 9).alias("quality"))
 
 
 _MASKS = [(k, p.replace("(?:", "(?:"), m) for k, p, m in text.PII]
