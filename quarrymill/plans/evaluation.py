@@ -132,11 +132,15 @@ def spl09_corrections_to_rows(spark, d):
 @query(f"""WITH k AS (SELECT classification_id, corrected_level, row_number() OVER (PARTITION BY corrected_level ORDER BY corrected_at, correction_id) AS rn FROM ({_LATEST}))
 SELECT classification_id, corrected_level FROM k WHERE rn <= 20 AND classification_id NOT IN (SELECT item_id FROM benchmark)""")
 def spl10_merge_with_cap(spark, d):
-    """SPL-10, WIN-07: twenty corrections a level in their order (the operator's cap), then without holdout ids."""
+    """SPL-10, WIN-07: twenty corrections a level in their order (the operator's cap), then without holdout ids and without documents whose lower-case, space-collapsed text is a holdout passage; the SQL compares ids only."""
     k = op.latest(corrections(spark, d).where(~F.col("consumed")), "classification_id", "corrected_at", "correction_id")
     capped = op.top_per_key(k, ["corrected_level"], [F.col("corrected_at"), F.col("correction_id")], 20)
     held = read(spark, d, "benchmark").select(F.col("item_id").alias("classification_id"))
-    return capped.join(held, "classification_id", "left_anti").select("classification_id", "corrected_level")
+    key = F.lower(F.trim(F.regexp_replace("text", r"(?U)[\s\x1C-\x1F]+", " "))).alias("key")
+    passages = read(spark, d, "benchmark").select(key)
+    mine = F.broadcast(capped.select(F.col("classification_id").alias("doc_id")))
+    copies = read(spark, d, "documents").join(mine, "doc_id", "left_semi").select(F.col("doc_id").alias("classification_id"), key).join(passages, "key", "left_semi").select("classification_id")
+    return capped.join(held.union(copies), "classification_id", "left_anti").select("classification_id", "corrected_level")
 
 
 @query(f"""WITH c AS (SELECT source, label, count(*) AS n FROM ({GOLD}) GROUP BY 1, 2), s AS (SELECT *, sum(n) OVER (PARTITION BY source) AS g, max(n) OVER (PARTITION BY source) AS top, sum(n) OVER () AS t FROM c),
