@@ -39,18 +39,25 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     """Write df to the shared folder and read it back: cuts the lineage."""
     path = scratch_path(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._scratch = (path,)
+    return out
 
 
 def dropped(spark: SparkSession, df: DataFrame | None) -> None:
     """Delete the scratch table that saved() gave, once nothing reads it any more."""
-    if df is None:
-        return
-    files = df.inputFiles()
-    if not files:
-        return
-    path = spark._jvm.org.apache.hadoop.fs.Path(files[0].rsplit("/", 1)[0])
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    for path in getattr(df, "_scratch", ()):
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def together(before: DataFrame | None, more: DataFrame) -> DataFrame:
+    """The union of scratch tables, which dropped() deletes as one."""
+    if before is None:
+        return more
+    out = before.unionByName(more)
+    out._scratch = before._scratch + more._scratch
+    return out
 
 
 def released(spark: SparkSession) -> None:
@@ -59,11 +66,11 @@ def released(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
-def small_batches(spark: SparkSession, rows: int = 1024) -> None:
-    """Make the session fit for the Python workers: small Arrow batches, as rows can hold very long texts, and this package on their path."""
+def small_batches(spark: SparkSession) -> None:
+    """Make the session fit for the Python workers: this package on their path, and Arrow batches bounded by bytes, as rows can hold very long texts. The same for every operator, so that it doesn't matter which is built and which runs first."""
     shipped(spark)
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2048")
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
 
 
 def picked(df: DataFrame, *columns: str) -> DataFrame:
@@ -89,6 +96,22 @@ def join_hot(big: DataFrame, small: DataFrame, key: str, weight: str, total: int
     return near.unionByName(far, allowMissingColumns=True)
 
 
+def join_salted(big: DataFrame, small: DataFrame, key: str, spread: str, counted: DataFrame) -> DataFrame:
+    """big join small on key, where rows of small may be large and some keys meet many rows of big.
+
+    A key with more than 1/HOT_KEYS of the rows of counted (a table that has big's keys)
+    is dealt out by the column spread over as many tasks as it exceeds that by; small's
+    rows of it are repeated for each, at most 2 * HOT_KEYS times in all. Only those keys
+    and their numbers are broadcast, fewer than HOT_KEYS of them.
+    """
+    most = max(1, counted.count() // HOT_KEYS)
+    hot = F.broadcast(counted.groupBy(key).count().where(F.col("count") > most).select(key, F.ceil(F.col("count") / most).cast("int").alias("_parts")))
+    parts = F.coalesce("_parts", F.lit(1))
+    left = big.join(hot, key, "left").withColumn("_part", F.pmod(F.xxhash64(spread), parts).cast("int")).drop("_parts")
+    right = small.join(hot, key, "left").withColumn("_part", F.explode(F.sequence(F.lit(0), parts - 1))).drop("_parts")
+    return left.join(right, [key, "_part"]).drop("_part")
+
+
 def _starred(edges: DataFrame, total: int, large: bool) -> DataFrame:
     """One large-star or small-star step over edges (a > b)."""
     down = edges.select(F.col("a").alias("u"), F.col("b").alias("v"))

@@ -37,14 +37,16 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, dealt_in_blocks, dropped, in_groups, join_hot, released, saved, small_batches
+from .common import components, dealt_in_blocks, dropped, in_groups, join_hot, join_salted, released, saved, small_batches, together
 
 #: A-Z to a-z, all else as it is.
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 #: Odd multipliers (fractional bits of square roots of primes) of a shingle's words.
 _ODD = [np.uint64(x) for x in (0x6A09E667F3BCC909, 0xBB67AE8584CAA73B, 0x3C6EF372FE94F82B, 0xA54FF53A5F1D36F1, 0x510E527FADE682D1, 0x9B05688C2B3E6C1F, 0x1F83D9ABFB41BD6B, 0x5BE0CD19137E2179)]
-#: Bits of the filter of candidate ids that is broadcast, whatever their number.
-FILTER_BITS = 1 << 23
+#: Most bits (16 MB) of the filter of candidate ids that is broadcast.
+FILTER_BITS = 1 << 27
+#: Bytes that are kept of a join key. Keys that agree in them by chance make candidates that the sketches reject.
+KEY_BYTES = 6
 
 
 class WordHashes(dict):
@@ -107,12 +109,10 @@ class Bands:
             edge = after
 
     def of(self, size: int) -> list[int]:
-        """The bands that a set of size shingles is keyed in."""
-        k = int(np.searchsorted(self.edges, size, side="right")) - 1
-        out = [k] if k >= 0 else []
-        if k + 1 < len(self.edges) and size * 100 >= self.percent * self.edges[k + 1]:
-            out.append(k + 1)
-        return out
+        """The bands that a set of size shingles is keyed in: its own, and every one above where a partner may be."""
+        first = int(np.searchsorted(self.edges, size, side="right")) - 1
+        last = int(np.searchsorted(self.edges, size * 100 // self.percent, side="right")) - 1
+        return list(range(max(first, 0), last + 1))
 
 
 def block_keys(h: np.ndarray, bands: Bands) -> np.ndarray:
@@ -136,9 +136,28 @@ def block_keys(h: np.ndarray, bands: Bands) -> np.ndarray:
     return np.concatenate(out) if out else np.zeros(0, np.uint64)
 
 
+def packed_keys(keys: np.ndarray) -> bytes:
+    return keys.view(np.uint8).reshape(-1, 8)[:, :KEY_BYTES].tobytes()
+
+
+def unpacked_keys(packed: bytes) -> np.ndarray:
+    out = np.zeros((len(packed) // KEY_BYTES, 8), np.uint8)
+    out[:, :KEY_BYTES] = np.frombuffer(packed, np.uint8).reshape(-1, KEY_BYTES)
+    return out.view(np.uint64).ravel()
+
+
+def packed_ids(ids: np.ndarray) -> bytes:
+    """Rising ids as differences, byte by byte of their places, so that the shuffle's compression finds the zeros."""
+    return np.diff(ids, prepend=0).view(np.uint8).reshape(-1, 8).T.tobytes()
+
+
+def unpacked_ids(packed: bytes) -> np.ndarray:
+    return np.cumsum(np.frombuffer(packed, np.uint8).reshape(8, -1).T.copy().view(np.int64).ravel())
+
+
 def parity(h: np.ndarray) -> bytes:
-    """The parity sketch of a set, of at least four times as many bits (a power of two) as it has shingles."""
-    width = max(64, 1 << (4 * len(h) - 1).bit_length()) if len(h) else 64
+    """The parity sketch of a set, of at least twice as many bits (a power of two) as it has shingles."""
+    width = max(64, 1 << (2 * len(h) - 1).bit_length()) if len(h) else 64
     odd = np.bincount((h & np.uint64(width - 1)).astype(np.int64), minlength=width) & 1
     return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
 
@@ -165,7 +184,7 @@ def describe(docs: DataFrame, words: int, percent: int) -> DataFrame:
             rows: list[list] = [[] for _ in range(4)]
             for t in batch.column(1).to_pylist():
                 h = shingles(t, words)
-                for to, v in zip(rows, (len(h), xxhash.xxh128_digest(h.tobytes()) if len(h) else None, block_keys(h, bands).tobytes(), parity(h)), strict=True):
+                for to, v in zip(rows, (len(h), xxhash.xxh128_digest(h.tobytes()) if len(h) else None, packed_keys(block_keys(h, bands)), parity(h)), strict=True):
                     to.append(v)
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(r, f.type) for r, f in zip(rows, list(_DESCRIBED)[1:], strict=True))], schema=_DESCRIBED)
 
@@ -173,7 +192,7 @@ def describe(docs: DataFrame, words: int, percent: int) -> DataFrame:
 
 
 def _sorted_keys(batch) -> tuple[np.ndarray, np.ndarray]:
-    keys = [np.frombuffer(b, np.uint64) for b in batch.column(1).to_pylist()]
+    keys = [unpacked_keys(b) for b in batch.column(1).to_pylist()]
     docs = np.repeat(batch.column(0).to_numpy(), [len(k) for k in keys])
     keys = np.concatenate(keys) if keys else np.zeros(0, np.uint64)
     order = np.lexsort((docs, keys))
@@ -204,7 +223,7 @@ def _met(keys: np.ndarray, docs: np.ndarray, starts: np.ndarray, sizes: np.ndarr
 
 def met_in_groups(classes: DataFrame, buckets: int) -> DataFrame:
     """(kind, x, y), as of _met(), over all keys of classes (doc, keys)."""
-    small_batches(classes.sparkSession, 4096)
+    small_batches(classes.sparkSession)
     packed = pa.schema([("bucket", pa.int32()), ("keys", pa.binary()), ("docs", pa.binary())])
 
     def deal(batches):
@@ -220,10 +239,10 @@ def met_in_groups(classes: DataFrame, buckets: int) -> DataFrame:
                 docs[starts[common] + k] = docs[starts[common]]
             keys, docs = keys[keep], docs[keep]
             bucket = (keys % np.uint64(buckets)).astype(np.int64)
-            order = np.argsort(bucket, kind="stable")
+            order = np.lexsort((docs, bucket))
             cuts, counts = _runs(bucket[order])
             parts = [order[s : s + c] for s, c in zip(cuts.tolist(), counts.tolist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array([int(bucket[p[0]]) for p in parts], pa.int32()), pa.array([keys[p].tobytes() for p in parts], pa.binary()), pa.array([docs[p].tobytes() for p in parts], pa.binary())], schema=packed)
+            yield pa.RecordBatch.from_arrays([pa.array([int(bucket[p[0]]) for p in parts], pa.int32()), pa.array([packed_keys(keys[p]) for p in parts], pa.binary()), pa.array([packed_ids(docs[p]) for p in parts], pa.binary())], schema=packed)
 
     def local(batches):
         for batch in batches:
@@ -235,8 +254,8 @@ def met_in_groups(classes: DataFrame, buckets: int) -> DataFrame:
     def gather(batches):
         keys, docs = [], []
         for batch in batches:
-            keys += [np.frombuffer(b, np.uint64) for b in batch.column(1).to_pylist()]
-            docs += [np.frombuffer(b, np.int64) for b in batch.column(2).to_pylist()]
+            keys += [unpacked_keys(b) for b in batch.column(1).to_pylist()]
+            docs += [unpacked_ids(b) for b in batch.column(2).to_pylist()]
         if keys:
             k, d = np.concatenate(keys), np.concatenate(docs)
             del keys, docs
@@ -254,10 +273,15 @@ def _close(na, nb, words_a, words_b, percent: int) -> np.ndarray:
     return (apart <= (na + nb) * (100 - percent) // (100 + percent)) & (np.minimum(na, nb) * 100 >= np.maximum(na, nb) * percent)
 
 
+def _both(pairs: DataFrame, of: DataFrame) -> DataFrame:
+    """pairs (a, b), a table, with the other columns of of (doc, ...) for both, their names followed by a and b. Either end may be a hot group's centre."""
+    side = lambda c: of.select(*[F.col(x).alias(c if x == "doc" else x + c) for x in of.columns])
+    return join_salted(join_salted(pairs, side("a"), "a", "b", pairs), side("b"), "b", "a", pairs)
+
+
 def sketch_filter(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose sketches and sizes allow a link."""
-    side = lambda c: classes.select(F.col("doc").alias(c), F.col("n").alias(f"n{c}"), F.col("sketch").alias(f"s{c}"))
-    met = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "na", "nb", "sa", "sb")
+    """The pairs (a, b), a table, whose sketches and sizes allow a link."""
+    met = _both(pairs, classes.select("doc", "n", "sketch")).select("a", "b", "na", "nb", "sketcha", "sketchb")
 
     def run(batches):
         for batch in batches:
@@ -298,37 +322,55 @@ def across(members: DataFrame, percent: int) -> DataFrame:
     return dealt.mapInArrow(run, "a long, b long").distinct()
 
 
+def id_filter(ids: DataFrame) -> tuple[np.ndarray, int]:
+    """A bit for the hash of each id (doc) in 16 an id, or in FILTER_BITS if that is less, as bytes, and the number of bits."""
+    size = min(FILTER_BITS, 1 << max(16, (16 * ids.count() - 1).bit_length()))
+    chunk = 1 << 16
+
+    def mark(batches):
+        held: dict[int, np.ndarray] = {}
+        for batch in batches:
+            slots = batch.column(0).to_numpy()
+            for c in np.unique(slots // chunk).tolist():
+                held.setdefault(c, np.zeros(chunk, np.uint8))[slots[slots // chunk == c] % chunk] = 1
+        if held:
+            yield pa.RecordBatch.from_pydict({"chunk": pa.array(list(held), pa.int64()), "bits": pa.array([np.packbits(b, bitorder="little").tobytes() for b in held.values()], pa.binary())})
+
+    slot = F.pmod(F.xxhash64("doc"), F.lit(size))
+    rows = ids.select(slot.alias("slot")).repartition(min(64, size // chunk), F.floor(F.col("slot") / chunk))
+    bits = np.zeros(size // 8, np.uint8)
+    for r in rows.mapInArrow(mark, "chunk long, bits binary").collect():
+        at = r["chunk"] * chunk // 8
+        bits[at : at + chunk // 8] = np.frombuffer(r["bits"], np.uint8)
+    return bits, size
+
+
 def sets_of(docs: DataFrame, ids: DataFrame, words: int) -> DataFrame:
-    """(doc, items array<long>): the whole sets of the documents in ids (doc). A filter of fixed size keeps most other texts from being read into sets."""
+    """(doc, items array<long>): the whole sets of the documents in ids (doc, distinct), a table. A filter of bounded size keeps other texts from being read into sets; a semi-join removes those that still pass."""
     spark = docs.sparkSession
-    slot = F.pmod(F.xxhash64("doc"), F.lit(FILTER_BITS))
-    marks = ids.select(slot.alias("slot")).groupBy((F.col("slot") / 32).cast("int").alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(slot % 32 as int))")).alias("bits")).collect()
-    bits = np.zeros(FILTER_BITS // 32, np.uint32)
-    for r in marks:
-        bits[r["word"]] = r["bits"]
-    sent = spark.sparkContext.broadcast(bits)
     small_batches(spark)
+    bits, size = id_filter(ids)
+    sent = spark.sparkContext.broadcast(bits)
 
     def run(batches):
         held = sent.value
         for batch in batches:
             at = batch.column(2).to_numpy()
-            keep = (held[at // 32] >> (at % 32).astype(np.uint32)) & np.uint32(1) != 0
+            keep = (held[at // 8] >> (at % 8).astype(np.uint8)) & 1 != 0
             if keep.any():
                 some = batch.filter(pa.array(keep))
                 items = [shingles(t, words).view(np.int64) for t in some.column(1).to_pylist()]
                 yield pa.RecordBatch.from_arrays([some.column(0), pa.array(items, pa.list_(pa.int64()))], names=["doc", "items"])
 
     rows = docs.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("doc"), F.col("text").cast("string").alias("text"))
-    found = rows.select("doc", "text", slot.alias("slot")).mapInArrow(run, "doc long, items array<long>")
-    return found.join(ids.select("doc").distinct(), "doc", "left_semi")
+    found = rows.select("doc", "text", F.pmod(F.xxhash64("doc"), F.lit(size)).alias("slot")).mapInArrow(run, "doc long, items array<long>")
+    return found.join(ids.select("doc"), "doc", "left_semi")
 
 
 def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose sets' Jaccard similarity is at least percent hundredths."""
-    met = pairs.join(sets.select(F.col("doc").alias("a"), F.col("items").alias("ia")), "a").join(sets.select(F.col("doc").alias("b"), F.col("items").alias("ib")), "b")
-    both = F.size(F.array_intersect("ia", "ib"))
-    return met.where(both * 100 >= (F.size("ia") + F.size("ib") - both) * percent).select("a", "b").distinct()
+    """The pairs (a, b), a table, whose sets' (doc, items) Jaccard similarity is at least percent hundredths."""
+    both = F.size(F.array_intersect("itemsa", "itemsb"))
+    return _both(pairs, sets).where(both * 100 >= (F.size("itemsa") + F.size("itemsb") - both) * percent).select("a", "b").distinct()
 
 
 def _stars(members: DataFrame, centres: DataFrame, rows: int) -> DataFrame:
@@ -337,18 +379,32 @@ def _stars(members: DataFrame, centres: DataFrame, rows: int) -> DataFrame:
     return met.select(F.greatest("doc", "centre").alias("a"), F.least("doc", "centre").alias("b")).distinct()
 
 
+def _classes(docs: DataFrame, words: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """Tables (doc_id, n, same) of all documents and (same, doc, copies, n, keys, sketch) of the classes of equal sets."""
+    whole = saved(describe(docs, words, percent), "sketches")
+    firsts = [F.first(c).alias(c) for c in ("n", "keys", "sketch")]
+    keyed = whole.where("same is not null and doc_id is not null").groupBy("same").agg(F.min("doc_id").alias("doc"), F.count("*").alias("copies"), *firsts)
+    out = saved(whole.select("doc_id", "n", "same"), "documents"), saved(keyed, "keyed")
+    dropped(docs.sparkSession, whole)
+    return out
+
+
+def _several(members: DataFrame, found: DataFrame, total: int) -> DataFrame:
+    """members (key, doc) of the groups that hold several components, with component. found: id, component."""
+    named = saved(members.join(found.withColumnRenamed("id", "doc"), "doc", "left").select("key", "doc", F.coalesce("component", "doc").alias("component")), "named")
+    several = named.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("_met")).where("low <> high").select("key", "_met")
+    out = saved(join_hot(named, several, "key", "_met", total), "several")
+    dropped(members.sparkSession, named)
+    return out
+
+
 def near_components(docs: DataFrame, words: int = 4, percent: int = 85) -> DataFrame:
     """docs (doc_id, text) to (doc_id, n_shingles, component_id), a row each: the component's id is the smallest doc_id that links reach."""
     docs = docs.select("doc_id", "text")
     spark = docs.sparkSession
-    whole = saved(describe(docs, words, percent), "sketches")
-    linkable = whole.where("same is not null and doc_id is not null")
-    keyed = saved(linkable.groupBy("same").agg(F.min("doc_id").alias("doc"), F.count("*").alias("copies"), F.first("n").alias("n"), F.first("keys").alias("keys"), F.first("sketch").alias("sketch")), "keyed")
-    rows = saved(whole.select("doc_id", "n", "same"), "documents")
-    dropped(spark, whole)
-    del whole, linkable
+    rows, keyed = _classes(docs, words, percent)
     released(spark)
-    keys = keyed.agg(F.coalesce(F.sum(F.octet_length("keys")), F.lit(0)) / 8).first()[0]
+    keys = keyed.agg(F.coalesce(F.sum(F.octet_length("keys")), F.lit(0)) / KEY_BYTES).first()[0]
     least = int(spark.conf.get("spark.sql.shuffle.partitions"))
     met = saved(met_in_groups(keyed, max(least, int(keys // 400_000) + 1)), "met")
     classes = saved(keyed.drop("keys"), "classes")
@@ -357,47 +413,51 @@ def near_components(docs: DataFrame, words: int = 4, percent: int = 85) -> DataF
     released(spark)
 
     members = saved(met.where("kind = 1").select(F.col("x").alias("key"), F.col("y").alias("doc")).distinct(), "members")
-    n_members = members.count()
-    alone = members.withColumn("component", F.col("doc"))
-    first = alone.groupBy("key").agg(F.min("doc").alias("centre"), F.min("doc").alias("of"), F.count("*").alias("met"))
-    pairs = met.where("kind = 0").select(F.col("x").alias("a"), F.col("y").alias("b")).where("a <> b").distinct()
-    linked = None
+    two = saved(met.where("kind = 0").select(F.col("x").alias("a"), F.col("y").alias("b")).where("a <> b").distinct(), "two")
+    dropped(spark, met)
     sketches = classes.select("doc", "n", "sketch")
+    linked, sets, found = None, None, None
     for step in ("first", "more", "rest"):
-        if step == "first":
-            candidates = sketch_filter(pairs.unionByName(_stars(alone, first, n_members)), sketches, percent)
+        if found is not None:
+            before, members = members, _several(members.select("key", "doc"), found, members.count())
+            dropped(spark, before)
+        total = members.count()
+        if found is not None and not total:
+            break
+        if step == "rest":
+            candidates = saved(across(members.join(sketches, "doc"), percent), "candidates")
         else:
-            # groups that still hold several components
-            named = saved(members.join(found.withColumnRenamed("id", "doc"), "doc", "left").select("key", "doc", F.coalesce("component", "doc").alias("component")), "named")  # noqa: F821
-            dropped(spark, members)
-            several = named.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("met")).where("low <> high").select("key", "met")
-            members = saved(join_hot(named, several.withColumnRenamed("met", "_met"), "key", "_met", n_members), step)
-            dropped(spark, named)
-            n_members = members.count()
-            if not n_members:
-                break
-            if step == "more":
-                by = (F.struct("doc"), F.struct((F.xxhash64("key", "doc")).alias("h"), "doc"))
-                stars = [_stars(members, members.groupBy("key").agg(F.max_by("doc", x).alias("centre"), F.max_by("component", x).alias("of"), F.count("*").alias("met")), n_members) for x in by]
-                candidates = sketch_filter(stars[0].union(stars[1]).distinct(), sketches, percent)
+            if step == "first":
+                centres = members.groupBy("key").agg(F.min("doc").alias("centre"), F.min("doc").alias("of"), F.count("*").alias("met"))
+                pairs = two.unionByName(_stars(members.withColumn("component", F.col("doc")), centres, total))
             else:
-                candidates = across(members.join(sketches, "doc"), percent)
-            members = members.drop("component")
-        candidates = saved(candidates, "candidates")
-        sets = saved(sets_of(docs, candidates.select(F.explode(F.array("a", "b")).alias("doc")).distinct(), words), "sets")
+                by = (F.struct("doc"), F.struct(F.xxhash64("key", "doc").alias("h"), "doc"))
+                stars = [_stars(members, members.groupBy("key").agg(F.max_by("doc", x).alias("centre"), F.max_by("component", x).alias("of"), F.count("*").alias("met")), total) for x in by]
+                pairs = stars[0].unionByName(stars[1])
+            pairs = saved(pairs.distinct(), "pairs")
+            candidates = saved(sketch_filter(pairs, sketches, percent), "candidates")
+            dropped(spark, pairs)
+        # the sets of earlier steps' candidates are there already
+        ids = candidates.select(F.explode(F.array("a", "b")).alias("doc")).distinct()
+        ids = saved(ids if sets is None else ids.join(sets.select("doc"), "doc", "left_anti"), "ids")
+        more = saved(sets_of(docs, ids, words), "sets")
+        sets = together(sets, more)
         now = saved(verified(candidates, sets, percent), "linked")
-        dropped(spark, sets)
+        linked = together(linked, now)
+        dropped(spark, ids)
         dropped(spark, candidates)
-        linked = now if linked is None else saved(linked.unionByName(now), "linked")
+        dropped(spark, found)
         found = saved(components(linked), "components")
         released(spark)
 
-    named = saved(classes.select("same", "doc", "copies").join(found.withColumnRenamed("id", "doc"), "doc", "left").select("same", "copies", F.coalesce("component", "doc").alias("component_id")), "named")
-    dropped(spark, classes)
-    dropped(spark, met)
+    named = classes.select("same", "doc", "copies").join(found.withColumnRenamed("id", "doc"), "doc", "left").select("same", "copies", F.coalesce("component", "doc").alias("component_id"))
+    named = saved(named, "named")
     out = join_hot(rows.where("same is not null and doc_id is not null"), named, "same", "copies", rows.count())
     lone = rows.where("same is null or doc_id is null").withColumn("component_id", F.col("doc_id"))
-    return out.unionByName(lone).select("doc_id", F.col("n").alias("n_shingles"), "component_id")
+    out = saved(out.unionByName(lone).select("doc_id", F.col("n").alias("n_shingles"), "component_id"), "near")
+    for table in (rows, classes, members, two, sets, linked, found, named):
+        dropped(spark, table)
+    return out
 
 
 def keep_one(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
