@@ -2,17 +2,23 @@
 
 Byte-pair encoding has a last-token property: the encoding of a word's prefix is the
 encoding of a shorter prefix followed by one token, and that token is the only one
-that ends there and whose joint with the token before survives the merges. So a trie
-of words can be walked depth-first with one last token a node, and what words share
-at their start is worked out once. Here the sorted distinct words of a batch are that
-trie in depth-first order: the stack of last tokens is kept up to the prefix that a
-word shares with the one before it.
+that ends there and whose joint with the token before survives the merges. So the
+distinct words are inserted into a trie that is walked depth-first, each node with the
+last token of its path as its state, and what words share at their start is worked out
+once.
 
 Whether two neighbouring tokens stay apart follows from their merge trees: on the
 facing sides, no pair of pieces may merge before either is taken up into a larger one.
 
-Nulls and empty texts have no tokens. Texts are encoded whole. Strings of added
-tokens in a text become those tokens, before normalization, as the library does.
+Texts are normalized and split into words by the library's normalizers and its classes
+of letters and digits; a word's ids are worked out once in a worker, as long as it is
+kept.
+
+Nulls and empty texts have no tokens. Texts are encoded whole, whatever their length.
+Strings of added tokens in a text become those tokens, before normalization, as the
+library does. Each row stands for itself: repeated rows, ties and null ids come out as
+they go in. Columns other than doc_id and text, whatever their names, are not read. An
+empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -20,30 +26,35 @@ from __future__ import annotations
 import hashlib
 import json
 import re
-import unicodedata
+import struct
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from tokenizers import Regex, normalizers, pre_tokenizers
 
 from .common import small_batches
 from .token_counts import byte_letters
 
 #: Fixed value: Unicode white space.
-SPACE = "\t-\r \x85\xa0  -     　"
+SPACE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+_BEYOND = re.compile("[\U00010000-\U0010ffff]")
+
+
+def character_class(kind: str, most: int) -> str:
+    """A character class, in brackets' inner form, of the code points up to most that the library has in kind, a Unicode category."""
+    runs = pre_tokenizers.Split(Regex(f"[\\p{{{kind}}}]+"), "removed", invert=True)
+    every = "".join(chr(c) if not 0xD800 <= c < 0xE000 else " " for c in range(most + 1))
+    return "".join(f"\\U{a:08x}-\\U{b - 1:08x}" for _, (a, b) in runs.pre_tokenize_str(every))
 
 
-def category_class(major: str) -> str:
-    """A character class, in brackets' inner form, of all code points whose category starts with major."""
-    out, start = [], None
-    for i in range(0x110001):
-        inside = i < 0x110000 and unicodedata.category(chr(i))[0] == major
-        if inside and start is None:
-            start = i
-        elif not inside and start is not None:
-            out.append(f"\\U{start:08x}-\\U{i - 1:08x}")
-            start = None
-    return "".join(out)
+def suffixes(tokens: dict[bytes, int]) -> dict[bytes, int]:
+    """Every suffix of a token to its id, or to -1 if it is none itself."""
+    out: dict[bytes, int] = {}
+    for t in tokens:
+        for k in range(len(t)):
+            out.setdefault(t[k:], -1)
+    return out | tokens
 
 
 class WordBpe:
@@ -75,15 +86,18 @@ class WordBpe:
             if k in self.added.values() or not all(c in back for c in s):
                 continue
             (self.final if ends else self.inner)[bytes(back[c] for c in s)] = k
-        self.longest = max(map(len, [*self.inner, *self.final]), default=1)
         self.size = {k: len(s) for s, k in [*self.inner.items(), *self.final.items()]}
         if not self.suffix:
             self.final = self.inner
+        self.ends = suffixes(self.inner), suffixes(self.final)
         self.sides: tuple[dict, dict] = ({}, {})
         self.apart: dict[int, bool] = {}
-        letters, digits = category_class("L"), category_class("N")
-        # Fixed value: the pattern that the file's Split pre-tokenizer keeps the matches of.
-        self.words = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{letters}]+|[{digits}]|[^{SPACE}{letters}{digits}]+")
+        self.normalizer = normalizers.Sequence([normalizers.NFC(), normalizers.Lowercase()])
+        # Fixed value: the pattern that the file's Split pre-tokenizer keeps the matches of; letters and digits stand first, as no other branch starts with one. A class within the first plane is a table look-up, so texts with others have their own pattern.
+        self.words = []
+        for most in (0xFFFF, 0x10FFFF):
+            letters, digits = character_class("L", most), character_class("N", most)
+            self.words.append(re.compile(rf"[{letters}]+|[{digits}]|'s|'t|'re|'ve|'m|'ll|'d|[^{SPACE}{letters}{digits}]+"))
         self.split_added = re.compile("(" + "|".join(map(re.escape, sorted(self.added, key=len, reverse=True))) + ")") if self.added else None
 
     def _side(self, token: int, right: int) -> list[tuple[int, float]]:
@@ -119,55 +133,79 @@ class WordBpe:
             self.apart[key] = known
         return known
 
-    def _last(self, word: bytes, depth: int, last: list[int], tokens: dict[bytes, int]) -> int:
-        """The last token of the prefix of depth bytes, given those of the shorter ones."""
-        for start in range(max(0, depth - self.longest), depth):
-            t = tokens.get(word[start:depth])
-            if t is not None and (start == 0 or self.stay_apart(last[start], t)):
+    def _last(self, path: bytes, last: list[int], ends: dict[bytes, int]) -> int:
+        """The state of a path: its last token, given the states of its proper prefixes."""
+        depth = len(path)
+        found = []
+        for start in range(depth - 1, -1, -1):
+            t = ends.get(path[start:])
+            if t is None:
+                break
+            if t >= 0:
+                found.append((start, t))
+        for start, t in reversed(found):
+            if start == 0:
                 return t
-        raise ValueError(f"no token ends {word[:depth]!r}")
-
-    def encode_words(self, words: list[bytes]) -> dict[bytes, list[int]]:
-        """The ids of distinct words, by one walk over them as a sorted trie."""
+            apart = self.apart.get(last[start] << 20 | t)
+            if apart or apart is None and self.stay_apart(last[start], t):
+                return t
+        raise ValueError(f"no token ends {path!r}")
+
+    def encode_words(self, words: set[bytes]) -> dict[bytes, list[int]]:
+        """The ids of distinct words, by one depth-first walk over their trie."""
+        root: dict = {}
+        for word in words:
+            node = root
+            for byte in word:
+                below = node.get(byte)
+                if below is None:
+                    below = node[byte] = {}
+                node = below
+            node[-1] = word
         out: dict[bytes, list[int]] = {}
-        last: list[int] = [-1]  # last[d]: the last token of the current path's first d bytes
-        before = b""
-        for word in sorted(words):
-            shared, most = 0, min(len(before), len(word), len(last) - 1)
-            while shared < most and before[shared] == word[shared]:
-                shared += 1
-            del last[shared + 1 :]
-            for depth in range(len(last), len(word)):
-                last.append(self._last(word, depth, last, self.inner))
-            t = self._last(word, len(word), last, self.final)
-            ids, d = [t], len(word) - self.size[t]
-            while d > 0:
-                ids.append(last[d])
-                d -= self.size[last[d]]
-            out[word] = ids[::-1]
-            before = word
+        inner, final = self.ends
+        last: list[int] = [-1]  # last[d]: the state of the current path's first d bytes
+        todo = [(root, b"")]
+        while todo:
+            node, path = todo.pop()
+            del last[max(1, len(path)) :]
+            while True:
+                word = node.pop(-1, None)
+                if word is not None:
+                    ids, d = [self._last(word, last, final)], len(word)
+                    d -= self.size[ids[0]]
+                    while d > 0:
+                        ids.append(last[d])
+                        d -= self.size[last[d]]
+                    out[word] = ids[::-1]
+                if not node:
+                    break
+                if path:
+                    last.append(self._last(path, last, inner))
+                # the last child is gone into at once, the others wait
+                *wait, (byte, below) = node.items()
+                todo += [(n, path + bytes((b,))) for b, n in wait]
+                node, path = below, path + bytes((byte,))
         return out
 
-    def normal(self, text: str) -> str:
-        """NFC and lower case, each character by itself (so a final sigma is no special case); white space only separates."""
-        if not text.isascii():
-            text = unicodedata.normalize("NFC", text)
-            if "Σ" in text:
-                text = text.replace("Σ", "σ")
-        return text.lower()
-
     def words_of(self, text: str) -> list[str | int]:
-        """The words of a text in order; added tokens as their ids."""
+        """The words of a text in order, normalized; added tokens as their ids."""
         if self.split_added is None or "<|" not in text and not self.split_added.search(text):
-            return self.words.findall(self.normal(text))
+            return self._words(text)
         out: list[str | int] = []
         for k, part in enumerate(self.split_added.split(text)):
-            out += [self.added[part]] if k % 2 else self.words.findall(self.normal(part))
+            out += [self.added[part]] if k % 2 else self._words(part)
         return out
 
+    def _words(self, text: str) -> list[str]:
+        if text.isascii():
+            return self.words[0].findall(text.lower())
+        text = self.normalizer.normalize_str(text)
+        return self.words[bool(_BEYOND.search(text))].findall(text)
+
 
 class Known:
-    """Ids (little-endian bytes) and token strings of words seen; bounded: cleared when it holds most words."""
+    """Ids (little-endian bytes) and token strings of words seen; bounded: cleared when it would hold over most words, but for those of the texts at hand."""
 
     def __init__(self, path: str, most: int = 300_000) -> None:
         self.bpe, self.most = WordBpe(path), most
@@ -181,11 +219,12 @@ class Known:
             self.text.clear()
             new = words
         plain = {w: w.encode() for w in new if isinstance(w, str)}
-        got = self.bpe.encode_words(list(plain.values()))
+        got = self.bpe.encode_words(set(plain.values()))
+        names = self.bpe.names
         for w in new:
             ids = got[plain[w]] if w in plain else [w]
-            self.ids[w] = b"".join(i.to_bytes(4, "little") for i in ids)
-            self.text[w] = " ".join(self.bpe.names[i] for i in ids)
+            self.ids[w] = struct.pack(f"<{len(ids)}I", *ids)
+            self.text[w] = " ".join([names[i] for i in ids])
 
 
 _KNOWN: dict[str, Known] = {}
@@ -210,7 +249,6 @@ def encode(docs: DataFrame, path: str, full: bool = False) -> DataFrame:
         k = known(path)
         for batch in batches:
             split = [k.bpe.words_of(t) if t else [] for t in batch.column(1).to_pylist()]
-            # small groups of documents, so that one group's words always fit what is kept
             k.learn(set().union(*split) if split else set())
             rows: list[list] = [[] for _ in list(out)[1:]]
             for words in split:

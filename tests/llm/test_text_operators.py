@@ -149,6 +149,29 @@ def test_bpe_equals_library(docs, texts):
     assert by_id(bpe.encode(docs, path)) == sorted(want, key=str)
 
 
+def test_bpe_splits_every_code_point_as_the_library_does():
+    path = public_tokenizers.path("word_bpe_49k.json")
+    own, t, back = bpe.WordBpe(path), Tokenizer.from_file(path), token_counts.byte_letters()
+    every = [chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000 and chr(c) != "<"]
+    for k in range(0, len(every), 5000):
+        text = " ".join(f"a{c}b {c}{c}1{c}" for c in every[k : k + 5000])
+        want = [bytes(back[x] for x in w) for w, _ in t.pre_tokenizer.pre_tokenize_str(t.normalizer.normalize_str(text))]
+        assert [w.encode() for w in own.words_of(text)] == want
+
+
+def test_bpe_equals_library_on_random_texts():
+    path = public_tokenizers.path("word_bpe_49k.json")
+    t, k, r = Tokenizer.from_file(path), bpe.Known(path), random.Random(5)
+    pool = [chr(c) for c in [*range(0x600), *range(0x900, 0xA00), *range(0x1100, 0x1200), *range(0xAC00, 0xAC80), *range(0x2000, 0x2070), *range(0x300, 0x370), *range(0x300, 0x370), 0x1F600, 0x212B]]
+    pool += ["<|endoftext|>", "<|startoftext|>", "'s", "'ll", " ", "  ", "\n", "\u09fe\u093c"]
+    for _ in range(20):
+        xs = ["".join(r.choice(pool) for _ in range(r.randint(0, 30))) for _ in range(5000)]
+        split = [k.bpe.words_of(x) for x in xs]
+        k.learn(set().union(*split))
+        for words, e in zip(split, t.encode_batch(xs, add_special_tokens=False), strict=True):
+            assert b"".join(k.ids[w] for w in words) == struct.pack(f"<{len(e.ids)}I", *e.ids)
+
+
 def test_packing(docs, texts):
     path = public_tokenizers.path("byte_bpe_50k.json")
     t = Tokenizer.from_file(path)
