@@ -22,10 +22,12 @@ HOT_KEYS = 1000
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder for scratch tables: ``spark.checkpoint.dir``; a local one only where it is unset."""
+    """The folder for scratch tables: ``spark.checkpoint.dir``. Where it is unset, a local one if driver and executors are one process; else an error, as executors would not see each other's files."""
     conf = spark.sparkContext.getConf()
     found = conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         found = "file://" + tempfile.mkdtemp(prefix="quarrymill-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")

@@ -9,9 +9,13 @@ sequence take one each.
 Two steps: the texts become rows of piece lengths (narrow; no text is shuffled), which
 are written to the shared folder; these are dealt out by hash into tasks of about
 pieces_a_task, in the order of a hash, and packed there. A document in a group of
-copies is a row like any other, so no key can be hot.
+copies is a row like any other, and rows of one doc_id or of none are told apart by
+their place in the table, so no key can be hot.
 
-Null texts count as empty: the end mark alone. Repeated rows are packed each.
+Null texts count as empty: the end mark alone. Texts are encoded whole. Repeated rows
+are packed each. Pieces of equal length are taken in the order of the hash. Columns
+other than doc_id and text, whatever their names, are not read; pack() passes all
+columns on. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -175,7 +179,7 @@ def pack(parts: DataFrame, capacity: int = 1024, most_open: int = 4096, window:
     """
     n = max(4, -(-parts.count() // pieces_a_task))
     order = F.xxhash64("doc_id", "piece")
-    dealt = parts.withColumn("_order", order).repartition(n, "doc_id", "piece").sortWithinPartitions("_order", "doc_id", "piece").drop("_order")
+    dealt = parts.withColumn("_order", order).repartition(n, F.xxhash64("doc_id", "piece", "start", "length", F.monotonically_increasing_id() % 1024)).sortWithinPartitions("_order", "doc_id", "piece").drop("_order")
     dealt = dealt.withColumn("_task", F.spark_partition_id())
     of = dealt.columns.index("_task")
 

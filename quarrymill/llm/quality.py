@@ -15,7 +15,11 @@ the results. Rows are aggregated in partial sums by group and distance, so a gro
 a third of all rows is no burden.
 
 Null texts count as empty (no words: rejected by the limits); null lang or source is
-a group of its own. Repeated rows count each. An empty table gives no rows.
+a group of its own. Texts are read whole, in time that grows with their length but for
+a sort of their words' numbers. Repeated rows, those of one doc_id or of none too, are
+each judged by themselves, and each counts for the estimates. Ties of distance fall in
+one bin, of which a share counts. Other columns, whatever their names, are not read by
+judge() and passed on by kept(). An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -27,6 +31,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 
 from .common import HOT_KEYS, dropped, join_hot, saved, small_batches
 
@@ -87,27 +92,30 @@ def stats_of(text: str | None, counts: tuple[int, int, int, int, int]) -> tuple[
     )
 
 
-_OUT = pa.schema([("doc_id", pa.int64()), ("grp", pa.string()), ("lng", pa.string()), *((c, pa.int64()) for c in COUNTS), *((s, pa.float64()) for s in STATS)])
-_OUT_SQL = "doc_id long, grp string, lng string, " + ", ".join([*(f"{c} long" for c in COUNTS), *(f"{s} double" for s in STATS)])
+_NUMBERS = [*((c, pa.int64()) for c in COUNTS), *((s, pa.float64()) for s in STATS)]
 
 
-def measure(docs: DataFrame) -> DataFrame:
-    """docs (doc_id, text, lang, source) to counts and statistics, with the group and language that models are keyed by; no shuffle."""
+def measure(docs: DataFrame, texts: bool = False) -> DataFrame:
+    """The columns of docs (text, lang, source, ...), the text only with texts=True, under the names c0, c1, ..., then grp and lng, the group and language that models are keyed by, counts and statistics; no shuffle."""
     small_batches(docs.sparkSession)
+    part = lambda c: F.coalesce(F.concat(F.lit("="), F.col(c).cast("string")), F.lit("-"))
+    named = [F.col(f"`{c}`").alias(f"c{k}") for k, c in enumerate(docs.columns)]
+    rows = docs.select(*named, F.concat_ws("\x1f", part("lang"), part("source")).alias("grp"), part("lang").alias("lng"))
+    at = docs.columns.index("text")
+    through = [k for k in range(len(rows.columns)) if texts or k != at]
 
     def run(batches):
         for batch in batches:
             counted, stats = [], []
-            for t in batch.column(3).to_pylist():
+            for t in batch.column(at).to_pylist():
                 counted.append(c := counts_of(t))
                 stats.append(stats_of(t, c))
-            columns = [batch.column(0), batch.column(1), batch.column(2)]
-            columns += [pa.array([c[k] for c in counted], pa.int64()) for k in range(len(COUNTS))]
-            columns += [pa.array([s[k] for s in stats], pa.float64()) for k in range(len(STATS))]
-            yield pa.RecordBatch.from_arrays(columns, schema=_OUT)
+            numbers = [pa.array([c[k] for c in counted], pa.int64()) for k in range(len(COUNTS))]
+            numbers += [pa.array([s[k] for s in stats], pa.float64()) for k in range(len(STATS))]
+            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in through), *numbers], schema=pa.schema([*(batch.schema.field(k) for k in through), *_NUMBERS]))
 
-    part = lambda c: F.coalesce(F.concat(F.lit("="), F.col(c).cast("string")), F.lit("-"))
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.concat_ws("\x1f", part("lang"), part("source")).alias("grp"), part("lang").alias("lng"), F.col("text").cast("string").alias("text")).mapInArrow(run, _OUT_SQL)
+    schema = StructType([*(rows.schema[k] for k in through), *(StructField(c, LongType()) for c in COUNTS), *(StructField(s, DoubleType()) for s in STATS)])
+    return rows.mapInArrow(run, schema)
 
 
 def chi2_cdf(x: float, k: float) -> float:
@@ -257,13 +265,31 @@ def limits_failed():
     return (F.col("n_words") < 10) | (F.col("n_repeat_words") * 100 > F.col("n_words") * 20)
 
 
+def _judged(docs: DataFrame, tail: float, keep: float, texts: bool) -> DataFrame:
+    """The rows of measure() with base_failed, distance and kept. Rows of groups with over 1/HOT_KEYS of the rows stay where they are, those of others are shuffled to their model."""
+    spark = docs.sparkSession
+    whole = saved(measure(docs, texts), "quality")
+    models, keyed = fit(whole.select("grp", "lng", *STATS), keep=keep)
+    groups = keyed.groupBy("grp").agg(F.first("model").alias("model"), F.first("hot").alias("hot"), F.count("*").alias("_n"))
+    theirs = saved(with_models(groups, models).select("grp", "_n", "centre", "inverse"), "quality-groups")
+    dropped(spark, keyed)
+    dropped(spark, models)
+    far = join_hot(whole, theirs, "grp", "_n", whole.count()).withColumn("distance", _distance())
+    limit = chi2_quantile(1.0 - tail, len(STATS))
+    return far.withColumn("base_failed", limits_failed()).withColumn("kept", ~limits_failed() & F.coalesce(F.col("distance") <= limit, F.lit(True)))
+
+
 def judge(docs: DataFrame, *, tail: float = 1e-6, keep: float = 0.75) -> DataFrame:
     """docs (doc_id, text, lang, source) with counts, base_failed, distance (squared Mahalanobis) and kept.
 
     tail: the share of ordinary rows, were they normal, that the distance limit rejects.
     """
-    rows = saved(measure(docs), "quality")
-    models, keyed = fit(rows, keep=keep)
-    far = with_models(keyed, models).withColumn("distance", _distance())
-    limit = chi2_quantile(1.0 - tail, len(STATS))
-    return far.select("doc_id", *COUNTS, limits_failed().alias("base_failed"), (~limits_failed() & F.coalesce(F.col("distance") <= limit, F.lit(True))).alias("kept"), "distance", *STATS)
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), "lang", "source")
+    out = _judged(rows, tail, keep, False)
+    return out.select(F.col("c0").alias("doc_id"), *COUNTS, "base_failed", "kept", "distance", *STATS)
+
+
+def kept(docs: DataFrame, *, tail: float = 1e-6, keep: float = 0.75) -> DataFrame:
+    """The rows of docs, all columns, that judge() keeps. The texts are written once beside their statistics and not shuffled."""
+    out = _judged(docs, tail, keep, True).where("kept")
+    return out.select(*[F.col(f"c{k}").alias(c) for k, c in enumerate(docs.columns)])

@@ -2,12 +2,15 @@
 
 Two first-order Markov models over character classes of ASCII (each letter, digit and
 sign its own state) are trained from labelled samples, one of random strings and one
-of ordinary identifiers. A run of key characters whose mean log-likelihood ratio per
-character exceeds a threshold is a span of kind markov unless it overlaps a span of
-the fixed patterns. Spans are in code points, end exclusive.
-
-A null text counts as empty: no spans. Texts are scanned whole, whatever their
-length; each row on its own, so repeated rows give repeated results.
+of ordinary identifiers (labelled_samples() where none are given). Where a run of key
+characters, or a part of it outside the spans of the fixed patterns, has a mean
+log-likelihood ratio per character above a threshold that falls with its length, it is
+a span of kind markov. Spans are in code points, end exclusive.
+
+A null text counts as empty: no spans. Texts are scanned whole, in time that grows with
+their length; each row on its own, so repeated rows give repeated results and null ids
+null ids. Spans of one start come in the order of KINDS. An empty table gives no rows.
+Of other columns, whatever their names, scan() reads none and redact() passes all on.
 """
 
 from __future__ import annotations
@@ -29,7 +32,9 @@ KINDS = ("assign", "access", "hex", "markov")
 ASSIGN = re.compile(r"(password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", re.I | re.A)
 ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
 HEX = re.compile(r"(?<![0-9a-f])[0-9a-f]{24,}")
-CANDIDATE = re.compile(r"[A-Za-z0-9+/_-]{20,}={0,2}")
+CANDIDATE = re.compile(r"[A-Za-z0-9+/_-]{12,}={0,2}")
+#: A candidate of n characters is a span where its mean ratio is THRESHOLD + PER_LENGTH / n at least.
+THRESHOLD, PER_LENGTH = 0.5, 9.0
 
 #: Parts of ordinary identifiers, for the labelled sample of them.
 PARTS = tuple(
@@ -98,20 +103,36 @@ def mean_ratio(s: str, ratios: list[list[float]]) -> float:
     return total / len(s) if s else -math.inf
 
 
-def spans(text: str | None, ratios: list[list[float]], threshold: float = 0.6) -> list[tuple[str, int, int]]:
+def _outside(start: int, end: int, taken: list[tuple[int, int]], at: int) -> tuple[list[tuple[int, int]], int]:
+    """The parts of start to end outside taken (apart, rising), and the index in taken to go on from."""
+    while at < len(taken) and taken[at][1] <= start:
+        at += 1
+    out, k = [], at
+    while k < len(taken) and taken[k][0] < end:
+        if taken[k][0] > start:
+            out.append((start, taken[k][0]))
+        start = taken[k][1]
+        k += 1
+    return (out + [(start, end)] if start < end else out), at
+
+
+def spans(text: str | None, ratios: list[list[float]], threshold: float = THRESHOLD) -> list[tuple[str, int, int]]:
     """All spans (kind, start, end) of a text, by start, then by kind as listed."""
     t = text or ""
     found = [("assign", m.start(), m.end()) for m in ASSIGN.finditer(t) if len(m[2]) >= 6]
     if "AKIA" in t:
         found += [("access", *m.span()) for m in ACCESS.finditer(t)]
     found += [("hex", *m.span()) for m in HEX.finditer(t)]
-    taken = [x[1:] for x in found]
+    taken: list[tuple[int, int]] = []
+    for a, b in sorted(x[1:] for x in found):
+        if taken and a < taken[-1][1]:
+            taken[-1] = (taken[-1][0], max(b, taken[-1][1]))
+        else:
+            taken.append((a, b))
+    at = 0
     for m in CANDIDATE.finditer(t):
-        s, e = m.span()
-        if any(s < b and a < e for a, b in taken):
-            continue
-        if any(c.isdigit() for c in m[0]) and mean_ratio(m[0], ratios) >= threshold:
-            found.append(("markov", s, e))
+        parts, at = _outside(*m.span(), taken, at)
+        found += [("markov", a, b) for a, b in parts if b - a >= 12 and mean_ratio(t[a:b], ratios) >= threshold + PER_LENGTH / (b - a)]
     return sorted(found, key=lambda x: (x[1], KINDS.index(x[0]), x[2]))
 
 
@@ -134,7 +155,7 @@ def redacted(text: str, found: list[tuple[str, int, int]]) -> str:
     return "".join([*out, text[at:]])
 
 
-def scan(docs: DataFrame, ratios: list[list[float]] | None = None, threshold: float = 0.6) -> DataFrame:
+def scan(docs: DataFrame, ratios: list[list[float]] | None = None, threshold: float = THRESHOLD) -> DataFrame:
     """docs (doc_id, text) to (doc_id, found array<struct<kind,start,end>>): one row a document, no shuffle."""
     small_batches(docs.sparkSession)
     ratios = ratios or default_ratios()
@@ -157,7 +178,7 @@ def digest(found: DataFrame) -> DataFrame:
     return found.select("doc_id", n("assign"), n("access"), n("hex"), F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("found")).alias("spans"), n("markov"))
 
 
-def redact(docs: DataFrame, ratios: list[list[float]] | None = None, threshold: float = 0.6) -> DataFrame:
+def redact(docs: DataFrame, ratios: list[list[float]] | None = None, threshold: float = THRESHOLD) -> DataFrame:
     """docs, all columns, with the secrets in text replaced by [kind] and n_chars, where there is one, counted anew. Null texts stay null."""
     small_batches(docs.sparkSession)
     ratios = ratios or default_ratios()

@@ -5,20 +5,28 @@ and signs that stand for letters inside words), the automaton finds word stems w
 their weights, phrases of the exception list cancel the hits that they cover, and
 the summed weight is normalised by the number of words. The stems and weights come
 from labelled rows: log-odds of a stem's document frequency in toxic against other
-training rows. A logistic curve over the normalised sum gives the score.
+training rows. Exceptions, besides a few given ones, are learned too: a hit with the
+word before or after it, where that is common in other rows and not in toxic ones. A
+logistic curve over the normalised sum gives the score.
 
 Nulls: a null text counts as empty; rows without a label are scored, not learned
-from; labels other than 0 and 1 are left out. Repeated rows are each scored;
-repeated texts are learned from once. Without toxic or without other training rows
-the seed lexicon and its fixed curve are used.
+from; labels other than 0 and 1 are left out. Texts are read whole; the work grows with
+their length (and its logarithm). Repeated rows are each scored; repeated texts are
+learned from once. Where several stems start at one place, that of the greatest weight
+counts, the longest of these first. Without toxic or without other training rows the
+seed lexicon and its fixed curve are used. Columns other than those named, whatever
+their names, pass through filter_toxic() and are not read by score(). An empty table
+gives no rows.
 """
 
 from __future__ import annotations
 
 import math
 import re
+from bisect import bisect_right
 from collections import Counter
 from dataclasses import dataclass, field
+from itertools import accumulate
 
 import ahocorasick
 import numpy as np
@@ -26,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import picked, saved, small_batches
+from .common import dropped, picked, saved, small_batches
 
 #: Letters of other scripts that look like Latin ones.
 HOMOGLYPHS = {
@@ -98,28 +106,34 @@ def _automaton(lexicon: Lexicon):
     return _AUTOMATA[key]
 
 
-def hits(text: str | None, lexicon: Lexicon) -> tuple[float, int, int]:
-    """Summed weight of the hits that no exception phrase covers, their number, and the number of words."""
-    folded = fold(text or "")
-    words = len(folded.split())
+def places(folded: str, lexicon: Lexicon) -> list[tuple[int, int, float]]:
+    """The hits (start, end, weight) in a folded text that no exception phrase covers, by start."""
     automaton = _automaton(lexicon)
-    if not words or not len(automaton):
-        return 0.0, 0, words
     best: dict[int, tuple[float, int]] = {}
     exempt: list[tuple[int, int]] = []
-    for end, (size, weight, is_exempt) in automaton.iter(folded):
-        start = end - size + 1
+    for last, (size, weight, is_exempt) in automaton.iter(folded) if len(automaton) else ():
+        start, end = last - size + 1, last + 1
         if start and folded[start - 1].isalnum():
             continue
-        if is_exempt and not folded[end + 1 : end + 2].isalnum():
+        if is_exempt and not folded[end : end + 1].isalnum():
             exempt.append((start, end))
-        if weight > 0:
-            at = best.get(start)
-            if at is None or weight > at[0]:
-                best[start] = (weight, end)
-    if exempt:
-        best = {s: x for s, x in best.items() if not any(a <= s and x[1] <= b for a, b in exempt)}
-    return sum(x[0] for x in best.values()), len(best), words
+        if weight > 0 and (weight, end) > best.get(start, (0.0, 0)):
+            best[start] = (weight, end)
+    found = [(s, e, w) for s, (w, e) in sorted(best.items())]
+    if exempt and found:
+        exempt.sort()
+        # the furthest end of the phrases that start at or before each
+        reach = list(accumulate((e for _, e in exempt), max))
+        starts = [s for s, _ in exempt]
+        found = [f for f in found if not (k := bisect_right(starts, f[0])) or reach[k - 1] < f[1]]
+    return found
+
+
+def hits(text: str | None, lexicon: Lexicon) -> tuple[float, int, int]:
+    """Summed weight of the hits that no exception phrase covers, their number, and the number of words."""
+    folded = fold(text or "")
+    found = places(folded, lexicon)
+    return sum(w for *_, w in found), len(found), len(folded.split())
 
 
 def score_of(weight: float, words: int, curve: tuple[float, float, float]) -> float:
@@ -142,20 +156,45 @@ def _fit_curve(rows: list[tuple[float, int, int]]) -> tuple[float, float, float]
     return tuple(float(v) for v in b)
 
 
-def learn(training: DataFrame, *, bound: int = 20_000, shortest: int = 4, longest: int = 10, least_share: float = 0.01, least_lift: float = 12.0, most_candidates: int = 20_000) -> Lexicon:
+def smallest_hashes(hashes: DataFrame, h: str, bound: int) -> int | None:
+    """The bound-th smallest of distinct 64-bit hashes, or None if there are no more than bound. Of many, a share that holds a quarter more than bound is taken first, so that few are sorted in one place."""
+    n = hashes.count()
+    if n <= bound:
+        return None
+    share = min(1.0, (1.25 * bound + 1000) / n)
+    few = hashes.where(F.col(h) <= int(-(2**63) + share * (2**64 - 1)) if share < 1 else F.lit(True))
+    return few.orderBy(h).limit(bound).agg(F.max(h)).first()[0]
+
+
+def _neighbours(folded: str, start: int, end: int) -> list[str]:
+    """The word at a hit with the word before it, and with that after it, as they stand."""
+    while end < len(folded) and folded[end].isalnum():
+        end += 1
+    before, after = re.search(r"[^\W_]+[^\w\n]{1,2}$", folded[max(0, start - 40) : start]), re.match(r"[^\w\n]{1,2}[^\W_]+", folded[end : end + 40])
+    return ([before[0] + folded[start:end]] if before else []) + ([folded[start:end] + after[0]] if after else [])
+
+
+def learn(training: DataFrame, *, bound: int = 20_000, shortest: int = 4, longest: int = 10, least_share: float = 0.01, least_lift: float = 12.0) -> Lexicon:
     """A lexicon from training (text, toxic).
 
     bound is the documented limit of labelled rows that are learned from: where more
     distinct texts are labelled, those with the smallest hashes are taken. All of the
     rest is a function of that sample: stems in at least least_share of the toxic
-    texts, whose share there is least_lift times their share in the others.
+    texts, whose share there is least_lift times their share in the others, and as
+    exceptions the phrases of three other texts that least_lift times fewer toxic ones hold.
     """
-    small_batches(training.sparkSession)
+    spark = training.sparkSession
+    small_batches(spark)
     rows = picked(training, "text", "toxic").where("text is not null and toxic in (0, 1)").withColumn("h", F.xxhash64("text"))
-    sample = saved(rows.dropDuplicates(["h"]).orderBy("h").limit(bound).select("text", "toxic"), "toxic-sample")
+    most = smallest_hashes(rows.select("h").distinct(), "h", bound)
+    rows = rows if most is None else rows.where(F.col("h") <= most)
+    # dealt out evenly: the sample is small, reading its texts is not
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    sample = saved(rows.repartition(parts, "h").groupBy("h").agg(F.first("text").alias("text"), F.min("toxic").cast("int").alias("toxic")).select("text", "toxic"), "toxic-sample")
     sizes = {int(r.toxic): int(r.n) for r in sample.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     n_pos, n_neg = sizes.get(1, 0), sizes.get(0, 0)
     if not n_pos or not n_neg:
+        dropped(spark, sample)
         return Lexicon(tuple((s, SEED_WEIGHT) for s in SEEDS), stats={"toxic": n_pos, "other": n_neg})
     least = max(3, math.ceil(least_share * n_pos))
 
@@ -168,13 +207,13 @@ def learn(training: DataFrame, *, bound: int = 20_000, shortest: int = 4, longes
             yield pa.RecordBatch.from_pydict({"stem": list(c), "n": list(c.values())}, schema=pa.schema([("stem", pa.string()), ("n", pa.int64())]))
 
     counted = sample.where("toxic = 1").select("text").mapInArrow(count, "stem string, n long").groupBy("stem").agg(F.sum("n").alias("n"))
-    pos = {r.stem: r.n for r in counted.where(F.col("n") >= least).orderBy(F.desc("n"), "stem").limit(most_candidates).collect()}
+    pos = {r.stem: r.n for r in counted.where(F.col("n") >= least).collect()}
     wanted = frozenset(pos)
     neg = {r.stem: r.n for r in sample.where("toxic = 0").select("text").mapInArrow(lambda b: count(b, wanted), "stem string, n long").groupBy("stem").agg(F.sum("n").alias("n")).collect()}
     weights: dict[str, float] = {}
     for s in sorted(pos, key=lambda s: (len(s), s)):
         p, n = pos[s] / n_pos, neg.get(s, 0) / n_neg
-        if p < least_lift * (n + 0.5 / n_neg) or pos[s] < least:
+        if p < least_lift * (n + 0.5 / n_neg):
             continue
         w = math.log((pos[s] + 0.5) / (n_pos + 1)) - math.log((neg.get(s, 0) + 0.5) / (n_neg + 1))
         # a longer stem only counts where it is clearly purer than the shorter one that it starts with
@@ -183,16 +222,29 @@ def learn(training: DataFrame, *, bound: int = 20_000, shortest: int = 4, longes
     for s in SEEDS:
         if not any(s[:k] in weights for k in range(1, len(s) + 1)):
             weights[s] = SEED_WEIGHT
-    stems = tuple(sorted(weights.items()))
-    draft = Lexicon(stems)
+    draft = Lexicon(tuple(sorted(weights.items())))
+
+    def around(batches):
+        for batch in batches:
+            c: Counter = Counter()
+            for t, toxic in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                f = fold(t)
+                c.update((p, toxic) for p in {p for s, e, _ in places(f, draft) for p in _neighbours(f, s, e)})
+            yield pa.RecordBatch.from_pydict({"phrase": [k[0] for k in c], "toxic": [k[1] for k in c], "n": list(c.values())}, schema=pa.schema([("phrase", pa.string()), ("toxic", pa.int32()), ("n", pa.int64())]))
+
+    sides = sample.mapInArrow(around, "phrase string, toxic int, n long").groupBy("phrase").agg(*[F.sum(F.when(F.col("toxic") == k, F.col("n")).otherwise(0)).alias(f"n{k}") for k in (0, 1)])
+    harmless = sides.where((F.col("n0") >= 3) & (F.col("n0") >= least_lift * F.col("n1"))).select("phrase").collect()
+    lexicon = Lexicon(draft.stems, tuple(sorted({*EXCEPTIONS, *(r.phrase for r in harmless)})))
 
     def feature(batches):
         for batch in batches:
-            got = [hits(t, draft) for t in batch.column(0).to_pylist()]
-            yield pa.RecordBatch.from_pydict({"w": [g[0] for g in got], "n": [g[2] for g in got], "toxic": batch.column(1).cast(pa.int32())}, schema=pa.schema([("w", pa.float64()), ("n", pa.int64()), ("toxic", pa.int32())]))
+            got = [hits(t, lexicon) for t in batch.column(0).to_pylist()]
+            yield pa.RecordBatch.from_pydict({"w": [g[0] for g in got], "n": [g[2] for g in got], "toxic": batch.column(1)}, schema=pa.schema([("w", pa.float64()), ("n", pa.int64()), ("toxic", pa.int32())]))
 
-    fitted = [(r.w, r.n, r.toxic) for r in sample.mapInArrow(feature, "w double, n long, toxic int").orderBy("w", "n", "toxic").collect()]
-    return Lexicon(stems, EXCEPTIONS, _fit_curve(fitted), {"toxic": n_pos, "other": n_neg})
+    # at most bound rows of three numbers
+    fitted = sorted((r.w, r.n, r.toxic) for r in sample.mapInArrow(feature, "w double, n long, toxic int").collect())
+    dropped(spark, sample)
+    return Lexicon(lexicon.stems, lexicon.exceptions, _fit_curve(fitted), {"toxic": n_pos, "other": n_neg})
 
 
 def score(docs: DataFrame, lexicon: Lexicon, threshold: float = 0.7) -> DataFrame:
