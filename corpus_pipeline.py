@@ -2,22 +2,27 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as
 Parquet and read again as the next stage's docs. All but the last return the columns
-of documents.
+of documents, and any further ones of their docs, whatever their names.
+
+Null texts and texts without words fail the quality rules; the other stages would keep
+them. A null lang or source is a group of its own. A null doc_id links with nothing and
+stays. Of rows that share a doc_id each is judged by itself by the first two stages;
+the third takes them for one document, keeps or drops them together. Of a group, the
+smallest doc_id stays. Texts are read whole, whatever their length. An empty table
+gives no rows.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from quarrymill.llm import ngram_join, packing, quality, queries, secret_scan, toxicity
-from quarrymill.llm.common import scratch_path
+from quarrymill.llm.common import dropped, saved
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that fail the fixed limits, or lie far from their language's and source's others, go."""
-    kept = quality.judge(docs).where("kept").select(F.col("doc_id").alias("_kept"))
-    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["_kept"]), "left_semi")
+    return quality.kept(docs)
 
 
 def toxicity_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -56,7 +61,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over documents, each written to the shared folder and read again."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
-        path = scratch_path(spark, "stage-" + name.replace(" ", "-"))
-        stage(spark, docs, sf_dir).write.parquet(path)
-        docs = spark.read.parquet(path)
+        before, docs = docs, saved(stage(spark, docs, sf_dir), "stage-" + name.replace(" ", "-"))
+        dropped(spark, before)
     return docs
