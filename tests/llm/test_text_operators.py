@@ -327,10 +327,10 @@ def test_matcher_against_a_plain_one(texts):
 
 
 def test_exceptions_are_learned(spark):
-    rows = [(f"you are a clown number {k}", 1) for k in range(40)] + [(f"a clown fish swims by reef {k}", 0) for k in range(10)] + [(f"nothing to see here {k}", 0) for k in range(600)]
+    rows = [(f"you are a clown number {k}", 1) for k in range(40)] + [(f"a clown nose on face {k}", 0) for k in range(10)] + [(f"nothing to see here {k}", 0) for k in range(600)]
     lex = toxicity.learn(spark.createDataFrame(rows, "text string, toxic int"))
-    assert any(s.startswith("clow") for s, _ in lex.stems) and "a clown fish" not in lex.exceptions
-    assert toxicity.hits("the clown fish", toxicity.Lexicon(lex.stems, tuple(e for e in lex.exceptions if e not in toxicity.EXCEPTIONS)))[1] == 0
+    assert any(s.startswith("clow") for s, _ in lex.stems) and "clown nose" in lex.exceptions
+    assert toxicity.hits("the clown nose", lex)[1] == 0
     assert toxicity.hits("that clown again", lex)[1] == 1
 
 
