@@ -8,9 +8,14 @@ from pyspark.sql import functions as F
 #: Grades from the most to the least secret, and which count as high.
 GRADES = ("TS", "S1", "S2", "S3")
 HIGH = ("TS", "S1")
-#: Reviewer ids that are machines.
-MACHINE_PREFIXES = ("llm_judge", "llm", "auto", "rule", "model", "bot", "system")
-MACHINE_NAMES = ("", "none", "null", "n/a", "na", "unknown", "tbd", "todo", "test", "system", "admin", "auto", "model", "llm", "ai", "bot")
+#: How the reviewer ids of machines start.
+MACHINE_PREFIXES = ("llm_judge", "ai_assist", "codex", "model", "machine", "public_gold", "auto")
+#: Reviewer ids that name nobody.
+PLACEHOLDERS = ("", "human", "reviewer", "tbd", "-", "n/a", "na", "system", "ai", "ai_assist", "claude", "unknown", "none", "auto", "bot", "llm")
+#: The tiers, the label sources of the legal floor, and those of candidates.
+TIERS = ("locked_gold_eval", "legal_floor", "gold_candidate", "silver_train")
+LEGAL_SOURCES = ("public_definitive", "koipa_case_based", "nkt_designated", "codex_review")
+CANDIDATE_SOURCES = ("rule_llm_agreement",)
 #: Older factor codes and the ones that stand for them.
 FACTORS = {"NON_PUBLICITY": "SECRECY", "ECONOMIC_VALUE": "VALUE", "LEAK_IMPACT": "VALUE", "MANAGEMENT_LEVEL": "MANAGEMENT"}
 
@@ -55,7 +60,7 @@ def is_human(reviewer: Column | str) -> Column:
 
 def is_machine_strict(reviewer: Column | str) -> Column:
     r = F.lower(F.trim(F.coalesce(col(reviewer), F.lit(""))))
-    return r.isin(*MACHINE_NAMES) | r.contains("assist") | r.rlike("^(ai|llm|gpt|claude|bot|auto)[_-]")
+    return r.isin(*PLACEHOLDERS) | r.contains("assist") | r.rlike("^(ai|llm|gpt|claude|bot|auto)[_-]")
 
 
 def admissible(reviewer: Column | str, status: Column | str) -> Column:
@@ -64,8 +69,14 @@ def admissible(reviewer: Column | str, status: Column | str) -> Column:
 
 
 def tier(label_source: Column | str, reviewer: Column | str, review_status: Column | str) -> Column:
-    """locked for human-reviewed rows, legal_floor for rows labelled by law, else silver."""
-    return F.when(is_human(reviewer) & col(review_status).isin("confirmed", "corrected"), "locked").when(col(label_source) == "legal", "legal_floor").otherwise("silver")
+    """locked for labels that a human signed, the legal floor for those of legal sources, candidates that passed the automatic gate, silver for the rest. The label's source comes first."""
+    source = col(label_source)
+    return (
+        F.when((source == "human_review") & is_human(reviewer), TIERS[0])
+        .when(source.isin(*LEGAL_SOURCES), TIERS[1])
+        .when(source.isin(*CANDIDATE_SOURCES) | (col(review_status) == "gold_candidate"), TIERS[2])
+        .otherwise(TIERS[3])
+    )
 
 
 def folded_factor(code: Column | str) -> Column:

@@ -2,39 +2,101 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .grades import col
 
 #: Personal-data patterns, in the order in which they are applied, and their marks.
 PII = (
-    ("rrn", r"\b\d{6}-[1-4]\d{6}\b", "[RRN]"),
-    ("frn", r"\b\d{6}-[5-8]\d{6}\b", "[FRN]"),
-    ("corp_reg", r"\b\d{6}-\d{7}\b", "[CORP]"),
-    ("credit_card", r"\b\d{4}[- ]\d{4}[- ]\d{4}[- ]\d{4}\b", "[CARD]"),
-    ("phone_mobile", r"\b01[016789][- ]?\d{3,4}[- ]?\d{4}\b", "[PHONE]"),
-    ("phone_land", r"\b0(?:2|[3-6][1-5])[- ]\d{3,4}[- ]\d{4}\b", "[PHONE]"),
+    ("rrn", r"(?<!\d)\d{6}[- ]?[1-4]\d{6}(?!\d)", "[RRN]"),
+    ("frn", r"(?<!\d)\d{6}[- ]?[5-8]\d{6}(?!\d)", "[FRN]"),
+    ("corp_reg", r"(?<!\d)\d{6}-\d{7}(?!\d)", "[CORPNO]"),
+    ("credit_card", r"\b(?:\d{4}[- ]?){3}\d{4}\b", "[CARD]"),
+    ("phone_mobile", r"\b01[016789]-?\d{3,4}-?\d{4}\b", "[PHONE]"),
+    ("phone_land", r"\b0(?:2|3[1-3]|4[1-4]|5[1-5]|6[1-4])-\d{3,4}-\d{4}\b", "[PHONE]"),
     ("email", r"\b[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}\b", "[EMAIL]"),
-    ("passport", r"\b[MSRODG]\d{8}\b", "[PASSPORT]"),
-    ("ipv4", r"\b(?:\d{1,3}\.){3}\d{1,3}\b", "[IP]"),
-    ("employee", r"\bEMP[- ]?\d{4,8}\b", "[EMP]"),
+    ("passport_kr", r"\b[MHS]\d{8}\b", "[PASSPORT]"),
+    ("ipv4", r"(?<!\d)(?:(?:25[0-5]|2[0-4]\d|[01]?\d\d?)\.){3}(?:25[0-5]|2[0-4]\d|[01]?\d\d?)(?!\d)", "[IP]"),
+    ("employee_id", r"\b(?:사번|직원번호|EMP|emp)[\s:#]*\d{5,10}\b", "[EMP]"),
 )
-BUSINESS = r"\b\d{3}[- ]\d{2}[- ]\d{5}\b"
+#: Business numbers with a separator (those without need a fitting check digit), and the weights of the first nine digits.
+BUSINESS = r"(?<!\d)(?:\d{3}[- ]\d{2}[- ]?\d{5}|\d{5}[- ]\d{5})(?!\d)"
+BUSINESS_WEIGHTS = (1, 3, 7, 1, 3, 7, 1, 3, 5)
+#: Numbers with units, led by up to 14 characters, and quoted phrases.
+BODY_NUMBER = r"[가-힣A-Za-z][가-힣A-Za-z·\s]{0,12}?\s?\d{1,4}(?:[.,]\d+)?\s?(?:%|nm|fps|ms|μm|GHz|MHz|kW|W|V|℃|배|억원|억|만원|만|건|개월|분기|차)"
+BODY_QUOTE = r"[「『\"']([가-힣A-Za-z0-9][^「『\"'」』]{1,28})[」』\"']"
 ENTITIES = (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", " "), ("&amp;", "&"))
 
 
-def mask_pii(text: Column | str, skip: tuple[str, ...] = ()) -> tuple[Column, dict[str, Column]]:
-    """(masked text, counts by kind): each pattern is counted on what the ones before it left."""
-    t = col(text)
-    counts = {}
-    for kind, pattern, mark in PII:
-        if kind in skip:
-            continue
-        counts[kind] = F.regexp_count(t, F.lit(pattern))
-        t = F.regexp_replace(t, pattern, mark)
-    counts["biz_no"] = F.regexp_count(t, F.lit(BUSINESS))
-    return F.regexp_replace(t, BUSINESS, "[BIZNO]"), counts
+def business_number_ok(digits: Column) -> Column:
+    """Whether ten digits end in the check digit: the weighted sum, plus the tens of five times the ninth digit."""
+    d = [F.substring(digits, k + 1, F.lit(1)).cast("int") for k in range(10)]
+    total = sum((d[k] * w for k, w in enumerate(BUSINESS_WEIGHTS)), F.lit(0)) + F.floor(d[8] * 5 / 10).cast("int")
+    return F.pmod(10 - total % 10, F.lit(10)) == d[9]
+
+
+def _bare_business(text: Column) -> Column:
+    """The distinct runs of exactly ten digits that are business numbers."""
+    return F.array_distinct(F.filter(F.regexp_extract_all(text, F.lit(r"([0-9]+)"), F.lit(1)), lambda x: (F.length(x) == 10) & business_number_ok(x)))
+
+
+def mask_pii(df: DataFrame, column: str, skip: tuple[str, ...] = (), extra: tuple[tuple[str, str, str], ...] = ()) -> DataFrame:
+    """df with masked, the text with personal data replaced by marks, and the numbers of marks put in by kind: each pattern works on what the ones before it left.
+
+    Each step is a column of its own, so that Catalyst doesn't repeat the steps before
+    it, and numbers are counted by how many marks are there more. Texts without a digit
+    or an @ skip all of it. Null texts give an empty text. extra: further patterns.
+    """
+    t = F.col(f"`{column}`")
+    out = df.withColumn("_masked", F.when(t.rlike("[0-9@]"), t))
+    marks = lambda c, mark: (F.length(c) - F.length(F.replace(c, F.lit(mark), F.lit("")))) / len(mark)
+    steps = [(k, lambda c, p=p, m=m: F.regexp_replace(c, "(?U)" + p, m), m) for k, p, m in (*PII, *extra) if k not in skip]
+    bare = lambda c: F.aggregate(_bare_business(c), c, lambda s, n: F.regexp_replace(s, F.concat(F.lit("(?<![0-9])"), n, F.lit("(?![0-9])")), F.lit("[BIZNO]")))
+    steps.append(("business_no", lambda c: bare(F.regexp_replace(c, "(?U)" + BUSINESS, "[BIZNO]")), "[BIZNO]"))
+    for kind, step, mark in steps:
+        before = F.col("_masked")
+        out = out.withColumn("_next", step(before))
+        out = out.withColumn(kind, F.coalesce(marks(F.col("_next"), mark) - marks(before, mark), F.lit(0)).cast("int")).drop("_masked").withColumnRenamed("_next", "_masked")
+    return out.withColumn("masked", F.coalesce("_masked", t, F.lit(""))).drop("_masked")
+
+
+def body_facts(text: Column | str, most: int = 3, least: int = 3) -> Column:
+    """Numbers with units, then quoted phrases, of a text without its first line (or of a text of one line), distinct in order, the first most."""
+    t = F.coalesce(col(text), F.lit(""))
+    body = F.when(F.contains(t, F.lit("\n")), F.substring(t, F.instr(t, "\n") + 1, F.length(t))).otherwise(t)
+    numbers = F.regexp_extract_all(body, F.lit(f"(?U)({BODY_NUMBER})"), F.lit(1))
+    quotes = F.transform(F.regexp_extract_all(body, F.lit("(?U)" + BODY_QUOTE), F.lit(1)), lambda x: F.regexp_replace(x, r"(?U)\s+$", ""))
+    return F.slice(F.array_distinct(F.filter(F.concat(numbers, quotes), lambda x: F.length(x) >= least)), 1, most)
+
+
+def required_tokens(text: Column | str, spans: Column, basis: Column, domain: Column, most: int = 4, least: int = 2) -> Column:
+    """array<struct<token, source>> of what a rewording must keep: the evidence spans (array<struct<start, end>>, from 0, end exclusive), then body facts, then the keyword of a basis TS-kw:..., and the domain only where there is nothing else; the first of each token, at most most.
+
+    A span that isn't within the text is left out. A token is a span's text up to the
+    first line end or one of . ; : 。, at most 40 characters, cut at a blank.
+    """
+    t = F.coalesce(col(text), F.lit(""))
+    entry = lambda token, source: F.struct(token.alias("token"), source.alias("source"))
+    strip = lambda x: F.regexp_replace(x, r"(?U)^\s+|\s+$", "")
+
+    def evidence(span):
+        part = strip(F.regexp_extract(strip(F.substring(t, span["start"] + 1, span["end"] - span["start"])), r"^[^\n。.;:]*", 0))
+        part = F.when(F.length(part) > 40, strip(F.regexp_replace(F.substring(part, 1, 40), " [^ ]*$", ""))).otherwise(part)
+        return entry(part, F.when(span["start"] == 0, "evidence@0").otherwise("evidence@N"))
+
+    within = F.filter(F.coalesce(spans, F.array().cast("array<struct<start:int,end:int>>")), lambda x: (x["start"] >= 0) & (x["start"] < x["end"]) & (x["end"] <= F.length(t)))
+    found = F.filter(F.transform(within, evidence), lambda x: F.length(x["token"]) >= least)
+    facts = F.transform(body_facts(t), lambda x: entry(x, F.lit("body_fact")))
+    keyword = F.regexp_extract(F.coalesce(basis, F.lit("")), r"(?U)TS-kw:([^:|\s]+)", 1)
+    none = F.array().cast("array<struct<token:string,source:string>>")
+    known = F.concat(found, facts, F.when(keyword != "", F.array(entry(keyword, F.lit("ts_kw")))).otherwise(none))
+    d = F.trim(F.coalesce(domain, F.lit("")))
+    fallback = F.when((F.length(d) >= least) & ~F.lower(d).isin("mixed", "?", "unknown"), F.array(entry(d, F.lit("domain")))).otherwise(none)
+    every = F.when(F.size(known) > 0, known).otherwise(fallback)
+    tokens = F.transform(every, lambda x: x["token"])
+    first = F.filter(every, lambda x, i: F.array_position(tokens, x["token"]) == i + 1)
+    return F.slice(first, 1, most)
 
 
 def text_key(text: Column | str, mode: str = "strip", lower: bool = False) -> Column:
@@ -118,7 +180,11 @@ def token_estimate(text: Column | str) -> Column:
     return F.greatest(F.lit(1), F.floor(F.length(F.coalesce(col(text), F.lit(""))) / 4).cast("int"))
 
 
-def facts_kept(text: Column | str, facts: Column, negations: tuple[str, ...] = (" not ", " no ", " never ")) -> Column:
+#: What negates a fact close to it.
+NEGATIONS = ("아니", "아닌", "않", "없", "미해당", "해당 없", "해당없", "비해당", "제외", "not ", "n't", "no ", "non-", "없음")
+
+
+def facts_kept(text: Column | str, facts: Column, negations: tuple[str, ...] = NEGATIONS) -> Column:
     """missing, negated (a negation within 20 characters of a fact's first occurrence) and admitted."""
     t = col(text)
     missing = F.filter(facts, lambda f: F.instr(t, f) == 0)

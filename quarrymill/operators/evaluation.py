@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -103,12 +105,53 @@ def drift(spark: SparkSession, base: DataFrame, now: DataFrame, column: str, bin
 
 
 def bootstrap_interval(df: DataFrame, value: Column, rounds: int = 200) -> DataFrame:
-    """The mean with its 2.5 and 97.5 percentiles over Poisson resamples. Weights come from a hash of row id and round, so no row is replicated across the cluster; sums are partial."""
-    r = F.explode(F.sequence(F.lit(0), F.lit(rounds - 1)))
-    u = (F.pmod(F.xxhash64("id", "r"), F.lit(1 << 30)) / F.lit(float(1 << 30))).alias("u")
-    drawn = df.select(F.col("id"), value.cast("double").alias("v")).select("id", "v", r.alias("r")).select("r", "v", u)
-    cdf = [0.36787944117144233, 0.7357588823428847, 0.9196986029286058, 0.9810118431238462, 0.9963401531726563, 0.9994058151824183]
-    w = sum((F.when(F.col("u") > c, 1).otherwise(0) for c in cdf), F.lit(0))
-    means = drawn.groupBy("r").agg(F.try_divide(F.sum(F.col("v") * w), F.sum(w)).alias("m"))
-    ranked = means.agg(F.sort_array(F.collect_list("m")).alias("s"))
-    return ranked.select(F.get("s", F.lit(int(0.025 * rounds))).alias("low"), F.get("s", F.lit(int(0.975 * rounds))).alias("high"))
+    """The mean of value (nulls aside) with its 2.5 and 97.5 percentiles over Poisson resamples of df (id, ...): (n, mean, low, high).
+
+    A row's weight in a round comes from a hash of its id and the round. Each Arrow batch
+    gives one sum a round, so no row is repeated for the rounds.
+    """
+    cdf = np.array([0.36787944117144233, 0.7357588823428847, 0.9196986029286058, 0.9810118431238462, 0.9963401531726563, 0.9994058151824183])
+
+    def sums(batches):
+        for batch in batches:
+            h, v = batch.column(0).to_numpy().view(np.uint64)[:, None], batch.column(1).to_numpy()
+            z = h + (np.arange(rounds, dtype=np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
+            z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+            z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+            w = np.searchsorted(cdf, ((z ^ (z >> np.uint64(31))) >> np.uint64(11)) / float(1 << 53))
+            yield pa.RecordBatch.from_pydict({"r": np.arange(rounds), "w": w.sum(axis=0).astype(float), "wv": (w * v[:, None]).sum(axis=0), "n": np.full(rounds, len(v)), "total": np.full(rounds, v.sum())})
+
+    rows = df.select(F.xxhash64("id").alias("h"), value.cast("double").alias("v")).where("v is not null")
+    means = rows.mapInArrow(sums, "r long, w double, wv double, n long, total double").groupBy("r").agg(F.try_divide(F.sum("wv"), F.sum("w")).alias("m"), F.sum("n").alias("n"), F.sum("total").alias("total"))
+    one = means.agg(F.first("n").alias("n"), F.first("total").alias("total"), F.sort_array(F.collect_list("m")).alias("s"))
+    return one.select(F.coalesce("n", F.lit(0)).alias("n"), F.try_divide("total", "n").alias("mean"), F.get("s", F.lit(int(0.025 * rounds))).alias("low"), F.get("s", F.lit(int(0.975 * rounds))).alias("high"))
+
+
+def kill_gate(high_misses: Column, daily: Column, overturn_rate: Column, capacity: int, multiplier: float = 1.5, least_misses: int = 1, most_overturned: float = 0.30) -> Column:
+    """struct<tripped, reasons>: whether automatic confirmation stops, for missed high grades, more corrections a day than reviewers can bear, or too many overturned. A limit of 0 or less turns its test off."""
+    tests = (("high_grade_miss", (high_misses >= least_misses) & F.lit(least_misses > 0)), ("fatigue", (daily >= capacity * multiplier) & F.lit(capacity > 0)), ("overturn_rate", (overturn_rate >= most_overturned) & F.lit(most_overturned > 0)))
+    reasons = F.array_compact(F.array(*[F.when(t, n) for n, t in tests]))
+    return F.struct((F.size(reasons) > 0).alias("tripped"), reasons.alias("reasons"))
+
+
+def deploy_gate(high_fnr: Column, f1: Column, top_share: Column, base_high_fnr: Column, base_f1: Column, anchor_fails: Column | None = None, fnr_tolerance: float = 0.02, f1_tolerance: float = 0.05, first_high_fnr: float | None = None) -> Column:
+    """struct<passed, failed>: whether a candidate goes out. Fails where one prediction takes nearly all rows, where the high grades' miss rate is unknown, where it or f1 is worse than the base's by more than is tolerated, where a first model (no base) misses more than first_high_fnr, and where the anchor rows' cards of high grades fail. Unknown shares and bases skip their tests."""
+    known = base_high_fnr.isNotNull() | base_f1.isNotNull()
+    tests = [
+        ("degenerate", top_share >= 0.99),
+        ("fnr_high_present", high_fnr.isNull()),
+        ("fnr_high_regression", high_fnr > base_high_fnr + fnr_tolerance),
+        ("f1_regression", f1 < base_f1 - f1_tolerance),
+    ]
+    if first_high_fnr is not None:
+        tests.append(("first_deploy_fnr_floor", ~known & (high_fnr > first_high_fnr)))
+    if anchor_fails is not None:
+        tests.append(("anchor_high_grade_miss", anchor_fails > 0))
+    failed = F.array_compact(F.array(*[F.when(t, n) for n, t in tests]))
+    return F.struct((F.size(failed) == 0).alias("passed"), failed.alias("failed"))
+
+
+def rollback_need(base_high_fnr: Column, live_high_fnr: Column, samples: Column, least_samples: int = 20, tolerance: float = 0.10) -> Column:
+    """struct<rollback, reason>: an active model whose live miss rate of high grades exceeds its own at registration by more than tolerance goes back; without a base or enough rows nothing happens."""
+    reason = F.when(base_high_fnr.isNull(), "no_baseline").when(samples.isNull() | (samples < least_samples), "insufficient_live_data").when(live_high_fnr > base_high_fnr + tolerance, "regressed").otherwise("within_tolerance")
+    return F.struct((reason == "regressed").alias("rollback"), reason.alias("reason"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quarrymill.functions import grades, stats, text
@@ -51,11 +51,50 @@ def majority(votes: DataFrame, item: str, vote: str) -> DataFrame:
     return g.select(item, "label", (F.col("top") / F.col("n")).alias("self_consistency"), "n")
 
 
-def consensus(rule: Column, judge: Column, agreement: Column, evidence: Column, production: Column) -> Column:
-    """struct<reasons, priority>: why a row needs review, in fixed order, and its priority (100, 10, 5, 2 and 1 for each)."""
-    tests = (("ts_downgrade", (rule == "TS") & (grades.order(judge) > 1), 100), ("no_evidence", ~evidence, 10), ("disagree", rule != judge, 5), ("low_agreement", agreement < 0.6, 2), ("production_suspect", production & (grades.order(judge) <= 2), 1))
-    reasons = F.array_compact(F.array(*[F.when(t, n) for n, t, _ in tests]))
-    return F.struct(reasons.alias("reasons"), reduce(lambda a, b: a + b, [F.when(t, w).otherwise(0) for _, t, w in tests]).alias("priority"))
+def consensus(rule: Column, judge: Column, self_consistency: Column, evidence: Column, shadow: Column | None = None, airgap: Column | bool = False, confidence: Column | float = 0.0, least_consistency: float = 0.67, require_evidence: bool = True) -> Column:
+    """struct<status, label_source, review_status, is_gold, flags, priority>: whether rule and judge agree well enough for a gold candidate; confidence only orders the reviews.
+
+    The first reason that holds gives the status: a voice (rule, judge, shadow) is a high
+    grade and the judge's is less secret; no evidence; the grades differ; few of the
+    judge's samples agree; a high grade without a second judge (airgap); the shadow, where
+    there is one, differs from the judge.
+    """
+    lit = lambda x: x if isinstance(x, Column) else F.lit(x)
+    shadow = F.lit(None).cast("string") if shadow is None else shadow
+    high, rank = judge.isin(*grades.HIGH), grades.order(judge)
+    lowered = reduce(lambda a, b: a | b, [F.coalesce(v.isin(*grades.HIGH) & (grades.order(v) < rank), F.lit(False)) for v in (rule, judge, shadow)])
+    suspect = shadow.isNotNull() & ~shadow.eqNullSafe(judge)
+    low, lonely, bare = self_consistency < least_consistency, lit(airgap) & high, ~evidence
+    reason = F.when(lowered, "ts_downgrade")
+    for name, test in (("no_evidence", bare & F.lit(require_evidence)), ("disagree", ~rule.eqNullSafe(judge)), ("low_agreement", low), ("airgap_upper", lonely), ("production_suspect", suspect)):
+        reason = reason.when(test, name)
+    flags = (("ts_downgrade_suspect", lowered), ("production_suspect", suspect), ("low_agreement", low), ("no_evidence", bare), ("airgap_upper", lonely))
+    weight = lambda test, w: F.when(test, w).otherwise(0.0)
+    priority = weight(lowered, 100.0) + weight(high, 10.0) + weight(suspect, 5.0) + 2.0 * (1.0 - self_consistency) + (1.0 - lit(confidence))
+    passed = reason.isNull()
+    return F.struct(
+        F.when(passed, "gold_candidate").otherwise(F.concat(F.lit("needs_review_"), reason)).alias("status"),
+        F.when(passed, "rule_llm_agreement").otherwise("needs_review").alias("label_source"),
+        F.when(passed, "gold_candidate").otherwise("needs_review").alias("review_status"),
+        passed.alias("is_gold"),
+        F.array_compact(F.array(*[F.when(t, n) for n, t in flags])).alias("flags"),
+        priority.alias("priority"),
+    )
+
+
+#: The grade that a marking stands for, and the least secret grade that goes with a restricted scope.
+MARKINGS = {"top_secret": "TS", "secret": "S1", "confidential": "S2"}
+SCOPES = {"approved_only": "S1", "designated": "S2", "department": "S2"}
+
+
+def metadata_floor(grade: Column, marking: Column, scope: Column) -> Column:
+    """struct<grade, raised, conflict>: a marking raises a less secret grade to its own; without one, a restricted scope and a grade less secret than goes with it are a conflict. Nothing is lowered."""
+    known = lambda values, key: F.element_at(F.create_map(*[F.lit(x) for kv in values.items() for x in kv]), key)
+    m, s = (F.lower(F.trim(F.coalesce(x, F.lit("")))) for x in (marking, scope))
+    floor, least = known(MARKINGS, m), known(SCOPES, s)
+    raised = F.coalesce(grades.order(floor) < grades.order(grade), F.lit(False)) & floor.isNotNull()
+    conflict = m.isin("", "none") & least.isNotNull() & (grades.order(grade) > grades.order(least))
+    return F.struct(F.when(raised, floor).otherwise(grade).alias("grade"), raised.alias("raised"), F.coalesce(conflict, F.lit(False)).alias("conflict"))
 
 
 def chunk_probabilities(chunks: DataFrame, item: str, weight: str, grade_columns: list[str]) -> DataFrame:
@@ -111,7 +150,3 @@ def reused_label(rows: DataFrame, key: str, source_priority: dict[str, int]) ->
     order = F.create_map(*[x for k, v in source_priority.items() for x in (F.lit(k), F.lit(v))])
     p = F.coalesce(F.try_element_at(order, F.col("label_source")), F.lit(99))
     return rows.groupBy(key).agg(F.min_by(F.struct("doc_id", "label", "label_source"), F.struct(p, F.col("doc_id"))).alias("r")).select(key, "r.*")
-
-
-def window_rank(order: list[Column]) -> Column:
-    return F.row_number().over(Window.orderBy(*order))

@@ -58,24 +58,48 @@ def txt03_quality(spark, d):
     return docs(spark, d).select("doc_id", F.sha1(normal).alias("lines_sha1"), F.round(text.quality_score("text", normal), 9).alias("quality"))
 
 
-_MASKS = [(k, p.replace("(?:", "(?:"), m) for k, p, m in text.PII]
-_MASKED, _STEPS = "coalesce(text, '')", []
-for _k, _p, _m in _MASKS:
-    _STEPS.append(f"len(regexp_extract_all({_MASKED}, '{_p}')) AS {_k}")
-    _MASKED = f"regexp_replace({_MASKED}, '{_p}', '{_m}', 'g')"
-
-
-@query(f"WITH s0 AS (SELECT doc_id, coalesce(text, '') AS t FROM documents)" + "".join(f", s{i + 1} AS (SELECT * EXCLUDE (t), len(regexp_extract_all(t, '{p}')) AS {k}, regexp_replace(t, '{p}', '{m}', 'g') AS t FROM s{i})" for i, (k, p, m) in enumerate(_MASKS)) + f" SELECT doc_id, {', '.join(f'CAST({k} AS INT) AS {k}' for k, _, _ in _MASKS)}, CAST(len(regexp_extract_all(t, '{text.BUSINESS}')) AS INT) AS biz_no, sha1(regexp_replace(t, '{text.BUSINESS}', '[BIZNO]', 'g')) AS masked_sha1 FROM s{len(_MASKS)}")
+#: (kind, pattern, mark, whether the pattern stands between characters that are no digits)
+_MASKS = (
+    ("rrn", r"\d{6}[- ]?[1-4]\d{6}", "[RRN]", True),
+    ("frn", r"\d{6}[- ]?[5-8]\d{6}", "[FRN]", True),
+    ("corp_reg", r"\d{6}-\d{7}", "[CORPNO]", True),
+    ("credit_card", r"\b(?:\d{4}[- ]?){3}\d{4}\b", "[CARD]", False),
+    ("phone_mobile", r"\b01[016789]-?\d{3,4}-?\d{4}\b", "[PHONE]", False),
+    ("phone_land", r"\b0(?:2|3[1-3]|4[1-4]|5[1-5]|6[1-4])-\d{3,4}-\d{4}\b", "[PHONE]", False),
+    ("email", r"\b[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}\b", "[EMAIL]", False),
+    ("passport_kr", r"\b[MHS]\d{8}\b", "[PASSPORT]", False),
+    ("ipv4", r"(?:(?:25[0-5]|2[0-4]\d|[01]?\d\d?)\.){3}(?:25[0-5]|2[0-4]\d|[01]?\d\d?)", "[IP]", True),
+    ("employee_id", r"\b(?:사번|직원번호|EMP|emp)[\s:#]*\d{5,10}\b", "[EMP]", False),
+    ("_separated", r"(?:\d{3}[- ]\d{2}[- ]?\d{5}|\d{5}[- ]\d{5})", "[BIZNO]", True),
+)
+
+
+def _masked_sql(t, pattern, mark, apart):
+    """Twice where the characters around are read too, as two matches can share one."""
+    if not apart:
+        return f"regexp_replace({t}, '{pattern}', '{mark}', 'g')"
+    once = "regexp_replace({}, '(^|\\D)" + pattern.replace("{", "{{").replace("}", "}}") + "(\\D|$)', '\\1" + mark + "\\2', 'g')"
+    return once.format(once.format(t))
+
+
+_MARKS = "((length({0}) - length(replace({0}, '{1}', ''))) // {2})"
+_OK = "(10 - (" + " + ".join(f"substr(x, {k + 1}, 1)::INT * {w}" for k, w in enumerate((1, 3, 7, 1, 3, 7, 1, 3, 5))) + " + substr(x, 9, 1)::INT * 5 // 10) % 10) % 10 = substr(x, 10, 1)::INT"
+_BARE = f"list_distinct(list_filter(regexp_extract_all(t, '\\d+'), lambda x: length(x) = 10 AND CASE WHEN length(x) = 10 THEN {_OK} ELSE FALSE END))"
+
+
+@query("WITH s0 AS (SELECT doc_id, coalesce(text, '') AS t FROM documents)" + "".join(f", s{i + 1} AS (SELECT * EXCLUDE (t, u), u AS t, {_MARKS.format('u', m, len(m))} - {_MARKS.format('t', m, len(m))} AS {k} FROM (SELECT *, {_masked_sql('t', p, m, a)} AS u FROM s{i}))" for i, (k, p, m, a) in enumerate(_MASKS)) + f""", b AS (SELECT * EXCLUDE (t), t, CASE WHEN len({_BARE}) = 0 THEN t ELSE list_reduce(list_concat([t], list_concat({_BARE}, {_BARE})), lambda s, x: regexp_replace(s, '(^|\\D)' || x || '(\\D|$)', '\\1[BIZNO]\\2', 'g')) END AS u FROM s{len(_MASKS)})
+SELECT doc_id, {', '.join(f'CAST({k} AS INT) AS {k}' for k, *_ in _MASKS[:-1])}, CAST(_separated + {_MARKS.format('u', '[BIZNO]', 7)} - {_MARKS.format('t', '[BIZNO]', 7)} AS INT) AS business_no, sha1(u) AS masked_sha1 FROM b""")
 def txt04_mask_pii(spark, d):
-    """TXT-04, TXT-20: each pattern counted on what the ones before it left."""
-    masked, counts = text.mask_pii(F.coalesce("text", F.lit("")))
-    return docs(spark, d).select("doc_id", *[c.alias(k) for k, c in counts.items()], F.sha1(masked).alias("masked_sha1"))
+    """TXT-04, TXT-05, TXT-20: each pattern counted on what the ones before it left; bare ten-digit business numbers only if their check digit fits."""
+    out = text.mask_pii(docs(spark, d).select("doc_id", "text"), "text")
+    return out.select("doc_id", *[k for k, *_ in text.PII], "business_no", F.sha1("masked").alias("masked_sha1"))
 
 
-@query()
+@query(f"SELECT doc_id, CAST({_OK} AS INT) AS ok FROM (SELECT doc_id, lpad((doc_id * 7919)::VARCHAR, 10, '1208100000') AS x FROM documents)")
 def txt05_business_numbers(spark, d):
-    """TXT-05: bare ten-digit numbers are masked only if their check digit fits."""
-    return docs_for_python(spark, d).select("doc_id", F.sha1(arrow.mask_business_numbers("text")).alias("masked_sha1"))
+    """TXT-05: the check digit of a ten-digit number."""
+    n = F.lpad((F.col("doc_id") * 7919).cast("string"), 10, "1208100000")
+    return docs(spark, d).select("doc_id", text.business_number_ok(n).cast("int").alias("ok"))
 
 
 @query(r"SELECT doc_id, sha1(regexp_replace(coalesce(text, ''), '[ \t\r\n\f\x0B]+', '', 'g')) AS strip_key, sha1(lower(trim(regexp_replace(coalesce(text, ''), '[ \t\r\n\f\x0B]+', ' ', 'g')))) AS collapse_key FROM documents")
@@ -97,19 +121,52 @@ def txt10_keyword_counts(spark, d):
     return docs(spark, d).select("doc_id", text.occurrences("text", "the").alias("n_the"), s["start"].cast("long").alias("start"), s["end"].cast("long").alias("end"))
 
 
-@query(r"""SELECT doc_id, coalesce(array_to_string(list_slice(list_distinct_ordered, 1, 3), '|'), '') AS facts FROM (SELECT doc_id, list_filter(f, lambda x, i: list_position(f, x) = i) AS list_distinct_ordered FROM (SELECT doc_id, regexp_extract_all(text, '[0-9]+(?:\.[0-9]+)? ?(?:%|kg|km|mm|EUR|USD|days)') AS f FROM documents))""")
+_BODY = "CASE WHEN contains(coalesce(text, ''), chr(10)) THEN substr(text, instr(text, chr(10)) + 1) ELSE coalesce(text, '') END"
+_FACTS = f"""list_concat(regexp_extract_all({_BODY}, '[가-힣A-Za-z][가-힣A-Za-z·\s]{{0,12}}?\s?\d{{1,4}}(?:[.,]\d+)?\s?(?:%|nm|fps|ms|μm|GHz|MHz|kW|W|V|℃|배|억원|억|만원|만|건|개월|분기|차)'),
+list_transform(regexp_extract_all({_BODY}, '[「『"''"'']([가-힣A-Za-z0-9][^「『"''」』]{{1,28}})[」』"'']', 1), lambda q: regexp_replace(q, '\s+$', '')))"""
+_DISTINCT = "list_filter({0}, lambda y, i: list_position({0}, y) = i)"
+_FACT_ROWS = f"SELECT doc_id, lang, text, list_slice({_DISTINCT.format('f')}, 1, 3) AS facts FROM (SELECT doc_id, lang, coalesce(text, '') AS text, list_filter({_FACTS}, lambda v: length(v) >= 3) AS f FROM documents)"
+
+
+@query(f"SELECT doc_id, array_to_string(facts, '|') AS facts FROM ({_FACT_ROWS})")
 def txt12_body_facts(spark, d):
-    """TXT-12: numbers with units, distinct in order, the first three (the operator's limit)."""
-    f = F.array_distinct(F.regexp_extract_all("text", F.lit(r"([0-9]+(?:\.[0-9]+)? ?(?:%|kg|km|mm|EUR|USD|days))"), F.lit(1)))
-    return docs(spark, d).select("doc_id", F.array_join(F.slice(f, 1, 3), "|").alias("facts"))
+    """TXT-12: numbers with units and quoted phrases, distinct in order, the first three (the operator's limit)."""
+    return docs(spark, d).select("doc_id", F.array_join(text.body_facts("text"), "|").alias("facts"))
+
+
+_PART = r"trim(regexp_extract(trim(substr(text, a + 1, b - a), E' \t\n\r'), '^[^\n。.;:]*'), E' \t\n\r')"
+_REQUIRED = rf"""WITH s AS (SELECT doc_id, unnest([0, 5]) AS a, unnest([60, 90]) AS b, text FROM documents), e AS (SELECT doc_id, a, {_PART} AS p FROM s WHERE b <= length(text)),
+c AS (SELECT doc_id, a, CASE WHEN length(p) > 40 THEN trim(regexp_replace(substr(p, 1, 40), ' [^ ]*$', ''), E' \t\n\r') ELSE p END AS p FROM e),
+ev AS (SELECT doc_id, list({{'token': p, 'source': CASE WHEN a = 0 THEN 'evidence@0' ELSE 'evidence@N' END}} ORDER BY a) AS ev FROM c WHERE length(p) >= 2 GROUP BY doc_id),
+k AS (SELECT f.doc_id, list_concat(list_concat(coalesce(ev, []), list_transform(facts, lambda v: {{'token': v, 'source': 'body_fact'}})), CASE WHEN f.doc_id % 5 = 0 THEN [{{'token': 'key' || lang, 'source': 'ts_kw'}}] ELSE [] END) AS k, lang FROM ({_FACT_ROWS}) f LEFT JOIN ev ON f.doc_id = ev.doc_id),
+q AS (SELECT doc_id, CASE WHEN len(k) > 0 THEN k WHEN length(lang) >= 2 THEN [{{'token': lang, 'source': 'domain'}}] ELSE [] END AS k FROM k),
+r AS (SELECT doc_id, list_slice(list_filter(k, lambda y, i: list_position(list_transform(k, lambda z: z.token), y.token) = i), 1, 4) AS k FROM q)"""
+
+
+def _required(spark, d):
+    spans = F.array(*[F.struct(F.lit(a).alias("start"), F.lit(b).alias("end")) for a, b in ((0, 60), (5, 90))])
+    basis = F.when(F.col("doc_id") % 5 == 0, F.concat(F.lit("TS-kw:key"), "lang"))
+    return docs(spark, d).select("doc_id", F.coalesce("text", F.lit("")).alias("text"), text.required_tokens("text", spans, basis, F.col("lang")).alias("k"))
 
 
-@query("""WITH f AS (SELECT doc_id, text, unnest(['the', 'and', 'zzz']) AS f FROM documents), g AS (SELECT doc_id, f, instr(text, f) AS pos, substr(text, greatest(instr(text, f) - 20, 1)::BIGINT, least(instr(text, f) - 1, 20)::BIGINT + length(f) + 20) AS near FROM f)
-SELECT doc_id, count(*) FILTER (WHERE pos = 0)::INT AS missing, count(*) FILTER (WHERE pos > 0 AND (contains(near, ' not ') OR contains(near, ' no ') OR contains(near, ' never ')))::INT AS negated FROM g GROUP BY doc_id""")
+@query(_REQUIRED + " SELECT doc_id, array_to_string(list_transform(k, lambda z: z.source || '=' || z.token), '|') AS required FROM r")
+def txt13_required_tokens(spark, d):
+    """TXT-13: evidence, then facts, then a keyword, else the domain; four at most (the operator's limit)."""
+    return _required(spark, d).select("doc_id", F.array_join(F.transform("k", lambda x: F.concat(x["source"], F.lit("="), x["token"])), "|").alias("required"))
+
+
+_NEGATED = " OR ".join("contains(near, '" + n.replace("'", "''") + "')" for n in ("아니", "아닌", "않", "없", "미해당", "해당 없", "해당없", "비해당", "제외", "not ", "n't", "no ", "non-", "없음"))
+
+
+@query(_REQUIRED + f""", t AS (SELECT r.doc_id, reverse(coalesce(text, '')) AS text, unnest(list_transform(k, lambda z: z.token)) AS f FROM r JOIN documents USING (doc_id) WHERE r.doc_id % 2 = 1 UNION ALL SELECT r.doc_id, coalesce(text, ''), unnest(list_transform(k, lambda z: z.token)) FROM r JOIN documents USING (doc_id) WHERE r.doc_id % 2 = 0),
+g AS (SELECT doc_id, f, instr(text, f) AS pos, substr(text, greatest(instr(text, f) - 20, 1)::BIGINT, least(instr(text, f) - 1, 20)::BIGINT + length(f) + 20) AS near FROM t)
+SELECT doc_id, count(*) FILTER (WHERE pos = 0)::INT AS missing, count(*) FILTER (WHERE pos > 0 AND ({_NEGATED}))::INT AS negated, count(*) FILTER (WHERE pos = 0) = 0 AND count(*) FILTER (WHERE pos > 0 AND ({_NEGATED})) = 0 AS admitted FROM g GROUP BY doc_id""")
 def txt14_facts_kept(spark, d):
-    """TXT-13, TXT-14."""
-    k = text.facts_kept("text", F.array(F.lit("the"), F.lit("and"), F.lit("zzz")))
-    return docs(spark, d).select("doc_id", F.size(k["missing"]).alias("missing"), F.size(k["negated"]).alias("negated"))
+    """TXT-14: whether the required tokens of a document are still there, and not negated, in a text made of it (here itself, or for odd ids its reverse)."""
+    r = _required(spark, d)
+    made = F.when(F.col("doc_id") % 2 == 1, F.reverse("text")).otherwise(F.col("text"))
+    k = text.facts_kept(made, F.transform("k", lambda x: x["token"]))
+    return r.where(F.size("k") > 0).select("doc_id", k.alias("r")).select("doc_id", F.size("r.missing").alias("missing"), F.size("r.negated").alias("negated"), "r.admitted")
 
 
 @query(r"""WITH c AS (SELECT conv_id, turn, list_transform(regexp_extract_all(text || ' [3] [1] [3] [12]', '\[([0-9]{1,9})\]', 1), lambda x: x::INT) AS f FROM conversations)
@@ -314,12 +371,17 @@ def ir17_citation_f1(spark, d):
     return rounded(c.select("conv_id", p.alias("precision"), r.alias("recall"), stats.ratio(2 * p * r, p + r).alias("f1"), (b > 0).alias("grounded"), (b < F.size("c")).alias("hallucination_risk")), "precision", "recall", "f1")
 
 
-@query("SELECT conv_id, string_agg('[' || (turn + 1) || '] ' || role || ' ' || substr(text, 1, 100), chr(10) ORDER BY turn) FILTER (WHERE turn < 5) AS prompt FROM conversations GROUP BY conv_id")
+_HIT = "SELECT *, ((turn * 37 + conv_id) % 100) / 100.0::DOUBLE AS score, trim(regexp_replace(coalesce(text, ''), '\s+', ' ', 'g')) AS t FROM conversations"
+
+
+@query(f"WITH h AS (SELECT conv_id, turn, role, score, substr(t, 1, 1000) AS t, row_number() OVER (PARTITION BY conv_id ORDER BY score DESC, turn) AS n FROM ({_HIT})) SELECT conv_id, string_agg('[' || n || '] ' || role || ' (' || printf('%.3f', score) || ') ' || t, chr(10) ORDER BY n) AS prompt FROM h WHERE n <= 5 GROUP BY conv_id")
 def ir19_prompt(spark, d):
-    """IR-19: the first five hits, a snippet of each."""
-    line = F.concat(F.lit("["), (F.col("turn") + 1).cast("string"), F.lit("] "), "role", F.lit(" "), F.substring("text", 1, 100))
-    g = read(spark, d, "conversations").where("turn < 5").groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", line.alias("l")))).alias("s"))
-    return g.select("conv_id", F.array_join(F.transform("s", lambda x: x["l"]), "\n").alias("prompt"))
+    """IR-19: the five best hits by score, with white space run together, 1,000 characters of each (the operator's limits)."""
+    score = ((F.col("turn") * 37 + F.col("conv_id")) % 100) / F.lit(100.0)
+    t = F.substring(F.trim(F.regexp_replace(F.coalesce("text", F.lit("")), r"\s+", " ")), 1, 1000)
+    hit = F.struct((-score).alias("m"), "turn", F.concat("role", F.lit(" ("), F.format_string("%.3f", score), F.lit(") "), t).alias("l"))
+    g = read(spark, d, "conversations").groupBy("conv_id").agg(F.slice(F.sort_array(F.collect_list(hit)), 1, 5).alias("s"))
+    return g.select("conv_id", F.array_join(F.transform("s", lambda x, i: F.concat(F.lit("["), (i + 1).cast("string"), F.lit("] "), x["l"])), "\n").alias("prompt"))
 
 
 @query(r"SELECT DISTINCT regexp_replace(CASE WHEN turn % 2 = 0 THEN conv_id || ':c' || turn ELSE conv_id || '-c' || turn END, '[-:]c[0-9]+$', '') AS base_id FROM conversations")
@@ -370,12 +432,32 @@ def lab05_votes(spark, d):
     return rounded(lb.majority(v, "doc_id", "vote"), "self_consistency")
 
 
-@query(f"""SELECT doc_id, array_to_string(list_filter([CASE WHEN label = 'TS' AND {_P} > 1 THEN 'ts_downgrade' END, CASE WHEN NOT contains(text, 'the') THEN 'no_evidence' END, CASE WHEN label <> pred THEN 'disagree' END, CASE WHEN confidence < 0.6 THEN 'low_agreement' END, CASE WHEN source = 'src0' AND {_P} <= 2 THEN 'production_suspect' END], lambda x: x IS NOT NULL), ',') AS reasons,
-CASE WHEN label = 'TS' AND {_P} > 1 THEN 100 ELSE 0 END + CASE WHEN NOT contains(text, 'the') THEN 10 ELSE 0 END + CASE WHEN label <> pred THEN 5 ELSE 0 END + CASE WHEN confidence < 0.6 THEN 2 ELSE 0 END + CASE WHEN source = 'src0' AND {_P} <= 2 THEN 1 ELSE 0 END AS priority FROM ({PRED})""")
+_SHADOW = "CASE WHEN doc_id % 3 = 0 THEN ['TS', 'S1', 'S2', 'S3'][doc_id % 4 + 1] END"
+
+
+@query(f"""WITH b AS (SELECT doc_id, label AS rule, pred AS judge, confidence AS agreed, contains(text, 'the') AS evidence, {_SHADOW} AS shadow, doc_id % 6 = 0 AS airgap, (n_chars % 100) / 100.0::DOUBLE AS c, {_P} AS rank FROM ({PRED})),
+t AS (SELECT *, (rule IN ('TS', 'S1') AND {ORDER_SQL.format('rule')} < rank) OR coalesce(shadow IN ('TS', 'S1') AND {ORDER_SQL.format('shadow')} < rank, FALSE) AS lowered, coalesce(shadow <> judge, FALSE) AS suspect, agreed < 0.67 AS low, airgap AND rank <= 2 AS lonely FROM b),
+r AS (SELECT *, CASE WHEN lowered THEN 'ts_downgrade' WHEN NOT evidence THEN 'no_evidence' WHEN rule <> judge THEN 'disagree' WHEN low THEN 'low_agreement' WHEN lonely THEN 'airgap_upper' WHEN suspect THEN 'production_suspect' END AS reason FROM t)
+SELECT doc_id, CASE WHEN reason IS NULL THEN 'gold_candidate' ELSE 'needs_review_' || reason END AS status, CASE WHEN reason IS NULL THEN 'rule_llm_agreement' ELSE 'needs_review' END AS label_source, reason IS NULL AS is_gold,
+array_to_string(list_filter([CASE WHEN lowered THEN 'ts_downgrade_suspect' END, CASE WHEN suspect THEN 'production_suspect' END, CASE WHEN low THEN 'low_agreement' END, CASE WHEN NOT evidence THEN 'no_evidence' END, CASE WHEN lonely THEN 'airgap_upper' END], lambda x: x IS NOT NULL), ',') AS flags,
+round(CASE WHEN lowered THEN 100 ELSE 0 END + CASE WHEN rank <= 2 THEN 10 ELSE 0 END + CASE WHEN suspect THEN 5 ELSE 0 END + 2 * (1 - agreed) + (1 - c), 9) AS priority FROM r""")
 def lab06_consensus(spark, d):
     """LAB-06, SRT-04."""
-    c = lb.consensus(F.col("label"), F.col("pred"), F.col("confidence"), F.contains("text", F.lit("the")), F.col("source") == "src0")
-    return predictions(spark, d).select("doc_id", c.alias("c")).select("doc_id", F.array_join("c.reasons", ",").alias("reasons"), "c.priority")
+    i = F.col("doc_id")
+    shadow = F.when(i % 3 == 0, F.element_at(F.array(*[F.lit(g) for g in grades.GRADES]), (i % 4 + 1).cast("int")))
+    c = lb.consensus(F.col("label"), F.col("pred"), F.col("confidence"), F.contains("text", F.lit("the")), shadow, i % 6 == 0, (F.col("n_chars") % 100) / F.lit(100.0))
+    out = predictions(spark, d).select("doc_id", c.alias("c"))
+    return rounded(out.select("doc_id", "c.status", "c.label_source", "c.is_gold", F.array_join("c.flags", ",").alias("flags"), "c.priority"), "priority")
+
+
+@query(f"""WITH m AS (SELECT doc_id, pred, ['top_secret', 'secret', 'confidential', 'none', ''][doc_id % 5 + 1] AS marking, ['approved_only', 'designated', 'department', 'all'][doc_id % 4 + 1] AS scope FROM ({PRED})),
+f AS (SELECT *, CASE marking WHEN 'top_secret' THEN 'TS' WHEN 'secret' THEN 'S1' WHEN 'confidential' THEN 'S2' END AS floor FROM m)
+SELECT doc_id, CASE WHEN floor IS NOT NULL AND {ORDER_SQL.format('floor')} < {_P} THEN floor ELSE pred END AS grade, floor IS NOT NULL AND {ORDER_SQL.format('floor')} < {_P} AS raised, marking IN ('', 'none') AND CASE scope WHEN 'approved_only' THEN {_P} > 2 WHEN 'designated' THEN {_P} > 3 WHEN 'department' THEN {_P} > 3 ELSE FALSE END AS conflict FROM f""")
+def inf06_metadata_floor(spark, d):
+    """INF-06: markings raise a grade; a restricted scope with a low grade is a conflict."""
+    at = lambda values, n: F.element_at(F.array(*[F.lit(v) for v in values]), (F.col("doc_id") % n + 1).cast("int"))
+    m = lb.metadata_floor(F.col("pred"), at(("Top_Secret", " secret", "confidential", "none", ""), 5), at(("approved_only", "designated", "department", "all"), 4))
+    return predictions(spark, d).select("doc_id", m.alias("m")).select("doc_id", "m.grade", "m.raised", "m.conflict")
 
 
 _PROBS = "SELECT conv_id, length(text) AS w, ((turn * 37 + conv_id) % 100) / 100.0::DOUBLE AS p_ts, ((turn * 17 + conv_id) % 100) / 200.0::DOUBLE AS p_s1, ((turn * 7) % 100) / 100.0::DOUBLE AS p_s2 FROM conversations"

@@ -191,7 +191,7 @@ def evl03_per_class(spark, d):
 @query(f"""SELECT round(sum(tp) / sum(support)::DOUBLE, 9) AS accuracy, round(avg(p), 9) AS macro_precision, round(avg(r), 9) AS macro_recall, round(avg(CASE WHEN p + r = 0 THEN 0 ELSE 2 * p * r / (p + r) END), 9) AS macro_f1,
 round(avg(f) FILTER (WHERE grade IN ('TS', 'S1')), 9) AS high_fnr FROM ({_PRF})""")
 def evl03_overall(spark, d):
-    """EVL-03, GAT-02."""
+    """EVL-03."""
     return rounded(ev.overall(ev.per_class(ev.confusion(predictions(spark, d)))), "accuracy", "macro_precision", "macro_recall", "macro_f1", "high_fnr")
 
 
@@ -251,7 +251,7 @@ def evl09_calibration(spark, d):
 
 @query()
 def evl10_bootstrap(spark, d):
-    """EVL-10, MSC-16, MSC-17: percentile bootstrap of accuracy; resampled by hash, so no SQL twin."""
+    """EVL-10: percentile bootstrap of accuracy; resampled by hash, so no SQL twin."""
     p = predictions(spark, d).select(F.col("doc_id").alias("id"), (F.col("label") == F.col("pred")).alias("hit"))
     return ev.bootstrap_interval(p, F.col("hit"))
 
@@ -312,24 +312,65 @@ def evl17_trust_tiers(spark, d):
     return rounded(predictions(spark, d).groupBy(trust.alias("trust")).agg(F.count("*").alias("n"), F.avg((F.col("label") == F.col("pred")).cast("double")).alias("agreement"), F.avg("confidence").alias("confidence")), "agreement", "confidence")
 
 
-@query(f"""WITH o AS (SELECT {_DIV.format('sum(under)', 'sum(support)')} AS fnr, avg(CASE WHEN p + r = 0 THEN 0 ELSE 2 * p * r / (p + r) END) AS f1 FROM ({_PRF}) ), m AS (SELECT max(c) / sum(c)::DOUBLE AS top FROM (SELECT pred, count(*) AS c FROM ({PRED}) GROUP BY pred))
-SELECT round(fnr, 9) AS fnr, round(f1, 9) AS f1, top >= 0.99 AS degenerate, fnr <= 0.10 + 0.02 AS fnr_ok, f1 >= 0.60 - 0.05 AS f1_ok, top < 0.99 AND fnr <= 0.10 + 0.02 AND f1 >= 0.60 - 0.05 AS deploy FROM o, m""")
+_GATE = f"""WITH c AS (SELECT doc_id % 3 AS part, label, pred FROM ({PRED})), g AS (SELECT part, grade FROM (SELECT DISTINCT part FROM c), (SELECT unnest(['TS', 'S1', 'S2', 'S3']) AS grade)),
+k AS (SELECT g.part, g.grade, count(*) FILTER (WHERE label = g.grade) AS support, count(*) FILTER (WHERE pred = g.grade) AS predicted, count(*) FILTER (WHERE label = g.grade AND pred = g.grade) AS tp, count(*) FILTER (WHERE label = g.grade AND {ORDER_SQL.format('pred')} > {ORDER_SQL.format('label')}) AS under FROM g JOIN c ON g.part = c.part GROUP BY 1, 2),
+f AS (SELECT *, CASE WHEN support = 0 THEN 0 ELSE under / support::DOUBLE END AS fnr, CASE WHEN predicted + support = 0 OR tp = 0 THEN 0 ELSE 2.0::DOUBLE * tp / (predicted + support) END AS f1 FROM k),
+m AS (SELECT part, avg(fnr) FILTER (WHERE grade IN ('TS', 'S1')) AS fnr, avg(f1) AS f1, max(predicted) / sum(predicted)::DOUBLE AS top, sum(support) AS n FROM f GROUP BY part)"""
+
+
+def _parts(spark, d):
+    """The high grades' miss rate, f1 and commonest prediction of three parts of the predictions, as three models' measurements."""
+    p = predictions(spark, d).withColumn("part", F.col("doc_id") % 3)
+    t, q = grades.order("label"), grades.order("pred")
+    g = p.select("part", t.alias("t"), q.alias("q"), F.explode(F.array(*[F.lit(k) for k in (1, 2, 3, 4)])).alias("g")).groupBy("part", "g").agg(F.count_if(F.col("t") == F.col("g")).alias("support"), F.count_if(F.col("q") == F.col("g")).alias("predicted"), F.count_if((F.col("t") == F.col("g")) & (F.col("q") == F.col("g"))).alias("tp"), F.count_if((F.col("t") == F.col("g")) & (F.col("q") > F.col("t"))).alias("under"))
+    f1 = stats.ratio(2.0 * F.col("tp"), F.col("predicted") + F.col("support"))
+    return g.groupBy("part").agg(F.avg(F.when(F.col("g") <= 2, stats.ratio(F.col("under"), F.col("support")))).alias("fnr"), F.avg(f1).alias("f1"), stats.ratio(F.max("predicted"), F.sum("predicted")).alias("top"), F.sum("support").alias("n"))
+
+
+@query(_GATE + """, x AS (SELECT m.part, m.fnr, m.f1, m.top, b.fnr AS bfnr, b.f1 AS bf1 FROM m LEFT JOIN m b ON b.part = m.part - 1)
+SELECT part, round(fnr, 9) AS fnr, round(f1, 9) AS f1, array_to_string(list_filter([CASE WHEN top >= 0.99 THEN 'degenerate' END, CASE WHEN fnr IS NULL THEN 'fnr_high_present' END, CASE WHEN fnr > bfnr + 0.02 THEN 'fnr_high_regression' END, CASE WHEN f1 < bf1 - 0.05 THEN 'f1_regression' END, CASE WHEN bfnr IS NULL AND fnr > 0.1 THEN 'first_deploy_fnr_floor' END, CASE WHEN part = 2 THEN 'anchor_high_grade_miss' END], lambda v: v IS NOT NULL), ',') AS failed FROM x""")
 def gat01_deploy_gate(spark, d):
-    """GAT-01, GAT-06: a model goes out only if it isn't degenerate and neither misses more nor scores worse than the base allows."""
-    p = predictions(spark, d)
-    o = ev.per_class(ev.confusion(p)).agg(stats.ratio(F.sum("under"), F.sum("support")).alias("fnr"), F.avg("f1").alias("f1"))
-    m = p.groupBy("pred").agg(F.count("*").alias("c")).agg(stats.ratio(F.max("c"), F.sum("c")).alias("top"))
-    out = o.crossJoin(m).select("fnr", "f1", (F.col("top") >= 0.99).alias("degenerate"), (F.col("fnr") <= F.lit(0.10) + 0.02).alias("fnr_ok"), (F.col("f1") >= F.lit(0.60) - 0.05).alias("f1_ok"))
-    return rounded(out.withColumn("deploy", ~F.col("degenerate") & F.col("fnr_ok") & F.col("f1_ok")), "fnr", "f1")
+    """GAT-01: each part against the one before it as its base; the first has none, the last fails on its anchor rows."""
+    m = _parts(spark, d)
+    base = m.select((F.col("part") + 1).alias("part"), F.col("fnr").alias("bfnr"), F.col("f1").alias("bf1"))
+    g = ev.deploy_gate(F.col("fnr"), F.col("f1"), F.col("top"), F.col("bfnr"), F.col("bf1"), F.when(F.col("part") == 2, 1).otherwise(0), first_high_fnr=0.1)
+    return rounded(m.join(base, "part", "left").select("part", "fnr", "f1", F.array_join(g["failed"], ",").alias("failed")), "fnr", "f1")
+
+
+@query(_GATE + """ SELECT part, CASE WHEN part = 0 THEN 'no_baseline' WHEN n < 20 THEN 'insufficient_live_data' WHEN fnr > 0.2 / part + 0.1 THEN 'regressed' ELSE 'within_tolerance' END AS reason, part <> 0 AND n >= 20 AND fnr > 0.2 / part + 0.1 AS rollback FROM m""")
+def gat02_rollback_need(spark, d):
+    """GAT-02: live miss rates of the high grades against those at registration; the first part has none."""
+    base = F.when(F.col("part") > 0, F.lit(0.2) / F.col("part"))
+    r = ev.rollback_need(base, F.col("fnr"), F.col("n"))
+    return _parts(spark, d).select("part", r.alias("r")).select("part", "r.reason", "r.rollback")
 
 
-@query(f"""SELECT CAST(date_trunc('day', corrected_at) AS DATE) AS day, count(*) AS n, count(*) FILTER (WHERE k.corrected_level < c.level) AS missed, count(*) >= 2 AND count(*) FILTER (WHERE k.corrected_level <> c.level) / count(*)::DOUBLE >= 0.30 AND count(*) >= 5 AS kill
+@query(f"""SELECT CAST(date_trunc('day', corrected_at) AS DATE) AS day, count(*) AS n, count(*) FILTER (WHERE k.corrected_level <= 2 AND k.corrected_level < c.level) AS missed,
+array_to_string(list_filter([CASE WHEN count(*) FILTER (WHERE k.corrected_level <= 2 AND k.corrected_level < c.level) >= 1 THEN 'high_grade_miss' END, CASE WHEN count(*) >= 20 * 1.5 THEN 'fatigue' END, CASE WHEN count(*) FILTER (WHERE k.corrected_level <> c.level) / count(*)::DOUBLE >= 0.30 THEN 'overturn_rate' END], lambda v: v IS NOT NULL), ',') AS reasons
 FROM ({CORRECTIONS}) k JOIN ({CLASSIFICATIONS}) c ON k.classification_id = c.classification_id GROUP BY 1""")
 def gat04_kill_gate(spark, d):
-    """GAT-04: by day, misses and whether the share of overturned predictions stops automatic confirmation."""
+    """GAT-04: by day, what stops automatic confirmation: missed high grades, more corrections than reviewers can bear, too many overturned."""
     k = corrections(spark, d).join(classifications(spark, d).select("classification_id", "level"), "classification_id")
-    n, turned = F.count("*"), F.count_if(F.col("corrected_level") != F.col("level"))
-    return k.groupBy(F.date_trunc("day", "corrected_at").cast("date").alias("day")).agg(n.alias("n"), F.count_if(F.col("corrected_level") < F.col("level")).alias("missed"), ((stats.ratio(turned, n) >= 0.30) & (n >= 5)).alias("kill"))
+    missed = F.count_if((F.col("corrected_level") <= 2) & (F.col("corrected_level") < F.col("level")))
+    g = k.groupBy(F.date_trunc("day", "corrected_at").cast("date").alias("day")).agg(F.count("*").alias("n"), missed.alias("missed"), F.count_if(F.col("corrected_level") != F.col("level")).alias("turned"))
+    gate = ev.kill_gate(F.col("missed"), F.col("n"), stats.ratio(F.col("turned"), F.col("n")), 20)
+    return g.select("day", "n", "missed", F.array_join(gate["reasons"], ",").alias("reasons"))
+
+
+@query()
+def msc16_public_false_positives(spark, d):
+    """MSC-16: of public documents that no training text equals, the share predicted secret, with its bootstrap interval."""
+    p = predictions(spark, d)
+    train = p.where("not source in ('src7', 'src12')").select(text.text_key("text").alias("key")).distinct()
+    clean = p.where("source in ('src7', 'src12')").withColumn("key", text.text_key("text")).join(train, "key", "left_anti")
+    return ev.bootstrap_interval(clean.select(F.col("doc_id").alias("id"), "pred"), (F.col("pred") != "S3"))
+
+
+@query()
+def msc17_high_grade_recall(spark, d):
+    """MSC-17: the share of documents of high grades that are predicted to have one, with its bootstrap interval."""
+    p = predictions(spark, d).where(grades.is_high("label"))
+    return ev.bootstrap_interval(p.select(F.col("doc_id").alias("id"), "pred"), grades.is_high("pred"))
 
 
 _KPIS = [("latency", "le", 60.0), ("cost", "lt", 12.0), ("success", "ge", 0.85), ("calls", "gt", 100.0), ("missing", "ge", 1.0)]

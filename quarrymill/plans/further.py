@@ -33,11 +33,12 @@ def prj08_real_evidence(spark, d):
     return c.select("conv_id", F.exists("m", lambda x: x["start"].isNull()).alias("real_evidence"), F.size(F.filter("m", lambda x: x["start"].isNull())).cast("long").alias("n_real"))
 
 
-@query(f"SELECT CASE WHEN source IN ('src1', 'src2') THEN 'locked' WHEN source IN ('src3', 'src4') THEN 'legal_floor' ELSE 'silver' END AS tier, count(*) AS n, count(*) FILTER (WHERE source NOT IN ('src1', 'src2')) AS n_train FROM ({GOLD}) GROUP BY 1")
+@query(f"SELECT CASE WHEN source IN ('src1', 'src2') THEN 'locked_gold_eval' WHEN source IN ('src3', 'src4') THEN 'legal_floor' WHEN source = 'src5' THEN 'gold_candidate' ELSE 'silver_train' END AS tier, count(*) AS n, count(*) FILTER (WHERE source NOT IN ('src1', 'src2')) AS n_train FROM ({GOLD}) GROUP BY 1")
 def spl05_tiers(spark, d):
     """SPL-05: rows by tier; all but the locked ones train."""
-    t = F.when(F.col("source").isin("src1", "src2"), "locked").when(F.col("source").isin("src3", "src4"), "legal_floor").otherwise("silver")
-    return gold(spark, d).select(t.alias("tier")).groupBy("tier").agg(F.count("*").alias("n"), F.count_if(F.col("tier") != "locked").alias("n_train"))
+    source = F.when(F.col("source").isin("src1", "src2"), "human_review").when(F.col("source").isin("src3", "src4"), "public_definitive").when(F.col("source") == "src5", "rule_llm_agreement").otherwise("llm_judge_a")
+    t = gold(spark, d).select(grades.tier(source, F.lit("kim"), F.lit("needs_review")).alias("tier"))
+    return t.groupBy("tier").agg(F.count("*").alias("n"), F.count_if(F.col("tier") != "locked_gold_eval").alias("n_train"))
 
 
 @query("SELECT conv_id, round(0.5 + 0.5 * avg(least(1.0::DOUBLE, abs(length(text) / 500.0::DOUBLE - 1))), 9) AS confidence FROM conversations GROUP BY conv_id")

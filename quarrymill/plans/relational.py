@@ -114,33 +114,33 @@ def prj02_metadata_filter(spark, d):
     return read(spark, d, "events").where((F.col("event_type") == "click") & (F.get_json_object("props", "$.k") == "7")).select("event_id")
 
 
-_REVIEWER = "CASE user_id % 4 WHEN 0 THEN 'llm_judge_' || user_id WHEN 1 THEN ' ' WHEN 2 THEN 'AI-' || user_id ELSE 'u' || user_id END"
-
-
 def _reviewed(spark, d):
-    r = F.when(F.col("user_id") % 4 == 0, F.concat(F.lit("llm_judge_"), "user_id")).when(F.col("user_id") % 4 == 1, " ").when(F.col("user_id") % 4 == 2, F.concat(F.lit("AI-"), "user_id")).otherwise(F.concat(F.lit("u"), "user_id"))
+    sources = F.array(*[F.lit(x) for x in ("human_review", "public_definitive", "koipa_case_based", "nkt_designated", "codex_review", "rule_llm_agreement", "llm_judge_a")])
+    names = F.array(*[F.lit(x) for x in ("LLM_judge_1", " ", "AI-2", "codex_1", " Claude", "kim", "lee", "n/a", "reviewer", "Model x", "aiden", "review_assist")])
+    r = F.element_at(names, (F.col("user_id") % 12 + 1).cast("int"))
     status = F.when(F.col("event_type") == "signup", "confirmed").when(F.col("event_type") == "purchase", "corrected").otherwise("open")
-    return read(spark, d, "events").select("event_id", r.alias("reviewer"), status.alias("status"), F.when(F.col("event_type") == "error", "legal").otherwise("model").alias("label_source"))
+    return read(spark, d, "events").select("event_id", r.alias("reviewer"), status.alias("status"), F.element_at(sources, (F.col("event_id") % 7 + 1).cast("int")).alias("label_source"), F.when(F.col("event_id") % 11 == 0, "gold_candidate").otherwise("needs_review").alias("review_status"))
 
 
-_REVIEWED = f"SELECT event_id, {_REVIEWER} AS reviewer, CASE event_type WHEN 'signup' THEN 'confirmed' WHEN 'purchase' THEN 'corrected' ELSE 'open' END AS status, CASE WHEN event_type = 'error' THEN 'legal' ELSE 'model' END AS label_source FROM events"
-_HUMAN = "(trim(reviewer) <> '' AND NOT regexp_matches(lower(trim(reviewer)), '^(llm_judge|llm|auto|rule|model|bot|system)'))"
-_STRICT = "(lower(trim(reviewer)) IN ('', 'none', 'null', 'n/a', 'na', 'unknown', 'tbd', 'todo', 'test', 'system', 'admin', 'auto', 'model', 'llm', 'ai', 'bot') OR contains(lower(reviewer), 'assist') OR regexp_matches(lower(trim(reviewer)), '^(ai|llm|gpt|claude|bot|auto)[_-]'))"
+_REVIEWED = """SELECT event_id, ['LLM_judge_1', ' ', 'AI-2', 'codex_1', ' Claude', 'kim', 'lee', 'n/a', 'reviewer', 'Model x', 'aiden', 'review_assist'][user_id % 12 + 1] AS reviewer, CASE event_type WHEN 'signup' THEN 'confirmed' WHEN 'purchase' THEN 'corrected' ELSE 'open' END AS status,
+['human_review', 'public_definitive', 'koipa_case_based', 'nkt_designated', 'codex_review', 'rule_llm_agreement', 'llm_judge_a'][event_id % 7 + 1] AS label_source, CASE WHEN event_id % 11 = 0 THEN 'gold_candidate' ELSE 'needs_review' END AS review_status FROM events"""
+_HUMAN = "(trim(reviewer) <> '' AND NOT regexp_matches(lower(trim(reviewer)), '^(llm_judge|ai_assist|codex|model|machine|public_gold|auto)'))"
+_STRICT = "(lower(trim(reviewer)) IN ('', 'human', 'reviewer', 'tbd', '-', 'n/a', 'na', 'system', 'ai', 'ai_assist', 'claude', 'unknown', 'none', 'auto', 'bot', 'llm') OR contains(lower(reviewer), 'assist') OR regexp_matches(lower(trim(reviewer)), '^(ai|llm|gpt|claude|bot|auto)[_-]'))"
+_TIER = f"CASE WHEN label_source = 'human_review' AND {_HUMAN} THEN 'locked_gold_eval' WHEN label_source IN ('public_definitive', 'koipa_case_based', 'nkt_designated', 'codex_review') THEN 'legal_floor' WHEN label_source = 'rule_llm_agreement' OR review_status = 'gold_candidate' THEN 'gold_candidate' ELSE 'silver_train' END"
 
 
-@query(f"""SELECT event_id, {_HUMAN} AS human, {_STRICT} AS machine, {_HUMAN} AND status IN ('confirmed', 'corrected') AS admitted,
-CASE WHEN {_HUMAN} AND status IN ('confirmed', 'corrected') THEN 'locked' WHEN label_source = 'legal' THEN 'legal_floor' ELSE 'silver' END AS tier FROM ({_REVIEWED})""")
+@query(f"""SELECT event_id, {_HUMAN} AS human, {_STRICT} AS machine, {_HUMAN} AND status IN ('confirmed', 'corrected') AS admitted, {_TIER} AS tier FROM ({_REVIEWED})""")
 def prj03_reviewers_and_tiers(spark, d):
     """PRJ-03, 04, 05, 06."""
-    return _reviewed(spark, d).select("event_id", grades.is_human("reviewer").alias("human"), grades.is_machine_strict("reviewer").alias("machine"), grades.admissible("reviewer", "status").alias("admitted"), grades.tier("label_source", "reviewer", "status").alias("tier"))
+    return _reviewed(spark, d).select("event_id", grades.is_human("reviewer").alias("human"), grades.is_machine_strict("reviewer").alias("machine"), grades.admissible("reviewer", "status").alias("admitted"), grades.tier("label_source", "reviewer", "review_status").alias("tier"))
 
 
-@query(f"""WITH t AS (SELECT event_id, CASE WHEN {_HUMAN} AND status IN ('confirmed', 'corrected') THEN 'locked' WHEN label_source = 'legal' THEN 'legal_floor' ELSE 'silver' END AS tier FROM ({_REVIEWED})),
-u AS (SELECT CASE WHEN count(*) FILTER (WHERE tier = 'locked') > 0 THEN 'locked' ELSE 'legal_floor' END AS used FROM t) SELECT event_id, tier AS tier_used FROM t, u WHERE tier = used""")
+@query(f"""WITH t AS (SELECT event_id, {_TIER} AS tier FROM ({_REVIEWED})),
+u AS (SELECT CASE WHEN count(*) FILTER (WHERE tier = 'locked_gold_eval') > 0 THEN 'locked_gold_eval' ELSE 'legal_floor' END AS used FROM t) SELECT event_id, tier AS tier_used FROM t, u WHERE tier = used""")
 def prj07_eval_fallback(spark, d):
     """PRJ-07: locked rows if there are any, else the legal floor."""
-    t = _reviewed(spark, d).select("event_id", grades.tier("label_source", "reviewer", "status").alias("tier"))
-    used = t.agg(F.when(F.count_if(F.col("tier") == "locked") > 0, "locked").otherwise("legal_floor").alias("used"))
+    t = _reviewed(spark, d).select("event_id", grades.tier("label_source", "reviewer", "review_status").alias("tier"))
+    used = t.agg(F.when(F.count_if(F.col("tier") == "locked_gold_eval") > 0, "locked_gold_eval").otherwise("legal_floor").alias("used"))
     return t.join(F.broadcast(used), t["tier"] == used["used"]).select("event_id", F.col("tier").alias("tier_used"))
 
 

@@ -64,7 +64,7 @@ def str07_job_states(spark, d):
     return jobs.job_states(read(spark, d, "events").select(F.col("user_id").alias("job"), F.col("event_type").alias("status"), "ts", "event_id"))
 
 
-@query("SELECT event_type, le, count(*) AS n FROM (SELECT event_type, value / 10 AS v FROM events), (SELECT unnest([0.05, 0.1, 0.25, 0.5, 1.0, 2.5, 5.0, 10.0, 'inf'::DOUBLE])::DOUBLE AS le) WHERE v <= le GROUP BY 1, 2")
+@query("SELECT event_type, le, count(*) AS n FROM (SELECT event_type, value / 10 AS v FROM events), (SELECT unnest([0.005, 0.01, 0.025, 0.05, 0.1, 0.25, 0.5, 1.0, 2.5, 5.0, 10.0, 30.0, 60.0, 'inf'::DOUBLE])::DOUBLE AS le) WHERE v <= le GROUP BY 1, 2")
 def snk06_histogram(spark, d):
     """SNK-06: cumulative latency buckets."""
     return writers.histogram(read(spark, d, "events").select("event_type", (F.col("value") / 10).alias("v")), "v", "event_type")

@@ -38,22 +38,104 @@ def test_direction_and_tiers(spark):
     assert one(spark, grades.is_human(F.lit(" LLM_judge_1")), grades.is_human(F.lit("kim")), grades.is_machine_strict(F.lit("gpt-4"))) == (False, True, True)
 
 
-@pytest.mark.parametrize(("raw", "masked", "kind"), [("901231-1234567", "[RRN]", "rrn"), ("a@b.co c@d.org", "[EMAIL] [EMAIL]", "email"), ("010-1234-5678", "[PHONE]", "phone_mobile"), ("02-123-4567", "[PHONE]", "phone_land"), ("123-45-67890", "[BIZNO]", "biz_no")])
-def test_mask(spark, raw, masked, kind):
-    t, counts = text.mask_pii(F.lit(raw))
-    r = one(spark, t.alias("t"), counts[kind].alias("n"))
-    assert r.t == masked and r.n == raw.count("@") or r.n == 1
-
-
-def test_mask_can_skip_a_kind(spark):
-    t, counts = text.mask_pii(F.lit("EMP12345"), skip=("employee",))
-    assert one(spark, t)[0] == "EMP12345" and "employee" not in counts
-
-
-def test_business_number_check_digit():
-    assert arrow.business_number_ok("1208147521") == (arrow.masked_business_numbers("1208147521") == "[BIZNO]")
-    good = next(f"12081{k:05d}" for k in range(10) if arrow.business_number_ok(f"12081{k:05d}"))
-    assert arrow.masked_business_numbers(f"no {good}.") == "no [BIZNO]."
+MASKS = [
+    ("901231-1234567", "[RRN]", "rrn"), ("9012311234567", "[RRN]", "rrn"), ("901231 5234567", "[FRN]", "frn"), ("110111-9234567", "[CORPNO]", "corp_reg"), ("1234-5678-9012-3456", "[CARD]", "credit_card"), ("1234567890123456", "[CARD]", "credit_card"),
+    ("a@b.co c@d.org", "[EMAIL] [EMAIL]", "email"), ("010-1234-5678", "[PHONE]", "phone_mobile"), ("01012345678", "[PHONE]", "phone_mobile"), ("02-123-4567", "[PHONE]", "phone_land"), ("M12345678", "[PASSPORT]", "passport_kr"), ("host 10.0.0.255 up", "host [IP] up", "ipv4"),
+    ("사번: 123456", "[EMP]", "employee_id"), ("123-45-67890", "[BIZNO]", "business_no"), ("12345-67890", "[BIZNO]", "business_no"),
+    # not these
+    ("999.1.1.1", "999.1.1.1", None), ("20240115123456789", "20240115123456789", None), ("065-123-4567", "065-123-4567", None), ("K12345678", "K12345678", None), ("서버10.0.0.1에서", "서버[IP]에서", "ipv4"), ("계약010-1234-5678", "계약010-1234-5678", None),
+]
+
+
+def test_masks(spark):
+    df = spark.createDataFrame([(k, x[0]) for k, x in enumerate(MASKS)] + [(900, None), (901, "")], "id int, t string")
+    got = {r.id: r for r in text.mask_pii(df, "t").collect()}
+    kinds = [*[k for k, *_ in text.PII], "business_no"]
+    for k, (raw, masked, kind) in enumerate(MASKS):
+        assert (raw, got[k].masked) == (raw, masked)
+        assert {x: got[k][x] for x in kinds if got[k][x]} == ({kind: masked.count("[")} if kind else {})
+    assert got[900].masked == got[901].masked == "" and not any(got[900][x] for x in kinds)
+
+
+def test_mask_can_skip_a_kind_and_take_more(spark):
+    r = text.mask_pii(spark.createDataFrame([("EMP12345 X-1",)], "t string"), "t", skip=("employee_id",), extra=(("own", r"X-\d", "[OWN]"),)).first()
+    assert r.masked == "EMP12345 [OWN]" and r.own == 1 and "employee_id" not in r.asDict()
+
+
+def test_business_number_check_digit(spark):
+    def ok(n):
+        d = [int(c) for c in n]
+        return (10 - (sum(a * b for a, b in zip(d, (1, 3, 7, 1, 3, 7, 1, 3, 5), strict=False)) + d[8] * 5 // 10) % 10) % 10 == d[9]
+
+    numbers = [f"12081{k:05d}" for k in range(40)]
+    good = [n for n in numbers if ok(n)]
+    df = spark.createDataFrame([(n, f"no {n}, {n} and 9{n}.") for n in numbers], "n string, t string")
+    got = {r.n: r for r in text.mask_pii(df, "t").collect()}
+    assert good and all(got[n].masked == (f"no [BIZNO], [BIZNO] and 9{n}." if n in good else f"no {n}, {n} and 9{n}.") for n in numbers)
+
+
+def test_tiers_and_reviewers(spark):
+    rows = [("human_review", "kim", "x"), ("human_review", "codex_1", "x"), ("human_review", "", "gold_candidate"), ("nkt_designated", "kim", None), ("rule_llm_agreement", None, None), ("llm_judge_a", "kim", "gold_candidate"), ("llm_judge_a", "kim", None), (None, None, None)]
+    got = [r.t for r in spark.createDataFrame([(k, *r) for k, r in enumerate(rows)], "k int, s string, r string, v string").select("k", grades.tier("s", "r", "v").alias("t")).orderBy("k").collect()]
+    assert got == ["locked_gold_eval", "silver_train", "gold_candidate", "legal_floor", "gold_candidate", "gold_candidate", "silver_train", "silver_train"]
+    people = ["kim", "aiden", "Claude", "ai_1", "review_assist", "-", "human", "GPT-4", "models inc"]
+    got = [(r.h, r.m) for r in spark.createDataFrame([(k, p) for k, p in enumerate(people)], "k int, p string").select("k", grades.is_human("p").alias("h"), grades.is_machine_strict("p").alias("m")).orderBy("k").collect()]
+    assert got == [(True, False), (True, False), (True, True), (True, True), (True, True), (True, True), (True, True), (True, True), (False, False)]
+
+
+def test_consensus(spark):
+    def c(rule, judge, agreed=1.0, evidence=True, shadow=None, airgap=False, conf=0.0):
+        return one(spark, labeling.consensus(F.lit(rule), F.lit(judge), F.lit(agreed), F.lit(evidence), F.lit(shadow).cast("string"), F.lit(airgap), F.lit(conf)).alias("c")).c
+
+    assert c("S2", "S2").is_gold and c("S2", "S2").status == "gold_candidate" and c("S2", "S2", conf=0.4).priority == pytest.approx(0.6)
+    assert c("S1", "S2", 0.1, False).status == "needs_review_ts_downgrade" and c("S3", "S3", shadow="TS").status == "needs_review_ts_downgrade"
+    assert c("S2", "S2", evidence=False).status == "needs_review_no_evidence" and c("S3", "S2").status == "needs_review_disagree" and c("S2", "S2", 0.6).status == "needs_review_low_agreement"
+    assert c("TS", "TS", airgap=True).status == "needs_review_airgap_upper" and c("S2", "S2", shadow="S3").status == "needs_review_production_suspect"
+    assert c("TS", "S3", 0.5, False, "S2").flags == ["ts_downgrade_suspect", "production_suspect", "low_agreement", "no_evidence"]
+    assert c("TS", "S1", 0.5, shadow="TS", conf=0.25).priority == pytest.approx(100 + 10 + 5 + 1 + 0.75)
+
+
+def test_gates(spark):
+    k = lambda *a, **b: one(spark, ev.kill_gate(*[F.lit(x) for x in a[:3]], a[3], **b).alias("g")).g
+    assert k(0, 5, 0.1, 20).tripped is False and k(1, 30, 0.3, 20).reasons == ["high_grade_miss", "fatigue", "overturn_rate"]
+    assert k(9, 999, 0.9, 0, least_misses=0, most_overturned=0.0).tripped is False
+    g = lambda *a, **b: one(spark, ev.deploy_gate(*[F.lit(x).cast("double") for x in a], **b).alias("g")).g
+    assert g(0.1, 0.6, 0.5, 0.1, 0.6).passed and g(0.13, 0.5, 0.995, 0.1, 0.6).failed == ["degenerate", "fnr_high_regression", "f1_regression"]
+    assert g(None, 0.6, 0.5, None, None).failed == ["fnr_high_present"] and g(0.3, 0.6, None, None, None, first_high_fnr=0.2).failed == ["first_deploy_fnr_floor"]
+    r = lambda *a: one(spark, ev.rollback_need(*[F.lit(x).cast("double") for x in a]).alias("g")).g.reason
+    assert [r(None, 0.9, 99), r(0.1, 0.9, 19), r(0.1, 0.21, 20), r(0.1, 0.2, 20)] == ["no_baseline", "insufficient_live_data", "regressed", "within_tolerance"]
+
+
+def test_bootstrap_interval(spark):
+    df = spark.range(4000).select("id", (F.col("id") % 4 == 0).alias("hit"))
+    r = ev.bootstrap_interval(df, F.col("hit")).first()
+    assert r.n == 4000 and r.mean == 0.25 and 0.23 < r.low < 0.25 < r.high < 0.27 and r.high - r.low > 0.02
+    assert tuple(r) == tuple(ev.bootstrap_interval(df.repartition(7), F.col("hit")).first())
+    assert ev.bootstrap_interval(df.limit(0), F.col("hit")).first().n == 0
+
+
+def test_required_tokens(spark):
+    t = "머리말 12 ms\n응답 시간 350 ms 이고 '특정 표현'은 빼면 안 된다. 수율 97.5%"
+    spans = F.array(F.struct(F.lit(0).alias("start"), F.lit(6).alias("end")), F.struct(F.lit(10).alias("start"), F.lit(17).alias("end")), F.struct(F.lit(5).alias("start"), F.lit(9999).alias("end")))
+    assert one(spark, text.body_facts(F.lit(t)))[0] == ["응답 시간 350 ms", "수율 97.5%", "특정 표현"]
+    k = one(spark, text.required_tokens(F.lit(t), spans, F.lit("TS-kw:핵심|x"), F.lit("반도체")))[0]
+    assert [x.source for x in k] == ["evidence@0", "evidence@N", "body_fact", "body_fact"]
+    k = one(spark, text.required_tokens(F.lit("nothing here"), F.lit(None).cast("array<struct<start:int,end:int>>"), F.lit(None).cast("string"), F.lit("반도체")))[0]
+    assert [tuple(x) for x in k] == [("반도체", "domain")]
+
+
+def test_normal_text():
+    assert arrow.normal_text("- 3 -\nPage 2 of 9\nＡＢ<EOP>  c\t d\r\n\n\n\ne") == "AB c d\n\ne"
+    assert arrow.normal_text("- 3 -\na", boilerplate=False) == "- 3 -\na"
+    assert arrow.normal_text("수신자 참조 내용 끝", stop_words=True) == "내용"
+
+
+def test_headings():
+    lines = ["제1조 목적", "Ⅱ. 개요", "1.2 범위 설명", "3. 범위", "[4] 넷", "## five", "2024. 1. 5.", "3 items", "1. 5억원", "12억"]
+    assert [x[0] for x, _ in arrow._sections("\n".join(lines)) if x] == lines[:6]
+    c = arrow.heading_chunks("앞\n# 가\n" + "문장이다. " * 30 + "\n# 나\n끝", size=60, overlap=20)
+    assert c[0][1:] == ("앞", 1, 0, 20, []) and c[-1][5] == ["# 나"] and c[-1][1].endswith("# 나\n끝") and c[-1][3] > 0 and all(x[2] <= 80 for x in c)
+    assert arrow.heading_chunks("# 가\n짧다") == [(0, "# 가\n짧다", 6, 0, 0, ["# 가"])]
 
 
 def test_page_numbers_and_chunks():
@@ -62,7 +144,7 @@ def test_page_numbers_and_chunks():
     parts = arrow.chunks("one two three four", size=8, overlap=2)
     assert [p[0] for p in parts] == list(range(len(parts))) and all(len(p[1]) <= 10 for p in parts)
     assert arrow.chunks(None) == [] and arrow.heading_chunks("") == []
-    assert [c[5] for c in arrow.heading_chunks("# A\nx. y.\n# B\nz.")] == ["# A", "# B"]
+    assert [c[5] for c in arrow.heading_chunks("# A\nx. y.\n# B\nz.")] == [["# A"], ["# B"]]
 
 
 def test_retrieval_metrics(spark):
