@@ -84,6 +84,16 @@ def code_points(text: Column) -> Column:
     return F.coalesce(F.length(text), F.lit(0))
 
 
+def smallest_hashes(hashes: DataFrame, h: str, bound: int) -> int | None:
+    """The bound-th smallest of distinct 64-bit hashes, or None if there are no more than bound. Of many, a share that holds a quarter more than bound is taken first, so that few are sorted in one place."""
+    n = hashes.count()
+    if n <= bound:
+        return None
+    share = min(1.0, (1.25 * bound + 1000) / n)
+    few = hashes.where(F.col(h) <= int(-(2**63) + share * (2**64 - 1)) if share < 1 else F.lit(True))
+    return few.orderBy(h).limit(bound).agg(F.max(h)).first()[0]
+
+
 def join_hot(big: DataFrame, small: DataFrame, key: str, weight: str, total: int, how: str = "inner") -> DataFrame:
     """big join small on key, where small has one row a key and weight says how many rows of big it meets.
 

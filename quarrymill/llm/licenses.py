@@ -7,8 +7,14 @@ License Identifier" the original text is read as a licence expression: a
 shunting-yard parser turns it into postfix (with binds tighter than and, and tighter
 than or), and its evaluation gives the identifiers and whether an allow-list permits it.
 
-A null text counts as empty: no words, no places. Texts are scanned whole; each row
-on its own. A tag with a malformed expression counts as a tag without identifiers.
+Identifiers are those of a list, or start with LicenseRef-; an expression ends before the
+first other word (but for exceptions, which follow with).
+
+A null text counts as empty: no words, no places. Texts are scanned whole, in time that
+grows with their length; each row on its own, so repeated rows give repeated results and
+null ids null ids. Of phrases at one place all count. A tag with a malformed expression,
+or none of a known identifier, counts as a tag without identifiers. Columns other than
+doc_id and text, whatever their names, are not read. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -36,6 +42,13 @@ NOTICES = (
 BASE_WEIGHTS = {"cc by": 0.6, "general public license": 0.85, "all rights reserved": 0.7}
 TAG = "spdx license identifier"
 ALLOWED = frozenset("mit apache-2.0 bsd-2-clause bsd-3-clause isc cc0-1.0 cc-by-4.0 unlicense bsl-1.0 0bsd zlib".split())
+#: Licence identifiers, in lower case.
+IDENTIFIERS = frozenset(
+    "0bsd afl-3.0 agpl-3.0 agpl-3.0-only agpl-3.0-or-later apache-1.1 apache-2.0 apsl-2.0 artistic-1.0 artistic-2.0 blueoak-1.0.0 bsd-1-clause bsd-2-clause bsd-2-clause-patent bsd-3-clause bsd-3-clause-clear bsd-4-clause bsl-1.0 "
+    "cc-by-1.0 cc-by-2.0 cc-by-2.5 cc-by-3.0 cc-by-4.0 cc-by-nc-4.0 cc-by-nc-nd-4.0 cc-by-nc-sa-4.0 cc-by-nd-4.0 cc-by-sa-3.0 cc-by-sa-4.0 cc0-1.0 cddl-1.0 cddl-1.1 cecill-2.1 cpl-1.0 ecl-2.0 epl-1.0 epl-2.0 eupl-1.1 eupl-1.2 "
+    "gfdl-1.3 gpl-1.0 gpl-2.0 gpl-2.0+ gpl-2.0-only gpl-2.0-or-later gpl-3.0 gpl-3.0+ gpl-3.0-only gpl-3.0-or-later isc lgpl-2.0 lgpl-2.1 lgpl-2.1+ lgpl-2.1-only lgpl-2.1-or-later lgpl-3.0 lgpl-3.0+ lgpl-3.0-only lgpl-3.0-or-later lppl-1.3c "
+    "mit mit-0 mpl-1.1 mpl-2.0 ms-pl ms-rl mulanpsl-2.0 ncsa odbl-1.0 ofl-1.1 openssl osl-3.0 pddl-1.0 php-3.01 postgresql psf-2.0 python-2.0 ruby unicode-dfs-2016 unlicense upl-1.0 vim w3c wtfpl x11 zlib zpl-2.1".split()
+)
 
 _WORDS = bytes(b if b >= 0x80 or 48 <= b <= 57 or 97 <= b <= 122 else b + 32 if 65 <= b <= 90 else 32 for b in range(256))
 _PIECE = re.compile(r"\(|\)|[A-Za-z0-9][A-Za-z0-9.+:-]*")
@@ -43,6 +56,29 @@ _TAG = re.compile(r"SPDX[^A-Za-z0-9\x80-\U0010ffff]+License[^A-Za-z0-9\x80-\U001
 BINDS = {"or": 1, "and": 2, "with": 3}
 
 
+def known_part(expression: str) -> str:
+    """The expression up to the last place at which it is whole and all its operands are known."""
+    end = depth = 0
+    before = "("
+    for m in _PIECE.finditer(expression):
+        piece = m[0].lower()
+        if piece in BINDS:
+            if before in BINDS or before == "(":
+                break
+        elif piece == "(":
+            depth += 1
+        elif piece == ")":
+            depth -= 1
+        elif not (before == "with" or piece.rstrip(".") in IDENTIFIERS or piece.startswith("licenseref-")):
+            break
+        if depth < 0:
+            break
+        if depth == 0 and piece not in BINDS:
+            end = m.end()
+        before = piece
+    return expression[:end]
+
+
 def postfix(expression: str) -> list[str]:
     """Shunting-yard: the operands (lower case) and operators of an expression in postfix order. Reads as far as the expression goes; raises ValueError where it is malformed."""
     out: list[str] = []
@@ -152,7 +188,7 @@ def scan_text(text: str | None) -> dict:
     if tagged:
         for m in _TAG.finditer(text):
             try:
-                rpn = postfix(m[1])
+                rpn = postfix(known_part(m[1]))
                 ids, permitted = evaluate(rpn)
             except ValueError:
                 rpn, ids, permitted = [], [], False
@@ -180,5 +216,7 @@ def scan(docs: DataFrame) -> DataFrame:
 
 
 def digest(found: DataFrame) -> DataFrame:
-    """The labels joined by commas, the rest as it is."""
-    return found.select("doc_id", "n_words", "n_base", "first_word", "last_word", F.array_join("base", ",").alias("base_labels"), F.array_join("found", ",").alias("labels"), "score")
+    """The labels joined by commas, the tags' expressions in postfix order, and whether all of them are permitted (null without a tag); the rest as it is."""
+    verdict = F.when(F.size("tags") > 0, F.forall("tags", lambda t: t["permitted"]))
+    expressions = F.array_join(F.transform("tags", lambda t: F.array_join(t["postfix"], " ")), ",")
+    return found.select("doc_id", "n_words", "n_base", "first_word", "last_word", F.array_join("base", ",").alias("base_labels"), F.array_join("found", ",").alias("labels"), "score", expressions.alias("expressions"), verdict.alias("permitted"))

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bpe, embedding_dedup, licenses, ngram_join, packing, quality, secret_scan, token_counts, toxicity, warc
+from .common import smallest_hashes
 
 
 def tokenizer_path(name: str) -> str:
@@ -27,7 +28,7 @@ def labelled_lexicon(spark: SparkSession, docs: DataFrame, sf_dir: str) -> toxic
     """Learned from labelled rows of docs, held-out ones aside. The sample's ids, TRAINING_BOUND at most, are broadcast, so no text but theirs leaves the scan."""
     labels = table(spark, sf_dir, "labels").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic"), F.xxhash64(F.col("doc_id").cast("long")).alias("_h"))
     usable = labels.where(~toxicity.held_out("doc_id") & F.col("toxic").isin(0, 1)).groupBy("_h", "doc_id").agg(F.min("toxic").alias("toxic"))
-    most = toxicity.smallest_hashes(usable.select("_h").distinct(), "_h", TRAINING_BOUND)
+    most = smallest_hashes(usable.select("_h").distinct(), "_h", TRAINING_BOUND)
     sample = (usable if most is None else usable.where(F.col("_h") <= most)).select("doc_id", "toxic")
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     return toxicity.learn(texts.join(F.broadcast(sample), "doc_id").select("text", "toxic"), bound=TRAINING_BOUND)

@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import dropped, picked, saved, small_batches
+from .common import dropped, picked, saved, small_batches, smallest_hashes
 
 #: Letters of other scripts that look like Latin ones.
 HOMOGLYPHS = {
@@ -156,16 +156,6 @@ def _fit_curve(rows: list[tuple[float, int, int]]) -> tuple[float, float, float]
     return tuple(float(v) for v in b)
 
 
-def smallest_hashes(hashes: DataFrame, h: str, bound: int) -> int | None:
-    """The bound-th smallest of distinct 64-bit hashes, or None if there are no more than bound. Of many, a share that holds a quarter more than bound is taken first, so that few are sorted in one place."""
-    n = hashes.count()
-    if n <= bound:
-        return None
-    share = min(1.0, (1.25 * bound + 1000) / n)
-    few = hashes.where(F.col(h) <= int(-(2**63) + share * (2**64 - 1)) if share < 1 else F.lit(True))
-    return few.orderBy(h).limit(bound).agg(F.max(h)).first()[0]
-
-
 def _neighbours(folded: str, start: int, end: int) -> list[str]:
     """The word at a hit with the word before it, and with that after it, as they stand."""
     while end < len(folded) and folded[end].isalnum():

@@ -4,7 +4,8 @@ Each page becomes a request, a response or revisit, and a metadata record. The r
 and the metadata name the response or revisit in WARC-Concurrent-To. Of pages with
 equal payloads of at least least_bytes bytes the one with the largest page_id is the
 response; the others are revisit records without the payload, which name it in
-WARC-Refers-To. Archives are gzip files of whole records, pages_a_file pages each.
+WARC-Refers-To. Archives are gzip files of whole records, pages_a_file pages each, or
+fewer so that pages of average size make file_bytes at most.
 
 Reading takes an archive record by record, whatever its payloads contain, by
 Content-Length; assembly joins the records of a transaction by their concurrent-to
@@ -14,8 +15,9 @@ A null payload counts as empty; a null or unprintable url is written as urn:unkn
 percent-encoded. Pages with a null page_id are captures too, and are responses only if
 no page with an id has their payload. Rows that repeat a page_id with an equal payload
 give a capture each. Records whose concurrent-to names no record of the archives
-give a capture without a main record. Columns other than page_id, url and html are
-not read.
+give a capture without a main record. Payloads are written and hashed whole. Columns
+other than page_id, url and html, whatever their names, are not read. An empty table
+gives no rows.
 """
 
 from __future__ import annotations
@@ -67,8 +69,10 @@ def _record(kind: str, headers: list[tuple[str, Column]], content: Column) -> Co
     return F.concat(*lines)
 
 
-def write_archives(pages: DataFrame, path: str, *, least_bytes: int = 0, pages_a_file: int = 10_000, date: str = "2024-01-01T00:00:00Z") -> None:
+def write_archives(pages: DataFrame, path: str, *, least_bytes: int = 0, pages_a_file: int = 10_000, file_bytes: int = 64 << 20, date: str = "2024-01-01T00:00:00Z") -> None:
     """Write the archives of pages to the folder path; all of it in JVM expressions."""
+    size = pages.agg(F.avg(F.coalesce(F.octet_length(F.col("html").cast("string")), F.lit(0)) + 1000)).first()[0]
+    pages_a_file = max(1, min(pages_a_file, int(file_bytes / (size or 1000))))
     p = plan(pages, least_bytes)
     page, digest = F.col("page_id"), F.col("digest")
     response, own = record_id("response", F.coalesce("first_id", "page_id"), digest), record_id("response", page, digest)

@@ -58,7 +58,7 @@ def mutated(seed=3, n=700):
     return [*out, (5000, None), (5001, ""), (5002, "  \n"), (5003, "W1 w2"), (5004, "w1  W2")]
 
 
-@pytest.mark.parametrize(("words", "percent"), [(4, 85), (5, 80)])
+@pytest.mark.parametrize(("words", "percent"), [(4, 85), (5, 80), (3, 30)])
 def test_ngram_join_is_exact(spark, words, percent):
     rows = mutated()
     df = spark.createDataFrame([(i, t, 1, 2) for i, t in rows], "doc_id long, text string, n int, component int").repartition(3)
@@ -115,6 +115,28 @@ def test_embeddings_against_all_pairs(spark):
     assert embedding_dedup.near_duplicates(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
 
 
+@pytest.mark.parametrize("lists", [(6, 2), (8, 3), (10, 4), (12, 5)])
+def test_recall_of_every_list_size(spark, lists):
+    """Clustered vectors, so that pivots come from clusters too; pairs spread over cosines from the threshold on."""
+    r = np.random.default_rng(9)
+    unit = lambda x: x / np.linalg.norm(x, axis=-1, keepdims=True)
+    centres = unit(r.normal(size=(12, 48)))
+    base = unit(centres[r.integers(0, 12, 250)] + 0.12 * r.normal(size=(250, 48)))
+    noise = r.normal(size=base.shape)
+    noise = unit(noise - (noise * base).sum(axis=1, keepdims=True) * base)
+    c = r.uniform(0.9, 0.99, size=(250, 1))
+    v = np.concatenate([base, c * base + np.sqrt(1 - c * c) * noise])
+    s = v @ v.T >= 0.9
+    np.fill_diagonal(s, False)
+    rows = [(k, [float(x) for x in a]) for k, a in enumerate(v)] + [(1000 + k, [1.0, 2.0, 3.0 + k / 50]) for k in range(3)]
+    got = {x.vec_id: x for x in embedding_dedup.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), lists=lists).collect()}
+    found = sum(got[k].n_links for k in range(500))
+    print(lists, found / s.sum())
+    assert 0.95 * s.sum() <= found <= s.sum()
+    # vectors of another length link among themselves
+    assert [got[k].n_links for k in (1000, 1001, 1002)] == [2, 2, 2] and got[1002].component_id == 1000
+
+
 def test_long_lists_are_counted_once(spark):
     r = np.random.default_rng(2)
     b = r.normal(size=16)

@@ -132,6 +132,28 @@ def test_licence_expressions(expression, rpn, permitted):
     assert " ".join(got) == rpn and licenses.evaluate(got)[1] is permitted
 
 
+@pytest.mark.parametrize(("text", "labels", "permitted"), [("MIT and free software", ["mit"], True), ("Apache-2.0 OR licensed otherwise", ["apache-2.0"], True), ("(MIT OR GPL-2.0) AND GPL-3.0 please", ["gpl-2.0", "gpl-3.0", "mit"], False), ("GPL-2.0-only WITH Classpath-exception-2.0 text", ["gpl-2.0-only-with-classpath-exception-2.0"], False), ("free", [], False), ("LicenseRef-Own", ["licenseref-own"], False)])
+def test_identifiers_are_known_ones(text, labels, permitted):
+    got = licenses.scan_text("x\nSPDX-License-Identifier: " + text + "\ny")
+    assert got["found"] == labels and [t["permitted"] for t in got["tags"]] == [permitted] and 0 < got["score"] < 1
+
+
+def test_labels_and_score_against_a_plain_search(docs, texts):
+    """Every notice as words between spaces, by str.count; the score from the same weights."""
+    for r in licenses.digest(licenses.scan(docs)).collect():
+        t = dict(texts)[r.doc_id] if r.doc_id != 10_001 else ""
+        joined = " " + " ".join(re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t or ""))) + " "
+        all_of = [(p, label, licenses.BASE_WEIGHTS[p]) for p, label in licenses.BASE.items()] + list(licenses.NOTICES)
+        places = lambda p: sum(joined.startswith(f" {p} ", k) for k in range(len(joined)) if joined[k] == " ")
+        found = [(label, w) for p, label, w in all_of for _ in range(places(p))]
+        if r.expressions == "" and r.permitted is None:
+            assert r.labels == ",".join(sorted({label for label, _ in found}))
+            miss = 1.0
+            for _, w in found:
+                miss *= 1.0 - w
+            assert r.score == pytest.approx(1.0 - miss)
+
+
 @pytest.mark.parametrize("bad", ["AND MIT", "(MIT", "MIT OR", ""])
 def test_malformed_expressions(bad):
     with pytest.raises(ValueError):
