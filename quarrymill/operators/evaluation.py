@@ -77,10 +77,12 @@ def calibration_error(bins: DataFrame) -> DataFrame:
     return bins.agg(stats.ratio(F.sum(F.col("n") * F.abs(F.col("accuracy") - F.col("mean_confidence"))), F.sum("n")).alias("ece"))
 
 
-def reviewer_reliability(k: DataFrame) -> DataFrame:
+def reviewer_reliability(k: DataFrame, least_comparable: int = 1) -> DataFrame:
     """k (item, at, tie, level, reviewer): of each reviewer's corrections, how many another reviewer's choice can confirm, and how many agree with the item's last level.
 
-    A correction is comparable if a reviewer other than its author chose the item's final level too.
+    A correction is comparable if a reviewer other than its author chose the item's final
+    level too; reviewers with fewer than least_comparable of these are left out. The
+    reliability is rounded to four places.
     """
     final = k.groupBy("item").agg(F.max(F.struct("at", "tie", "level")).alias("f")).select("item", F.col("f.level").alias("final"))
     who = k.join(final, "item")
@@ -89,18 +91,18 @@ def reviewer_reliability(k: DataFrame) -> DataFrame:
     comparable = F.coalesce((F.col("b1") != F.col("reviewer")) | (F.col("b2") != F.col("reviewer")), F.lit(False))
     agreed = comparable & (F.col("level") == F.col("final"))
     n = out.groupBy("reviewer").agg(F.count("*").alias("total"), F.count_if(comparable).alias("comparable"), F.count_if(agreed).alias("agreed"))
-    return n.withColumn("overturned", F.col("comparable") - F.col("agreed")).withColumn("reliability", F.try_divide(F.col("agreed").cast("double"), F.col("comparable").cast("double")))
+    return n.withColumn("overturned", F.col("comparable") - F.col("agreed")).withColumn("reliability", F.bround(stats.ratio(F.col("agreed"), F.col("comparable")), 4)).where(F.col("comparable") >= least_comparable)
 
 
 def drift(spark: SparkSession, base: DataFrame, now: DataFrame, column: str, bins: int = 20) -> DataFrame:
-    """One row: KL divergence (nats) of two histograms of values in [-1, 1], and whether it reaches .5; 0 and no alert where either is empty."""
+    """One row: KL divergence (nats) of two histograms of values in [-1, 1], shares of 1e-9 at least, and whether it reaches .5; 0 and no alert where either is empty."""
     at = F.floor((F.least(F.lit(0.9999), F.greatest(F.lit(-1.0), F.col(column))) + 1) / 2 * bins).cast("int")
     every = spark.range(bins).select(F.col("id").cast("int").alias("bin"))
     count = lambda df, name: df.groupBy(at.alias("bin")).agg(F.count("*").alias(name))
     h = every.join(count(base, "q"), "bin", "left").join(count(now, "p"), "bin", "left").na.fill(0)
     sums = h.agg(F.sum("p").alias("tp"), F.sum("q").alias("tq"))
-    p, q = F.col("p") / F.col("tp") + 1e-9, F.col("q") / F.col("tq") + 1e-9
-    out = h.crossJoin(F.broadcast(sums)).where("tp > 0 and tq > 0").agg(F.coalesce(F.sum(p * F.ln(p / q)), F.lit(0.0)).alias("kl"))
+    p, q = (F.greatest(F.col(c) / F.col("t" + c), F.lit(1e-9)) for c in "pq")
+    out = h.crossJoin(F.broadcast(sums)).where("tp > 0 and tq > 0").agg(F.greatest(F.coalesce(F.sum(p * F.ln(p / q)), F.lit(0.0)), F.lit(0.0)).alias("kl"))
     return out.withColumn("alert", F.col("kl") >= 0.5)
 
 
@@ -155,3 +157,16 @@ def rollback_need(base_high_fnr: Column, live_high_fnr: Column, samples: Column,
     """struct<rollback, reason>: an active model whose live miss rate of high grades exceeds its own at registration by more than tolerance goes back; without a base or enough rows nothing happens."""
     reason = F.when(base_high_fnr.isNull(), "no_baseline").when(samples.isNull() | (samples < least_samples), "insufficient_live_data").when(live_high_fnr > base_high_fnr + tolerance, "regressed").otherwise("within_tolerance")
     return F.struct((reason == "regressed").alias("rollback"), reason.alias("reason"))
+
+
+def centroid(vectors: DataFrame, column: str) -> DataFrame:
+    """One row, centroid: the mean vector, place by place."""
+    places = vectors.select(F.posexplode(column).alias("k", "x")).groupBy("k").agg(F.avg(F.col("x").cast("double")).alias("m"))
+    return places.agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "m"))), lambda v: v["m"]).alias("centroid"))
+
+
+def readiness(checks: DataFrame, by: str) -> DataFrame:
+    """checks (by, name, status) to (by, verdict, released, open): FAIL where a check fails, CONDITIONALLY_READY where one is blocked, else PASS; only what passes throughout is released."""
+    n = checks.groupBy(by).agg(F.count_if(F.col("status") == "FAIL").alias("failed"), F.count_if(F.col("status") == "BLOCKED").alias("blocked"), F.array_sort(F.collect_list(F.when(F.col("status") != "PASS", F.col("name")))).alias("open"))
+    verdict = F.when(F.col("failed") > 0, "FAIL").when(F.col("blocked") > 0, "CONDITIONALLY_READY").otherwise("PASS")
+    return n.select(by, verdict.alias("verdict"), ((verdict == "PASS") & (F.size("open") == 0)).alias("released"), "open")

@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+import hashlib
+import hmac
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def top_per_key(df: DataFrame, keys: list[str], order: list[Column], n: int = 1) -> DataFrame:
@@ -69,14 +74,53 @@ def overlaps(df: DataFrame, split: str, key: str) -> DataFrame:
     return pairs.groupBy("p.split_a", "p.split_b").agg(F.count("*").alias("n_shared"))
 
 
-def chain_breaks(df: DataFrame, order: list[str], before: str, own: str) -> DataFrame:
-    """Rows with link_ok: whether before equals the latest non-empty own of the rows ahead of it."""
-    w = Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+def chain_breaks(df: DataFrame, order: list[str], before: str, own: str, chain: str | None = None) -> DataFrame:
+    """Rows with link_ok: whether before equals the first sixteen digits of the latest non-empty own of the rows ahead of it, of its chain if there are several."""
+    w = (Window.partitionBy(chain) if chain else Window.partitionBy()).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     return df.withColumn("_last", F.last(F.nullif(F.col(own), F.lit("")), ignorenulls=True).over(w)).withColumn("link_ok", F.coalesce(F.col(before) == F.substring("_last", 1, 16), F.lit(True))).drop("_last")
 
 
+def chain_links(df: DataFrame, chain: str, order: list[str], payload: str, secret: str = "") -> DataFrame:
+    """df (chain, order..., payload) with link: prev16:full32, the first sixteen digits of the link before in the chain (zeros at the first) and 32 digits of the digest of the whole of that and the payload: SHA-256, or its HMAC with a secret.
+
+    Each chain is walked in its order as its rows stream by; none is gathered.
+    """
+    columns = [chain, *order, payload]
+    key = secret.encode()
+
+    def walk(batches):
+        last, before = object(), ""
+        for batch in batches:
+            out = []
+            for at, text in zip(batch.column(0).to_pylist(), batch.column(batch.num_columns - 1).to_pylist(), strict=True):
+                if at != last:
+                    last, before = at, "0" * 16
+                message = f"{before}|{text or ''}".encode()
+                full = (hmac.new(key, message, hashlib.sha256) if key else hashlib.sha256(message)).hexdigest()[:32]
+                out.append(f"{before[:16]}:{full}")
+                before = full
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.string())], schema=batch.schema.append(pa.field("link", pa.string())))
+
+    rows = df.select(*columns).repartition(chain).sortWithinPartitions(chain, *order)
+    return rows.mapInArrow(walk, T.StructType([*rows.schema.fields, T.StructField("link", T.StringType())]))
+
+
+def schema_changes(old: DataFrame, new: DataFrame) -> DataFrame:
+    """(code, change, retrain): added, removed, reordered or kept codes of two lists (code, place); all but the last need a new model."""
+    met = old.select("code", F.col("place").alias("was")).join(new.select("code", F.col("place").alias("now")), "code", "full_outer")
+    change = F.when(F.col("was").isNull(), "added").when(F.col("now").isNull(), "removed").when(F.col("was") != F.col("now"), "reordered").otherwise("kept")
+    return met.select("code", change.alias("change"), (change != "kept").alias("retrain"))
+
+
 def runs_of(df: DataFrame, key: str, order: str, flag: str) -> DataFrame:
     """streak: how many rows in a row, up to this one, have the flag set."""
     w = Window.partitionBy(key).orderBy(order)
     grouped = df.withColumn("_g", F.sum(F.when(F.col(flag), 0).otherwise(1)).over(w))
     return grouped.withColumn("streak", F.sum(F.when(F.col(flag), 1).otherwise(0)).over(Window.partitionBy(key, "_g").orderBy(order))).drop("_g")
+
+
+def rolled_back(versions: DataFrame, version: str, active: str, deactivated_at: str) -> DataFrame:
+    """(version, active_after, deactivated) once the active version gives way to the one deactivated last (ties to the greater name); it stays where there is no other. One row a version."""
+    others = versions.where(F.col(version) != active).agg(F.max_by(version, F.struct(deactivated_at, version)).alias("_next"))
+    out = versions.crossJoin(F.broadcast(others))
+    return out.select(version, (F.col(version) == F.coalesce("_next", F.lit(active))).alias("active_after"), ((F.col(version) == active) & F.col("_next").isNotNull()).alias("deactivated"))

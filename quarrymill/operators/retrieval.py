@@ -38,17 +38,17 @@ def postings(docs: DataFrame, tokens: Column) -> tuple[DataFrame, DataFrame, Dat
 def bm25(queries: DataFrame, docs: DataFrame, tokens: Column, k1: float = 1.5, b: float = 0.75) -> DataFrame:
     """(qid, id, score) of the documents that share a term with a query. queries (qid, term), distinct.
 
-    Only the query terms' postings are shuffled: the tokens are cut down to the terms of
-    the queries, which are a stated set, before they leave the scan.
+    The tokens are cut down to the terms of the queries first. Terms and queries are joined
+    as Spark sees fit: broadcast below its size limit, else shuffled by term.
     """
     terms = queries.select("term").distinct()
     t = docs.select("id", tokens.alias("t")).withColumn("len", F.size("t"))
     corpus = t.agg(F.count("*").alias("n"), F.avg("len").alias("avgdl"))
-    tf = t.select("id", "len", F.explode("t").alias("term")).join(F.broadcast(terms), "term").groupBy("id", "term").agg(F.count("*").alias("tf"), F.first("len").alias("len"))
+    tf = t.select("id", "len", F.explode("t").alias("term")).join(terms, "term").groupBy("id", "term").agg(F.count("*").alias("tf"), F.first("len").alias("len"))
     df = tf.groupBy("term").agg(F.count("*").alias("df"))
     idf = F.ln(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     score = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / F.col("avgdl")))
-    met = tf.join(F.broadcast(df), "term").join(F.broadcast(queries), "term").crossJoin(F.broadcast(corpus))
+    met = tf.join(df, "term").join(queries, "term").crossJoin(F.broadcast(corpus))
     return met.groupBy("qid", "id").agg(F.sum(score).alias("score"))
 
 
@@ -82,14 +82,38 @@ def weighted(dense: DataFrame, lexical: DataFrame, alpha: float) -> DataFrame:
     return d.join(x, ["qid", "id"], "full_outer").select("qid", "id", (alpha * F.coalesce("d", F.lit(0.0)) + (1 - alpha) * F.coalesce("x", F.lit(0.0))).alias("score"))
 
 
-def metrics(ranks: DataFrame, relevant: DataFrame, k: int) -> DataFrame:
-    """recall, precision, mrr and ndcg at k of each query with something relevant. ranks (qid, id, rank), relevant (qid, id)."""
-    n = relevant.groupBy("qid").agg(F.countDistinct("id").alias("n"))
-    best = ranks.groupBy("qid", "id").agg(F.min("rank").alias("rank")).withColumn("rank", F.row_number().over(Window.partitionBy("qid").orderBy("rank"))).where(F.col("rank") <= k)
-    hits = best.join(relevant.distinct(), ["qid", "id"], "left_semi").groupBy("qid").agg(F.count("*").alias("h"), F.min("rank").alias("first"), F.sum(1 / F.log2(F.col("rank") + 1)).alias("dcg"))
+def multi_query(results: DataFrame, constant: int = 60) -> DataFrame:
+    """(qid, id, score): rank fusion of the results of a query's variants; of a query with results for one variant only, these with their own scores. results: qid, variant, id, rank, score."""
+    several = F.max("variant").over(Window.partitionBy("qid")) != F.min("variant").over(Window.partitionBy("qid"))
+    part = F.when(several, 1.0 / (constant + F.col("rank"))).otherwise(F.col("score"))
+    return results.withColumn("part", part).groupBy("qid", "id").agg(F.sum("part").alias("score"))
+
+
+def hit_metrics(ranks: DataFrame, totals: DataFrame, k: int, by: tuple[str, ...] = ("qid",)) -> DataFrame:
+    """recall, precision, mrr and ndcg at k for each row of totals (by..., n: how many rows are relevant, 1 or more). ranks (by..., id, rank, relevant), an id once a query. What is relevant is told on the ranks, so the relevant rows themselves are never paired with queries."""
+    keys = list(by)
+    hits = ranks.where(F.col("relevant") & (F.col("rank") <= k)).groupBy(*keys).agg(F.count("*").alias("h"), F.min("rank").alias("first"), F.sum(1 / F.log2(F.col("rank") + 1)).alias("dcg"))
     ideal = F.aggregate(F.sequence(F.lit(1), F.least(F.col("n"), F.lit(k)).cast("int")), F.lit(0.0), lambda s, r: s + 1 / F.log2(r + 1))
     z = lambda c: F.coalesce(c, F.lit(0.0))
-    return n.join(hits, "qid", "left").select("qid", z(F.col("h") / F.col("n")).alias("recall"), z(F.col("h") / F.lit(k)).alias("precision"), z(1 / F.col("first")).alias("mrr"), z(F.col("dcg") / ideal).alias("ndcg"))
+    return totals.join(hits, keys, "left").select(*keys, z(F.col("h") / F.col("n")).alias("recall"), z(F.col("h") / F.lit(k)).alias("precision"), z(1 / F.col("first")).alias("mrr"), z(F.col("dcg") / ideal).alias("ndcg"))
+
+
+def metrics(ranks: DataFrame, relevant: DataFrame, k: int) -> DataFrame:
+    """hit_metrics() of ranks (qid, id, rank) and listed relevant rows (qid, id); an id that is ranked twice counts once."""
+    best = ranks.groupBy("qid", "id").agg(F.min("rank").alias("rank")).withColumn("rank", F.row_number().over(Window.partitionBy("qid").orderBy("rank")))
+    listed = relevant.distinct()
+    told = best.join(listed.withColumn("relevant", F.lit(True)), ["qid", "id"], "left").withColumn("relevant", F.coalesce("relevant", F.lit(False)))
+    return hit_metrics(told, listed.groupBy("qid").agg(F.count("*").alias("n")), k)
+
+
+def alpha_grid(dense: DataFrame, lexical: DataFrame, alphas: list[float], depth: int = 10) -> DataFrame:
+    """(alpha, qid, id, rank): the first depth rows of the weighted fusion for each alpha. dense and lexical (qid, id, score)."""
+    d = dense.select("qid", "id", minmax("score", "qid").alias("d"))
+    x = lexical.select("qid", "id", minmax("score", "qid").alias("x"))
+    both = d.join(x, ["qid", "id"], "full_outer").na.fill(0.0, ["d", "x"])
+    scored = both.select("qid", "id", "d", "x", F.explode(F.array(*[F.lit(a) for a in alphas])).alias("alpha")).withColumn("score", F.round(F.col("alpha") * F.col("d") + (1 - F.col("alpha")) * F.col("x"), 9))
+    w = Window.partitionBy("alpha", "qid").orderBy(F.desc("score"), "id")
+    return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= depth).select("alpha", "qid", "id", "rank")
 
 
 def votes(hits: DataFrame, label: str) -> DataFrame:

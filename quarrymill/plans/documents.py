@@ -275,17 +275,21 @@ _CHANNEL_B = "SELECT q.vec_id AS qid, e.vec_id AS id, row_number() OVER (PARTITI
 
 
 def _channels(spark, d, n=50):
+    """The nearest vectors, and those of the nearest labels: of each label the n smallest ids are enough for any query's n best, so only these meet the query's label."""
     q, e = _queries(spark, d)
     a = ir.nearest(q, e.select("id", "vec"), n).select("qid", "id", "score", "rank").where("score > 0")
-    labels = F.broadcast(read(spark, d, "embeddings").where("vec_id % 100 = 0").select(F.col("vec_id").alias("qid"), F.col("label").alias("ql")))
-    b = ir.ranked(e.select("id", "label").join(labels).select("qid", "id", (F.lit(1.0) / (1 + F.abs(F.col("ql") - F.col("label")))).alias("score")), n)
-    return a, b
+    few = e.select("label", "id").withColumn("k", F.row_number().over(Window.partitionBy("label").orderBy("id"))).where(F.col("k") <= n)
+    asked = read(spark, d, "embeddings").where("vec_id % 100 = 0").select(F.col("vec_id").alias("qid"), F.col("label").alias("ql"))
+    # a row for each pair of labels
+    met = few.crossJoin(asked.select("ql").distinct()).select("ql", "id", (F.lit(1.0) / (1 + F.abs(F.col("ql") - F.col("label")))).alias("score"))
+    best = ir.ranked(met.withColumnRenamed("ql", "qid"), n).withColumnRenamed("qid", "ql")
+    return a, asked.join(best, "ql").select("qid", "id", "score", "rank")
 
 
 @query(f"""WITH u AS (SELECT qid, id, rank FROM ({_CHANNEL_A}) WHERE rank <= 50 UNION ALL SELECT qid, id, rank FROM ({_CHANNEL_B}) WHERE rank <= 50), f AS (SELECT qid, id, round(sum(1.0::DOUBLE / (60 + rank)), 9) AS score FROM u GROUP BY 1, 2)
 SELECT qid, id, score, rank::INT AS rank FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) AS rank FROM f) WHERE rank <= 10""")
 def ir04_rrf(spark, d):
-    """IR-04, IR-06, JN-04, SET-05, SRT-02: fusion of two channels of fifty, cut to ten."""
+    """IR-04, JN-04, SET-05, SRT-02: fusion of two channels of fifty, cut to ten."""
     return ir.ranked(ir.rrf(list(_channels(spark, d))).withColumn("score", F.round("score", 9)), 10).select("qid", "id", "score", "rank")
 
 
@@ -295,7 +299,7 @@ _MM = "CASE WHEN max(score) OVER (PARTITION BY qid) = min(score) OVER (PARTITION
 @query(f"""WITH a AS (SELECT qid, id, {_MM} AS s FROM ({_CHANNEL_A}) WHERE rank <= 50), b AS (SELECT qid, id, {_MM} AS s FROM ({_CHANNEL_B}) WHERE rank <= 50)
 SELECT coalesce(a.qid, b.qid) AS qid, coalesce(a.id, b.id) AS id, round(0.6 * coalesce(a.s, 0) + 0.4 * coalesce(b.s, 0), 9) AS score FROM a FULL JOIN b ON a.qid = b.qid AND a.id = b.id""")
 def ir05_weighted(spark, d):
-    """IR-05, IR-14."""
+    """IR-05."""
     a, b = _channels(spark, d)
     return rounded(ir.weighted(a, b, 0.6), "score")
 
@@ -303,16 +307,54 @@ def ir05_weighted(spark, d):
 _REL = "SELECT q.vec_id AS qid, e.vec_id AS id FROM (SELECT * FROM embeddings WHERE vec_id % 100 = 0) q JOIN embeddings e ON q.label = e.label"
 
 
+def _told(spark, d, ranks):
+    """ranks (qid, id, ...) with relevant (of the query's label), and (qid, n), how many rows are."""
+    e = read(spark, d, "embeddings").select(F.col("vec_id").alias("id"), "label")
+    asked = e.where("id % 100 = 0").select(F.col("id").alias("qid"), F.col("label").alias("ql"))
+    totals = asked.join(e.groupBy(F.col("label").alias("ql")).agg(F.count("*").alias("n")), "ql").select("qid", "n")
+    return ranks.join(asked, "qid").join(e, "id").withColumn("relevant", F.col("ql") == F.col("label")), totals
+
+
 @query(f"""WITH r AS (SELECT qid, id, rank FROM ({_CHANNEL_A}) WHERE rank <= 10), n AS (SELECT qid, count(*) AS n FROM ({_REL}) GROUP BY qid),
 h AS (SELECT r.qid, count(*) AS h, min(rank) AS f, sum(1 / log2(rank + 1)) AS dcg FROM r JOIN ({_REL}) x ON r.qid = x.qid AND r.id = x.id GROUP BY r.qid)
 SELECT n.qid, round(coalesce(h / n::DOUBLE, 0), 9) AS recall, round(coalesce(h / 10.0::DOUBLE, 0), 9) AS precision, round(coalesce(1 / f::DOUBLE, 0), 9) AS mrr, round(coalesce(dcg / list_sum(list_transform(range(1, least(n, 10) + 1), lambda i: 1 / log2(i + 1))), 0), 9) AS ndcg FROM n LEFT JOIN h ON n.qid = h.qid""")
 def ir13_metrics(spark, d):
     """IR-13, WIN-13."""
     q, e = _queries(spark, d)
-    a = ir.nearest(q, e.select("id", "vec"), 10).where("score > 0")
-    qs = F.broadcast(read(spark, d, "embeddings").where("vec_id % 100 = 0").select(F.col("vec_id").alias("qid"), "label"))
-    rel = e.select("id", "label").join(qs, "label").select("qid", "id")
-    return rounded(ir.metrics(a.select("qid", "id", "rank"), rel, 10), "recall", "precision", "mrr", "ndcg")
+    ranks, totals = _told(spark, d, ir.nearest(q, e.select("id", "vec"), 10).where("score > 0").select("qid", "id", "rank"))
+    return rounded(ir.hit_metrics(ranks, totals, 10), "recall", "precision", "mrr", "ndcg")
+
+
+_ALPHAS = [round(k / 10, 4) for k in range(11)]
+
+
+@query(f"""WITH a AS (SELECT qid, id, {_MM} AS s FROM ({_CHANNEL_A}) WHERE rank <= 50), b AS (SELECT qid, id, {_MM} AS s FROM ({_CHANNEL_B}) WHERE rank <= 50),
+f AS (SELECT coalesce(a.qid, b.qid) AS qid, coalesce(a.id, b.id) AS id, coalesce(a.s, 0) AS d, coalesce(b.s, 0) AS x FROM a FULL JOIN b ON a.qid = b.qid AND a.id = b.id),
+g AS (SELECT *, unnest([0.0, 0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9, 1.0]::DOUBLE[]) AS alpha FROM f), r AS (SELECT alpha, qid, id, row_number() OVER (PARTITION BY alpha, qid ORDER BY round(alpha * d + (1 - alpha) * x, 9) DESC, id) AS rank FROM g),
+n AS (SELECT qid, count(*) AS n FROM ({_REL}) GROUP BY qid), h AS (SELECT r.alpha, r.qid, count(*) FILTER (WHERE rank <= 5) AS h5, min(rank) AS f, sum(1 / log2(rank + 1)) AS dcg FROM r JOIN ({_REL}) x ON r.qid = x.qid AND r.id = x.id WHERE rank <= 10 GROUP BY 1, 2)
+SELECT alpha, round(sum(h5 / n::DOUBLE) / max(q), 9) AS recall_5, round(sum(dcg / list_sum(list_transform(range(1, least(n, 10) + 1), lambda i: 1 / log2(i + 1)))) / max(q), 9) AS ndcg_10, round(sum(1 / f::DOUBLE) / max(q), 9) AS mrr FROM h JOIN n ON h.qid = n.qid, (SELECT count(*) AS q FROM n) GROUP BY alpha""")
+def ir14_alpha_grid(spark, d):
+    """IR-14: recall at 5, ndcg at 10 and mrr of the weighted fusion for eleven weights, means over the queries."""
+    a, b = _channels(spark, d)
+    told, totals = _told(spark, d, ir.alpha_grid(a, b, _ALPHAS))
+    every = totals.select("qid", "n", F.explode(F.array(*[F.lit(x) for x in _ALPHAS])).alias("alpha"))
+    ten = ir.hit_metrics(told, every, 10, ("alpha", "qid")).select("alpha", "qid", "ndcg", "mrr")
+    out = ir.hit_metrics(told, every, 5, ("alpha", "qid")).select("alpha", "qid", "recall").join(ten, ["alpha", "qid"])
+    return out.groupBy("alpha").agg(F.round(F.avg("recall"), 9).alias("recall_5"), F.round(F.avg("ndcg"), 9).alias("ndcg_10"), F.round(F.avg("mrr"), 9).alias("mrr"))
+
+
+_VARIANTS = f"SELECT qid - qid % 100 AS qid, qid % 100 AS variant, id, rank, score FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) AS rank FROM ({_SEARCH.replace('vec_id % 100 = 0', 'vec_id % 100 = 0 OR vec_id % 200 = 1')}) WHERE score > 0) WHERE rank <= 20"
+
+
+@query(f"""WITH v AS ({_VARIANTS}), s AS (SELECT qid, id, round(CASE WHEN max(n) > 1 THEN sum(1.0::DOUBLE / (60 + rank)) ELSE sum(score) END, 9) AS score FROM v JOIN (SELECT qid, count(DISTINCT variant) AS n FROM v GROUP BY qid) USING (qid) GROUP BY qid, id)
+SELECT qid, id, score, rank::INT AS rank FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) AS rank FROM s) WHERE rank <= 10""")
+def ir06_multi_query(spark, d):
+    """IR-06: every second query has a second variant; those with one keep their own scores."""
+    e = read(spark, d, "embeddings")
+    q = e.where("vec_id % 100 = 0 or vec_id % 200 = 1").select(F.col("vec_id").alias("qid"), F.col("embedding").alias("vec"))
+    found = ir.nearest(q, e.select(F.col("vec_id").alias("id"), F.col("embedding").alias("vec")), 20).where("score > 0")
+    found = found.select((F.col("qid") - F.col("qid") % 100).alias("qid"), (F.col("qid") % 100).alias("variant"), "id", "rank", "score")
+    return ir.ranked(ir.multi_query(found).withColumn("score", F.round("score", 9)), 10).select("qid", "id", "score", "rank")
 
 
 _TOP5 = f"SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) AS rank FROM ({_SEARCH}) WHERE qid <> id) WHERE rank <= 5"

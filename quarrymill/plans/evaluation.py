@@ -277,11 +277,11 @@ def evl11_judge_reliability(spark, d):
 @query(f"""WITH k AS ({CORRECTIONS}), f AS (SELECT classification_id, corrected_level AS final FROM (SELECT *, row_number() OVER (PARTITION BY classification_id ORDER BY corrected_at DESC, correction_id DESC) AS rn FROM k) WHERE rn = 1),
 x AS (SELECT k.*, f.final, EXISTS (SELECT 1 FROM k o WHERE o.classification_id = k.classification_id AND o.corrected_level = f.final AND o.corrected_by <> k.corrected_by) AS comparable FROM k JOIN f ON k.classification_id = f.classification_id)
 SELECT corrected_by AS reviewer, count(*) AS total, count(*) FILTER (WHERE comparable) AS comparable, count(*) FILTER (WHERE comparable AND corrected_level = final) AS agreed, count(*) FILTER (WHERE comparable AND corrected_level <> final) AS overturned,
-round(count(*) FILTER (WHERE comparable AND corrected_level = final) / nullif(count(*) FILTER (WHERE comparable), 0)::DOUBLE, 9) AS reliability FROM x GROUP BY corrected_by""")
+round_even(count(*) FILTER (WHERE comparable AND corrected_level = final) / count(*) FILTER (WHERE comparable)::DOUBLE, 4) AS reliability FROM x GROUP BY corrected_by HAVING count(*) FILTER (WHERE comparable) >= 1""")
 def evl12_reviewer_reliability(spark, d):
     """EVL-12, SRT-05."""
     k = corrections(spark, d).select(F.col("classification_id").alias("item"), F.col("corrected_at").alias("at"), F.col("correction_id").alias("tie"), F.col("corrected_level").alias("level"), F.col("corrected_by").alias("reviewer"))
-    return rounded(ev.reviewer_reliability(k), "reliability")
+    return ev.reviewer_reliability(k)
 
 
 _PAIRS = f"SELECT domain, source, {_T} AS a, {_P} AS b FROM ({PRED})"
@@ -401,20 +401,30 @@ def gat08_regression(spark, d):
     return r.select("provider", "run", F.round(F.col("v") - F.col("before"), 9).alias("delta"), F.coalesce(F.col("v") > F.col("before") * 1.2, F.lit(False)).alias("regressed"), trend.alias("trend"))
 
 
-_COS = "SELECT label, embedding[1]::DOUBLE / sqrt(list_sum(list_transform(embedding, lambda x: x::DOUBLE * x))) AS c FROM embeddings"
+_COS = """SELECT label, list_cosine_similarity(list_transform(embedding, lambda x: x::DOUBLE), m) AS c FROM embeddings, (SELECT list(v ORDER BY k) AS m FROM (SELECT k, avg(x) AS v FROM (SELECT unnest(list_transform(embedding, lambda x: x::DOUBLE)) AS x, generate_subscripts(embedding, 1) AS k FROM embeddings WHERE label < 5) GROUP BY k))"""
 _HIST = "SELECT b.bin, (SELECT count(*) FROM s WHERE s.bin = b.bin AND label < 5) AS q, (SELECT count(*) FROM s WHERE s.bin = b.bin AND label >= 5) AS p FROM (SELECT unnest(range(20)) AS bin) b"
 
 
 @query(f"""WITH s AS (SELECT label, CAST(floor((least(0.9999::DOUBLE, greatest(-1.0::DOUBLE, c)) + 1) / 2 * 20) AS INT) AS bin FROM ({_COS})), h AS ({_HIST}), t AS (SELECT sum(p) AS tp, sum(q) AS tq FROM h),
-k AS (SELECT sum((p / tp::DOUBLE + 1e-9) * ln((p / tp::DOUBLE + 1e-9) / (q / tq::DOUBLE + 1e-9))) AS kl FROM h, t) SELECT round(kl, 9) AS kl, kl >= 0.5 AS alert FROM k""")
+k AS (SELECT greatest(0, sum(greatest(p / tp::DOUBLE, 1e-9) * ln(greatest(p / tp::DOUBLE, 1e-9) / greatest(q / tq::DOUBLE, 1e-9)))) AS kl FROM h, t) SELECT round(kl, 9) AS kl, kl >= 0.5 AS alert FROM k""")
 def gat09_drift(spark, d):
-    """GAT-09, GAT-10: divergence of two parts' histograms of cosines to a fixed direction."""
+    """GAT-09, GAT-10: divergence of two parts' histograms of cosines to the first part's centroid."""
     e = read(spark, d, "embeddings")
-    norm = F.sqrt(F.aggregate(F.transform("embedding", lambda x: x.cast("double") * x.cast("double")), F.lit(0.0), lambda s, v: s + v))
-    c = e.select("label", (F.get("embedding", F.lit(0)).cast("double") / norm).alias("c"))
+    middle = ev.centroid(e.where("label < 5"), "embedding")
+    c = e.crossJoin(F.broadcast(middle)).select("label", stats.cosine(F.transform("embedding", lambda x: x.cast("double")), F.col("centroid")).alias("c"))
     return rounded(ev.drift(spark, c.where("label < 5"), c.where("label >= 5"), "c"), "kl")
 
 
+@query(f"""WITH c AS (SELECT source AS part, unnest(['rows', 'agreement', 'parity']) AS name, unnest([CASE WHEN count(*) >= 10 THEN 'PASS' ELSE 'FAIL' END, CASE WHEN avg((label = pred)::INT) >= 0.6 THEN 'PASS' ELSE 'FAIL' END, CASE WHEN source LIKE '%3' THEN 'BLOCKED' ELSE 'PASS' END]) AS status FROM ({PRED}) GROUP BY source)
+SELECT part, CASE WHEN count(*) FILTER (WHERE status = 'FAIL') > 0 THEN 'FAIL' WHEN count(*) FILTER (WHERE status = 'BLOCKED') > 0 THEN 'CONDITIONALLY_READY' ELSE 'PASS' END AS verdict, count(*) FILTER (WHERE status <> 'PASS') = 0 AS released, coalesce(string_agg(name, ',' ORDER BY name) FILTER (WHERE status <> 'PASS'), '') AS open FROM c GROUP BY part""")
+def gat06_readiness(spark, d):
+    """GAT-06: checks of each source rolled up to a verdict, and whether it is released."""
+    g = predictions(spark, d).groupBy(F.col("source").alias("part")).agg(F.count("*").alias("n"), F.avg((F.col("label") == F.col("pred")).cast("double")).alias("a"))
+    status = (("rows", F.when(F.col("n") >= 10, "PASS").otherwise("FAIL")), ("agreement", F.when(F.col("a") >= 0.6, "PASS").otherwise("FAIL")), ("parity", F.when(F.col("part").endswith("3"), "BLOCKED").otherwise("PASS")))
+    checks = g.select("part", F.explode(F.array(*[F.struct(F.lit(n).alias("name"), s.alias("status")) for n, s in status])).alias("c")).select("part", "c.*")
+    return ev.readiness(checks, "part").withColumn("open", F.array_join("open", ","))
+
+
 @query("""WITH a AS (SELECT event_id, ts, user_id, md5(event_id::VARCHAR) AS own, substr(lag(md5(event_id::VARCHAR)) OVER (PARTITION BY user_id ORDER BY ts, event_id), 1, 16) AS before FROM events)
 SELECT user_id, count(*) AS n, count(*) FILTER (WHERE CASE WHEN event_id % 97 = 0 THEN 'broken' ELSE before END <> before) AS breaks FROM a GROUP BY user_id""")
 def gat13_audit_chain(spark, d):

@@ -423,7 +423,7 @@ def win14_cumulative(spark, d):
 
 @query(f"SELECT model_version, deactivated_at FROM (SELECT model_version, max(inference_ms) AS deactivated_at FROM ({CLASSIFICATIONS}) GROUP BY 1) WHERE model_version <> 'm0' ORDER BY deactivated_at DESC, model_version DESC LIMIT 1")
 def win15_previous_active(spark, d):
-    """WIN-15, GAT-03: the model that was last before the current one."""
+    """WIN-15: the model that was last before the current one."""
     c = classifications(spark, d).groupBy("model_version").agg(F.max("inference_ms").alias("deactivated_at")).where("model_version <> 'm0'")
     return c.orderBy(F.desc("deactivated_at"), F.desc("model_version")).limit(1)
 
@@ -449,13 +449,40 @@ def set01_repeat(spark, d):
 @query("""WITH a AS (SELECT DISTINCT source FROM documents WHERE lang = 'es'), b AS (SELECT DISTINCT source FROM documents WHERE lang = 'de')
 SELECT source, 'added' AS change FROM (SELECT * FROM b EXCEPT SELECT * FROM a) UNION ALL SELECT source, 'removed' FROM (SELECT * FROM a EXCEPT SELECT * FROM b) UNION ALL SELECT source, 'kept' FROM (SELECT * FROM a INTERSECT SELECT * FROM b)""")
 def set02_schema_diff(spark, d):
-    """SET-02, SET-03, GAT-12, MSC-11: codes added, removed and kept."""
+    """SET-02, SET-03, MSC-11: codes added, removed and kept."""
     t = read(spark, d, "documents")
     a, b = (t.where(F.col("lang") == x).select("source").distinct() for x in ("es", "de"))
     mark = lambda df, m: df.select("source", F.lit(m).alias("change"))
     return mark(b.subtract(a), "added").unionByName(mark(a.subtract(b), "removed")).unionByName(mark(a.intersect(b), "kept"))
 
 
+@query("""WITH a AS (SELECT source AS code, row_number() OVER (ORDER BY count(*) DESC, source) AS place FROM documents WHERE lang = 'es' GROUP BY source), b AS (SELECT source AS code, row_number() OVER (ORDER BY count(*) DESC, source) AS place FROM documents WHERE lang = 'de' GROUP BY source)
+SELECT code, CASE WHEN a.place IS NULL THEN 'added' WHEN b.place IS NULL THEN 'removed' WHEN a.place <> b.place THEN 'reordered' ELSE 'kept' END AS change, coalesce(a.place = b.place, FALSE) = FALSE AS retrain FROM a FULL JOIN b USING (code)""")
+def gat12_schema_change(spark, d):
+    """GAT-12: two ordered lists of codes; the window runs over the codes, not the rows."""
+    t = read(spark, d, "documents").groupBy("lang", F.col("source").alias("code")).agg(F.count("*").alias("n"))
+    place = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "code"))
+    old, new = (t.where(F.col("lang") == x).select("code", place.alias("place")) for x in ("es", "de"))
+    return op.schema_changes(old, new)
+
+
+@query("""WITH RECURSIVE e AS (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM events), r AS (
+SELECT user_id, event_id, k, repeat('0', 16) AS p, substr(sha256(repeat('0', 16) || '|' || event_id), 1, 32) AS f FROM e WHERE k = 1
+UNION ALL SELECT e.user_id, e.event_id, e.k, substr(r.f, 1, 16), substr(sha256(r.f || '|' || e.event_id), 1, 32) FROM r JOIN e ON e.user_id = r.user_id AND e.k = r.k + 1) SELECT user_id, event_id, p || ':' || f AS link FROM r""")
+def gat13_chain_build(spark, d):
+    """GAT-13: links of hash chains, one chain a user."""
+    e = read(spark, d, "events").select("user_id", "ts", "event_id", F.col("event_id").cast("string").alias("payload"))
+    return op.chain_links(e, "user_id", ["ts", "event_id"], "payload").select("user_id", "event_id", "link")
+
+
+@query(f"""WITH v AS (SELECT model_version, max(inference_ms) AS gone FROM ({CLASSIFICATIONS}) GROUP BY 1), p AS (SELECT model_version FROM v WHERE model_version <> 'm0' ORDER BY gone DESC, model_version DESC LIMIT 1)
+SELECT model_version, model_version = (SELECT model_version FROM p) AS active_after, model_version = 'm0' AS deactivated FROM v""")
+def gat03_rollback(spark, d):
+    """GAT-03: m0 is active and goes back: the version deactivated last becomes the active one, all others are not."""
+    v = classifications(spark, d).groupBy("model_version").agg(F.max("inference_ms").alias("at"))
+    return op.rolled_back(v, "model_version", "m0", "at")
+
+
 @query("SELECT event_id FROM events WHERE event_type = 'error' OR ts >= (SELECT max(ts) FROM events) - INTERVAL 24 HOUR")
 def set06_backlog_or_recent(spark, d):
     """SET-06, STR-04: the backlog and the last 24 hours, each row once."""

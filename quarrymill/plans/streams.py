@@ -43,10 +43,17 @@ def str03_sustained(spark, d):
 @query("""WITH r AS (SELECT user_id AS message, event_type = 'purchase' AS ok, row_number() OVER (PARTITION BY user_id ORDER BY ts) AS k FROM events), g AS (SELECT message, min(k) FILTER (WHERE ok) AS hit, max(k) AS last FROM r WHERE k <= 5 GROUP BY message)
 SELECT message, CASE WHEN hit IS NOT NULL THEN 'delivered' WHEN last >= 5 THEN 'dead' ELSE 'retry' END AS status, coalesce(hit, last)::INT AS tries, CASE WHEN hit IS NULL AND last < 5 THEN least(power(2, coalesce(hit, last)), 600)::INT ELSE 0 END AS next_wait FROM g""")
 def str05_outbox(spark, d):
-    """STR-05, STR-08."""
+    """STR-05."""
     return jobs.outbox_batch(read(spark, d, "events").select(F.col("user_id").alias("message"), "ts", (F.col("event_type") == "purchase").alias("ok")))
 
 
+@query("""WITH r AS (SELECT user_id % 50 AS batch, user_id AS item, event_type = 'purchase' AS ok, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_type = 'purchase') AS k FROM events), i AS (SELECT batch, item, min(k) FILTER (WHERE ok) AS hit, max(k) AS last FROM r WHERE k <= 3 GROUP BY 1, 2)
+SELECT batch, count(*) AS n_items, count(hit) AS n_ok, CAST(sum(coalesce(hit, last)) AS BIGINT) AS tries, CASE WHEN count(hit) = count(*) THEN 'done' WHEN count(hit) > 0 THEN 'partial' ELSE 'failed' END AS status FROM i GROUP BY batch""")
+def str08_batches(spark, d):
+    """STR-08: items are tried by themselves; a batch is done, partial or failed."""
+    return jobs.batch_status(read(spark, d, "events").select((F.col("user_id") % 50).alias("batch"), F.col("user_id").alias("item"), "ts", (F.col("event_type") == "purchase").alias("ok")))
+
+
 @query("SELECT DISTINCT event_id, event_type FROM events")
 def str06_idempotent(spark, d):
     """STR-06: a stream over what is there, each event twice, written once."""

@@ -83,6 +83,15 @@ def outbox_batch(df: DataFrame) -> DataFrame:
     return g.select("message", status.alias("status"), tries.alias("tries"), F.when(status == "retry", F.least(F.pow(F.lit(2), tries).cast("int"), F.lit(MOST_WAIT))).otherwise(0).alias("next_wait"))
 
 
+def batch_status(attempts: DataFrame, most_tries: int = 3) -> DataFrame:
+    """attempts (batch, item, ts, ok) to (batch, n_items, n_ok, tries, status): each item is tried by itself, most_tries times at most, and fails alone; a batch is done, partial or failed."""
+    listed = F.transform(F.sort_array(F.collect_list(F.struct("ts", "ok"))), lambda x: x["ok"])
+    hit = F.array_position(F.slice("oks", 1, most_tries), True)
+    items = attempts.groupBy("batch", "item").agg(listed.alias("oks")).select("batch", (hit > 0).alias("ok"), F.when(hit > 0, hit).otherwise(F.least(F.size("oks"), F.lit(most_tries))).alias("tries"))
+    n = items.groupBy("batch").agg(F.count("*").alias("n_items"), F.count_if("ok").alias("n_ok"), F.sum("tries").alias("tries"))
+    return n.withColumn("status", F.when(F.col("n_ok") == F.col("n_items"), "done").when(F.col("n_ok") > 0, "partial").otherwise("failed"))
+
+
 def job_states(df: DataFrame) -> DataFrame:
     """The last status of each job (done, partial or failed once it has ended) and its seconds from first to last event."""
     return df.groupBy("job").agg(F.max_by("status", F.struct("ts", "event_id")).alias("status"), (F.max("ts").cast("timestamp").cast("long") - F.min("ts").cast("timestamp").cast("long")).alias("seconds"), F.count_if(F.col("status") == "failed").alias("failures"))

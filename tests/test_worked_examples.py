@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import datetime
+import hashlib
+import hmac
 import io
 import json
 import zipfile
@@ -188,6 +190,37 @@ def test_audit_chain(spark):
     assert [r.link_ok for r in got] == [True, True, True, False]
 
 
+@pytest.mark.parametrize("secret", ["", "k"])
+def test_chain_links(spark, secret):
+    rows = [(c, k, f"p{c}{k}") for c in (1, 2, 3) for k in range(9)]
+    df = spark.createDataFrame(rows, "c int, k int, p string").repartition(4)
+    got = {(r.c, r.k): r.link for r in relational.chain_links(df, "c", ["k"], "p", secret).collect()}
+    for c in (1, 2, 3):
+        before = "0" * 16
+        for k in range(9):
+            m = f"{before}|p{c}{k}".encode()
+            full = (hmac.new(secret.encode(), m, hashlib.sha256) if secret else hashlib.sha256(m)).hexdigest()[:32]
+            assert got[c, k] == f"{before[:16]}:{full}"
+            before = full
+    links = spark.createDataFrame([(c, k, v[:16] if (c, k) != (2, 5) else "x" * 16, v[17:]) for (c, k), v in got.items()], "c int, k int, b string, o string")
+    broken = relational.chain_breaks(links, ["k"], "b", "o", "c").where("not link_ok").collect()
+    assert [(r.c, r.k) for r in broken] == [(2, 5)]
+
+
+def test_small_operators(spark):
+    f = lambda *a: one(spark, labeling.metadata_floor(*[F.lit(x) for x in a]).alias("m")).m
+    assert tuple(f("S3", " Secret", "all")) == ("S1", True, False) and tuple(f("TS", "confidential", "all")) == ("TS", False, False)
+    assert f("S2", "none", "approved_only").conflict and not f("S2", "", "department").conflict and f("S3", None, "department").conflict and not f("S3", "secret", "department").conflict
+    c = ev.readiness(spark.createDataFrame([("a", "x", "PASS"), ("b", "x", "BLOCKED"), ("b", "y", "PASS"), ("c", "x", "FAIL"), ("c", "y", "BLOCKED")], "p string, name string, status string"), "p")
+    assert {(r.p, r.verdict, r.released) for r in c.collect()} == {("a", "PASS", True), ("b", "CONDITIONALLY_READY", False), ("c", "FAIL", False)}
+    s = relational.schema_changes(*[spark.createDataFrame(x, "code string, place int") for x in ([("A", 1), ("B", 2), ("C", 3)], [("A", 1), ("C", 2), ("D", 3)])])
+    assert {tuple(r) for r in s.collect()} == {("A", "kept", False), ("B", "removed", True), ("C", "reordered", True), ("D", "added", True)}
+    m = ev.centroid(spark.createDataFrame([([1.0, 3.0],), ([3.0, 5.0],)], "v array<double>"), "v").first().centroid
+    assert m == [2.0, 4.0]
+    q = retrieval.multi_query(spark.createDataFrame([(1, 0, "a", 1, 0.9), (1, 1, "a", 2, 0.3), (1, 1, "b", 1, 0.4), (2, 0, "c", 1, 0.7)], "qid int, variant int, id string, rank int, score double"))
+    assert {(r.qid, r.id): r.score for r in q.collect()} == pytest.approx({(1, "a"): 1 / 61 + 1 / 62, (1, "b"): 1 / 61, (2, "c"): 0.7})
+
+
 def test_splits_are_stable_and_leak_free(spark):
     df = spark.createDataFrame([(f"k{i % 40}", "AB"[i % 2]) for i in range(80)], "key string, label string")
     h = hygiene.stratified_holdout(df, "key", "label", 0.25, at_least_one=True)
