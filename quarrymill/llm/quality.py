@@ -7,8 +7,9 @@ all rows, keep the fraction of rows nearest by Mahalanobis distance until the
 determinant falls no more. A document far from its group's estimate is rejected.
 
 Every group of least_rows rows has an estimate of its own, whatever the size of the
-table and the number of groups; the rows of smaller ones take their language's model
-if that has least_rows rows, or else that of all rows. The models are a table. Those
+table and the number of groups. A smaller one has its language's, if that has least_rows
+rows, or else that of all rows, drawn towards the group's own rows by their number. The
+models are a table. Those
 with over 1/HOT_KEYS of the rows (so fewer than HOT_KEYS groups, as many languages,
 and all) are broadcast; rows of the others are shuffled to theirs. This doesn't touch
 the results. Rows are aggregated in partial sums by group and distance, so a group with
@@ -223,6 +224,11 @@ def with_models(rows: DataFrame, models: DataFrame) -> DataFrame:
     return near.unionByName(rows.where("not hot").join(models.where("not hot").select(names), "model"))
 
 
+def _sums() -> list:
+    """Aggregates that mean and scatter follow from: the number of rows, the sums of the statistics, and those of their products."""
+    return [F.count("*").cast("double"), *[F.sum(s) for s in STATS], *[F.sum(F.col(a) * F.col(b)) for k, a in enumerate(STATS) for b in STATS[k:]]]
+
+
 def fit(rows: DataFrame, *, keep: float = 0.75, least_rows: int = 200) -> tuple[DataFrame, DataFrame]:
     """A table of models by group, language and all, as far as rows take them, and rows with model and hot of the one that is theirs.
 
@@ -241,8 +247,7 @@ def fit(rows: DataFrame, *, keep: float = 0.75, least_rows: int = 200) -> tuple[
     used = keyed.select(F.explode(F.array_compact(F.array(key("by_grp", "hot_grp"), key("by_lng", "hot_lng"), F.struct(F.lit("a").alias("model"), F.lit(True).alias("hot"))))).alias("m"), *STATS).select("m.*", *STATS)
 
     share = chi2_cdf(chi2_quantile(keep, p), p + 2)
-    pairs = [(i, j) for i in range(p) for j in range(i, p)]
-    sums = [F.count("*").cast("double").alias("s0"), *[F.sum(s).alias(f"s{k + 1}") for k, s in enumerate(STATS)], *[F.sum(F.col(STATS[i]) * F.col(STATS[j])).alias(f"s{p + 1 + k}") for k, (i, j) in enumerate(pairs)]]
+    sums = [c.alias(f"s{k}") for k, c in enumerate(_sums())]
     names = [f"s{k}" for k in range(len(sums))]
     quartiles = used.groupBy("model", "hot").agg(*[F.percentile_approx(s, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)), 2000).alias(s) for s in STATS])
     needed = keyed.select("model").distinct()
@@ -265,13 +270,50 @@ def limits_failed():
     return (F.col("n_words") < 10) | (F.col("n_repeat_words") * 100 > F.col("n_words") * 20)
 
 
+def _shrunk(strength: float):
+    """Rows (..., centre, inverse, sums) with the model drawn from the wider one's (centre and inverse) to the group's own rows, if it has sums: both are averaged, the wider one counting as strength rows."""
+    p = len(STATS)
+
+    def run(batches):
+        for batch in batches:
+            at = {n: batch.schema.get_field_index(n) for n in ("centre", "inverse", "sums")}
+            centres, inverses = [], []
+            for centre, inverse, sums in zip(*[batch.column(at[n]).to_pylist() for n in at], strict=True):
+                if sums and sums[0]:
+                    n, first, second = sums[0], np.array(sums[1 : p + 1]), np.zeros((p, p))
+                    second[np.triu_indices(p)] = sums[p + 1 :]
+                    mean, wide, share = first / n, np.array(centre), strength / (n + strength)
+                    middle = share * wide + (1 - share) * mean
+                    # about the middle, so that a group off the wider centre isn't taken for a spread one twice
+                    own = (second + np.triu(second, 1).T) / n - np.outer(mean, mean)
+                    scatter = share * np.linalg.inv(np.array(inverse).reshape(p, p)) + (1 - share) * own
+                    centre, inverse = middle.tolist(), np.linalg.inv(scatter).reshape(-1).tolist()
+                centres.append(centre)
+                inverses.append(inverse)
+            out = batch.set_column(at["centre"], "centre", pa.array(centres, pa.list_(pa.float64())))
+            out = out.set_column(at["inverse"], "inverse", pa.array(inverses, pa.list_(pa.float64())))
+            yield out.drop_columns(["sums"])
+
+    return run
+
+
+def group_models(keyed: DataFrame, models: DataFrame, least_rows: int = 200) -> DataFrame:
+    """(grp, _n, centre, inverse) of every group: its own estimate where it has one; else that of its language, or of all, drawn towards the group's rows that lie within it, so that each language and source is judged by a model of its own."""
+    groups = keyed.groupBy("grp").agg(F.first("model").alias("model"), F.first("hot").alias("hot"), F.count("*").alias("_n"))
+    wide = with_models(groups, models)
+    small = with_models(keyed.where(F.col("model") != F.concat(F.lit("g"), "grp")).select("grp", "model", "hot", *STATS), models)
+    inner = small.where(_distance() <= chi2_quantile(0.975, len(STATS)))
+    sums = inner.groupBy("grp").agg(F.array(*_sums()).alias("sums"))
+    rows = wide.join(sums, "grp", "left").select("grp", "_n", "centre", "inverse", "sums")
+    return rows.mapInArrow(_shrunk(float(least_rows)), "grp string, _n long, centre array<double>, inverse array<double>")
+
+
 def _judged(docs: DataFrame, tail: float, keep: float, texts: bool) -> DataFrame:
     """The rows of measure() with base_failed, distance and kept. Rows of groups with over 1/HOT_KEYS of the rows stay where they are, those of others are shuffled to their model."""
     spark = docs.sparkSession
     whole = saved(measure(docs, texts), "quality")
     models, keyed = fit(whole.select("grp", "lng", *STATS), keep=keep)
-    groups = keyed.groupBy("grp").agg(F.first("model").alias("model"), F.first("hot").alias("hot"), F.count("*").alias("_n"))
-    theirs = saved(with_models(groups, models).select("grp", "_n", "centre", "inverse"), "quality-groups")
+    theirs = saved(group_models(keyed, models), "quality-groups")
     dropped(spark, keyed)
     dropped(spark, models)
     far = join_hot(whole, theirs, "grp", "_n", whole.count()).withColumn("distance", _distance())

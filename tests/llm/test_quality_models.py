@@ -66,3 +66,23 @@ def test_rows_of_small_sources_take_their_languages_model(spark):
     models, keyed = quality.fit(rows)
     assert {(r.grp, r.model) for r in keyed.select("grp", "model").distinct().collect()} == {("a", "ga"), ("b", "len"), ("c", "a")}
     assert {r.model for r in models.collect()} == {"ga", "len", "a"}
+
+
+def test_small_sources_have_models_of_their_own(spark):
+    """A source of 60 rows about a centre of its own, against the formula; its language has 1,000 rows about another."""
+    r = np.random.default_rng(4)
+    big, few = 0.5 + 0.1 * r.normal(size=(1000, 6)), 0.62 + 0.1 * r.normal(size=(60, 6))
+    data = [("b", "en", *map(float, x)) for x in big] + [("f", "en", *map(float, x)) for x in few] + [("g", "de", *map(float, big[0]))]
+    rows = spark.createDataFrame(data, "grp string, lng string, " + ", ".join(f"{s} double" for s in quality.STATS))
+    models, keyed = quality.fit(rows)
+    m = {x.model: x for x in models.collect()}
+    got = {x.grp: x for x in quality.group_models(keyed, models).collect()}
+    assert set(got) == {"b", "f", "g"} and np.allclose(got["b"].centre, m["gb"].centre)
+    wide, inverse = np.array(m["len"].centre), np.array(m["len"].inverse).reshape(6, 6)
+    d = np.einsum("ij,jk,ik->i", few - wide, inverse, few - wide)
+    inner = few[d <= quality.chi2_quantile(0.975, 6)]
+    share = 200 / (200 + len(inner))
+    assert np.allclose(got["f"].centre, share * wide + (1 - share) * inner.mean(axis=0))
+    scatter = share * np.linalg.inv(inverse) + (1 - share) * np.cov(inner.T, bias=True)
+    assert np.allclose(np.linalg.inv(np.array(got["f"].inverse).reshape(6, 6)), scatter)
+    assert got["f"].centre[0] > wide[0]
