@@ -156,8 +156,8 @@ def unpacked_ids(packed: bytes) -> np.ndarray:
 
 
 def parity(h: np.ndarray) -> bytes:
-    """The parity sketch of a set, of at least twice as many bits (a power of two) as it has shingles."""
-    width = max(64, 1 << (2 * len(h) - 1).bit_length()) if len(h) else 64
+    """The parity sketch of a set, of at least as many bits (a power of two) as it has shingles."""
+    width = max(64, 1 << (len(h) - 1).bit_length()) if len(h) else 64
     odd = np.bincount((h & np.uint64(width - 1)).astype(np.int64), minlength=width) & 1
     return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
 
@@ -322,10 +322,15 @@ def across(members: DataFrame, percent: int) -> DataFrame:
     return dealt.mapInArrow(run, "a long, b long").distinct()
 
 
-def id_filter(ids: DataFrame) -> tuple[np.ndarray, int]:
-    """A bit for the hash of each id (doc) in 16 an id, or in FILTER_BITS if that is less, as bytes, and the number of bits."""
-    size = min(FILTER_BITS, 1 << max(16, (16 * ids.count() - 1).bit_length()))
+def maybe_among(rows: DataFrame, column: str, ids: DataFrame) -> DataFrame:
+    """rows with maybe: true where column is among ids (doc, distinct, a table), and for some others.
+
+    A bit for the hash of each id, in 16 an id, or FILTER_BITS if that is less, is
+    broadcast in chunks; it decides without a shuffle of rows.
+    """
     chunk = 1 << 16
+    size = min(FILTER_BITS, 1 << max(16, (16 * ids.count() - 1).bit_length()))
+    slot = lambda c: F.pmod(F.xxhash64(c), F.lit(size))
 
     def mark(batches):
         held: dict[int, np.ndarray] = {}
@@ -334,36 +339,26 @@ def id_filter(ids: DataFrame) -> tuple[np.ndarray, int]:
             for c in np.unique(slots // chunk).tolist():
                 held.setdefault(c, np.zeros(chunk, np.uint8))[slots[slots // chunk == c] % chunk] = 1
         if held:
-            yield pa.RecordBatch.from_pydict({"chunk": pa.array(list(held), pa.int64()), "bits": pa.array([np.packbits(b, bitorder="little").tobytes() for b in held.values()], pa.binary())})
+            yield pa.RecordBatch.from_pydict({"_chunk": pa.array(list(held), pa.int64()), "_bits": pa.array([np.packbits(b, bitorder="little").tobytes() for b in held.values()], pa.binary())})
 
-    slot = F.pmod(F.xxhash64("doc"), F.lit(size))
-    rows = ids.select(slot.alias("slot")).repartition(min(64, size // chunk), F.floor(F.col("slot") / chunk))
-    bits = np.zeros(size // 8, np.uint8)
-    for r in rows.mapInArrow(mark, "chunk long, bits binary").collect():
-        at = r["chunk"] * chunk // 8
-        bits[at : at + chunk // 8] = np.frombuffer(r["bits"], np.uint8)
-    return bits, size
+    bits = ids.select(slot("doc").alias("slot")).repartition(min(64, size // chunk), F.floor(F.col("slot") / chunk)).mapInArrow(mark, "_chunk long, _bits binary")
+    found = rows.withColumn("_slot", slot(F.col(column).cast("long"))).withColumn("_chunk", F.floor(F.col("_slot") / chunk)).join(F.broadcast(bits), "_chunk", "left")
+    byte = F.conv(F.hex(F.expr("substring(_bits, cast(_slot % 65536 as int) div 8 + 1, 1)")), 16, 10).cast("int")
+    test = byte.bitwiseAND(F.expr("shiftleft(1, cast(_slot % 8 as int))")) != 0
+    return found.withColumn("maybe", F.coalesce(test, F.lit(False))).drop("_slot", "_chunk", "_bits")
 
 
 def sets_of(docs: DataFrame, ids: DataFrame, words: int) -> DataFrame:
     """(doc, items array<long>): the whole sets of the documents in ids (doc, distinct), a table. A filter of bounded size keeps other texts from being read into sets; a semi-join removes those that still pass."""
-    spark = docs.sparkSession
-    small_batches(spark)
-    bits, size = id_filter(ids)
-    sent = spark.sparkContext.broadcast(bits)
+    small_batches(docs.sparkSession)
 
     def run(batches):
-        held = sent.value
         for batch in batches:
-            at = batch.column(2).to_numpy()
-            keep = (held[at // 8] >> (at % 8).astype(np.uint8)) & 1 != 0
-            if keep.any():
-                some = batch.filter(pa.array(keep))
-                items = [shingles(t, words).view(np.int64) for t in some.column(1).to_pylist()]
-                yield pa.RecordBatch.from_arrays([some.column(0), pa.array(items, pa.list_(pa.int64()))], names=["doc", "items"])
+            items = [shingles(t, words).view(np.int64) for t in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(items, pa.list_(pa.int64()))], names=["doc", "items"])
 
     rows = docs.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("doc"), F.col("text").cast("string").alias("text"))
-    found = rows.select("doc", "text", F.pmod(F.xxhash64("doc"), F.lit(size)).alias("slot")).mapInArrow(run, "doc long, items array<long>")
+    found = maybe_among(rows, "doc", ids).where("maybe").select("doc", "text").mapInArrow(run, "doc long, items array<long>")
     return found.join(ids.select("doc"), "doc", "left_semi")
 
 
@@ -431,8 +426,11 @@ def near_components(docs: DataFrame, words: int = 4, percent: int = 85) -> DataF
                 centres = members.groupBy("key").agg(F.min("doc").alias("centre"), F.min("doc").alias("of"), F.count("*").alias("met"))
                 pairs = two.unionByName(_stars(members.withColumn("component", F.col("doc")), centres, total))
             else:
+                # groups of mostly linked classes; in others few pairs pass the sketches, so they wait for the last step
+                sizes = members.groupBy("key").agg(F.count("*").alias("_met"), F.countDistinct("component").alias("parts")).where("parts * 2 <= _met").select("key", "_met")
+                mostly = saved(join_hot(members, sizes, "key", "_met", total), "mostly")
                 by = (F.struct("doc"), F.struct(F.xxhash64("key", "doc").alias("h"), "doc"))
-                stars = [_stars(members, members.groupBy("key").agg(F.max_by("doc", x).alias("centre"), F.max_by("component", x).alias("of"), F.count("*").alias("met")), total) for x in by]
+                stars = [_stars(mostly, mostly.groupBy("key").agg(F.max_by("doc", x).alias("centre"), F.max_by("component", x).alias("of"), F.count("*").alias("met")), total) for x in by]
                 pairs = stars[0].unionByName(stars[1])
             pairs = saved(pairs.distinct(), "pairs")
             candidates = saved(sketch_filter(pairs, sketches, percent), "candidates")
@@ -461,6 +459,12 @@ def near_components(docs: DataFrame, words: int = 4, percent: int = 85) -> DataF
 
 
 def keep_one(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
-    """docs, all columns, without the documents whose component holds a smaller doc_id."""
-    gone = near_components(docs, words, percent).where("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, docs["doc_id"] == gone["_gone"], "left_anti")
+    """docs, all columns, without the documents whose component holds a smaller doc_id. Only texts that a filter of bounded size can't tell from such are shuffled."""
+    near = near_components(docs, words, percent)
+    gone = saved(near.where("doc_id <> component_id").select(F.col("doc_id").alias("doc")).distinct(), "gone")
+    dropped(docs.sparkSession, near)
+    named = docs.select(*[F.col(f"`{c}`").alias(f"c{k}") for k, c in enumerate(docs.columns)])
+    own = f"c{docs.columns.index('doc_id')}"
+    told = maybe_among(named, own, gone)
+    left = told.where("not maybe").unionByName(told.where("maybe").join(gone, F.col(own).cast("long") == gone["doc"], "left_anti"))
+    return left.select(*[F.col(f"c{k}").alias(c) for k, c in enumerate(docs.columns)])

@@ -96,13 +96,9 @@ def stats_of(text: str | None, counts: tuple[int, int, int, int, int]) -> tuple[
 _NUMBERS = [*((c, pa.int64()) for c in COUNTS), *((s, pa.float64()) for s in STATS)]
 
 
-def measure(docs: DataFrame, texts: bool = False) -> DataFrame:
-    """The columns of docs (text, lang, source, ...), the text only with texts=True, under the names c0, c1, ..., then grp and lng, the group and language that models are keyed by, counts and statistics; no shuffle."""
-    small_batches(docs.sparkSession)
-    part = lambda c: F.coalesce(F.concat(F.lit("="), F.col(c).cast("string")), F.lit("-"))
-    named = [F.col(f"`{c}`").alias(f"c{k}") for k, c in enumerate(docs.columns)]
-    rows = docs.select(*named, F.concat_ws("\x1f", part("lang"), part("source")).alias("grp"), part("lang").alias("lng"))
-    at = docs.columns.index("text")
+def measure(rows: DataFrame, at: int, texts: bool = False) -> DataFrame:
+    """rows with counts and statistics of the text, the column at place at, which stays only with texts=True; no shuffle."""
+    small_batches(rows.sparkSession)
     through = [k for k in range(len(rows.columns)) if texts or k != at]
 
     def run(batches):
@@ -308,30 +304,49 @@ def group_models(keyed: DataFrame, models: DataFrame, least_rows: int = 200) ->
     return rows.mapInArrow(_shrunk(float(least_rows)), "grp string, _n long, centre array<double>, inverse array<double>")
 
 
-def _judged(docs: DataFrame, tail: float, keep: float, texts: bool) -> DataFrame:
-    """The rows of measure() with base_failed, distance and kept. Rows of groups with over 1/HOT_KEYS of the rows stay where they are, those of others are shuffled to their model."""
-    spark = docs.sparkSession
-    whole = saved(measure(docs, texts), "quality")
-    models, keyed = fit(whole.select("grp", "lng", *STATS), keep=keep)
-    theirs = saved(group_models(keyed, models), "quality-groups")
+def _grouped(docs: DataFrame) -> DataFrame:
+    """The columns of docs under the names c0, c1, ..., and grp and lng, the group and language that models are keyed by."""
+    part = lambda c: F.coalesce(F.concat(F.lit("="), F.col(c).cast("string")), F.lit("-"))
+    named = [F.col(f"`{c}`").alias(f"c{k}") for k, c in enumerate(docs.columns)]
+    return docs.select(*named, F.concat_ws("\x1f", part("lang"), part("source")).alias("grp"), part("lang").alias("lng"))
+
+
+def _fitted(measured: DataFrame, keep: float) -> DataFrame:
+    """A table (grp, _n, centre, inverse) of every group of measured rows, a table."""
+    spark = measured.sparkSession
+    models, keyed = fit(measured.select("grp", "lng", *STATS), keep=keep)
+    out = saved(group_models(keyed, models), "quality-groups")
     dropped(spark, keyed)
     dropped(spark, models)
-    far = join_hot(whole, theirs, "grp", "_n", whole.count()).withColumn("distance", _distance())
+    return out
+
+
+def _verdicts(rows: DataFrame, tail: float) -> DataFrame:
+    """Measured rows with centre and inverse, to these with base_failed, distance and kept."""
     limit = chi2_quantile(1.0 - tail, len(STATS))
-    return far.withColumn("base_failed", limits_failed()).withColumn("kept", ~limits_failed() & F.coalesce(F.col("distance") <= limit, F.lit(True)))
+    far = rows.withColumn("distance", _distance()).withColumn("base_failed", limits_failed())
+    return far.withColumn("kept", ~F.col("base_failed") & F.coalesce(F.col("distance") <= limit, F.lit(True)))
 
 
 def judge(docs: DataFrame, *, tail: float = 1e-6, keep: float = 0.75) -> DataFrame:
     """docs (doc_id, text, lang, source) with counts, base_failed, distance (squared Mahalanobis) and kept.
 
     tail: the share of ordinary rows, were they normal, that the distance limit rejects.
+    Rows of groups with over 1/HOT_KEYS of the rows stay where they are, those of others
+    are shuffled to their model.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), "lang", "source")
-    out = _judged(rows, tail, keep, False)
+    whole = saved(measure(_grouped(rows), 1), "quality")
+    out = _verdicts(join_hot(whole, _fitted(whole, keep), "grp", "_n", whole.count()), tail)
     return out.select(F.col("c0").alias("doc_id"), *COUNTS, "base_failed", "kept", "distance", *STATS)
 
 
 def kept(docs: DataFrame, *, tail: float = 1e-6, keep: float = 0.75) -> DataFrame:
-    """The rows of docs, all columns, that judge() keeps. The texts are written once beside their statistics and not shuffled."""
-    out = _judged(docs, tail, keep, True).where("kept")
+    """The rows of docs, all columns, that judge() keeps. Texts are read and measured twice, once for the models and once beside them, rather than stored again or shuffled; only those of groups with at most 1/HOT_KEYS of the rows are shuffled to their model."""
+    rows = _grouped(docs)
+    at = docs.columns.index("text")
+    whole = saved(measure(rows.select(F.col(f"c{at}"), "grp", "lng"), 0), "quality")
+    models = join_hot(rows, _fitted(whole, keep), "grp", "_n", whole.count())
+    dropped(docs.sparkSession, whole)
+    out = _verdicts(measure(models, at, texts=True), tail).where("kept")
     return out.select(*[F.col(f"c{k}").alias(c) for k, c in enumerate(docs.columns)])

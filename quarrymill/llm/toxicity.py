@@ -180,7 +180,7 @@ def learn(training: DataFrame, *, bound: int = 20_000, shortest: int = 4, longes
     rows = rows if most is None else rows.where(F.col("h") <= most)
     # dealt out evenly: the sample is small, reading its texts is not
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    sample = saved(rows.repartition(parts, "h").groupBy("h").agg(F.first("text").alias("text"), F.min("toxic").cast("int").alias("toxic")).select("text", "toxic"), "toxic-sample")
+    sample = saved(rows.groupBy("h").agg(F.first("text").alias("text"), F.min("toxic").cast("int").alias("toxic")).repartition(parts, "h").select("text", "toxic"), "toxic-sample")
     sizes = {int(r.toxic): int(r.n) for r in sample.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     n_pos, n_neg = sizes.get(1, 0), sizes.get(0, 0)
     if not n_pos or not n_neg:
