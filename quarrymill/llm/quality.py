@@ -96,9 +96,10 @@ def stats_of(text: str | None, counts: tuple[int, int, int, int, int]) -> tuple[
 _NUMBERS = [*((c, pa.int64()) for c in COUNTS), *((s, pa.float64()) for s in STATS)]
 
 
-def measure(rows: DataFrame, at: int, texts: bool = False) -> DataFrame:
-    """rows with counts and statistics of the text, the column at place at, which stays only with texts=True; no shuffle."""
+def measure(rows: DataFrame, text: str, texts: bool = False) -> DataFrame:
+    """rows with counts and statistics of the column text, which stays only with texts=True; no shuffle."""
     small_batches(rows.sparkSession)
+    at = rows.columns.index(text)
     through = [k for k in range(len(rows.columns)) if texts or k != at]
 
     def run(batches):
@@ -336,7 +337,7 @@ def judge(docs: DataFrame, *, tail: float = 1e-6, keep: float = 0.75) -> DataFra
     are shuffled to their model.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), "lang", "source")
-    whole = saved(measure(_grouped(rows), 1), "quality")
+    whole = saved(measure(_grouped(rows), "c1"), "quality")
     out = _verdicts(join_hot(whole, _fitted(whole, keep), "grp", "_n", whole.count()), tail)
     return out.select(F.col("c0").alias("doc_id"), *COUNTS, "base_failed", "kept", "distance", *STATS)
 
@@ -344,9 +345,9 @@ def judge(docs: DataFrame, *, tail: float = 1e-6, keep: float = 0.75) -> DataFra
 def kept(docs: DataFrame, *, tail: float = 1e-6, keep: float = 0.75) -> DataFrame:
     """The rows of docs, all columns, that judge() keeps. Texts are read and measured twice, once for the models and once beside them, rather than stored again or shuffled; only those of groups with at most 1/HOT_KEYS of the rows are shuffled to their model."""
     rows = _grouped(docs)
-    at = docs.columns.index("text")
-    whole = saved(measure(rows.select(F.col(f"c{at}"), "grp", "lng"), 0), "quality")
+    text = f"c{docs.columns.index('text')}"
+    whole = saved(measure(rows.select(text, "grp", "lng"), text), "quality")
     models = join_hot(rows, _fitted(whole, keep), "grp", "_n", whole.count())
     dropped(docs.sparkSession, whole)
-    out = _verdicts(measure(models, at, texts=True), tail).where("kept")
+    out = _verdicts(measure(models, text, texts=True), tail).where("kept")
     return out.select(*[F.col(f"c{k}").alias(c) for k, c in enumerate(docs.columns)])
