@@ -123,3 +123,31 @@ def votes(hits: DataFrame, label: str) -> DataFrame:
     g = s.groupBy("qid").agg(ranked_labels.alias("r"), F.sum("s").alias("t"))
     top, second = -F.get("r", F.lit(0))["m"], F.coalesce(-F.get("r", F.lit(1))["m"], F.lit(0.0))
     return g.select("qid", F.get("r", F.lit(0))["l"].alias("voted"), stats.ratio(top, F.col("t")).alias("share"), stats.ratio(top - second, F.col("t")).alias("margin"), (F.size("r") == 1).alias("unanimous"))
+
+
+def expanded(queries: DataFrame, rules: Column, suggested: DataFrame | None = None, most: int = 5) -> DataFrame:
+    """queries (qid, text) with variants: the text, then those of rules (an array), then those of suggested (qid, variants; from a model, say), each once, the first most."""
+    out = queries.withColumn("_rules", rules)
+    out = out.join(suggested.select("qid", F.col("variants").alias("_more")), "qid", "left") if suggested is not None else out.withColumn("_more", F.lit(None).cast("array<string>"))
+    none = F.array().cast("array<string>")
+    every = F.concat(F.array("text"), F.coalesce("_rules", none), F.coalesce("_more", none))
+    return out.withColumn("variants", F.slice(F.array_distinct(F.array_compact(every)), 1, most)).drop("_rules", "_more")
+
+
+def reindexed(index: DataFrame, stored: DataFrame, cut: Column) -> DataFrame:
+    """index (doc, id, content) in which the documents of stored (doc, n, ...) have new rows only: each stored chunk is cut again (cut: an array of texts), numbered on through the document, with ids doc:c0, doc:c1, ..."""
+    parts = stored.select("doc", "n", F.posexplode(cut).alias("k", "content"))
+    at = F.row_number().over(Window.partitionBy("doc").orderBy("n", "k")) - 1
+    fresh = parts.select("doc", F.concat(F.col("doc").cast("string"), F.lit(":c"), at.cast("string")).alias("id"), "content")
+    return index.select("doc", "id", "content").join(stored.select("doc").distinct(), "doc", "left_anti").unionByName(fresh)
+
+
+def cached_embeddings(texts: DataFrame, embed, model: str, path: str) -> DataFrame:
+    """(key, vector) of the distinct texts (text) under a model: those in the Parquet cache at path as they are, the others by embed (a function of a column), added to the cache. The key is the SHA-1 of model, a unit separator and the text."""
+    spark = texts.sparkSession
+    wanted = texts.where("text is not null").select(F.sha1(F.concat(F.lit(model + "\x1f"), "text").cast("binary")).alias("key"), "text").dropDuplicates(["key"])
+    schema = "key string, vector array<double>"
+    spark.createDataFrame([], schema).write.mode("append").parquet(path)
+    known = spark.read.schema(schema).parquet(path)
+    wanted.join(known.select("key"), "key", "left_anti").select("key", embed("text").alias("vector")).write.mode("append").parquet(path)
+    return spark.read.schema(schema).parquet(path).join(wanted.select("key"), "key", "left_semi")

@@ -214,7 +214,7 @@ def chk02_heading_split(spark, d):
 
 @query("""SELECT conv_id, sha1(string_agg(text, chr(10) ORDER BY turn)) AS text_sha1, 'c' || conv_id || ':c' || (count(*) - 1) AS last_chunk FROM conversations GROUP BY conv_id HAVING length(string_agg(text, chr(10) ORDER BY turn)) >= 10""")
 def chk08_reconstruction(spark, d):
-    """CHK-06, CHK-08: chunks joined in order, short texts dropped; ids by position."""
+    """CHK-08: chunks joined in order, short texts dropped; ids by position."""
     g = read(spark, d, "conversations").groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", "text"))).alias("c"))
     t = F.array_join(F.transform("c", lambda x: x["text"]), "\n")
     return g.where(F.length(t) >= 10).select("conv_id", F.sha1(t).alias("text_sha1"), F.concat(F.lit("c"), "conv_id", F.lit(":c"), F.size("c") - 1).alias("last_chunk"))
@@ -246,7 +246,7 @@ def vec04_centroids(spark, d):
 
 @query()
 def vec01_hash_embedding(spark, d):
-    """VEC-01, IR-16: distinct texts are embedded once and joined back by key."""
+    """VEC-01: distinct texts are embedded once and joined back by key."""
     t = docs_for_python(spark, d).select("doc_id", "text", text.text_key("text", "collapse").alias("key"))
     once = t.groupBy("key").agg(F.min("text").alias("text")).select("key", arrow.hash_embedding(64)("text").alias("v"))
     return t.select("doc_id", "key").join(once, "key").select("doc_id", F.round(F.get("v", F.lit(0)), 9).alias("v0"), F.size("v").alias("dims"))

@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from quarrymill.functions import grades, stats
+from quarrymill.operators import labeling as lb
 from quarrymill.streaming.jobs import Hysteresis
 
 from .projections import CORRECTIONS, GOLD, PRED, corrections, gold, predictions, read
@@ -125,3 +126,11 @@ def str11_consumed_trail(spark, d):
     """STR-11: each reviewer's consumed corrections in order."""
     k = corrections(spark, d).where("consumed").groupBy("corrected_by").agg(F.sort_array(F.collect_list(F.struct("corrected_at", "correction_id"))).alias("c"))
     return k.select("corrected_by", F.array_join(F.transform("c", lambda x: x["correction_id"].cast("string")), ",").alias("trail"))
+
+
+@query("""SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN 'SECRECY' WHEN 1 THEN 'VALUE' WHEN 2 THEN 'MANAGEMENT' ELSE 'OTHER' END AS factor, CASE WHEN doc_id % 7 = 0 THEN 0.0::DOUBLE ELSE round_even(least(5.0::DOUBLE, (n_chars % 100) / (doc_id % 7)::DOUBLE * 5), 2) END AS score FROM documents""")
+def lab02_factors(spark, d):
+    """LAB-02: older factor codes stand for the new ones; scores on a scale of five."""
+    i = F.col("doc_id") % 4
+    code = F.when(i == 0, "NON_PUBLICITY").when(i == 1, F.when(F.col("doc_id") % 8 == 1, "LEAK_IMPACT").otherwise("ECONOMIC_VALUE")).when(i == 2, "MANAGEMENT_LEVEL").otherwise("OTHER")
+    return read(spark, d, "documents").select("doc_id", grades.folded_factor(code).alias("factor"), lb.scaled(F.col("n_chars") % 100, F.col("doc_id") % 7).alias("score"))

@@ -26,9 +26,11 @@ def build_session(name: str = "quarrymill", master: str | None = None, conf: dic
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new path under spark.checkpoint.dir, or under a local folder only where that is unset."""
+    """A new path under spark.checkpoint.dir. Where that is unset, under a local folder if driver and executors are one process; else an error, as executors would not see each other's files."""
     base = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         base = "file://" + tempfile.mkdtemp(prefix="quarrymill-")
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/quarrymill/{name}-{uuid.uuid4().hex}"

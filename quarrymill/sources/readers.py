@@ -6,6 +6,7 @@ import io
 import re
 import xml.etree.ElementTree as ET
 import zipfile
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -109,12 +110,14 @@ def _pptx(data: bytes) -> str:
     return "\n".join(line for k, n in enumerate(slides, 1) for line in (f"[slide {k}]", *(x for x in _xml_text(z.read(n), "p") if x.strip())))
 
 
-def extract_one(path: str, data: bytes) -> dict:
-    """text, method, quality and error of a file, by its suffix; what can't be read has an empty text and its reason."""
+def extract_one(path: str, data: bytes, others: dict[str, Callable[[bytes], str]] | None = None) -> dict:
+    """text, method, quality and error of a file, by its suffix; what can't be read has an empty text and its reason. others: readers of further suffixes (or in place of those here), such as ones that need a library."""
     from quarrymill.functions.arrow import normal_text
 
     suffix = path.rsplit(".", 1)[-1].lower() if "." in path.rsplit("/", 1)[-1] else ""
     try:
+        if others and suffix in others:
+            return {"text": others[suffix](data), "method": suffix, "quality": 0.9, "error": None}
         if suffix in ("txt", "md", "log", "csv"):
             try:
                 return {"text": data.decode("utf-8"), "method": "text", "quality": 1.0, "error": None}
@@ -133,13 +136,13 @@ def extract_one(path: str, data: bytes) -> dict:
     return {"text": "", "method": "none", "quality": 0.0, "error": f"unsupported: {suffix}"}
 
 
-@F.pandas_udf(EXTRACT)
-def extract(path: pd.Series, content: pd.Series) -> pd.DataFrame:
-    return pd.DataFrame([extract_one(p, bytes(c)) for p, c in zip(path, content, strict=True)], columns=EXTRACT.names)
+def documents(spark: SparkSession, path: str, others: dict[str, Callable[[bytes], str]] | None = None) -> DataFrame:
+    """(path, length, text, method, quality, error) of all files under path; others as in extract_one()."""
+    shipped(spark)
 
+    @F.pandas_udf(EXTRACT)
+    def extract(path: pd.Series, content: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([extract_one(p, bytes(c), others) for p, c in zip(path, content, strict=True)], columns=EXTRACT.names)
 
-def documents(spark: SparkSession, path: str) -> DataFrame:
-    """(path, length, text, method, quality, error) of all files under path."""
-    shipped(spark)
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
     return files.select("path", "length", extract("path", "content").alias("x")).select("path", "length", "x.*")

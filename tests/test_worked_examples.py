@@ -257,6 +257,19 @@ def test_office_files(spark, tmp_path):
     assert got["c.bin"].error == "unsupported: bin" and got["d.docx"].text == "" and got["d.docx"].error
 
 
+def test_hooks(spark, tmp_path):
+    (tmp_path / "a.pdf").write_bytes(b"%PDF x")
+    (tmp_path / "b.hwp").write_bytes(b"y")
+    got = {r.path.rsplit("/", 1)[-1]: r for r in readers.documents(spark, str(tmp_path), {"pdf": lambda data: data.decode()[5:], "hwp": lambda data: 1 / 0}).collect()}
+    assert got["a.pdf"].text == "x" and got["b.hwp"].text == "" and "ZeroDivisionError" in got["b.hwp"].error
+    mask = arrow.masked_entities(lambda t: [(0, 3, "PER"), (2, 5, "ORG"), (6, 9, "LOC")])
+    assert [r[0] for r in spark.createDataFrame([("abcde fgh",), (None,)], "t string").select(mask("t")).collect()] == ["ab[ORG] [LOC]", None]
+    q = spark.createDataFrame([(1, "x"), (2, "y")], "qid int, text string")
+    more = spark.createDataFrame([(1, ["z", "x", "w"])], "qid int, variants array<string>")
+    got = {r.qid: r.variants for r in retrieval.expanded(q, F.array(F.lit("r")), more, 4).collect()}
+    assert got == {1: ["x", "r", "z", "w"], 2: ["y", "r"]}
+
+
 def test_alias_swap(spark, tmp_path):
     for v in ("1", "2"):
         writers.swap(spark, spark.createDataFrame([(int(v),)], "x int"), str(tmp_path / "t"), v, str(tmp_path / "alias"), "now")
