@@ -51,9 +51,10 @@ def txt01_normalize(spark, d):
 _COLLAPSED = r"""trim(array_to_string(list_transform(string_split(regexp_replace(regexp_replace(regexp_replace(text, '\r\n?', chr(10), 'g'), '[ \t]+', ' ', 'g'), '\n{3,}', chr(10) || chr(10), 'g'), chr(10)), lambda x: trim(x)), chr(10)))"""
 
 
-@query(f"SELECT doc_id, sha1({_COLLAPSED}) AS lines_sha1, CASE WHEN length(text) = 0 THEN 0.0::DOUBLE WHEN length({_COLLAPSED}) < 50 THEN 0.2::DOUBLE ELSE round(least(1.0::DOUBLE, 0.5 * length({_COLLAPSED}) / length(text)), 9) END AS quality FROM documents WHERE NOT regexp_matches(text, '[가-힯]')")
+@query(f"""WITH n AS (SELECT doc_id, text, {_COLLAPSED} AS n FROM documents), k AS (SELECT *, (length(n) - length(regexp_replace(n, '[가-힯]', '', 'g'))) / greatest(length(n), 1)::DOUBLE AS kr FROM n)
+SELECT doc_id, sha1(n) AS lines_sha1, CASE WHEN coalesce(length(text), 0) = 0 THEN 0.0::DOUBLE WHEN length(n) < 50 THEN 0.2::DOUBLE ELSE round(least(1.0::DOUBLE, 0.5 * length(n) / length(text) + 0.5 * CASE WHEN kr > 0.1 THEN 1 ELSE 10 * kr END), 9) END AS quality FROM k""")
 def txt03_quality(spark, d):
-    """TXT-03, and the line rules of TXT-01, of every document; the SQL covers those without Hangul only, and not null texts."""
+    """TXT-03, and the line rules of TXT-01, of every document."""
     normal = text.collapse_lines("text")
     return docs(spark, d).select("doc_id", F.sha1(normal).alias("lines_sha1"), F.round(text.quality_score("text", normal), 9).alias("quality"))
 
