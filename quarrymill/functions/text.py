@@ -26,6 +26,10 @@ BUSINESS_WEIGHTS = (1, 3, 7, 1, 3, 7, 1, 3, 5)
 #: Numbers with units, led by up to 14 characters, and quoted phrases.
 BODY_NUMBER = r"[가-힣A-Za-z][가-힣A-Za-z·\s]{0,12}?\s?\d{1,4}(?:[.,]\d+)?\s?(?:%|nm|fps|ms|μm|GHz|MHz|kW|W|V|℃|배|억원|억|만원|만|건|개월|분기|차)"
 BODY_QUOTE = r"[「『\"']([가-힣A-Za-z0-9][^「『\"'」』]{1,28})[」』\"']"
+#: Grades written into a text, broken encodings, and marks of made-up texts.
+BRACKET_GRADES = r"\[특급기밀\]|\[1급\s*비밀\]|\[2급\s*비밀\]|\[3급\s*공개\]|\[TS\]|\[S1\]|\[S2\]|\[S3\]|특급기밀\s*관련\s*사항|비밀\s*관련\s*사항"
+MOJIBAKE = r"[愿蹂諛以]|\\ufffd|\?{3,}"
+SYNTHETIC = r"\[가상기업[A-Z가-힣]\]|\[홍길동\(가명\)\]|\[등급분류\]|\[기밀자료\]|\[내부자료\]|\[등급코드\]|Noop fallback"
 ENTITIES = (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", " "), ("&amp;", "&"))
 
 

@@ -34,6 +34,22 @@ def svm_grade(s: Column, v: Column, m: Column) -> Column:
     return F.when((s == 2) & (v == 2), F.when(product >= 4, "TS").otherwise("S1")).when(product >= 1, "S2").otherwise("S3")
 
 
+#: The levels of secrecy, value and management that stand for a grade.
+LEVELS = {"TS": (2, 2, 2), "S1": (2, 2, 0), "S2": (1, 1, 1), "S3": (0, 0, 0)}
+
+
+def guarded_grade(content: Column, public: Column, managed: Column) -> Column:
+    """struct<grade, svm, secrecy, value, management>: the levels that a content grade, public marks and signs of management give, their grade, and the more secret of this and the content's. Where that isn't the levels' own grade, the levels shown are those of the final one."""
+    strong, least = grades.is_high(content), content == GRADES[-1]
+    s = F.when(public | least, 0).when(strong, 2).otherwise(1)
+    v = F.when(least, 0).when(strong, 2).otherwise(1)
+    m = F.when(managed, 2).when(least | (content == "S1"), 0).otherwise(1)
+    svm = svm_grade(s, v, m)
+    final = grades.more_secret(svm, content)
+    shown = [F.when(svm == final, own).otherwise(F.element_at(F.create_map(*[F.lit(x) for g in GRADES for x in (g, LEVELS[g][k])]), final)) for k, own in enumerate((s, v, m))]
+    return F.struct(final.alias("grade"), svm.alias("svm"), *[c.alias(n) for n, c in zip(("secrecy", "value", "management"), shown, strict=True)])
+
+
 def scaled(v: Column, highest: Column) -> Column:
     """A score on a scale of five, two places."""
     return F.when(highest > 0, F.bround(F.least(F.lit(5.0), v / highest * 5), 2)).otherwise(0.0)

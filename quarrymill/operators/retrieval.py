@@ -27,14 +27,6 @@ def nearest(queries: DataFrame, corpus: DataFrame, k: int, query_bound: int = 10
     return out.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
-def postings(docs: DataFrame, tokens: Column) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(id, term, tf, len), (term, df) and one row (n, avgdl). docs: id and what tokens reads."""
-    t = docs.select("id", tokens.alias("t")).withColumn("len", F.size("t"))
-    tf = t.select("id", "len", F.explode("t").alias("term")).groupBy("id", "term").agg(F.count("*").alias("tf"), F.first("len").alias("len"))
-    df = tf.groupBy("term").agg(F.count("*").alias("df"))
-    return tf, df, t.agg(F.count("*").alias("n"), F.avg("len").alias("avgdl"))
-
-
 def bm25(queries: DataFrame, docs: DataFrame, tokens: Column, k1: float = 1.5, b: float = 0.75) -> DataFrame:
     """(qid, id, score) of the documents that share a term with a query. queries (qid, term), distinct.
 

@@ -453,6 +453,15 @@ def lab03_svm(spark, d):
     return docs(spark, d).select("doc_id", lb.svm_grade(F.col("doc_id") % 3, F.col("n_chars") % 3, F.floor(F.col("doc_id") / 3) % 3).alias("grade"))
 
 
+@query(f"""WITH b AS (SELECT doc_id, pred AS c, doc_id % 5 = 0 AS public, doc_id % 3 = 0 AS managed FROM ({PRED})), l AS (SELECT *, CASE WHEN public OR c = 'S3' THEN 0 WHEN c IN ('TS', 'S1') THEN 2 ELSE 1 END AS s, CASE WHEN c = 'S3' THEN 0 WHEN c IN ('TS', 'S1') THEN 2 ELSE 1 END AS v, CASE WHEN managed THEN 2 WHEN c IN ('S3', 'S1') THEN 0 ELSE 1 END AS m FROM b),
+g AS (SELECT *, CASE WHEN s = 2 AND v = 2 THEN CASE WHEN s * v * m >= 4 THEN 'TS' ELSE 'S1' END WHEN s * v * m >= 1 THEN 'S2' ELSE 'S3' END AS svm FROM l), f AS (SELECT *, CASE WHEN {ORDER_SQL.format('svm')} <= {ORDER_SQL.format('c')} THEN svm ELSE c END AS grade FROM g)
+SELECT doc_id, grade, svm, CASE WHEN svm = grade THEN [s, v, m] WHEN grade = 'TS' THEN [2, 2, 2] WHEN grade = 'S1' THEN [2, 2, 0] WHEN grade = 'S2' THEN [1, 1, 1] ELSE [0, 0, 0] END[1]::INT * 100 + CASE WHEN svm = grade THEN [s, v, m] WHEN grade = 'TS' THEN [2, 2, 2] WHEN grade = 'S1' THEN [2, 2, 0] WHEN grade = 'S2' THEN [1, 1, 1] ELSE [0, 0, 0] END[2]::INT * 10 + CASE WHEN svm = grade THEN [s, v, m] WHEN grade = 'TS' THEN [2, 2, 2] WHEN grade = 'S1' THEN [2, 2, 0] WHEN grade = 'S2' THEN [1, 1, 1] ELSE [0, 0, 0] END[3]::INT AS levels FROM f""")
+def lab03_guarded(spark, d):
+    """LAB-03: the content guard, and the levels shown."""
+    g = lb.guarded_grade(F.col("pred"), F.col("doc_id") % 5 == 0, F.col("doc_id") % 3 == 0)
+    return predictions(spark, d).select("doc_id", g.alias("g")).select("doc_id", "g.grade", "g.svm", (F.col("g.secrecy") * 100 + F.col("g.value") * 10 + F.col("g.management")).alias("levels"))
+
+
 _L, _P = ORDER_SQL.format("label"), ORDER_SQL.format("pred")
 
 
@@ -516,16 +525,16 @@ def inf01_chunk_aggregation(spark, d):
     return rounded(a.withColumn("grade", lb.escalated([c("p_ts"), c("p_s1"), c("p_s2"), F.lit(0.1)], 0.6)), "p_ts", "p_s1", "p_s2")
 
 
-_OV = "((doc_id * 13) % 40) / 10.0::DOUBLE"
+_OV, _OV1, _OV2 = (f"((doc_id * {k}) % 40) / 10.0::DOUBLE" for k in (13, 7, 3))
 
 
-@query(f"""WITH o AS (SELECT *, {_OV} AS s, CASE WHEN {_OV} >= 3.0 THEN 'TS' WHEN {_OV} >= 2.2 THEN 'S1' WHEN {_OV} >= 1.6 THEN 'S2' END AS ruled FROM ({PRED})), r AS (SELECT *, CASE WHEN ruled IS NOT NULL AND {ORDER_SQL.format('ruled')} < {_P} THEN ruled ELSE pred END AS g, source IN ('src7', 'src12') AS public FROM o)
+@query(f"""WITH o AS (SELECT *, {_OV} AS s, CASE WHEN {_OV} >= 3.0 THEN 'TS' WHEN {_OV1} >= 2.2 THEN 'S1' WHEN {_OV2} >= 1.6 THEN 'S2' END AS ruled FROM ({PRED})), r AS (SELECT *, CASE WHEN ruled IS NOT NULL AND {ORDER_SQL.format('ruled')} < {_P} THEN ruled ELSE pred END AS g, source IN ('src7', 'src12') AS public FROM o)
 SELECT doc_id, CASE WHEN public THEN 'S3' ELSE g END AS grade, CASE WHEN public THEN least(confidence, 0.7::DOUBLE) ELSE confidence END AS confidence, public AND g IN ('TS', 'S1') AS conflict,
 CASE WHEN CASE WHEN public THEN least(confidence, 0.7::DOUBLE) ELSE confidence END < 0.7 OR (public AND g IN ('TS', 'S1')) OR (s > 0 AND s < 0.9) THEN 'needs_review' ELSE 'staging' END AS status FROM r""")
 def inf08_routing(spark, d):
-    """INF-04, 05, 06, 07, 08."""
-    s = ((F.col("doc_id") * 13) % 40) / F.lit(10.0)
-    p = predictions(spark, d).withColumn("s", s).withColumn("g", lb.overridden(F.col("pred"), F.col("s"), F.col("s"), F.col("s")))
+    """INF-04, 05, 07, 08."""
+    s, s1, s2 = (((F.col("doc_id") * k) % 40) / F.lit(10.0) for k in (13, 7, 3))
+    p = predictions(spark, d).withColumn("s", s).withColumn("g", lb.overridden(F.col("pred"), s, s1, s2))
     p = p.withColumn("c", lb.capped_public(F.col("g"), F.col("confidence"), F.col("source").isin("src7", "src12")))
     r = lb.routed(F.col("c.confidence"), F.col("c.conflict"), (F.col("s") > 0) & (F.col("s") < 0.9))
     return p.select("doc_id", "c.grade", "c.confidence", "c.conflict", r["status"].alias("status"))

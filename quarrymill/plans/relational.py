@@ -333,16 +333,27 @@ def agg12_evidence(spark, d):
     return out.select("doc_id", F.size("r").cast("long").alias("n"), F.aggregate("r", F.lit(0).cast("long"), lambda s, x: s - x["w"]).alias("weight"), F.array_join(F.transform(F.slice("r", 1, 5), lambda x: x["t"]), ",").alias("top"))
 
 
-@query(f"""WITH p AS (SELECT source, count(*) AS n, count(*) FILTER (WHERE text IS NULL OR trim(text) = '') AS n_empty, count(DISTINCT {KEY_SQL.format('text')}) / count(*)::DOUBLE AS unique_ratio,
-count(*) FILTER (WHERE regexp_matches(text, '\\[(TS|S1|S2|S3)\\]')) / count(*)::DOUBLE AS bracket_ratio, count(*) FILTER (WHERE contains(text, '�') OR contains(text, 'Ã')) / count(*)::DOUBLE AS mojibake_ratio FROM documents GROUP BY source)
-SELECT source, n, n_empty, round(unique_ratio, 6) AS unique_ratio, round(bracket_ratio, 6) AS bracket_ratio, round(mojibake_ratio, 6) AS mojibake_ratio,
-CASE WHEN n_empty > 0 OR bracket_ratio > 0.05 OR mojibake_ratio > 0.01 THEN 'FAIL' WHEN unique_ratio < 0.95 THEN 'WARN' ELSE 'PASS' END AS verdict FROM p""")
+_MARKED = {
+    "bracket_ratio": r"\[특급기밀\]|\[1급\s*비밀\]|\[2급\s*비밀\]|\[3급\s*공개\]|\[TS\]|\[S1\]|\[S2\]|\[S3\]|특급기밀\s*관련\s*사항|비밀\s*관련\s*사항",
+    "mojibake_ratio": r"[愿蹂諛以]|\\ufffd|\?{3,}",
+    "synthetic_ratio": r"\[가상기업[A-Z가-힣]\]|\[홍길동\(가명\)\]|\[등급분류\]|\[기밀자료\]|\[내부자료\]|\[등급코드\]|Noop fallback",
+}
+
+
+@query(f"""WITH d AS (SELECT source, CASE WHEN doc_id % 50 = 0 THEN '[TS] ' ELSE '' END || CASE WHEN doc_id % 61 = 0 THEN ' ??? ' ELSE '' END || text || CASE WHEN doc_id % 97 = 0 THEN ' [내부자료]' ELSE '' END AS text FROM documents),
+p AS (SELECT source, count(*) AS n, count(*) FILTER (WHERE text IS NULL OR trim(text) = '') AS n_empty, count(DISTINCT {KEY_SQL.format('text')}) / count(*)::DOUBLE AS unique_ratio, {', '.join(f"count(*) FILTER (WHERE regexp_matches(text, '{p}')) / count(*)::DOUBLE AS {k}" for k, p in _MARKED.items())} FROM d GROUP BY source)
+SELECT source, n, n_empty, round(unique_ratio, 6) AS unique_ratio, round(bracket_ratio, 6) AS bracket_ratio, round(mojibake_ratio, 6) AS mojibake_ratio, round(synthetic_ratio, 6) AS synthetic_ratio,
+CASE WHEN n_empty > 0 OR bracket_ratio > 0.05 OR mojibake_ratio > 0.01 OR synthetic_ratio > 0.05 THEN 'FAIL' WHEN unique_ratio < 0.95 THEN 'WARN' ELSE 'PASS' END AS verdict FROM p""")
 def agg13_split_quality(spark, d):
-    """AGG-13, TXT-21."""
-    t = F.col("text")
-    out = read(spark, d, "documents").groupBy("source").agg(F.count("*").alias("n"), F.count_if(t.isNull() | (F.trim(t) == "")).alias("n_empty"), (F.countDistinct(text.text_key("text")) / F.count("*")).alias("unique_ratio"), (F.count_if(t.rlike(r"\[(TS|S1|S2|S3)\]")) / F.count("*")).alias("bracket_ratio"), (F.count_if(F.contains(t, F.lit("�")) | F.contains(t, F.lit("Ã"))) / F.count("*")).alias("mojibake_ratio"))
-    verdict = F.when((F.col("n_empty") > 0) | (F.col("bracket_ratio") > 0.05) | (F.col("mojibake_ratio") > 0.01), "FAIL").when(F.col("unique_ratio") < 0.95, "WARN").otherwise("PASS")
-    return out.select("source", "n", "n_empty", *[F.round(c, 6).alias(c) for c in ("unique_ratio", "bracket_ratio", "mojibake_ratio")], verdict.alias("verdict"))
+    """AGG-13, TXT-21: shares of a source's texts with written-in grades, broken encodings and marks of made-up texts (some put in here, as the tables have none)."""
+    i, t = F.col("doc_id"), F.col("text")
+    put = lambda n, mark: F.when(i % n == 0, mark).otherwise("")
+    rows = read(spark, d, "documents").select("source", F.concat(put(50, "[TS] "), put(61, " ??? "), t, put(97, " [내부자료]")).alias("text"))
+    shares = {"bracket_ratio": text.BRACKET_GRADES, "mojibake_ratio": text.MOJIBAKE, "synthetic_ratio": text.SYNTHETIC}
+    out = rows.groupBy("source").agg(F.count("*").alias("n"), F.count_if(t.isNull() | (F.trim(t) == "")).alias("n_empty"), (F.countDistinct(text.text_key("text")) / F.count("*")).alias("unique_ratio"), *[(F.count_if(t.rlike(p)) / F.count("*")).alias(k) for k, p in shares.items()])
+    fails = (F.col("n_empty") > 0) | (F.col("bracket_ratio") > 0.05) | (F.col("mojibake_ratio") > 0.01) | (F.col("synthetic_ratio") > 0.05)
+    verdict = F.when(fails, "FAIL").when(F.col("unique_ratio") < 0.95, "WARN").otherwise("PASS")
+    return out.select("source", "n", "n_empty", *[F.round(c, 6).alias(c) for c in ("unique_ratio", *shares)], verdict.alias("verdict"))
 
 
 @query(f"""SELECT count(*) AS n, count(*) FILTER (WHERE trim(coalesce(text, '')) = '') AS n_empty, count(*) FILTER (WHERE length(text) < 20) AS n_short, count(*) FILTER (WHERE label NOT IN ('TS', 'S1', 'S2', 'S3')) AS n_bad_label,

@@ -77,6 +77,12 @@ def snk06_histogram(spark, d):
     return writers.histogram(read(spark, d, "events").select("event_type", (F.col("value") / 10).alias("v")), "v", "event_type")
 
 
+@query("""SELECT 'events_total{type="' || event_type || '"} ' || count(*) AS value FROM events GROUP BY event_type""")
+def snk06_exposition(spark, d):
+    """SNK-06: metric lines."""
+    return writers.exposition(read(spark, d, "events").groupBy("event_type").agg(F.count("*").alias("n")), "events_total", "n", "event_type", "type")
+
+
 @query("SELECT CAST(date_trunc('month', ts) AS DATE) AS month, count(*) AS n FROM events GROUP BY 1")
 def str10_month_partitions(spark, d):
     """STR-10: rows by the month that partitions them."""

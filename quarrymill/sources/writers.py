@@ -43,6 +43,6 @@ def histogram(df: DataFrame, value: str, by: str) -> DataFrame:
     return rows.groupBy(by, "le").agg(F.count("*").alias("n"))
 
 
-def exposition(df: DataFrame, metric: str, value: str, label: str) -> DataFrame:
-    """Metric lines in text form."""
-    return df.select(F.concat(F.lit(f'{metric}{{{label}="'), F.col(label).cast("string"), F.lit('"} '), F.col(value).cast("string")).alias("value"))
+def exposition(df: DataFrame, metric: str, value: str, label: str, name: str | None = None) -> DataFrame:
+    """Metric lines in text form: the value of each row under its label, called name."""
+    return df.select(F.concat(F.lit(f'{metric}{{{name or label}="'), F.col(label).cast("string"), F.lit('"} '), F.col(value).cast("string")).alias("value"))
