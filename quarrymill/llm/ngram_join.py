@@ -15,18 +15,21 @@ only for classes that have more of them than the spare blocks make up for.
 Candidates. Keys are dealt out packed in arrays, not as rows. In a key's group every
 class is paired with the smallest; the pairs whose sketches differ in at most d bits are
 verified by their whole sets; linked classes form components. In groups that then still
-hold several components, every class is paired with two more of the group, the largest
-and one chosen by hash. Groups that hold several components even then are gone through
+hold several components, if they are linked for the most part, every class is paired with
+two more of the group, the largest and one chosen by hash. Groups that hold several components even then are gone through
 in blocks of rows, all pairs across components by sketch distance, and what passes is
 verified too. So no pair is left out, yet a group of thousands of near copies costs
 three passes and not the square of its size. A key that is common within a batch of
-rows sends one row on for all of them.
+rows sends one row on for all of them. Joins on a centre that many pairs share are dealt
+out by the pairs' other ends.
 
 Nulls: a null text, or one without words, has an empty set and links with nothing; a
 text with fewer words than words has its whole sequence as its one shingle. Rows with a
 null doc_id link with nothing and have a null component. Rows that share a doc_id are
-one document: what either links with, both do. Columns other than doc_id and text are
-not read. An empty table gives no rows.
+one document: what either links with, both do. Texts are read whole; a set takes memory
+as the number of its shingles. A similarity of exactly percent hundredths links. Columns
+other than doc_id and text, whatever their names, are not read, and passed on by
+keep_one(). An empty table gives no rows.
 """
 
 from __future__ import annotations

@@ -7,7 +7,10 @@ piece. With a continuation marker, pieces after a word's first are looked up beh
 the marker; with none, one vocabulary serves both.
 
 Words are the runs without ASCII white space ([^\\x20\\x09-\\x0D]+), each with the prefix
-put before it. A null text counts as empty: 0 words, 0 tokens. Texts are read whole.
+put before it. A null text counts as empty: 0 words, 0 tokens. Texts are read whole, in
+time that grows with their length. Where two pieces fit, the longer one counts. Each row
+stands for itself: repeated rows and null ids come out as they go in. Columns other than
+doc_id and text, whatever their names, are not read. An empty table gives no rows.
 """
 
 from __future__ import annotations
