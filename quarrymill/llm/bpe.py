@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Regex, normalizers, pre_tokenizers
 
-from .common import small_batches
+from .common import small_batches, task_starts
 from .token_counts import byte_letters
 
 #: Fixed value: Unicode white space.
@@ -246,6 +246,7 @@ def encode(docs: DataFrame, path: str, full: bool = False) -> DataFrame:
     out = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())] + ([("ids", pa.binary()), ("decoded", pa.string())] if full else []))
 
     def run(batches):
+        task_starts("bpe", _KNOWN)
         k = known(path)
         for batch in batches:
             split = [k.bpe.words_of(t) if t else [] for t in batch.column(1).to_pylist()]

@@ -6,6 +6,7 @@ executors), so a lost executor costs a re-read and not a recomputation.
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import tempfile
 import uuid
@@ -75,6 +76,23 @@ def small_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
 
 
+_HELD: list = []
+
+
+def task_starts(owner: str, *caches) -> None:
+    """To be called first in a task in a Python worker. Workers serve one operator after another: what the one before keeps in its caches goes, and memory that is free goes back to the system."""
+    if _HELD and _HELD[0] != owner:
+        for c in _HELD[1:]:
+            c.clear()
+        gc.collect()
+    _HELD[:] = [owner, *caches]
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):
+        pass  # a C library without it
+
+
 def picked(df: DataFrame, *columns: str) -> DataFrame:
     """Only the named columns, so that others, whatever their names, can't clash."""
     return df.select(*[F.col(f"`{c}`") for c in columns])

@@ -40,7 +40,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, dealt_in_blocks, dropped, in_groups, join_hot, join_salted, released, saved, small_batches, together
+from .common import components, dealt_in_blocks, dropped, in_groups, join_hot, join_salted, released, saved, small_batches, task_starts, together
 
 #: A-Z to a-z, all else as it is.
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
@@ -55,7 +55,7 @@ KEY_BYTES = 6
 class WordHashes(dict):
     """64-bit hashes of words seen; bounded: cleared when it holds most words."""
 
-    most = 400_000
+    most = 150_000
 
     def __missing__(self, word: bytes) -> int:
         if len(self) >= self.most:
@@ -182,6 +182,7 @@ def describe(docs: DataFrame, words: int, percent: int) -> DataFrame:
     small_batches(docs.sparkSession)
 
     def run(batches):
+        task_starts("ngram_join", _HASHES)
         bands = Bands(percent)
         for batch in batches:
             rows: list[list] = [[] for _ in range(4)]
@@ -255,6 +256,7 @@ def met_in_groups(classes: DataFrame, buckets: int) -> DataFrame:
             yield _met(keys[common], docs[common], *_runs(keys[common]))
 
     def gather(batches):
+        task_starts("ngram_join", _HASHES)
         keys, docs = [], []
         for batch in batches:
             keys += [unpacked_keys(b) for b in batch.column(1).to_pylist()]
@@ -287,6 +289,7 @@ def sketch_filter(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFra
     met = _both(pairs, classes.select("doc", "n", "sketch")).select("a", "b", "na", "nb", "sketcha", "sketchb")
 
     def run(batches):
+        task_starts("ngram_join", _HASHES)
         for batch in batches:
             na, nb = batch.column(2).to_numpy(), batch.column(3).to_numpy()
             keep = []
@@ -304,6 +307,7 @@ def across(members: DataFrame, percent: int) -> DataFrame:
     out = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
     def run(batches):
+        task_starts("ngram_join", _HASHES)
         for rows in in_groups(batches):
             lo, hi = rows.column("lo")[0].as_py(), rows.column("hi")[0].as_py()
             doc, part, n, own = (rows.column(c).to_numpy() for c in ("doc", "component", "n", "own"))
@@ -356,6 +360,7 @@ def sets_of(docs: DataFrame, ids: DataFrame, words: int) -> DataFrame:
     small_batches(docs.sparkSession)
 
     def run(batches):
+        task_starts("ngram_join", _HASHES)
         for batch in batches:
             items = [shingles(t, words).view(np.int64) for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(items, pa.list_(pa.int64()))], names=["doc", "items"])

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import saved, small_batches
+from .common import saved, small_batches, task_starts
 
 
 class Packer:
@@ -152,6 +152,7 @@ def pieces(docs: DataFrame, path: str, capacity: int = 1024, end_id: int = 2, id
     schema = _PIECES.append(pa.field("ids", pa.list_(pa.int32()))) if ids else _PIECES
 
     def run(batches):
+        task_starts("packing", _ENCODERS)
         encode, end = encoder(path), end_id.to_bytes(4, "little")
         for batch in batches:
             rows: list[list] = [[] for _ in schema]

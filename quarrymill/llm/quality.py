@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 
-from .common import HOT_KEYS, dropped, join_hot, saved, small_batches
+from .common import HOT_KEYS, dropped, join_hot, saved, small_batches, task_starts
 
 _SYMBOLS = b"#*$%&|<>"
 _PUNCT = bytes(b for b in range(33, 127) if not chr(b).isalnum() and b not in _SYMBOLS)
@@ -103,6 +103,7 @@ def measure(rows: DataFrame, text: str, texts: bool = False) -> DataFrame:
     through = [k for k in range(len(rows.columns)) if texts or k != at]
 
     def run(batches):
+        task_starts("quality")
         for batch in batches:
             counted, stats = [], []
             for t in batch.column(at).to_pylist():

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches
+from .common import small_batches, task_starts
 
 KINDS = ("assign", "access", "hex", "markov")
 #: The patterns of the three base kinds. [0-9a-f]{24,} and AKIA[A-Z0-9]{16,} find the maximal runs that are long enough.
@@ -163,6 +163,7 @@ def scan(docs: DataFrame, ratios: list[list[float]] | None = None, threshold: fl
     out = pa.schema([("doc_id", pa.int64()), ("found", pa.list_(item))])
 
     def run(batches):
+        task_starts("secret_scan")
         for batch in batches:
             got = [[{"kind": k, "start": a, "end": b} for k, a, b in spans(t, ratios, threshold)] for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(got, pa.list_(item))], schema=out)
@@ -185,6 +186,7 @@ def redact(docs: DataFrame, ratios: list[list[float]] | None = None, threshold:
     at = docs.columns.index("text")
 
     def run(batches):
+        task_starts("secret_scan")
         for batch in batches:
             texts = [t and redacted(t, spans(t, ratios, threshold)) for t in batch.column(at).to_pylist()]
             yield batch.set_column(at, batch.schema.field(at), pa.array(texts, batch.schema.field(at).type))

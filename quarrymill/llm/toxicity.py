@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import dropped, picked, saved, small_batches, smallest_hashes
+from .common import dropped, picked, saved, small_batches, smallest_hashes, task_starts
 
 #: Letters of other scripts that look like Latin ones.
 HOMOGLYPHS = {
@@ -244,6 +244,7 @@ def score(docs: DataFrame, lexicon: Lexicon, threshold: float = 0.7) -> DataFram
     out = pa.schema([("doc_id", pa.int64()), ("toxicity_weight", pa.float64()), ("toxicity_hits", pa.int32()), ("score", pa.float64()), ("predicted", pa.int32())])
 
     def run(batches):
+        task_starts("toxicity", _AUTOMATA)
         for batch in batches:
             got = [hits(t, lexicon) for t in batch.column(1).to_pylist()]
             s = [score_of(w, n, lexicon.curve) for w, _, n in got]
@@ -259,6 +260,7 @@ def filter_toxic(docs: DataFrame, lexicon: Lexicon, threshold: float = 0.7) -> D
     at = names.index("text")
 
     def run(batches):
+        task_starts("toxicity", _AUTOMATA)
         for batch in batches:
             keep = [score_of(w, n, lexicon.curve) < threshold for w, _, n in (hits(t, lexicon) for t in batch.column(at).to_pylist())]
             yield batch.filter(pa.array(keep, pa.bool_()))
