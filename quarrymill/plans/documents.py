@@ -123,7 +123,7 @@ def txt10_keyword_counts(spark, d):
 
 
 _BODY = "CASE WHEN contains(coalesce(text, ''), chr(10)) THEN substr(text, instr(text, chr(10)) + 1) ELSE coalesce(text, '') END"
-_FACTS = f"""list_concat(regexp_extract_all({_BODY}, '[가-힣A-Za-z][가-힣A-Za-z·\s]{{0,12}}?\s?\d{{1,4}}(?:[.,]\d+)?\s?(?:%|nm|fps|ms|μm|GHz|MHz|kW|W|V|℃|배|억원|억|만원|만|건|개월|분기|차)'),
+_FACTS = rf"""list_concat(regexp_extract_all({_BODY}, '[가-힣A-Za-z][가-힣A-Za-z·\s]{{0,12}}?\s?\d{{1,4}}(?:[.,]\d+)?\s?(?:%|nm|fps|ms|μm|GHz|MHz|kW|W|V|℃|배|억원|억|만원|만|건|개월|분기|차)'),
 list_transform(regexp_extract_all({_BODY}, '[「『"''"'']([가-힣A-Za-z0-9][^「『"''」』]{{1,28}})[」』"'']', 1), lambda q: regexp_replace(q, '\s+$', '')))"""
 _DISTINCT = "list_filter({0}, lambda y, i: list_position({0}, y) = i)"
 _FACT_ROWS = f"SELECT doc_id, lang, text, list_slice({_DISTINCT.format('f')}, 1, 3) AS facts FROM (SELECT doc_id, lang, coalesce(text, '') AS text, list_filter({_FACTS}, lambda v: length(v) >= 3) AS f FROM documents)"
@@ -414,7 +414,7 @@ def ir17_citation_f1(spark, d):
     return rounded(c.select("conv_id", p.alias("precision"), r.alias("recall"), stats.ratio(2 * p * r, p + r).alias("f1"), (b > 0).alias("grounded"), (b < F.size("c")).alias("hallucination_risk")), "precision", "recall", "f1")
 
 
-_HIT = "SELECT *, ((turn * 37 + conv_id) % 100) / 100.0::DOUBLE AS score, trim(regexp_replace(coalesce(text, ''), '\s+', ' ', 'g')) AS t FROM conversations"
+_HIT = r"SELECT *, ((turn * 37 + conv_id) % 100) / 100.0::DOUBLE AS score, trim(regexp_replace(coalesce(text, ''), '\s+', ' ', 'g')) AS t FROM conversations"
 
 
 @query(f"WITH h AS (SELECT conv_id, turn, role, score, substr(t, 1, 1000) AS t, row_number() OVER (PARTITION BY conv_id ORDER BY score DESC, turn) AS n FROM ({_HIT})) SELECT conv_id, string_agg('[' || n || '] ' || role || ' (' || printf('%.3f', score) || ') ' || t, chr(10) ORDER BY n) AS prompt FROM h WHERE n <= 5 GROUP BY conv_id")
