@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, embedding_dedup, licenses, ngram_join, packing, quality, secret_scan, token_counts, toxicity, warc
+from . import bpe, collocations, embedding_dedup, licenses, ngram_join, packing, quality, secret_scan, token_counts, toxicity, warc
 from .common import smallest_hashes
 
 
@@ -78,6 +78,10 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_toxicity": op1_toxicity,
     "op2_warc": op2_warc,
@@ -89,6 +93,7 @@ QUERIES = {
     "op8_ngram_join": op8_ngram_join,
     "op9_embedding_dedup": op9_embedding_dedup,
     "op10_bpe": op10_bpe,
+    "op11_collocations": op11_collocations,
 }
 
 #: One row per page: SQL of what the archives must give back.
@@ -123,4 +128,27 @@ SELECT s.doc_id, CAST(len(s.s) AS BIGINT) AS n_shingles, coalesce(least(min(r.b)
 FROM s LEFT JOIN r ON s.doc_id = r.a GROUP BY s.doc_id, s.s
 """
 
-ORACLE_SQL: dict[str, str] = {"op2_warc": WARC_SQL, "op8_ngram_join": JOIN_SQL}
+#: Every phrase of one to three words as a row; products in 128-bit integers.
+PHRASE_SQL = r"""
+WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents
+), w AS (
+  SELECT lang, list_filter(regexp_split_to_array(piece, '[\x20\x09]+'), lambda x: x <> '') AS w FROM pieces
+), g AS (
+  SELECT lang, m, unnest(list_transform(range(1, len(w) - m + 2), lambda k: array_to_string(w[k:CAST(k + m - 1 AS INT)], ' '))) AS phrase FROM w, (VALUES (1), (2), (3)) AS sizes(m)
+), f AS (SELECT lang, m, phrase, count(*)::HUGEINT AS f FROM g GROUP BY ALL),
+n AS (SELECT lang, sum(f) AS n FROM f WHERE m = 1 GROUP BY lang),
+c AS (SELECT *, string_split(phrase, ' ') AS w FROM f WHERE m > 1 AND f >= 10),
+cuts AS (
+  SELECT lang, phrase, m, f AS a, k, array_to_string(w[1:k], ' ') AS head, array_to_string(w[k + 1:m], ' ') AS tail FROM c, (VALUES (1), (2)) AS ks(k) WHERE k < m
+), scored AS (
+  SELECT t.lang, t.phrase, t.m, t.a, t.k, l.f AS l, r.f AS r, (1000000 * t.a * t.a) // (l.f * r.f) AS score
+  FROM cuts t JOIN f l ON l.lang = t.lang AND l.phrase = t.head JOIN f r ON r.lang = t.lang AND r.phrase = t.tail
+), lowest AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+kept AS (
+  SELECT * FROM lowest x WHERE NOT EXISTS (SELECT 1 FROM c WHERE c.lang = x.lang AND c.m > x.m AND contains(' ' || c.phrase || ' ', ' ' || x.phrase || ' ') AND 100 * c.f >= 50 * x.a)
+), ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM kept)
+SELECT lang, rank, phrase, a::BIGINT AS a, l::BIGINT AS l, r::BIGINT AS r, n::BIGINT AS n, score::BIGINT AS score FROM ranked JOIN n USING (lang) WHERE rank <= 2000
+"""
+
+ORACLE_SQL: dict[str, str] = {"op11_collocations": PHRASE_SQL, "op2_warc": WARC_SQL, "op8_ngram_join": JOIN_SQL}
