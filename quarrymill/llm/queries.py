@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, collocations, embedding_dedup, licenses, ngram_join, packing, periodic_runs, quality, secret_scan, token_counts, toxicity, warc
+from . import bpe, collocations, embedding_dedup, hash_forest, licenses, ngram_join, packing, periodic_runs, quality, secret_scan, token_counts, toxicity, warc
 from .common import smallest_hashes
 
 
@@ -82,6 +82,10 @@ def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations.collocations(table(spark, sf_dir, "documents"))
 
 
+def op12_hash_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hash_forest.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
 def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return periodic_runs.digest(periodic_runs.find_runs(table(spark, sf_dir, "documents"), repeats=True))
 
@@ -98,6 +102,7 @@ QUERIES = {
     "op9_embedding_dedup": op9_embedding_dedup,
     "op10_bpe": op10_bpe,
     "op11_collocations": op11_collocations,
+    "op12_hash_forest": op12_hash_forest,
     "op13_periodic_runs": op13_periodic_runs,
 }
 
