@@ -7,7 +7,7 @@ the shuffle; a row more for each text brings its number of words. A phrase of tw
 or more that occurs at least `least` times is a candidate. Each of its cuts is joined
 with the counts of both parts (heads that start many candidates are dealt out), its
 score is the lowest over the cuts, of equal ones that of the first cut:
-floor(1,000,000 * a * a / (l * r)), in Decimal, exact up to counts of 10^16 (products of
+floor(1,000,000 * a * a / (l * r)), in Decimal, exact for counts under 10^16 (products of
 at most 38 digits; beyond that Spark's ANSI mode raises). A candidate goes if a candidate
 that is one word longer holds it and occurs at least half as often: what a still longer
 one would rule out, the one-word extension between them rules out too. The first `top`
@@ -69,6 +69,12 @@ def first_words(phrase: Column, k: Column | int) -> Column:
     return F.substring_index(phrase, " ", k) if isinstance(k, int) else F.call_function("substring_index", phrase, F.lit(" "), k)
 
 
+def score(a: Column, left: Column, right: Column) -> Column:
+    """floor(1,000,000 * a * a / (left * right)), exact."""
+    big = lambda c: c.cast("decimal(16,0)")
+    return F.call_function("div", big(a) * big(a) * F.lit(1_000_000).cast("decimal(7,0)"), big(left) * big(right))
+
+
 def collocations(docs: DataFrame, max_words: int = 3, least: int = 10, top: int = 2000) -> DataFrame:
     """The first phrases of each language: (lang, rank, phrase, a, l, r, n, score)."""
     if max_words < 2 or least < 1 or top < 1:
@@ -84,9 +90,7 @@ def collocations(docs: DataFrame, max_words: int = 3, least: int = 10, top: int
     )
     with_l = join_salted(cuts, parts.select(F.col("part").alias("head"), F.col("f").alias("l")), "head", "phrase", cuts.select("head"))
     with_r = join_salted(with_l, parts.select(F.col("part").alias("tail"), F.col("f").alias("r")), "tail", "phrase", cuts.select("tail"))
-    big = lambda c: F.col(c).cast("decimal(16,0)")
-    exact = F.expr("(a2 * 1000000BD) div lr")
-    scored = with_r.withColumn("a2", (big("a") * big("a")).cast("decimal(31,0)")).withColumn("lr", big("l") * big("r")).withColumn("score", exact)
+    scored = with_r.withColumn("score", score(F.col("a"), F.col("l"), F.col("r")))
     lowest = scored.groupBy("lang", "phrase", "a").agg(F.min(F.struct("score", "k", "l", "r")).alias("cut"))
     # what a one-word extension rules out: both of its ends
     longer = found.where(F.col("m") > 2)
