@@ -2,9 +2,9 @@
 
 A text is lower-cased in A-Z and cut at [.,;:!?] and at line ends (\\x0A-\\x0D) into
 pieces, and those at blanks and tabs into words; no phrase crosses a piece. All phrases
-of 1 to max_words words become rows and are counted per language, partial sums before
-the shuffle; a row more for each text brings its number of words. A phrase of two words
-or more that occurs at least `least` times is a candidate. Each of its cuts is joined
+of 1 to max_words words become rows and are counted per language by hash aggregation;
+a task counts them in blocks of texts first, so a row stands for all of a block. A phrase of two words or more that occurs at least `least`
+times is a candidate. Each of its cuts is joined
 with the counts of both parts (heads that start many candidates are dealt out), its
 score is the lowest over the cuts, of equal ones that of the first cut:
 floor(1,000,000 * a * a / (l * r)), in Decimal, exact for counts under 10^16 (products of
@@ -23,41 +23,86 @@ table gives no rows.
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import HOT_KEYS, dropped, join_salted, picked, saved
+from .common import dropped, join_salted, picked, saved, small_batches, task_starts
 
 #: A-Z to a-z, the characters that end a piece to line feeds, the tab to a blank.
 LETTERS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 CUTS = ".,;:!?\n\x0b\x0c\r"
+PLAIN = str.maketrans(LETTERS + CUTS + "\t", LETTERS.lower() + "\n" * len(CUTS) + " ")
+#: Characters of texts that are counted together before they become rows.
+BLOCK = 16_000_000
 #: Buckets of phrases of the first ranking.
 BUCKETS = 256
 
 
-def pieces(text: Column) -> Column:
-    """The text with one blank between words and line feeds between pieces."""
-    plain = F.translate(text, LETTERS + CUTS + "\t", LETTERS.lower() + "\n" * len(CUTS) + " ")
-    return F.regexp_replace(plain, " {2,}+", " ")
-
-
-def phrases(plain: Column, words: int) -> Column:
-    """All phrases of so many words in the pieces, overlapping ones too: a look-ahead from the start of each word."""
-    word = r"[^ \n]++"
-    if words == 1:
-        return F.regexp_extract_all(plain, F.lit(f"({word})"), F.lit(1))
-    return F.regexp_extract_all(plain, F.lit(rf"(?<![^ \n])(?=({' '.join([word] * words)}))"), F.lit(1))
+def encoded(texts: list[str]) -> tuple[pa.Array, np.ndarray]:
+    """The different words of the texts, and the words in order by number, -1 between pieces."""
+    plain = "\n".join(t.translate(PLAIN) for t in texts).replace("\n", " \n ")
+    # a list of one text would be under 2 GB by far, as blocks are
+    words = pc.split_pattern(pa.array([plain]), " ").flatten().dictionary_encode()
+    ids, vocabulary = words.indices.to_numpy(), words.dictionary
+    number = np.arange(len(vocabulary))
+    spare = {x: vocabulary.index(x).as_py() for x in ("", "\n")}
+    number[[k for k in spare.values() if k >= 0]] = -1
+    number[number >= 0] = np.arange((number >= 0).sum())
+    keep = vocabulary.take(pa.array(np.flatnonzero(number >= 0)))
+    return keep, number[ids[ids != spare[""]] if spare[""] >= 0 else ids]
+
+
+def ngrams(texts: list[str], max_words: int):
+    """(phrases, counts) for each number of words: all phrases of the texts, overlapping ones too."""
+    vocabulary, ids = encoded(texts)
+    phrases, at = vocabulary, ids
+    for m in range(1, max_words + 1):
+        if m > 1:
+            after = ids[m - 1 :]
+            inside = (at[: len(after)] >= 0) & (after >= 0)
+            found, pairs = pd.factorize(at[: len(after)][inside] * len(vocabulary) + after[inside])
+            phrases = pc.binary_join_element_wise(phrases.take(pa.array(pairs // max(1, len(vocabulary)))), vocabulary.take(pa.array(pairs % max(1, len(vocabulary)))), " ")
+            at = np.full(len(after), -1)
+            at[inside] = found
+        counts = np.bincount(at[at >= 0], minlength=len(phrases))
+        yield phrases, counts
 
 
 def counted(docs: DataFrame, max_words: int, least: int) -> DataFrame:
-    """(lang, phrase, f) of the phrases that occur at least so often, and under the empty phrase each language's number of words."""
-    plain = docs.select(F.coalesce("lang", F.lit("und")).alias("lang"), pieces(F.col("text")).alias("plain")).where("plain is not null")
-    one = plain.withColumn("words", phrases(F.col("plain"), 1))
-    many = F.concat("words", *[phrases(F.col("plain"), n) for n in range(2, max_words + 1)])
-    size = F.size("words").cast("long")
-    # the first row is the text's number of words, the others count once each
-    rows = one.select("lang", size.alias("size"), F.explode(F.concat(F.array(F.lit("")), many)).alias("phrase"))
-    every = rows.groupBy("lang", "phrase").agg(F.sum(F.when(F.col("phrase") == "", F.col("size")).otherwise(F.lit(1))).alias("f"))
+    """(lang, phrase, f) of the phrases that occur at least so often, and under the empty phrase each language's number of words. Rows come with their counts in a block of texts."""
+    small_batches(docs.sparkSession)
+
+    def rows(lang, texts):
+        n = None
+        for phrases, counts in ngrams(texts, max_words):
+            yield pa.RecordBatch.from_arrays([pa.DictionaryArray.from_arrays(pa.array(np.zeros(len(phrases), np.int32)), pa.array([lang])).cast(pa.string()), phrases, pa.array(counts)], names=["lang", "phrase", "f"])
+            if n is None:
+                n = int(counts.sum())
+                yield pa.RecordBatch.from_arrays([pa.array([lang]), pa.array([""]), pa.array([n])], names=["lang", "phrase", "f"])
+
+    def run(batches):
+        task_starts("collocations")
+        held: dict[str, list[str]] = {}
+        size: dict[str, int] = {}
+        total = 0
+        for batch in batches:
+            for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                held.setdefault(lang, []).append(text)
+                size[lang] = size.get(lang, 0) + len(text)
+                total += len(text)
+                if total > BLOCK:
+                    most = max(size, key=size.get)
+                    yield from rows(most, held.pop(most))
+                    total -= size.pop(most)
+        for lang, texts in held.items():
+            yield from rows(lang, texts)
+
+    texts = docs.where("text is not null").select(F.coalesce("lang", F.lit("und")).alias("lang"), "text")
+    every = texts.mapInArrow(run, "lang string, phrase string, f long").groupBy("lang", "phrase").agg(F.sum("f").alias("f"))
     return every.where((F.col("f") >= least) | (F.col("phrase") == ""))
 
 
