@@ -6,9 +6,10 @@ from pyspark.sql import functions as F
 
 from quarrymill.session import scratch
 from quarrymill.sources import writers
-from quarrymill.streaming import jobs
+from quarrymill.functions import grades
+from quarrymill.streaming import consumption, jobs, keyed
 
-from .projections import read
+from .projections import CLASSIFICATIONS, CORRECTIONS, classifications, corrections, read
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -87,3 +88,74 @@ def snk06_exposition(spark, d):
 def str10_month_partitions(spark, d):
     """STR-10: rows by the month that partitions them."""
     return read(spark, d, "events").groupBy(F.date_trunc("month", "ts").cast("date").alias("month")).agg(F.count("*").alias("n"))
+
+
+#: What each event is as a worker's visit to a message, and as a request with a key.
+_VISITS = "SELECT (epoch_us(ts) // 1000) AS t, event_id AS seq, CAST(floor((epoch_us(ts) // 1000) / 7200000) AS BIGINT) * 2 + user_id % 2 AS key, CASE event_type WHEN 'purchase' THEN 'ok' WHEN 'click' THEN 'lost' ELSE 'fail' END AS kind FROM events"
+_REQUESTS = "SELECT (epoch_us(ts) // 1000) AS t, event_id AS seq, CAST(floor((epoch_us(ts) // 1000) / 259200000) AS BIGINT) * 1000003 + user_id // 16 AS key, CASE event_type WHEN 'purchase' THEN 'finish' WHEN 'error' THEN 'fail' ELSE 'claim' END AS kind FROM events"
+#: A stream gives out what its watermark has passed: all but the last hour.
+_SETTLED = "e AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY t, seq) AS k FROM v WHERE t < (SELECT max(t) - 3600000 FROM v))"
+
+
+def _stream(spark, d, table, key, kind):
+    """events as a stream, all files in one batch, so none is late whatever their order."""
+    own = keyed.with_rocksdb(spark)
+    e = own.readStream.schema(read(spark, d, table).schema).parquet(f"{d}/{table}.parque[t]").withColumn("ts", F.col("ts").cast("timestamp"))
+    return e.select(key.alias("key"), "ts", "event_id", kind.alias("kind"))
+
+
+@query(f"""WITH RECURSIVE v AS ({_VISITS}), {_SETTLED},
+s AS (
+  SELECT key, CAST(0 AS BIGINT) AS k, CAST(0 AS BIGINT) AS t, '' AS event, 'wait' AS status, 0 AS tries, CAST(0 AS BIGINT) AS visible, CAST(0 AS BIGINT) AS before FROM e WHERE k = 1
+  UNION ALL
+  SELECT key, k, t, event, CASE WHEN event IN ('delivered', 'dead') THEN event ELSE status END, tries + (event IN ('delivered', 'dead', 'retry'))::INT,
+    CASE event WHEN 'taken' THEN t + 600000 WHEN 'retry' THEN t + least(power(2, tries + 1), 600)::BIGINT * 1000 ELSE visible END, visible
+  FROM (SELECT s.key, e.k, e.t, s.status, s.tries, s.visible, CASE WHEN s.status <> 'wait' THEN 'gone' WHEN e.t < s.visible THEN 'refused' WHEN e.kind = 'ok' THEN 'delivered' WHEN e.kind = 'lost' THEN 'taken' WHEN s.tries >= 4 THEN 'dead' ELSE 'retry' END AS event
+    FROM s JOIN e ON e.key = s.key AND e.k = s.k + 1)
+)
+SELECT key, t AS "at", event, tries, CASE WHEN event IN ('taken', 'retry') THEN visible WHEN event = 'refused' THEN before END AS visible_at FROM s WHERE k > 0
+UNION ALL SELECT key, visible, 'visible', tries, visible FROM s WHERE event IN ('taken', 'retry') AND visible < (SELECT max(t) - 3600000 FROM v)""")
+def str05_visibility(spark, d):
+    """STR-05: workers' visits to messages. One taken without an answer is invisible for 600 s and comes back by a timer, a failed one waits 2^n s, and after five tries it is dead."""
+    key = F.floor(F.unix_millis("ts") / 7200000) * 2 + F.col("user_id") % 2
+    kind = F.when(F.col("event_type") == "purchase", "ok").when(F.col("event_type") == "click", "lost").otherwise("fail")
+    path = scratch(spark, "outbox")
+    jobs.run(keyed.outbox_log(_stream(spark, d, "events", key, kind), "key", "ts", "event_id", "kind"), path, scratch(spark, "outbox-log"))
+    return spark.read.schema("key long, at long, event string, tries int, visible_at long").parquet(path)
+
+
+@query(f"""WITH RECURSIVE v AS ({_REQUESTS}), {_SETTLED},
+s AS (
+  SELECT key, CAST(0 AS BIGINT) AS k, CAST(0 AS BIGINT) AS t, '' AS event, 'free' AS status, CAST(0 AS BIGINT) AS until FROM e WHERE k = 1
+  UNION ALL
+  SELECT key, k, t, event, CASE WHEN event IN ('run', 'taken over') THEN 'claimed' WHEN event = 'stored' THEN 'done' WHEN event = 'released' THEN 'free' ELSE status END,
+    CASE WHEN event IN ('run', 'taken over') THEN t + 60000 WHEN event = 'stored' THEN t + 86400000 WHEN event = 'released' THEN NULL ELSE until END
+  FROM (SELECT key, k, t, status, until, CASE kind WHEN 'claim' THEN CASE now WHEN 'free' THEN 'run' WHEN 'lapsed' THEN 'taken over' WHEN 'claimed' THEN 'busy' ELSE 'replayed' END
+      ELSE CASE WHEN now = 'done' THEN 'ignored' WHEN kind = 'finish' THEN 'stored' ELSE 'released' END END AS event
+    FROM (SELECT s.key, e.k, e.t, e.kind, s.status, s.until, CASE WHEN s.status IN ('claimed', 'done') AND e.t < s.until THEN s.status WHEN s.status = 'claimed' AND e.t < s.until + 86400000 THEN 'lapsed' ELSE 'free' END AS now
+      FROM s JOIN e ON e.key = s.key AND e.k = s.k + 1))
+)
+SELECT key, t AS "at", event, until FROM s WHERE k > 0""")
+def str06_claims(spark, d):
+    """STR-06: requests under idempotency keys. A claim holds for 60 s and can be taken over after that, a result is given again for a day; the state of a key goes with it."""
+    key = F.floor(F.unix_millis("ts") / 259200000) * 1000003 + F.floor(F.col("user_id") / 16)
+    kind = F.when(F.col("event_type") == "purchase", "finish").when(F.col("event_type") == "error", "fail").otherwise("claim")
+    path = scratch(spark, "claims")
+    jobs.run(keyed.claim_log(_stream(spark, d, "events", key, kind), "key", "ts", "event_id", "kind"), path, scratch(spark, "claims-log"))
+    return spark.read.schema("key long, at long, event string, until long").parquet(path)
+
+
+@query(f"""WITH c AS (SELECT k.correction_id, k.corrected_level, s.level, k.corrected_by, s.status FROM ({CORRECTIONS}) k JOIN ({CLASSIFICATIONS}) s USING (classification_id)),
+a AS (SELECT correction_id, CASE WHEN corrected_level < level THEN 'underclass' WHEN corrected_level > level THEN 'overclass' ELSE 'confirm' END AS direction FROM c WHERE status IN ('confirmed', 'corrected'))
+SELECT correction_id, direction, CASE WHEN correction_id % 5 < 2 THEN 'run1' WHEN correction_id % 5 = 2 THEN 'run2' ELSE 'run3' END AS consumed_in_run FROM a""")
+def str11_consumption(spark, d):
+    """STR-11: three runs over growing corrections; each run's file also holds some that earlier ones have consumed. A correction is consumed once, by the first run that meets it."""
+    k = corrections(spark, d).join(classifications(spark, d).select("classification_id", "level", "status"), "classification_id")
+    direction = F.when(F.col("corrected_level") < F.col("level"), "underclass").when(F.col("corrected_level") > F.col("level"), "overclass").otherwise("confirm")
+    rows = k.select("correction_id", direction.alias("direction"), F.col("corrected_by"), "status").where(grades.admissible("corrected_by", "status"))
+    inbox, ledger, log = (scratch(spark, x) for x in ("corrections", "ledger", "ledger-log"))
+    part = F.col("correction_id") % 5
+    for run, upto in (("run1", part < 2), ("run2", part < 3), ("run3", part > 0)):
+        rows.where(upto).write.mode("append").parquet(inbox)
+        consumption.consume(spark, inbox, rows.schema, "correction_id", ledger, log, run)
+    return consumption.consumed(spark, ledger, rows.schema).select("correction_id", "direction", "consumed_in_run")
