@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from quarrymill.functions import arrow, grades, stats, text
 from quarrymill.operators import labeling as lb
+from quarrymill.operators import lexical
 from quarrymill.operators import retrieval as ir
 
 from quarrymill.session import shipped
@@ -259,16 +260,50 @@ _BM25 = f"""SELECT qid, tf.id, sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.
 JOIN (SELECT term, count(*)::DOUBLE AS df FROM (SELECT id, unnest(list_distinct(t)) AS term FROM ({_DOCT})) GROUP BY term) d ON tf.term = d.term JOIN ({_BENCH}) q ON q.term = tf.term, (SELECT count(*)::DOUBLE AS n, avg(len(t)) AS avgdl FROM ({_DOCT})) GROUP BY qid, tf.id"""
 
 
-def _bm25(spark, d):
-    tokens = lambda c: F.regexp_extract_all(F.lower(c), F.lit("([a-z0-9]{4,})"), F.lit(1))
-    q = read(spark, d, "benchmark").select(F.col("item_id").alias("qid"), F.explode(F.array_distinct(tokens(F.col("text")))).alias("term"))
-    return ir.bm25(q, docs_for_python(spark, d).select(F.col("doc_id").alias("id"), "text"), tokens(F.col("text")))
+def _tokens4(c):
+    return F.regexp_extract_all(F.lower(c), F.lit("([a-z0-9]{4,})"), F.lit(1))
+
+
+def _passage_terms(spark, d):
+    return read(spark, d, "benchmark").select(F.col("item_id").alias("qid"), F.explode(F.array_distinct(_tokens4(F.col("text")))).alias("term"))
 
 
 @query(f"SELECT qid, id, rank::INT AS rank FROM (SELECT qid, id, row_number() OVER (PARTITION BY qid ORDER BY round(score, 9) DESC, id) AS rank FROM ({_BM25}) WHERE score > 0) WHERE rank <= 10")
 def ir01_bm25(spark, d):
-    """IR-01, IR-02, IR-03, WIN-02: the ten best documents of each benchmark passage."""
-    return ir.ranked(_bm25(spark, d).withColumn("score", F.round("score", 9)), 10).select("qid", "id", "rank")
+    """IR-01, IR-03, WIN-02: the ten best documents of each benchmark passage, from a stored index."""
+    corpus = docs(spark, d).select(F.col("doc_id").alias("id"), "text")
+    index = lexical.stored(corpus, _tokens4(F.col("text")), lexical.bm25_scoring(), "bm25")
+    return lexical.search(index, _passage_terms(spark, d), 10).select("qid", "id", "rank")
+
+
+#: Hangul texts made from ids, as the tables hold none: documents for each twentieth doc_id, and queries.
+_HANGUL = ("보안등급", "비밀문서", "공개", "분류기준", "검토자료", "대외비", "접근권한", "등급표시")
+
+
+def _hangul(seed, words):
+    return F.array_join(F.transform(F.sequence(F.lit(1), words.cast("int")), lambda i: F.element_at(F.array(*[F.lit(w) for w in _HANGUL]), ((seed * i + i * i) % 8 + 1).cast("int"))), " ")
+
+
+_HANGUL_SQL = "array_to_string(list_transform(range(1, {words} + 1), lambda i: " + str(list(_HANGUL)) + "[({seed} * i + i * i) % 8 + 1]), ' ')"
+_PAIRS = "list_concat(regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9]+'), flatten(list_transform(regexp_extract_all(lower(coalesce(text, '')), '[가-힣]+'), lambda r: CASE WHEN length(r) < 2 THEN [r] ELSE list_transform(range(1, length(r)), lambda k: substring(r, CAST(k AS INT), 2)) END)))"
+_RANKED = f"""WITH c AS (SELECT doc_id AS id, text FROM documents UNION ALL SELECT doc_id + 10000000, {_HANGUL_SQL.format(seed="doc_id", words="(3 + doc_id % 40)")} FROM documents WHERE doc_id % 20 = 0),
+q AS (SELECT qid, unnest(list_distinct({_PAIRS})) AS term FROM (SELECT item_id AS qid, text FROM benchmark UNION ALL SELECT item_id + 10000000, {_HANGUL_SQL.format(seed="item_id", words="(2 + item_id % 3)")} FROM benchmark)),
+t AS (SELECT id, {_PAIRS} AS t FROM c),
+tf AS (SELECT id, term, count(*) AS tf, any_value(n) AS n FROM (SELECT id, len(t) AS n, unnest(t) AS term FROM t) WHERE term IN (SELECT term FROM q) GROUP BY id, term),
+s AS (SELECT qid, id, round(sum(list_sum(list_transform(range(1, least(tf, 255) + 1), lambda j: 1.0::DOUBLE / (j * j))) * 0.1::DOUBLE / 1.64493406685::DOUBLE / log2(n + 1) / terms), 9) AS score FROM tf JOIN q USING (term) JOIN (SELECT qid, count(*) AS terms FROM q GROUP BY qid) USING (qid) GROUP BY qid, id)
+SELECT qid, id, score, rank::INT AS rank FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) AS rank FROM s WHERE score > 0) WHERE rank <= 20"""
+
+
+@query(_RANKED)
+def ir02_lexical_rank(spark, d):
+    """IR-02: words and Hangul pairs, any of which may match, ranked by their positions and the length; from a stored index."""
+    made = docs(spark, d).where("doc_id % 20 = 0").select((F.col("doc_id") + 10_000_000).alias("id"), _hangul(F.col("doc_id"), 3 + F.col("doc_id") % 40).alias("text"))
+    corpus = docs(spark, d).select(F.col("doc_id").alias("id"), "text").unionByName(made)
+    b = read(spark, d, "benchmark")
+    queries = b.select(F.col("item_id").alias("qid"), "text").unionByName(b.select((F.col("item_id") + 10_000_000).alias("qid"), _hangul(F.col("item_id"), 2 + F.col("item_id") % 3).alias("text")))
+    index = lexical.stored(corpus, text.bigrams("text"), lexical.ts_rank_scoring(), "pairs")
+    terms = queries.select("qid", F.explode(F.array_distinct(text.bigrams("text"))).alias("term"))
+    return lexical.search(index, terms, 20).select("qid", "id", "score", "rank")
 
 
 _CHANNEL_A = f"SELECT qid, id, row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) AS rank, score FROM ({_SEARCH}) WHERE score > 0"
