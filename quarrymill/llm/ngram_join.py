@@ -99,8 +99,11 @@ class Bands:
     """Size bands: (first size, blocks, spare blocks) each; smaller sets link with equal ones only."""
 
     def __init__(self, percent: int, longest: int = 1 << 40) -> None:
+        if not 1 <= percent <= 100:
+            raise ValueError("percent must be from 1 to 100")
         self.percent = percent
-        edge = next(b for b in range(1, 10_000) if most_apart(2 * b, percent) >= 1)
+        # sets so small that linked ones are equal need no band; at 100 percent all are
+        edge = next((b for b in range(1, 10_000) if most_apart(2 * b, percent) >= 1), longest)
         self.edges, self.blocks, self.spare = [], [], []
         while edge < longest:
             after = max(edge + 1, edge * 3 // 2)
@@ -401,8 +404,18 @@ def _several(members: DataFrame, found: DataFrame, total: int) -> DataFrame:
     return out
 
 
+def _of_one_id(rows: DataFrame, classes: DataFrame) -> DataFrame:
+    """Links (a, b) of the doc_ids that stand for texts of several classes, with each of these."""
+    known = rows.where("same is not null and doc_id is not null")
+    mark = F.xxhash64("same")
+    several = known.groupBy("doc_id").agg(F.min(mark).alias("low"), F.max(mark).alias("high")).where("low <> high").select("doc_id")
+    met = join_hot(known.join(several, "doc_id", "left_semi"), classes.select("same", "doc", "copies"), "same", "copies", rows.count())
+    return met.where("doc_id <> doc").select(F.greatest("doc_id", "doc").alias("a"), F.least("doc_id", "doc").alias("b")).distinct()
+
+
 def near_components(docs: DataFrame, words: int = 4, percent: int = 85) -> DataFrame:
     """docs (doc_id, text) to (doc_id, n_shingles, component_id), a row each: the component's id is the smallest doc_id that links reach."""
+    Bands(percent)  # refuses what isn't a percentage
     docs = docs.select("doc_id", "text")
     spark = docs.sparkSession
     rows, keyed = _classes(docs, words, percent)
@@ -419,7 +432,7 @@ def near_components(docs: DataFrame, words: int = 4, percent: int = 85) -> DataF
     two = saved(met.where("kind = 0").select(F.col("x").alias("a"), F.col("y").alias("b")).where("a <> b").distinct(), "two")
     dropped(spark, met)
     sketches = classes.select("doc", "n", "sketch")
-    linked, sets, found = None, None, None
+    linked, sets, found = saved(_of_one_id(rows, classes), "linked"), None, None
     for step in ("first", "more", "rest"):
         if found is not None:
             before, members = members, _several(members.select("key", "doc"), found, members.count())

@@ -1,14 +1,16 @@
 """Quality rules: fixed limits, and robust multivariate outliers.
 
 Every document gets counts of its whole text and a vector of transformed statistics.
-For each language and source with least_rows rows, location and scatter are estimated
-by the minimum covariance determinant: concentration steps, each one aggregation over
-all rows, keep the fraction of rows nearest by Mahalanobis distance until the
-determinant falls no more. A document far from its group's estimate is rejected.
-
-Every group of least_rows rows has an estimate of its own, whatever the size of the
-table and the number of groups. A smaller one has its language's, if that has least_rows
-rows, or else that of all rows, drawn towards the group's own rows by their number. The
+For each language and source location and scatter are estimated by the minimum
+covariance determinant: from the medians and quartiles, concentration steps, each one
+aggregation over all rows, keep the fraction of rows nearest by Mahalanobis distance
+until the determinant falls no more. A document far from its group's estimate is rejected.
+
+Every group of LEAST_ROWS rows (one more than there are statistics, as a scatter takes)
+has an estimate of its own, whatever the size of the table and the number of groups. Its
+centre is its own; its scatter is averaged with its language's spread by quartiles, which counts as STRENGTH rows, so that the weight
+of the wider one falls smoothly with the group's size. Only a group of fewer rows has its
+language's estimate, or that of all. The
 models are a table. Those
 with over 1/HOT_KEYS of the rows (so fewer than HOT_KEYS groups, as many languages,
 and all) are broadcast; rows of the others are shuffled to theirs. This doesn't touch
@@ -143,6 +145,11 @@ def chi2_quantile(p: float, k: float) -> float:
 FLOORS = (0.05, 0.04, 0.10, 0.12, 0.03, 0.03)
 
 
+#: A scatter of so many statistics takes one row more at least; smaller groups have no estimate.
+LEAST_ROWS = len(STATS) + 1
+#: The wider spread counts as so many rows of a group.
+STRENGTH = 50.0
+
 #: An estimate has settled once a step lowers the logarithm of its determinant by less than this.
 SETTLED = 1e-4
 
@@ -227,8 +234,8 @@ def _sums() -> list:
     return [F.count("*").cast("double"), *[F.sum(s) for s in STATS], *[F.sum(F.col(a) * F.col(b)) for k, a in enumerate(STATS) for b in STATS[k:]]]
 
 
-def fit(rows: DataFrame, *, keep: float = 0.75, least_rows: int = 200) -> tuple[DataFrame, DataFrame]:
-    """A table of models by group, language and all, as far as rows take them, and rows with model and hot of the one that is theirs.
+def fit(rows: DataFrame, *, keep: float = 0.75, least_rows: int = LEAST_ROWS) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Tables: the models by group, language and all, as far as rows take them; rows with model and hot of the one that is theirs; and what all of these models start from (medians and spreads by quartiles).
 
     rows should be a table. Each concentration step reads the statistics once or twice;
     steps end when every estimate has settled, which they do: each step but the last
@@ -249,7 +256,8 @@ def fit(rows: DataFrame, *, keep: float = 0.75, least_rows: int = 200) -> tuple[
     names = [f"s{k}" for k in range(len(sums))]
     quartiles = used.groupBy("model", "hot").agg(*[F.percentile_approx(s, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)), 2000).alias(s) for s in STATS])
     needed = keyed.select("model").distinct()
-    models = saved(quartiles.join(needed, "model", "left_semi").mapInArrow(_first, _MODEL_SQL), "quality-models")
+    starts = saved(quartiles.mapInArrow(_first, _MODEL_SQL), "quality-starts")
+    models = saved(starts.join(needed, "model", "left_semi"), "quality-models")
     while (active := models.where("not settled")).limit(1).count():
         binned = with_models(used, active).withColumn("bin", F.floor(F.log(_distance() + 1e-6) * 12).cast("int")).groupBy("model", "bin").agg(*sums)
         by_bin, whole = Window.partitionBy("model").orderBy("bin"), Window.partitionBy("model")
@@ -260,7 +268,7 @@ def fit(rows: DataFrame, *, keep: float = 0.75, least_rows: int = 200) -> tuple[
         step = active.join(nearest, "model").select("model", "hot", "centre", "inverse", "log_det", "sums").mapInArrow(_stepped(keep / share), _MODEL_SQL)
         before, models = models, saved(step.union(models.where("settled")), "quality-models")
         dropped(spark, before)
-    return models, keyed
+    return models, keyed, starts
 
 
 def limits_failed():
@@ -269,41 +277,30 @@ def limits_failed():
 
 
 def _shrunk(strength: float):
-    """Rows (..., centre, inverse, sums) with the model drawn from the wider one's (centre and inverse) to the group's own rows, if it has sums: both are averaged, the wider one counting as strength rows."""
+    """Rows (grp, _n, centre, inverse, own, wide) with the scatter of groups' own models drawn towards the wider spread, which counts as strength rows; centres stay."""
     p = len(STATS)
+    square = lambda x: np.linalg.inv(np.array(x).reshape(p, p))
 
     def run(batches):
         for batch in batches:
-            at = {n: batch.schema.get_field_index(n) for n in ("centre", "inverse", "sums")}
-            centres, inverses = [], []
-            for centre, inverse, sums in zip(*[batch.column(at[n]).to_pylist() for n in at], strict=True):
-                if sums and sums[0]:
-                    n, first, second = sums[0], np.array(sums[1 : p + 1]), np.zeros((p, p))
-                    second[np.triu_indices(p)] = sums[p + 1 :]
-                    mean, wide, share = first / n, np.array(centre), strength / (n + strength)
-                    middle = share * wide + (1 - share) * mean
-                    # about the middle, so that a group off the wider centre isn't taken for a spread one twice
-                    own = (second + np.triu(second, 1).T) / n - np.outer(mean, mean)
-                    scatter = share * np.linalg.inv(np.array(inverse).reshape(p, p)) + (1 - share) * own
-                    centre, inverse = middle.tolist(), np.linalg.inv(scatter).reshape(-1).tolist()
-                centres.append(centre)
-                inverses.append(inverse)
-            out = batch.set_column(at["centre"], "centre", pa.array(centres, pa.list_(pa.float64())))
-            out = out.set_column(at["inverse"], "inverse", pa.array(inverses, pa.list_(pa.float64())))
-            yield out.drop_columns(["sums"])
+            grp, n, centres, inverses, own, wide = (c.to_pylist() for c in batch.columns)
+            for k in range(len(grp)):
+                if own[k]:
+                    share = strength / (n[k] + strength)
+                    inverses[k] = np.linalg.inv(share * square(wide[k]) + (1 - share) * square(inverses[k])).reshape(-1).tolist()
+            lists = [pa.array(x, pa.list_(pa.float64())) for x in (centres, inverses)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *lists], names=["grp", "_n", "centre", "inverse"])
 
     return run
 
 
-def group_models(keyed: DataFrame, models: DataFrame, least_rows: int = 200) -> DataFrame:
-    """(grp, _n, centre, inverse) of every group: its own estimate where it has one; else that of its language, or of all, drawn towards the group's rows that lie within it, so that each language and source is judged by a model of its own."""
-    groups = keyed.groupBy("grp").agg(F.first("model").alias("model"), F.first("hot").alias("hot"), F.count("*").alias("_n"))
-    wide = with_models(groups, models)
-    small = with_models(keyed.where(F.col("model") != F.concat(F.lit("g"), "grp")).select("grp", "model", "hot", *STATS), models)
-    inner = small.where(_distance() <= chi2_quantile(0.975, len(STATS)))
-    sums = inner.groupBy("grp").agg(F.array(*_sums()).alias("sums"))
-    rows = wide.join(sums, "grp", "left").select("grp", "_n", "centre", "inverse", "sums")
-    return rows.mapInArrow(_shrunk(float(least_rows)), "grp string, _n long, centre array<double>, inverse array<double>")
+def group_models(keyed: DataFrame, models: DataFrame, starts: DataFrame, strength: float = STRENGTH) -> DataFrame:
+    """(grp, _n, centre, inverse) of every group: its own estimate, the scatter drawn towards its language's spread (or that of all) by its number of rows; of the few rows that can't have one, the language's estimate (or that of all)."""
+    groups = keyed.groupBy("grp").agg(*[F.first(c).alias(c) for c in ("model", "hot", "by_lng", "hot_lng")], F.count("*").alias("_n"))
+    own = with_models(groups.drop("by_lng", "hot_lng"), models).select("grp", "_n", "centre", "inverse", (F.col("model") == F.concat(F.lit("g"), "grp")).alias("own"))
+    theirs = groups.select("grp", F.coalesce("by_lng", F.lit("a")).alias("model"), (F.col("by_lng").isNull() | F.col("hot_lng")).alias("hot"))
+    wide = with_models(theirs, starts).select("grp", F.col("inverse").alias("wide"))
+    return own.join(wide, "grp").mapInArrow(_shrunk(strength), "grp string, _n long, centre array<double>, inverse array<double>")
 
 
 def _grouped(docs: DataFrame) -> DataFrame:
@@ -316,10 +313,10 @@ def _grouped(docs: DataFrame) -> DataFrame:
 def _fitted(measured: DataFrame, keep: float) -> DataFrame:
     """A table (grp, _n, centre, inverse) of every group of measured rows, a table."""
     spark = measured.sparkSession
-    models, keyed = fit(measured.select("grp", "lng", *STATS), keep=keep)
-    out = saved(group_models(keyed, models), "quality-groups")
-    dropped(spark, keyed)
-    dropped(spark, models)
+    models, keyed, starts = fit(measured.select("grp", "lng", *STATS), keep=keep)
+    out = saved(group_models(keyed, models, starts), "quality-groups")
+    for table in (keyed, models, starts):
+        dropped(spark, table)
     return out
 
 

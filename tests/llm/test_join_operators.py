@@ -66,6 +66,30 @@ def test_ngram_join_is_exact(spark, words, percent):
     assert got == links_of(rows, words, percent)
 
 
+@pytest.mark.parametrize("percent", [1, 37, 99, 100])
+def test_ngram_join_at_any_percent(spark, percent):
+    rows = mutated(seed=percent, n=120)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.near_components(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), 2, percent).collect()}
+    assert got == links_of(rows, 2, percent)
+
+
+@pytest.mark.parametrize("percent", [0, 101])
+def test_no_percentage(spark, percent):
+    with pytest.raises(ValueError):
+        ngram_join.near_components(spark.createDataFrame([(1, "a")], "doc_id long, text string"), 2, percent)
+
+
+def test_texts_of_one_id_are_one_document(spark):
+    """What any text of an id links with, all do, whether or not the id is the smallest of a group."""
+    a, b, c, d = ("one two three four five six " + x * 3 for x in ("a ", "b ", "c ", "d "))
+    a, b, c, d = a * 2, b.upper() * 2 + "q r s t u v w x", c + "y " * 9, d + "z k " * 9
+    rows = [(1, a), (2, a), (2, b), (3, b), (4, c), (9, c), (9, d), (9, b), (7, d), (8, "alone in the world of words"), (None, a), (8, None)]
+    got = sorted((r.doc_id or 0, r.component_id or 0) for r in ngram_join.near_components(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), 3, 85).collect())
+    assert got == sorted([(1, 1), (2, 1), (2, 1), (3, 1), (4, 1), (9, 1), (9, 1), (9, 1), (7, 1), (8, 8), (0, 0), (8, 8)])
+    left = sorted((r.doc_id or 0) for r in ngram_join.keep_one(spark.createDataFrame(rows, "doc_id long, text string"), 3, 85).collect())
+    assert left == [0, 1, 8, 8]
+
+
 def test_sketches_bound_the_difference():
     r = np.random.default_rng(5)
     for n in (1, 7, 50, 400):
