@@ -33,6 +33,10 @@ SYNTHETIC = r"\[가상기업[A-Z가-힣]\]|\[홍길동\(가명\)\]|\[등급분
 ENTITIES = (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", " "), ("&amp;", "&"))
 
 
+#: White space of any script, as patterns of strings know it.
+WHITE = r"[\s\x0B\x1C-\x1F\x85\xA0\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+"
+
+
 def business_number_ok(digits: Column) -> Column:
     """Whether ten digits end in the check digit: the weighted sum, plus the tens of five times the ninth digit."""
     d = [F.substring(digits, k + 1, F.lit(1)).cast("int") for k in range(10)]
@@ -50,10 +54,10 @@ def mask_pii(df: DataFrame, column: str, skip: tuple[str, ...] = (), extra: tupl
 
     Each step is a column of its own, so that Catalyst doesn't repeat the steps before
     it, and numbers are counted by how many marks are there more. Texts without a digit
-    or an @ skip all of it. Null texts give an empty text. extra: further patterns.
+    of any script or an @ skip all of it. Null texts give an empty text. extra: further patterns.
     """
     t = F.col(f"`{column}`")
-    out = df.withColumn("_masked", F.when(t.rlike("[0-9@]"), t))
+    out = df.withColumn("_masked", F.when(t.rlike(r"(?U)[\d@]"), t))
     marks = lambda c, mark: (F.length(c) - F.length(F.replace(c, F.lit(mark), F.lit("")))) / len(mark)
     steps = [(k, lambda c, p=p, m=m: F.regexp_replace(c, "(?U)" + p, m), m) for k, p, m in (*PII, *extra) if k not in skip]
     bare = lambda c: F.aggregate(_bare_business(c), c, lambda s, n: F.regexp_replace(s, F.concat(F.lit("(?<![0-9])"), n, F.lit("(?![0-9])")), F.lit("[BIZNO]")))
@@ -104,9 +108,9 @@ def required_tokens(text: Column | str, spans: Column, basis: Column, domain: Co
 
 
 def text_key(text: Column | str, mode: str = "strip", lower: bool = False) -> Column:
-    """SHA-1 of the text without white space (strip), or with it collapsed and trimmed (collapse)."""
+    """SHA-1 of the text without white space of any script (strip), or with it collapsed and trimmed (collapse)."""
     t = F.coalesce(col(text), F.lit(""))
-    t = F.regexp_replace(t, r"[ \t\r\n\f\x0B]+", "") if mode == "strip" else F.trim(F.regexp_replace(t, r"[ \t\r\n\f\x0B]+", " "))
+    t = F.regexp_replace(t, WHITE, "") if mode == "strip" else F.trim(F.regexp_replace(t, WHITE, " "))
     return F.sha1(F.lower(t) if lower else t)
 
 

@@ -13,7 +13,7 @@ from quarrymill.operators import retrieval as ir
 from quarrymill.session import shipped
 
 from .projections import GOLD, PRED, gold, predictions, read
-from .relational import ORDER_SQL
+from .relational import ORDER_SQL, WHITE_SQL
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -78,9 +78,10 @@ _MASKS = (
 
 def _masked_sql(t, pattern, mark, apart):
     """Twice where the characters around are read too, as two matches can share one."""
+    pattern = pattern.replace(r"\d", r"\p{Nd}")
     if not apart:
         return f"regexp_replace({t}, '{pattern}', '{mark}', 'g')"
-    once = "regexp_replace({}, '(^|\\D)" + pattern.replace("{", "{{").replace("}", "}}") + "(\\D|$)', '\\1" + mark + "\\2', 'g')"
+    once = "regexp_replace({}, '(^|[^\\p{{Nd}}])" + pattern.replace("{", "{{").replace("}", "}}") + "([^\\p{{Nd}}]|$)', '\\1" + mark + "\\2', 'g')"
     return once.format(once.format(t))
 
 
@@ -89,11 +90,12 @@ _OK = "(10 - (" + " + ".join(f"substr(x, {k + 1}, 1)::INT * {w}" for k, w in enu
 _BARE = f"list_distinct(list_filter(regexp_extract_all(t, '\\d+'), lambda x: length(x) = 10 AND CASE WHEN length(x) = 10 THEN {_OK} ELSE FALSE END))"
 
 
-@query("WITH s0 AS (SELECT doc_id, coalesce(text, '') AS t FROM documents)" + "".join(f", s{i + 1} AS (SELECT * EXCLUDE (t, u), u AS t, {_MARKS.format('u', m, len(m))} - {_MARKS.format('t', m, len(m))} AS {k} FROM (SELECT *, {_masked_sql('t', p, m, a)} AS u FROM s{i}))" for i, (k, p, m, a) in enumerate(_MASKS)) + f""", b AS (SELECT * EXCLUDE (t), t, CASE WHEN len({_BARE}) = 0 THEN t ELSE list_reduce(list_concat([t], list_concat({_BARE}, {_BARE})), lambda s, x: regexp_replace(s, '(^|\\D)' || x || '(\\D|$)', '\\1[BIZNO]\\2', 'g')) END AS u FROM s{len(_MASKS)})
+@query("WITH s0 AS (SELECT doc_id, CASE WHEN doc_id % 40 = 3 THEN '가 １２３４５６-１２３４５６７ 나' ELSE coalesce(text, '') END AS t FROM documents)" + "".join(f", s{i + 1} AS (SELECT * EXCLUDE (t, u), u AS t, {_MARKS.format('u', m, len(m))} - {_MARKS.format('t', m, len(m))} AS {k} FROM (SELECT *, {_masked_sql('t', p, m, a)} AS u FROM s{i}))" for i, (k, p, m, a) in enumerate(_MASKS)) + f""", b AS (SELECT * EXCLUDE (t), t, CASE WHEN len({_BARE}) = 0 THEN t ELSE list_reduce(list_concat([t], list_concat({_BARE}, {_BARE})), lambda s, x: regexp_replace(s, '(^|\\D)' || x || '(\\D|$)', '\\1[BIZNO]\\2', 'g')) END AS u FROM s{len(_MASKS)})
 SELECT doc_id, {', '.join(f'CAST({k} AS INT) AS {k}' for k, *_ in _MASKS[:-1])}, CAST(_separated + {_MARKS.format('u', '[BIZNO]', 7)} - {_MARKS.format('t', '[BIZNO]', 7)} AS INT) AS business_no, sha1(u) AS masked_sha1 FROM b""")
 def txt04_mask_pii(spark, d):
-    """TXT-04, TXT-05, TXT-20: each pattern counted on what the ones before it left; bare ten-digit business numbers only if their check digit fits."""
-    out = text.mask_pii(docs(spark, d).select("doc_id", "text"), "text")
+    """TXT-04, TXT-05, TXT-20: each pattern counted on what the ones before it left; bare ten-digit business numbers only if their check digit fits. Some texts have digits of another script only."""
+    rows = docs(spark, d).select("doc_id", F.when(F.col("doc_id") % 40 == 3, "가 １２３４５６-１２３４５６７ 나").otherwise(F.col("text")).alias("text"))
+    out = text.mask_pii(rows, "text")
     return out.select("doc_id", *[k for k, *_ in text.PII], "business_no", F.sha1("masked").alias("masked_sha1"))
 
 
@@ -104,10 +106,15 @@ def txt05_business_numbers(spark, d):
     return docs(spark, d).select("doc_id", text.business_number_ok(n).cast("int").alias("ok"))
 
 
-@query(r"SELECT doc_id, sha1(regexp_replace(coalesce(text, ''), '[ \t\r\n\f\x0B]+', '', 'g')) AS strip_key, sha1(lower(trim(regexp_replace(coalesce(text, ''), '[ \t\r\n\f\x0B]+', ' ', 'g')))) AS collapse_key FROM documents")
+#: Some texts with white space of other scripts, as the tables have none.
+_SPACED = "SELECT doc_id, CASE WHEN doc_id % 9 = 0 THEN chr(160) || 'a ' || chr(12288) || 'b' || chr(8201) || chr(31) ELSE '' END || text AS text FROM documents"
+
+
+@query(f"SELECT doc_id, sha1(regexp_replace(coalesce(text, ''), '{WHITE_SQL}', '', 'g')) AS strip_key, sha1(lower(trim(regexp_replace(coalesce(text, ''), '{WHITE_SQL}', ' ', 'g')))) AS collapse_key FROM ({_SPACED})")
 def txt07_text_keys(spark, d):
-    """TXT-07: both modes."""
-    return docs(spark, d).select("doc_id", text.text_key("text").alias("strip_key"), text.text_key("text", "collapse", True).alias("collapse_key"))
+    """TXT-07: keys of texts, white space of any script aside."""
+    spaced = docs(spark, d).select("doc_id", F.concat(F.when(F.col("doc_id") % 9 == 0, "\xa0a \u3000b\u2009\x1f").otherwise(""), "text").alias("text"))
+    return spaced.select("doc_id", text.text_key("text").alias("strip_key"), text.text_key("text", "collapse", True).alias("collapse_key"))
 
 
 @query(r"SELECT doc_id, CAST(len(regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}_]+')) AS INT) AS n_words, CAST(len(regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9]+')) AS INT) AS n_ascii FROM documents")
@@ -249,7 +256,7 @@ def vec04_centroids(spark, d):
 @query()
 def vec01_hash_embedding(spark, d):
     """VEC-01: distinct texts are embedded once and joined back by key."""
-    t = docs_for_python(spark, d).select("doc_id", "text", text.text_key("text", "collapse").alias("key"))
+    t = docs_for_python(spark, d).select("doc_id", "text", F.sha1("text").alias("key"))
     once = t.groupBy("key").agg(F.min("text").alias("text")).select("key", arrow.hash_embedding(64)("text").alias("v"))
     return t.select("doc_id", "key").join(once, "key").select("doc_id", F.round(F.get("v", F.lit(0)), 9).alias("v0"), F.size("v").alias("dims"))
 

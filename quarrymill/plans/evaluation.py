@@ -11,7 +11,7 @@ from quarrymill.operators import hygiene as hy
 from quarrymill.operators import relational as op
 
 from .projections import CLASSIFICATIONS, CORRECTIONS, GOLD, PRED, USAGE, classifications, corrections, gold, predictions, read, usage
-from .relational import KEY_SQL, ORDER_SQL
+from .relational import KEY_SQL, ORDER_SQL, WHITE_SQL
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -50,10 +50,10 @@ def ded02_leak_drop(spark, d):
     return t.where("source <> 'src0'").join(known, "k", "left").agg(F.count_if(F.col("leaked")).alias("n_leaked"), F.count_if(F.col("leaked").isNull()).alias("n_kept"))
 
 
-@query(r"""SELECT count(DISTINCT substr(regexp_replace(text, '[ \t\r\n\f\x0B]+', '', 'g'), 1, 100)) AS keys_100, count(DISTINCT substr(regexp_replace(text, '[ \t\r\n\f\x0B]+', '', 'g'), 1, 300)) AS keys_300 FROM documents""")
+@query(f"""SELECT count(DISTINCT substr(regexp_replace(text, '{WHITE_SQL}', '', 'g'), 1, 100)) AS keys_100, count(DISTINCT substr(regexp_replace(text, '{WHITE_SQL}', '', 'g'), 1, 300)) AS keys_300 FROM documents""")
 def ded03_prefix_keys(spark, d):
     """DED-03: keys of the first 100 and 300 characters without white space (the reference's own near-copy keys)."""
-    bare = F.regexp_replace("text", r"[ \t\r\n\f\x0B]+", "")
+    bare = F.regexp_replace("text", text.WHITE, "")
     return read(spark, d, "documents").agg(F.countDistinct(F.substring(bare, 1, 100)).alias("keys_100"), F.countDistinct(F.substring(bare, 1, 300)).alias("keys_300"))
 
 

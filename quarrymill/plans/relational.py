@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -27,7 +29,9 @@ def query(sql: str | None = None):
 
 
 ORDER_SQL = "CASE {} WHEN 'TS' THEN 1 WHEN 'S1' THEN 2 WHEN 'S2' THEN 3 WHEN 'S3' THEN 4 ELSE 99 END"
-KEY_SQL = r"sha1(regexp_replace(coalesce({}, ''), '[ \t\r\n\f\x0B]+', '', 'g'))"
+#: White space of any script.
+WHITE_SQL = r"[\s\x0B\x1C-\x1F\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+"
+KEY_SQL = "sha1(regexp_replace(coalesce({}, ''), '" + WHITE_SQL.replace("{", "{{").replace("}", "}}") + "', '', 'g'))"
 
 
 @query(f"""WITH k AS (SELECT doc_id, source, text, {KEY_SQL.format('text')} AS key, row_number() OVER (PARTITION BY {KEY_SQL.format('text')} ORDER BY doc_id) AS rn FROM documents)
@@ -338,22 +342,29 @@ _MARKED = {
     "mojibake_ratio": r"[愿蹂諛以]|\\ufffd|\?{3,}",
     "synthetic_ratio": r"\[가상기업[A-Z가-힣]\]|\[홍길동\(가명\)\]|\[등급분류\]|\[기밀자료\]|\[내부자료\]|\[등급코드\]|Noop fallback",
 }
+#: Texts of each pattern that one of these must be in; looking for them is much cheaper.
+_LITERALS = {"bracket_ratio": ("[", "관련"), "mojibake_ratio": ("???", "\\ufffd", "愿", "蹂", "諛", "以"), "synthetic_ratio": ("[", "Noop fallback")}
 
 
-@query(f"""WITH d AS (SELECT source, CASE WHEN doc_id % 50 = 0 THEN '[TS] ' ELSE '' END || CASE WHEN doc_id % 61 = 0 THEN ' ??? ' ELSE '' END || text || CASE WHEN doc_id % 97 = 0 THEN ' [내부자료]' ELSE '' END AS text FROM documents),
-p AS (SELECT source, count(*) AS n, count(*) FILTER (WHERE text IS NULL OR trim(text) = '') AS n_empty, count(DISTINCT {KEY_SQL.format('text')}) / count(*)::DOUBLE AS unique_ratio, {', '.join(f"count(*) FILTER (WHERE regexp_matches(text, '{p}')) / count(*)::DOUBLE AS {k}" for k, p in _MARKED.items())} FROM d GROUP BY source)
-SELECT source, n, n_empty, round(unique_ratio, 6) AS unique_ratio, round(bracket_ratio, 6) AS bracket_ratio, round(mojibake_ratio, 6) AS mojibake_ratio, round(synthetic_ratio, 6) AS synthetic_ratio,
-CASE WHEN n_empty > 0 OR bracket_ratio > 0.05 OR mojibake_ratio > 0.01 OR synthetic_ratio > 0.05 THEN 'FAIL' WHEN unique_ratio < 0.95 THEN 'WARN' ELSE 'PASS' END AS verdict FROM p""")
+@query(f"""WITH d AS (SELECT source, CASE WHEN doc_id % 4 = 0 OR (length(source) = 4 AND doc_id % 3 < 2) THEN NULL ELSE 'review' END AS label_source,
+CASE WHEN doc_id % 50 = 0 THEN '[TS] ' ELSE '' END || CASE WHEN doc_id % 61 = 0 THEN ' ??? ' ELSE '' END || text || CASE WHEN doc_id % 97 = 0 THEN ' [내부자료]' ELSE '' END || CASE WHEN doc_id % 43 = 0 THEN chr(12288) ELSE '' END AS text FROM documents),
+p AS (SELECT source, count(*) AS n, count(*) FILTER (WHERE text IS NULL OR trim(text) = '') AS n_empty, count(DISTINCT {KEY_SQL.format('text')}) / count(*)::DOUBLE AS unique_ratio, {', '.join(f"count(*) FILTER (WHERE regexp_matches(text, '{p}')) / count(*)::DOUBLE AS {k}" for k, p in _MARKED.items())},
+count(*) FILTER (WHERE label_source IS NULL) / count(*)::DOUBLE AS no_source_ratio FROM d GROUP BY source)
+SELECT source, n, n_empty, round(unique_ratio, 6) AS unique_ratio, round(bracket_ratio, 6) AS bracket_ratio, round(mojibake_ratio, 6) AS mojibake_ratio, round(synthetic_ratio, 6) AS synthetic_ratio, round(no_source_ratio, 6) AS no_source_ratio,
+CASE WHEN n_empty > 0 OR unique_ratio < 0.95 OR bracket_ratio > 0.05 THEN 'FAIL' WHEN mojibake_ratio > 0.01 OR no_source_ratio > 0.5 THEN 'WARN' ELSE 'PASS' END AS verdict FROM p""")
 def agg13_split_quality(spark, d):
-    """AGG-13, TXT-21: shares of a source's texts with written-in grades, broken encodings and marks of made-up texts (some put in here, as the tables have none)."""
+    """AGG-13, TXT-21: shares of a source's texts with written-in grades, broken encodings, marks of made-up texts (some put in here, as the tables have none) and without a source of their label."""
     i, t = F.col("doc_id"), F.col("text")
     put = lambda n, mark: F.when(i % n == 0, mark).otherwise("")
-    rows = read(spark, d, "documents").select("source", F.concat(put(50, "[TS] "), put(61, " ??? "), t, put(97, " [내부자료]")).alias("text"))
+    unknown = (i % 4 == 0) | ((F.length("source") == 4) & (i % 3 < 2))
+    rows = read(spark, d, "documents").select("source", F.when(~unknown, "review").alias("label_source"), F.concat(put(50, "[TS] "), put(61, " ??? "), t, put(97, " [내부자료]"), put(43, "\u3000")).alias("text"))
     shares = {"bracket_ratio": text.BRACKET_GRADES, "mojibake_ratio": text.MOJIBAKE, "synthetic_ratio": text.SYNTHETIC}
-    out = rows.groupBy("source").agg(F.count("*").alias("n"), F.count_if(t.isNull() | (F.trim(t) == "")).alias("n_empty"), (F.countDistinct(text.text_key("text")) / F.count("*")).alias("unique_ratio"), *[(F.count_if(t.rlike(p)) / F.count("*")).alias(k) for k, p in shares.items()])
-    fails = (F.col("n_empty") > 0) | (F.col("bracket_ratio") > 0.05) | (F.col("mojibake_ratio") > 0.01) | (F.col("synthetic_ratio") > 0.05)
-    verdict = F.when(fails, "FAIL").when(F.col("unique_ratio") < 0.95, "WARN").otherwise("PASS")
-    return out.select("source", "n", "n_empty", *[F.round(c, 6).alias(c) for c in ("unique_ratio", *shares)], verdict.alias("verdict"))
+    has = lambda k: reduce(lambda a, b: a | b, [F.contains(t, F.lit(x)) for x in _LITERALS[k]])
+    marked = [(F.count_if(has(k) & t.rlike(p)) / F.count("*")).alias(k) for k, p in shares.items()]
+    out = rows.groupBy("source").agg(F.count("*").alias("n"), F.count_if(t.isNull() | (F.trim(t) == "")).alias("n_empty"), (F.countDistinct(text.text_key("text")) / F.count("*")).alias("unique_ratio"), *marked, (F.count_if(F.col("label_source").isNull()) / F.count("*")).alias("no_source_ratio"))
+    fails = (F.col("n_empty") > 0) | (F.col("unique_ratio") < 0.95) | (F.col("bracket_ratio") > 0.05)
+    verdict = F.when(fails, "FAIL").when((F.col("mojibake_ratio") > 0.01) | (F.col("no_source_ratio") > 0.5), "WARN").otherwise("PASS")
+    return out.select("source", "n", "n_empty", *[F.round(c, 6).alias(c) for c in ("unique_ratio", *shares, "no_source_ratio")], verdict.alias("verdict"))
 
 
 @query(f"""SELECT count(*) AS n, count(*) FILTER (WHERE trim(coalesce(text, '')) = '') AS n_empty, count(*) FILTER (WHERE length(text) < 20) AS n_short, count(*) FILTER (WHERE label NOT IN ('TS', 'S1', 'S2', 'S3')) AS n_bad_label,
