@@ -57,3 +57,25 @@ def cosine(a: Column, b: Column) -> Column:
     dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda s, v: s + v)
     norms = F.sqrt(dot(a, a)) * F.sqrt(dot(b, b))
     return F.when((F.size(a) == F.size(b)) & (F.size(a) > 0), F.coalesce(F.try_divide(dot(a, b), norms), F.lit(0.0))).otherwise(0.0)
+
+
+def resampled(histogram: Column, bins: int) -> Column:
+    """A histogram (array of shares over one interval) with so many bins: what its cumulative shares, linear within a bin, gain from edge to edge, in all 1. As it is where it has that many bins; zeros where it holds nothing."""
+    size = F.size(histogram)
+    total = lambda a: F.aggregate(a, F.lit(0.0), lambda s, x: s + x)
+
+    def upto(edge: Column) -> Column:
+        at = edge * size / F.lit(float(bins))
+        whole = F.floor(at).cast("int")
+        return total(F.slice(histogram, F.lit(1), whole)) + (at - whole) * F.coalesce(F.get(histogram, whole), F.lit(0.0))
+
+    gains = F.transform(F.sequence(F.lit(1), F.lit(bins)), lambda k: F.greatest(F.lit(0.0), upto(k) - upto(k - 1)))
+    scaled = F.transform(gains, lambda x: x / total(gains))
+    zeros = F.array_repeat(F.lit(0.0), bins)
+    return F.when(size == bins, histogram).when(histogram.isNull() | (size == 0) | (total(histogram) <= 0), zeros).otherwise(scaled)
+
+
+def divergence(p: Column, q: Column, least: float = 1e-9) -> Column:
+    """Kullback-Leibler divergence of two histograms of as many bins, shares under least counting as least; not below 0."""
+    floor = lambda x: F.greatest(x, F.lit(least))
+    return F.greatest(F.lit(0.0), F.aggregate(F.zip_with(p, q, lambda a, b: floor(a) * F.ln(floor(a) / floor(b))), F.lit(0.0), lambda s, x: s + x))

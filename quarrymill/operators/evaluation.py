@@ -170,3 +170,24 @@ def readiness(checks: DataFrame, by: str) -> DataFrame:
     n = checks.groupBy(by).agg(F.count_if(F.col("status") == "FAIL").alias("failed"), F.count_if(F.col("status") == "BLOCKED").alias("blocked"), F.array_sort(F.collect_list(F.when(F.col("status") != "PASS", F.col("name")))).alias("open"))
     verdict = F.when(F.col("failed") > 0, "FAIL").when(F.col("blocked") > 0, "CONDITIONALLY_READY").otherwise("PASS")
     return n.select(by, verdict.alias("verdict"), ((verdict == "PASS") & (F.size("open") == 0)).alias("released"), "open")
+
+
+def shares(rows: DataFrame, by: list[str], value: str, bins: int) -> DataFrame:
+    """(by..., histogram): the shares of value, from -1 to 1, in so many bins. Only counts by bin are gathered."""
+    at = F.floor((F.least(F.lit(0.9999), F.greatest(F.lit(-1.0), F.col(value))) + 1) / 2 * bins).cast("int")
+    n = rows.where(F.col(value).isNotNull()).groupBy(*by, at.alias("_bin")).agg(F.count("*").alias("_n"))
+    g = n.groupBy(*by).agg(F.map_from_entries(F.collect_list(F.struct("_bin", "_n"))).alias("_m"), F.sum("_n").alias("_t"))
+    return g.select(*by, F.transform(F.sequence(F.lit(0), F.lit(bins - 1)), lambda b: F.coalesce(F.try_element_at(F.col("_m"), b), F.lit(0)) / F.col("_t")).alias("histogram"))
+
+
+def stored_drift(stored: DataFrame, cosines: DataFrame, value: str, bins: int = 20, limit: float = 0.5, shift_limit: float = 0.0) -> DataFrame:
+    """stored (..., histogram) with kl, mean, shift, status and alert of the cosines at hand: a stored histogram of other bins is resampled; one that holds nothing gives the status unknown and leaves the alert to the shift of the mean. No cosines: kl, mean and shift 0."""
+    now = shares(cosines, [], value, bins).crossJoin(cosines.agg(F.avg(value).alias("mean")))
+    base = stored.select("*", stats.resampled(F.col("histogram"), bins).alias("_p"))
+    met = base.join(F.broadcast(now.withColumnRenamed("histogram", "_q")), how="left")
+    empty = F.col("histogram").isNull() | (F.aggregate("histogram", F.lit(0.0), lambda s, x: s + x) <= 0)
+    kl = F.when(empty | F.col("_q").isNull(), 0.0).otherwise(stats.divergence(F.col("_p"), F.col("_q")))
+    out = met.withColumn("kl", kl).withColumn("shift", F.coalesce(1 - F.col("mean"), F.lit(0.0))).withColumn("mean", F.coalesce("mean", F.lit(0.0)))
+    moved = (F.lit(shift_limit) > 0) & (F.abs("shift") >= shift_limit)
+    bad = (F.col("kl") >= limit) | moved
+    return out.withColumn("status", F.when(empty, "unknown").when(bad, "alert").otherwise("ok")).withColumn("alert", F.when(empty, moved).otherwise(bad)).drop("_p", "_q")

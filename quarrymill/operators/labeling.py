@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -67,6 +68,24 @@ def majority(votes: DataFrame, item: str, vote: str) -> DataFrame:
     return g.select(item, "label", (F.col("top") / F.col("n")).alias("self_consistency"), "n")
 
 
+def adaptive_vote(items: DataFrame, item: str, ask: Callable[[DataFrame], DataFrame], first: int = 3, most: int = 5) -> DataFrame:
+    """(item, label, self_consistency, n, asked) of every item: the commonest valid vote of the first samples, and of further ones up to most where those differ (a vote that is no grade differs from grades). ask: rows (item, k) to rows (item, k, vote). An item without a valid vote is S3 with 0.
+
+    Only items whose first samples are split are asked again. The votes should come
+    from a table or a repeatable model, as plans may read them twice.
+    """
+    rows = items.select(item).distinct()
+    early = ask(rows.select(item, F.explode(F.sequence(F.lit(1), F.lit(first))).alias("k"))).select(item, F.when(F.col("vote").isin(*GRADES), F.col("vote")).otherwise("").alias("vote"))
+    split = early.groupBy(item).agg(F.min("vote").alias("_low"), F.max("vote").alias("_high")).where("_low <> _high").select(item)
+    votes = early
+    if most > first:
+        votes = early.unionByName(ask(split.select(item, F.explode(F.sequence(F.lit(first + 1), F.lit(most))).alias("k"))).select(item, "vote"))
+    asked = votes.groupBy(item).agg(F.count("*").alias("asked"))
+    told = rows.join(majority(votes, item, "vote"), item, "left").join(asked, item, "left")
+    none = F.col("label").isNull()
+    return told.select(item, F.coalesce("label", F.lit("S3")).alias("label"), F.when(none, 0.0).otherwise(F.col("self_consistency")).alias("self_consistency"), F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("asked", F.lit(0)).alias("asked"))
+
+
 def consensus(rule: Column, judge: Column, self_consistency: Column, evidence: Column, shadow: Column | None = None, airgap: Column | bool = False, confidence: Column | float = 0.0, least_consistency: float = 0.67, require_evidence: bool = True) -> Column:
     """struct<status, label_source, review_status, is_gold, flags, priority>: whether rule and judge agree well enough for a gold candidate; confidence only orders the reviews.
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from quarrymill.functions import arrow, text
 from quarrymill.operators import retrieval as ir
 from quarrymill.session import scratch, shipped
-from quarrymill.sources import readers, writers
+from quarrymill.sources import readers, versions, writers
 
 from .projections import PRED, predictions, read
 
@@ -107,3 +107,28 @@ def ir16_embedding_cache(spark, d):
     ir.cached_embeddings(t.where("doc_id % 2 = 0"), arrow.hash_embedding(16), "hash16", path)
     found = ir.cached_embeddings(t, arrow.hash_embedding(16), "hash16", path)
     return found.agg(F.countDistinct("key").alias("n_keys"), F.count("*").alias("n_cached"))
+
+
+@query("""WITH e AS (SELECT event_id, CASE WHEN event_id % 7 = 0 THEN value + 1 ELSE value END AS value, event_id % 7 = 0 AS fresh FROM events) SELECT event_id, round(value, 6) AS value, fresh FROM e
+UNION ALL SELECT event_id + 100000000, round(value, 6), TRUE FROM events WHERE event_id % 1000 = 1""")
+def snk02_versions(spark, d):
+    """SNK-02: a first version of a keyed table, then an upsert of some of its rows and some new ones, older ones aside, into the buckets that they fall into; read through the manifest."""
+    e = read(spark, d, "events").select("event_id", "ts", "value").withColumn("fresh", F.lit(False))
+    base = scratch(spark, "versions")
+    versions.upsert(e, base, "event_id", "ts")
+    changed = e.where("event_id % 7 = 0").withColumn("value", F.col("value") + 1).withColumn("fresh", F.lit(True))
+    added = e.where("event_id % 1000 = 1").withColumn("event_id", F.col("event_id") + 100_000_000).withColumn("fresh", F.lit(True))
+    stale = e.where("event_id % 7 = 1").withColumn("ts", F.col("ts") - F.expr("interval 1 day")).withColumn("value", F.lit(-1.0))
+    versions.upsert(changed.unionByName(added).unionByName(stale), base, "event_id", "ts")
+    return versions.current(spark, base, e.schema).select("event_id", F.round("value", 6).alias("value"), "fresh")
+
+
+@query("""WITH e AS (SELECT event_id, ts + to_months(CAST(event_id % 3 AS INT)) AS ts, value FROM events), r AS (SELECT strftime(ts, '%Y-%m') AS month, CASE WHEN strftime(ts, '%Y-%m') = '2024-02' THEN 2 * value ELSE value END AS value FROM e)
+SELECT month, count(*) AS n, round(sum(value), 3) AS total FROM r GROUP BY month""")
+def str10_roll_over(spark, d):
+    """STR-10: rows written by month, then one month written again by itself."""
+    e = read(spark, d, "events").select("event_id", F.timestamp_add("MONTH", (F.col("event_id") % 3).cast("int"), F.col("ts")).alias("ts"), "value")
+    path = scratch(spark, "months")
+    versions.replace_months(e, "ts", path)
+    versions.replace_months(e.where(F.date_format("ts", "yyyy-MM") == "2024-02").withColumn("value", 2 * F.col("value")), "ts", path)
+    return spark.read.schema("event_id long, ts timestamp_ntz, value double, month string").parquet(path).groupBy("month").agg(F.count("*").alias("n"), F.round(F.sum("value"), 3).alias("total"))

@@ -526,6 +526,20 @@ def lab05_votes(spark, d):
     return rounded(lb.majority(v, "doc_id", "vote"), "self_consistency")
 
 
+_ASKED = "SELECT doc_id, k, CASE WHEN doc_id % 11 = 0 THEN 'bad' WHEN doc_id % 5 < 2 THEN ['TS', 'S2'][doc_id % 5 + 1] ELSE ['TS', 'S1', 'S2', 'S3', 'bad'][(doc_id * k + k * k) % 5 + 1] END AS vote FROM documents, (SELECT unnest([1, 2, 3, 4, 5]) AS k)"
+
+
+@query(f"""WITH v AS ({_ASKED}), s AS (SELECT doc_id, count(DISTINCT CASE WHEN vote = 'bad' THEN '' ELSE vote END) > 1 AS split FROM v WHERE k <= 3 GROUP BY doc_id), a AS (SELECT v.*, split FROM v JOIN s USING (doc_id) WHERE k <= 3 OR split),
+c AS (SELECT doc_id, vote, count(*) AS c FROM a WHERE vote <> 'bad' GROUP BY 1, 2), r AS (SELECT *, sum(c) OVER (PARTITION BY doc_id) AS n, row_number() OVER (PARTITION BY doc_id ORDER BY c DESC, {ORDER_SQL.format('vote')}) AS rn FROM c)
+SELECT doc_id, coalesce(vote, 'S3') AS label, round(coalesce(c / n::DOUBLE, 0), 9) AS self_consistency, CAST(coalesce(n, 0) AS BIGINT) AS n, CAST(CASE WHEN split THEN 5 ELSE 3 END AS BIGINT) AS asked FROM s LEFT JOIN (SELECT * FROM r WHERE rn = 1) USING (doc_id)""")
+def lab05_adaptive(spark, d):
+    """LAB-05: three votes an item, two more where they differ; items without a valid vote come back as S3 with 0."""
+    i, k = F.col("doc_id"), F.col("k")
+    g = lambda *x: F.array(*[F.lit(v) for v in x])
+    vote = F.when(i % 11 == 0, "bad").when(i % 5 < 2, F.element_at(g("TS", "S2"), (i % 5 + 1).cast("int"))).otherwise(F.element_at(g(*grades.GRADES, "bad"), ((i * k + k * k) % 5 + 1).cast("int")))
+    return rounded(lb.adaptive_vote(docs(spark, d), "doc_id", lambda rows: rows.withColumn("vote", vote)), "self_consistency")
+
+
 _SHADOW = "CASE WHEN doc_id % 3 = 0 THEN ['TS', 'S1', 'S2', 'S3'][doc_id % 4 + 1] END"
 
 

@@ -415,6 +415,31 @@ def gat09_drift(spark, d):
     return rounded(ev.drift(spark, c.where("label < 5"), c.where("label >= 5"), "c"), "kl")
 
 
+@query(f"""WITH s AS MATERIALIZED (SELECT label, c FROM ({_COS})), m AS (SELECT unnest([10, 20, 30]) AS m),
+b AS (SELECT m, unnest(range(m)) AS bin FROM m), n AS (SELECT m, CAST(floor((least(0.9999::DOUBLE, greatest(-1.0::DOUBLE, c)) + 1) / 2 * m) AS INT) AS bin, count(*) AS n FROM s, m WHERE label < 5 GROUP BY 1, 2),
+h AS (SELECT b.m, list(coalesce(n, 0) / (SELECT count(*) FROM s WHERE label < 5)::DOUBLE ORDER BY b.bin) AS h FROM b LEFT JOIN n USING (m, bin) GROUP BY b.m),
+e AS (SELECT m, k, coalesce(list_sum(h[1:CAST(floor(k * m / 20.0::DOUBLE) AS INT)]), 0) + (k * m / 20.0::DOUBLE - floor(k * m / 20.0::DOUBLE)) * coalesce(h[CAST(floor(k * m / 20.0::DOUBLE) AS INT) + 1], 0) AS c FROM h, (SELECT unnest(range(21)) AS k)),
+p AS (SELECT a.m, b.k - 1 AS bin, greatest(0.0::DOUBLE, b.c - a.c) AS p FROM e a JOIN e b ON a.m = b.m AND b.k = a.k + 1),
+q AS (SELECT bin, (SELECT count(*) FROM s WHERE label >= 5 AND CAST(floor((least(0.9999::DOUBLE, greatest(-1.0::DOUBLE, c)) + 1) / 2 * 20) AS INT) = bin) / (SELECT count(*) FROM s WHERE label >= 5)::DOUBLE AS q FROM (SELECT unnest(range(20)) AS bin)),
+t AS (SELECT m, sum(p) AS t FROM p GROUP BY m),
+k AS (SELECT m, greatest(0.0::DOUBLE, sum(greatest(p / t, 1e-9) * ln(greatest(p / t, 1e-9) / greatest(q, 1e-9)))) AS kl FROM p JOIN t USING (m) JOIN q USING (bin) GROUP BY m UNION ALL SELECT 0, 0.0::DOUBLE),
+a AS (SELECT avg(c) AS mean FROM s WHERE label >= 5)
+SELECT m AS stored_bins, round(kl, 9) AS kl, round(mean, 9) AS mean, round(1 - mean, 9) AS shift, CASE WHEN m = 0 THEN 'unknown' WHEN kl >= 0.5 OR abs(1 - mean) >= 0.9 THEN 'alert' ELSE 'ok' END AS status, CASE WHEN m = 0 THEN abs(1 - mean) >= 0.9 ELSE kl >= 0.5 OR abs(1 - mean) >= 0.9 END AS alert FROM k, a""")
+def gat10_stored_drift(spark, d):
+    """GAT-10: drift from a stored histogram of 10, 20 or 30 bins, or of none, against one of 20 bins, and the shift of the mean cosine."""
+    e = read(spark, d, "embeddings")
+    middle = ev.centroid(e.where("label < 5"), "embedding")
+    c = e.crossJoin(F.broadcast(middle)).select("label", stats.cosine(F.transform("embedding", lambda x: x.cast("double")), F.col("centroid")).alias("c"))
+    train = c.where("label < 5")
+    stored = None
+    for bins in (10, 20, 30):
+        part = ev.shares(train, [], "c", bins).select(F.lit(bins).alias("stored_bins"), "histogram")
+        stored = part if stored is None else stored.unionByName(part)
+    stored = stored.unionByName(spark.range(1).select(F.lit(0).alias("stored_bins"), F.array().cast("array<double>").alias("histogram")))
+    out = ev.stored_drift(stored, c.where("label >= 5"), "c", 20, 0.5, 0.9)
+    return rounded(out.select("stored_bins", "kl", "mean", "shift", "status", "alert"), "kl", "mean", "shift")
+
+
 @query(f"""WITH c AS (SELECT source AS part, unnest(['rows', 'agreement', 'parity']) AS name, unnest([CASE WHEN count(*) >= 10 THEN 'PASS' ELSE 'FAIL' END, CASE WHEN avg((label = pred)::INT) >= 0.6 THEN 'PASS' ELSE 'FAIL' END, CASE WHEN source LIKE '%3' THEN 'BLOCKED' ELSE 'PASS' END]) AS status FROM ({PRED}) GROUP BY source)
 SELECT part, CASE WHEN count(*) FILTER (WHERE status = 'FAIL') > 0 THEN 'FAIL' WHEN count(*) FILTER (WHERE status = 'BLOCKED') > 0 THEN 'CONDITIONALLY_READY' ELSE 'PASS' END AS verdict, count(*) FILTER (WHERE status <> 'PASS') = 0 AS released, coalesce(string_agg(name, ',' ORDER BY name) FILTER (WHERE status <> 'PASS'), '') AS open FROM c GROUP BY part""")
 def gat06_readiness(spark, d):
