@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -143,3 +146,50 @@ def cached_embeddings(texts: DataFrame, embed, model: str, path: str) -> DataFra
     known = spark.read.schema(schema).parquet(path)
     wanted.join(known.select("key"), "key", "left_anti").select("key", embed("text").alias("vector")).write.mode("append").parquet(path)
     return spark.read.schema(schema).parquet(path).join(wanted.select("key"), "key", "left_semi")
+
+
+def candidates_for(k: int, filtered: bool = False) -> int:
+    """How many candidates to take for the first k: 20 for each, 100 at least; 50 for each where a filter will drop some."""
+    base = max(100, 20 * k)
+    return max(base, 50 * k) if filtered else base
+
+
+def rule_expansion(text: Column, synonyms: dict[str, list[str]], most: int = 3) -> Column:
+    """array of queries: the text, then the text with each of the first most synonyms that it doesn't hold yet; a key counts in any case, a synonym as it is written. An empty text or none has no queries."""
+    low, none = F.lower(text), F.array().cast("array<string>")
+    parts = [F.when(F.contains(low, F.lit(k.lower())), F.array(*[F.lit(x) for x in v])).otherwise(none) for k, v in synonyms.items() if v]
+    fresh = F.slice(F.array_distinct(F.filter(F.concat(none, *parts), lambda x: ~F.contains(text, x))), 1, most)
+    queries = F.concat(F.array(text), F.transform(fresh, lambda x: F.trim(F.concat(text, F.lit(" "), x))))
+    return F.when(F.coalesce(F.length(text), F.lit(0)) > 0, queries).otherwise(none)
+
+
+def reranked(hits: DataFrame, scorer: Callable[[str, list[str]], list[float]], k: int) -> DataFrame:
+    """(qid, id, rank, score) of hits (qid, id, rank, score, query, text), at most some hundreds a query: those with a text by the scorer, ties by their rank before, then those without, as they were; the first k of that.
+
+    scorer takes a query and its hits' texts. Where it fails, or gives another number of
+    scores, that query's hits keep their order and scores, and other queries aren't
+    touched. So it is too where no hit has a text. A score of NaN counts as the lowest.
+    """
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["rank", "id"]).reset_index(drop=True)
+        has = pdf["text"].fillna("") != ""
+        if has.any():
+            try:
+                scores = [float(x) for x in scorer(pdf["query"][0], pdf["text"][has].tolist())]
+                if len(scores) == has.sum():
+                    first = pdf[has].assign(score=scores)
+                    first = first.assign(_order=first["score"].fillna(float("-inf"))).sort_values("_order", ascending=False, kind="stable").drop(columns="_order")
+                    pdf = pd.concat([first, pdf[~has]], ignore_index=True)
+            except Exception:  # noqa: BLE001 - whatever a model raises, the hits stay as they are
+                pass
+        pdf = pdf.head(k)
+        return pd.DataFrame({"qid": pdf["qid"], "id": pdf["id"], "rank": range(1, len(pdf) + 1), "score": pdf["score"]})
+
+    rows = hits.select(F.col("qid").cast("long").alias("qid"), F.col("id").cast("long").alias("id"), F.col("rank").cast("int").alias("rank"), F.col("score").cast("double").alias("score"), "query", "text")
+    return rows.groupBy("qid").applyInPandas(run, "qid long, id long, rank int, score double")
+
+
+def keep_order(query: str, texts: list[str]) -> list[float]:
+    """The scorer that changes nothing: 1, falling evenly."""
+    return [1.0 - i / len(texts) for i in range(len(texts))]

@@ -446,6 +446,42 @@ def ir09_rerank(spark, d):
     return a.select("qid", "id", F.round(1 - (F.col("rank") - 1) / F.lit(10.0), 9).alias("reranked"), F.greatest(F.lit(100), F.lit(200)).alias("candidates"))
 
 
+_HITS = f"SELECT a.qid, a.id, a.rank, a.score, CASE WHEN a.id % 7 <> 0 THEN d.text END AS text FROM ({_CHANNEL_A}) a LEFT JOIN documents d ON d.doc_id = a.id WHERE a.rank <= 200"
+
+
+@query(f"""WITH h AS ({_HITS}), s AS (SELECT *, qid % 300 = 0 AS failed, coalesce(text, '') <> '' AS has, CASE WHEN coalesce(text, '') <> '' THEN (length(text) * 31 + qid) % 97 / 97.0::DOUBLE END AS new FROM h),
+o AS (SELECT qid, id, CASE WHEN has AND NOT failed THEN new ELSE score END AS score, row_number() OVER (PARTITION BY qid ORDER BY CASE WHEN failed THEN 0 WHEN has THEN 0 ELSE 1 END, CASE WHEN has AND NOT failed THEN -new ELSE 0 END, rank) AS rank FROM s)
+SELECT qid, id, CAST(rank AS INT) AS rank, round(score, 9) AS score FROM o WHERE rank <= 10""")
+def ir09_reranked(spark, d):
+    """IR-09, IR-10: as many candidates as ten hits take, scored by their texts; some hits have none, and for some queries the scorer fails."""
+    shipped(spark)
+    q, e = _queries(spark, d)
+    a = ir.nearest(q, e.select("id", "vec"), ir.candidates_for(10)).where("score > 0")
+    t = docs(spark, d).select(F.col("doc_id").alias("id"), F.when(F.col("doc_id") % 7 != 0, F.col("text")).alias("text"))
+    hits = a.join(t, "id", "left").withColumn("query", F.col("qid").cast("string"))
+
+    def scorer(query, texts):
+        if int(query) % 300 == 0:
+            raise ValueError("no model for this query")
+        return [(len(x) * 31 + int(query)) % 97 / 97.0 for x in texts]
+
+    return rounded(ir.reranked(hits, scorer, 10), "score")
+
+
+_MORE = {"the": ["zza", "this", "that", "these"], "QUE": ["qui", "zzb"], "der": ["die", "das"]}
+_MORE_SQL = ", ".join(f"CASE WHEN contains(lower(text), '{k.lower()}') THEN {v} ELSE [] END" for k, v in _MORE.items())
+
+
+@query(f"""WITH x AS (SELECT item_id, text, flatten([{_MORE_SQL}]) AS s FROM (SELECT item_id, text FROM benchmark UNION ALL SELECT item_id + 1000000, '') ), f AS (SELECT item_id, text, list_filter(s, lambda v: NOT contains(text, v)) AS s FROM x),
+u AS (SELECT item_id, text, list_filter(s, lambda v, i: list_position(s, v) = i)[1:3] AS s FROM f)
+SELECT item_id, CASE WHEN text = '' THEN '' ELSE array_to_string(list_concat([text], list_transform(s, lambda v: trim(text || ' ' || v))), '|') END AS queries FROM u""".replace("SELECT item_id + 1000000, '')", "SELECT item_id + 1000000, '' FROM benchmark)"))
+def ir07_expanded_queries(spark, d):
+    """IR-07: a query and the query with each of at most three synonyms."""
+    b = read(spark, d, "benchmark").select("item_id", "text")
+    rows = b.unionByName(b.select((F.col("item_id") + 1_000_000).alias("item_id"), F.lit("").alias("text")))
+    return rows.select("item_id", F.array_join(ir.rule_expansion(F.col("text"), _MORE), "|").alias("queries"))
+
+
 @query("""WITH c AS (SELECT conv_id, list_sort(list_distinct(list(turn % 4))) AS cited, list_sort(list_distinct(list(turn % 3))) AS gold FROM conversations GROUP BY conv_id), x AS (SELECT conv_id, len(list_intersect(cited, gold)) AS b, len(cited) AS c, len(gold) AS g FROM c)
 SELECT conv_id, round(b / c::DOUBLE, 9) AS precision, round(b / g::DOUBLE, 9) AS recall, round(CASE WHEN b = 0 THEN 0 ELSE 2 * (b / c::DOUBLE) * (b / g::DOUBLE) / (b / c::DOUBLE + b / g::DOUBLE) END, 9) AS f1, b > 0 AS grounded, b < c AS hallucination_risk FROM x""")
 def ir17_citation_f1(spark, d):
