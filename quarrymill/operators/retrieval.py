@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarrymill.functions import stats
+from quarrymill.session import shipped
 
 
 def nearest(queries: DataFrame, corpus: DataFrame, k: int, query_bound: int = 1000) -> DataFrame:
@@ -186,6 +187,7 @@ def reranked(hits: DataFrame, scorer: Callable[[str, list[str]], list[float]], k
         pdf = pdf.head(k)
         return pd.DataFrame({"qid": pdf["qid"], "id": pdf["id"], "rank": range(1, len(pdf) + 1), "score": pdf["score"]})
 
+    shipped(hits.sparkSession)
     rows = hits.select(F.col("qid").cast("long").alias("qid"), F.col("id").cast("long").alias("id"), F.col("rank").cast("int").alias("rank"), F.col("score").cast("double").alias("score"), "query", "text")
     return rows.groupBy("qid").applyInPandas(run, "qid long, id long, rank int, score double")
 

@@ -454,7 +454,6 @@ o AS (SELECT qid, id, CASE WHEN has AND NOT failed THEN new ELSE score END AS sc
 SELECT qid, id, CAST(rank AS INT) AS rank, round(score, 9) AS score FROM o WHERE rank <= 10""")
 def ir09_reranked(spark, d):
     """IR-09, IR-10: as many candidates as ten hits take, scored by their texts; some hits have none, and for some queries the scorer fails."""
-    shipped(spark)
     q, e = _queries(spark, d)
     a = ir.nearest(q, e.select("id", "vec"), ir.candidates_for(10)).where("score > 0")
     t = docs(spark, d).select(F.col("doc_id").alias("id"), F.when(F.col("doc_id") % 7 != 0, F.col("text")).alias("text"))
