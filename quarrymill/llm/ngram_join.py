@@ -50,6 +50,8 @@ _ODD = [np.uint64(x) for x in (0x6A09E667F3BCC909, 0xBB67AE8584CAA73B, 0x3C6EF37
 FILTER_BITS = 1 << 27
 #: Bytes that are kept of a join key. Keys that agree in them by chance make candidates that the sketches reject.
 KEY_BYTES = 6
+#: Fewest bits of a sketch. Sketches of small sets as narrow as the sets let many pairs pass that don't link.
+LEAST_BITS = 512
 
 
 class WordHashes(dict):
@@ -162,8 +164,8 @@ def unpacked_ids(packed: bytes) -> np.ndarray:
 
 
 def parity(h: np.ndarray) -> bytes:
-    """The parity sketch of a set, of at least as many bits (a power of two) as it has shingles."""
-    width = max(64, 1 << (len(h) - 1).bit_length()) if len(h) else 64
+    """The parity sketch of a set, of at least as many bits (a power of two) as it has shingles, and LEAST_BITS."""
+    width = max(LEAST_BITS, 1 << (len(h) - 1).bit_length()) if len(h) else LEAST_BITS
     odd = np.bincount((h & np.uint64(width - 1)).astype(np.int64), minlength=width) & 1
     return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
 
