@@ -1,8 +1,9 @@
 """Secret scans: fixed patterns, and strings that look random to character Markov models.
 
 Two first-order Markov models over character classes of ASCII (each letter, digit and
-sign its own state) are trained from labelled samples, one of random strings and one
-of ordinary identifiers (labelled_samples() where none are given). Where a run of key
+sign its own state) are trained from labelled samples, of random strings and of ordinary
+identifiers and words: learned() counts them from a table, labelled_samples() makes some
+by rule where none are given. Where a run of key
 characters, or a part of it outside the spans of the fixed patterns, has a mean
 log-likelihood ratio per character above a threshold that falls with its length, it is
 a span of kind markov. Spans are in code points, end exclusive.
@@ -11,6 +12,8 @@ A null text counts as empty: no spans. Texts are scanned whole, in time that gro
 their length; each row on its own, so repeated rows give repeated results and null ids
 null ids. Spans of one start come in the order of KINDS. An empty table gives no rows.
 Of other columns, whatever their names, scan() reads none and redact() passes all on.
+A labelled sample that is null or empty, or whose label is null, is left out; repeated
+ones count as often as they come; an empty table of samples is refused.
 """
 
 from __future__ import annotations
@@ -34,7 +37,7 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
 HEX = re.compile(r"(?<![0-9a-f])[0-9a-f]{24,}")
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_-]{12,}={0,2}")
 #: A candidate of n characters is a span where its mean ratio is THRESHOLD + PER_LENGTH / n at least.
-THRESHOLD, PER_LENGTH = 0.5, 9.0
+THRESHOLD, PER_LENGTH = 0.3, 8.0
 
 #: Parts of ordinary identifiers, for the labelled sample of them.
 PARTS = tuple(
@@ -45,6 +48,11 @@ PARTS = tuple(
     "und der die das nicht einheit keit schaft ung les des pour dans avec ment tion que para como con los las cion dad".split()
 )
 
+#: Beginnings, middles and ends of the syllables of made-up words, for the labelled sample of ordinary ones.
+ONSETS = tuple(". . b c d f g h j l m n p qu r s t v w z bl br ch cr dr fl fr gl gr pl pr sc sch sh sl sp st str th tr".replace(".", "-").split())
+MIDDLES = tuple("a a e e e i i o o u y ai au ae ea ee ei eu eau ia ie io iu oa oe oi oo ou ua ue ui aie oue aue".split())
+ENDS = tuple("- - - - b c d f g k l m n p r s t x z ct ld ll lt mp nd ng ns nt nz ps rd rn rt sc sh ss st x".split())
+
 
 def _states() -> dict[str, int]:
     alphabet = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/_-="
@@ -54,8 +62,14 @@ def _states() -> dict[str, int]:
 STATES = _states()
 
 
+def made_up_word(r: random.Random) -> str:
+    """A word of two to five syllables, in lower, title or upper case."""
+    word = "".join(r.choice(x) for _ in range(r.randint(2, 5)) for x in (ONSETS, MIDDLES, ENDS)).replace("-", "")
+    return r.choice((word, word, word.title(), word.upper()))
+
+
 def labelled_samples(each: int = 4000, seed: int = 11) -> tuple[list[str], list[str]]:
-    """(random strings, ordinary identifiers), made by rule from a seed: the labelled samples used where no others are given."""
+    """(random strings, ordinary identifiers and as many made-up words), made by rule from a seed: the labelled samples used where no others are given."""
     r = random.Random(seed)
     kinds = ["0123456789abcdef", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789", "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/"]
     noise = ["".join(r.choice(kinds[k % len(kinds)]) for _ in range(r.randint(20, 48))) for k in range(each)]
@@ -63,15 +77,14 @@ def labelled_samples(each: int = 4000, seed: int = 11) -> tuple[list[str], list[
     for k in range(each):
         parts = [r.choice(PARTS) for _ in range(r.randint(2, 6))]
         plain.append(("_".join(parts), "".join(p.title() for p in parts), "-".join(parts), "".join(parts), "/".join(parts), "_".join(parts).upper())[k % 6] + ("" if r.random() < 0.8 else str(r.randint(0, 2030))))
-    return noise, plain
+    return noise, plain + [made_up_word(r) for _ in range(each)]
 
 
 def train(noise: list[str], plain: list[str], smooth: float = 0.5) -> np.ndarray:
     """Log-likelihood ratio, random over ordinary, of each character after each other (the last row: at the start)."""
     n = len(STATES)
-    out = []
-    for sample in (noise, plain):
-        c = np.full((n + 1, n), smooth)
+    counts = np.zeros((2, n + 1, n))
+    for sample, c in zip((noise, plain), counts, strict=True):
         for s in sample:
             last = n
             for ch in s:
@@ -81,8 +94,34 @@ def train(noise: list[str], plain: list[str], smooth: float = 0.5) -> np.ndarray
                     continue
                 c[last, k] += 1
                 last = k
-        out.append(np.log(c / c.sum(axis=1, keepdims=True)))
-    return out[0] - out[1]
+    return _ratios(counts, smooth)
+
+
+def _ratios(counts: np.ndarray, smooth: float) -> np.ndarray:
+    c = counts + smooth
+    logs = np.log(c / c.sum(axis=2, keepdims=True))
+    return logs[0] - logs[1]
+
+
+def learned(samples: DataFrame, smooth: float = 0.5) -> list[list[float]]:
+    """The ratios of train() from a table of labelled samples (sample string, random boolean), for scan() and redact().
+
+    Transitions are counted by Spark; what comes to the driver is a number for each two
+    states and label, so 2 * 66 * 67 of them at most, whatever the number of samples.
+    """
+    rows = samples.select(F.col("sample").cast("string").alias("sample"), F.col("random").cast("boolean").alias("random")).where("random is not null and sample <> ''")
+    known = F.lit("".join(STATES))
+    # characters that are no state stand as a blank, and the start as another
+    marked = F.concat(F.lit(" "), F.regexp_replace("sample", r"[^A-Za-z0-9+/_=-]", " "))
+    pairs = rows.select("random", F.explode(F.sequence(F.lit(1), F.length(marked) - 1)).alias("k"), marked.alias("s")).select("random", F.expr("substring(s, k, 1)").alias("last"), F.expr("substring(s, k + 1, 1)").alias("next"))
+    found = pairs.where("next <> ' '").groupBy("random", F.instr(known, F.col("last")).alias("last"), F.instr(known, F.col("next")).alias("next")).count().collect()
+    if {x["random"] for x in found} != {True, False}:
+        raise ValueError("samples of both labels are needed")
+    n = len(STATES)
+    counts = np.zeros((2, n + 1, n))
+    for x in found:
+        counts[0 if x["random"] else 1, (x["last"] or n + 1) - 1, x["next"] - 1] = x["count"]
+    return _ratios(counts, smooth).tolist()
 
 
 _DEFAULT: list[list[list[float]]] = []

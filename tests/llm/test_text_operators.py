@@ -10,6 +10,7 @@ import time
 import zlib
 from collections import Counter
 
+import numpy as np
 import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
@@ -97,6 +98,30 @@ def test_many_spans_take_no_square_of_their_number():
     assert time.process_time() - began < 30
 
 
+def test_markov_ratios_from_a_table_of_samples(spark):
+    noise, plain = secret_scan.labelled_samples(3000, seed=5)
+    odd = ["", None, "naïve key", "  ", "a"]
+    rows = [(x, True) for x in noise] + [(x, False) for x in plain + odd] + [("dropped", None)]
+    got = secret_scan.learned(spark.createDataFrame(rows, "sample string, random boolean"))
+    assert np.allclose(got, secret_scan.train(noise, plain + [x or "" for x in odd]))
+    with pytest.raises(ValueError):
+        secret_scan.learned(spark.createDataFrame(rows[:3], "sample string, random boolean"))
+    t = spark.createDataFrame([(1, "it is fG7kQ2xZ9bWm4TnR8vLp here")], "doc_id long, text string")
+    assert secret_scan.digest(secret_scan.scan(t, got)).first()["n_markov"] == 1
+    assert secret_scan.redact(t, got).first()["text"] == "it is [markov] here"
+
+
+def test_markov_spans_random_strings_and_no_prose(spark):
+    ratios = secret_scan.default_ratios()
+    r = random.Random(2024)
+    for alphabet in ("0123456789abcdef", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/"):
+        held_out = ["".join(r.choice(alphabet) for _ in range(20)) for _ in range(1000)]
+        assert sum(any(k == "markov" for k, *_ in secret_scan.spans(x, ratios)) for x in held_out) > 950
+    # no secret was put into these rows but for hexadecimal digests
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    assert secret_scan.digest(secret_scan.scan(docs)).where("n_markov > 0").count() == 0
+
+
 def test_markov_model_separates_samples():
     ratios = secret_scan.default_ratios()
     noise, plain = secret_scan.labelled_samples(500, seed=99)
