@@ -180,7 +180,7 @@ def pack(parts: DataFrame, capacity: int = 1024, most_open: int = 4096, window:
     """
     n = max(4, -(-parts.count() // pieces_a_task))
     order = F.xxhash64("doc_id", "piece")
-    dealt = parts.withColumn("_order", order).repartition(n, F.xxhash64("doc_id", "piece", "start", "length", F.monotonically_increasing_id() % 1024)).sortWithinPartitions("_order", "doc_id", "piece").drop("_order")
+    dealt = parts.withColumn("_order", order).repartition(n, F.xxhash64("doc_id", "piece", "start", "length", F.monotonically_increasing_id() % 1024)).sortWithinPartitions("_order", "doc_id", "piece", "start", "length").drop("_order")
     dealt = dealt.withColumn("_task", F.spark_partition_id())
     of = dealt.columns.index("_task")
 
