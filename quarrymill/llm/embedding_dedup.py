@@ -56,6 +56,8 @@ def directions(n: int, dims: int) -> np.ndarray:
 
 def choose_pivots(vectors: DataFrame, n: int = 128, apart: float = 0.7) -> np.ndarray:
     """n pivots of unit length at most, from the sample; where fewer than n are apart, the rest are random directions from a fixed seed."""
+    if not 1 <= n <= 256:
+        raise ValueError("from 1 to 256 pivots: a byte numbers them")
     rows = vectors.where("vec_id is not null and embedding is not null").select("vec_id", "embedding", F.xxhash64("vec_id").alias("h"))
     # ids first, so that no more vectors than the sample's leave their tasks
     most = smallest_hashes(rows.select("h").distinct(), "h", SAMPLE)
