@@ -3,16 +3,19 @@
 Byte-pair encoding has a last-token property: the encoding of a word's prefix is the
 encoding of a shorter prefix followed by one token, and that token is the only one
 that ends there and whose joint with the token before survives the merges. So the
-distinct words are inserted into a trie that is walked depth-first, each node with the
-last token of its path as its state, and what words share at their start is worked out
-once.
+trie of the distinct words is walked depth-first, each node with the last token of its
+path as its state, and what words share at their start is worked out once. The trie is
+held as its words in order: the start that a word shares with the one before it is the
+path that stays, the rest of it are new nodes. An automaton over the tokens gives those
+that end at a node, the longest first.
 
 Whether two neighbouring tokens stay apart follows from their merge trees: on the
-facing sides, no pair of pieces may merge before either is taken up into a larger one.
+facing sides, no pair of pieces that exist at one time may merge before either is taken
+up into a larger one.
 
 Texts are normalized and split into words by the library's normalizers and its classes
-of letters and digits; a word's ids are worked out once in a worker, as long as it is
-kept.
+of letters and digits. Arrow numbers the words of a batch; only its distinct ones are
+looked up, and a word's ids are worked out once in a worker, as long as it is kept.
 
 Nulls and empty texts have no tokens. Texts are encoded whole, whatever their length.
 Strings of added tokens in a text become those tokens, before normalization, as the
@@ -27,8 +30,11 @@ import hashlib
 import json
 import re
 import struct
+from collections.abc import Callable, Collection, Iterable
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Regex, normalizers, pre_tokenizers
@@ -48,13 +54,15 @@ def character_class(kind: str, most: int) -> str:
     return "".join(f"\\U{a:08x}-\\U{b - 1:08x}" for _, (a, b) in runs.pre_tokenize_str(every))
 
 
-def suffixes(tokens: dict[bytes, int]) -> dict[bytes, int]:
-    """Every suffix of a token to its id, or to -1 if it is none itself."""
-    out: dict[bytes, int] = {}
-    for t in tokens:
-        for k in range(len(t)):
-            out.setdefault(t[k:], -1)
-    return out | tokens
+class Worked(dict):
+    """Keys to what function gives for them, worked out when first asked for."""
+
+    def __init__(self, function: Callable[[int], object]) -> None:
+        self.function = function
+
+    def __missing__(self, key: int):
+        value = self[key] = self.function(key)
+        return value
 
 
 class WordBpe:
@@ -69,7 +77,7 @@ class WordBpe:
         self.names = {k: t for t, k in self.vocab.items()} | {k: t for t, k in self.added.items()}
         self.letter = {b: c for c, b in byte_letters().items()}
         self.rank: dict[tuple[int, int], int] = {}
-        self.parts: dict[int, tuple[int, int, int]] = {}
+        self.parts: dict[int, tuple[int, int, int]] = {}  # what a token was merged of, and at which rank
         for r, m in enumerate(model["merges"]):
             a, b = m if isinstance(m, list) else m.split(" ")
             pair, whole = (self.vocab[a], self.vocab[b]), self.vocab[a.removesuffix(self.suffix) + b if self.suffix and a.endswith(self.suffix) else a + b]
@@ -89,9 +97,11 @@ class WordBpe:
         self.size = {k: len(s) for s, k in [*self.inner.items(), *self.final.items()]}
         if not self.suffix:
             self.final = self.inner
-        self.ends = suffixes(self.inner), suffixes(self.final)
-        self.sides: tuple[dict, dict] = ({}, {})
-        self.apart: dict[int, bool] = {}
+        self.four = {k: struct.pack("<I", k) for k in self.size}
+        # the automaton's states: the starts of tokens, numbered; a path's state is its longest suffix among them
+        self.starts = list(dict.fromkeys(t[:k] for t in (b"", *self.inner, *self.final) for k in range(len(t) + 1)))
+        self.number = {s: k for k, s in enumerate(self.starts)}
+        self.forget()
         self.normalizer = normalizers.Sequence([normalizers.NFC(), normalizers.Lowercase()])
         # Fixed value: the pattern that the file's Split pre-tokenizer keeps the matches of; letters and digits stand first, as no other branch starts with one. A class within the first plane is a table look-up, so texts with others have their own pattern.
         self.words = []
@@ -100,101 +110,96 @@ class WordBpe:
             self.words.append(re.compile(rf"[{letters}]+|[{digits}]|'s|'t|'re|'ve|'m|'ll|'d|[^{SPACE}{letters}{digits}]+"))
         self.split_added = re.compile("(" + "|".join(map(re.escape, sorted(self.added, key=len, reverse=True))) + ")") if self.added else None
 
-    def _side(self, token: int, right: int) -> list[tuple[int, float]]:
-        """The pieces on the right (or left) side of a token's merge tree, each with the rank at which it is taken up."""
-        known = self.sides[right].get(token)
-        if known is None:
-            known, t, taken = [], token, float("inf")
-            while True:
-                known.append((t, taken))
-                if t not in self.parts:
-                    break
-                a, b, taken = self.parts[t]
-                t = b if right else a
-            self.sides[right][token] = known
-        return known
+    def forget(self) -> None:
+        """Begin with empty tables of what was worked out."""
+        self.pairs = self.steps = 0
+        self.apart: dict[int, Worked] = {}
+        self.step = Worked(self._step)
+
+    def _step(self, key: int) -> tuple[int, list, list]:
+        """The state after a byte (key: state << 8 | byte), and the tokens that end there, inner and final ones."""
+        path = self.starts[key >> 8] + bytes((key & 255,))
+        while path not in self.number:
+            path = path[1:]
+        self.steps += 1
+        return self.number[path], self._ending(path, self.inner), self._ending(path, self.final)
+
+    def _ending(self, path: bytes, tokens: dict[bytes, int]) -> list[tuple[int, int, Worked]]:
+        """The tokens at a path's end, the longest first: length, id, and whether it stays apart from a token before it."""
+        out = []
+        for k in range(len(path)):
+            t = tokens.get(path[k:])
+            if t is not None:
+                if t not in self.apart:
+                    self.apart[t] = Worked(lambda before, t=t: self.stay_apart(before, t))
+                out.append((len(path) - k, t, self.apart[t]))
+        return out
 
     def stay_apart(self, a: int, b: int) -> bool:
-        key = a << 20 | b
-        known = self.apart.get(key)
-        if known is None:
-            rank = self.rank
-            known = True
-            for x, taken_x in self._side(a, 1):
-                for y, taken_y in self._side(b, 0):
-                    r = rank.get((x, y))
-                    if r is not None and r < taken_x and r <= taken_y:
-                        known = False
+        """Whether no merge joins the right side of a with the left side of b. Both are taken apart, what was merged last first."""
+        self.pairs += 1
+        taken_a = taken_b = float("inf")
+        letter = (-1, -1, -1)
+        while True:
+            r = self.rank.get((a, b))
+            if r is not None and r < taken_a and r <= taken_b:
+                return False
+            _, right, made_a = self.parts.get(a, letter)
+            left, _, made_b = self.parts.get(b, letter)
+            if made_a > made_b:
+                a, taken_a = right, made_a
+            elif made_b >= 0:  # of equal tokens the right one was merged last
+                b, taken_b = left, made_b
+            else:
+                return True
+
+    def encode_words(self, words: Iterable[bytes]) -> dict[bytes, bytes]:
+        """The ids (little-endian) of distinct words, by one depth-first walk over their trie."""
+        if self.pairs > 1_000_000 or self.steps > 300_000:
+            self.forget()
+        out: dict[bytes, bytes] = {}
+        step, size, four = self.step, self.size, self.four
+        # of the current path's first d bytes: the last token and the automaton's state
+        last, states = [-1], [0]
+        before = b""
+        for word in sorted(words):
+            d, most = 0, min(len(before), len(last) - 1)
+            while d < most and word[d] == before[d]:
+                d += 1
+            del last[d + 1 :], states[d + 1 :]
+            state = states[d]
+            for byte in word[d:-1]:
+                d += 1
+                state, ending, _ = step[state << 8 | byte]
+                for n, t, apart in ending:
+                    if n == d or apart[last[d - n]]:
                         break
-                if not known:
+                else:
+                    raise ValueError(f"no token ends {word[:d]!r}")
+                last.append(t)
+                states.append(state)
+            d = len(word)
+            for n, t, apart in step[state << 8 | word[-1]][2]:
+                if n == d or apart[last[d - n]]:
                     break
-            if len(self.apart) > 2_000_000:
-                self.apart.clear()
-            self.apart[key] = known
-        return known
-
-    def _last(self, path: bytes, last: list[int], ends: dict[bytes, int]) -> int:
-        """The state of a path: its last token, given the states of its proper prefixes."""
-        depth = len(path)
-        found = []
-        for start in range(depth - 1, -1, -1):
-            t = ends.get(path[start:])
-            if t is None:
-                break
-            if t >= 0:
-                found.append((start, t))
-        for start, t in reversed(found):
-            if start == 0:
-                return t
-            apart = self.apart.get(last[start] << 20 | t)
-            if apart or apart is None and self.stay_apart(last[start], t):
-                return t
-        raise ValueError(f"no token ends {path!r}")
-
-    def encode_words(self, words: set[bytes]) -> dict[bytes, list[int]]:
-        """The ids of distinct words, by one depth-first walk over their trie."""
-        root: dict = {}
-        for word in words:
-            node = root
-            for byte in word:
-                below = node.get(byte)
-                if below is None:
-                    below = node[byte] = {}
-                node = below
-            node[-1] = word
-        out: dict[bytes, list[int]] = {}
-        inner, final = self.ends
-        last: list[int] = [-1]  # last[d]: the state of the current path's first d bytes
-        todo = [(root, b"")]
-        while todo:
-            node, path = todo.pop()
-            del last[max(1, len(path)) :]
-            while True:
-                word = node.pop(-1, None)
-                if word is not None:
-                    ids, d = [self._last(word, last, final)], len(word)
-                    d -= self.size[ids[0]]
-                    while d > 0:
-                        ids.append(last[d])
-                        d -= self.size[last[d]]
-                    out[word] = ids[::-1]
-                if not node:
-                    break
-                if path:
-                    last.append(self._last(path, last, inner))
-                # the last child is gone into at once, the others wait
-                *wait, (byte, below) = node.items()
-                todo += [(n, path + bytes((b,))) for b, n in wait]
-                node, path = below, path + bytes((byte,))
+            else:
+                raise ValueError(f"no token ends {word!r}")
+            ids, d = [four[t]], d - n
+            while d > 0:
+                t = last[d]
+                ids.append(four[t])
+                d -= size[t]
+            out[word] = b"".join(ids[::-1])
+            before = word
         return out
 
-    def words_of(self, text: str) -> list[str | int]:
-        """The words of a text in order, normalized; added tokens as their ids."""
-        if self.split_added is None or "<|" not in text and not self.split_added.search(text):
+    def words_of(self, text: str) -> list[str]:
+        """The words of a text in order, normalized; added tokens as written behind a space, which no word holds."""
+        if not any(t in text for t in self.added):
             return self._words(text)
-        out: list[str | int] = []
+        out: list[str] = []
         for k, part in enumerate(self.split_added.split(text)):
-            out += [self.added[part]] if k % 2 else self._words(part)
+            out += [" " + part] if k % 2 else self._words(part)
         return out
 
     def _words(self, text: str) -> list[str]:
@@ -205,26 +210,54 @@ class WordBpe:
 
 
 class Known:
-    """Ids (little-endian bytes) and token strings of words seen; bounded: cleared when it would hold over most words, but for those of the texts at hand."""
-
-    def __init__(self, path: str, most: int = 300_000) -> None:
-        self.bpe, self.most = WordBpe(path), most
-        self.ids: dict[str | int, bytes] = {}
-        self.text: dict[str | int, str] = {}
+    """Ids (little-endian bytes) of words seen. Bounded: cleared when it would hold over most words, or over letters code points of them, but for those of the texts at hand."""
 
-    def learn(self, words: set) -> None:
-        new = {w for w in words if w not in self.ids}
-        if len(self.ids) + len(new) > self.most:
-            self.ids.clear()
-            self.text.clear()
-            new = words
-        plain = {w: w.encode() for w in new if isinstance(w, str)}
-        got = self.bpe.encode_words(set(plain.values()))
+    def __init__(self, path: str, most: int = 500_000, letters: int = 8_000_000) -> None:
+        self.bpe, self.most, self.letters = WordBpe(path), most, letters
         names = self.bpe.names
-        for w in new:
-            ids = got[plain[w]] if w in plain else [w]
-            self.ids[w] = struct.pack(f"<{len(ids)}I", *ids)
-            self.text[w] = " ".join([names[i] for i in ids])
+        self.names = pa.array([names.get(k, "") for k in range(max(names, default=0) + 1)], pa.large_string())
+        self.ids: dict[str, bytes] = {}
+        self.held = 0
+
+    def learn(self, words: Collection[str]) -> None:
+        new = [w for w in words if w not in self.ids]
+        more = sum(map(len, new))
+        if len(self.ids) + len(new) > self.most or self.held + more > self.letters:
+            self.ids.clear()
+            new, self.held, more = list(words), 0, sum(map(len, words))
+        self.held += more
+        plain = [w.encode() for w in new]
+        got = self.bpe.encode_words([w for w in plain if w[:1] != b" "])
+        for w, p in zip(new, plain, strict=True):
+            self.ids[w] = got[p] if p in got else struct.pack("<I", self.bpe.added[w[1:]])
+
+    def encoded(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts, and where each text's begin (and the last one's end)."""
+        words: list[str] = []
+        ends = [0]
+        for t in texts:
+            if t:
+                words += self.bpe.words_of(t)
+            ends.append(len(words))
+        numbered = pa.array(words, pa.large_string()).dictionary_encode()
+        del words
+        distinct = numbered.dictionary.to_pylist()
+        self.learn(distinct)
+        packed = [self.ids[w] for w in distinct]
+        ids = np.frombuffer(b"".join(packed), "<u4")
+        count = np.fromiter(map(len, packed), np.int64, len(packed)) // 4
+        first = np.cumsum(count) - count
+        word = numbered.indices.to_numpy()
+        count = count[word]
+        begins = np.concatenate([[0], np.cumsum(count)])
+        # a word's ids stand together in ids, and so do its places in the result
+        at = np.repeat(first[word] - begins[:-1], count)
+        at += np.arange(begins[-1])
+        return ids[at], begins[ends]
+
+    def decoded(self, ids: np.ndarray, begins: np.ndarray) -> pa.Array:
+        """The token strings of each text, joined by spaces."""
+        return pc.binary_join(pa.LargeListArray.from_arrays(pa.array(begins), self.names.take(pa.array(ids))), pa.scalar(" ", pa.large_string()))
 
 
 _KNOWN: dict[str, Known] = {}
@@ -249,14 +282,12 @@ def encode(docs: DataFrame, path: str, full: bool = False) -> DataFrame:
         task_starts("bpe", _KNOWN)
         k = known(path)
         for batch in batches:
-            split = [k.bpe.words_of(t) if t else [] for t in batch.column(1).to_pylist()]
-            k.learn(set().union(*split) if split else set())
-            rows: list[list] = [[] for _ in list(out)[1:]]
-            for words in split:
-                ids = b"".join([k.ids[w] for w in words])
-                text = " ".join([k.text[w] for w in words])
-                for to, v in zip(rows, (len(ids) // 4, hashlib.sha256(ids).hexdigest(), hashlib.sha256(text.encode()).hexdigest(), *([ids, text] if full else [])), strict=True):
-                    to.append(v)
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(r, f.type) for r, f in zip(rows, list(out)[1:], strict=True))], schema=out)
+            ids, begins = k.encoded(batch.column(1).to_pylist())
+            text = k.decoded(ids, begins)
+            each = [ids[a:b].tobytes() for a, b in zip(begins, begins[1:], strict=False)]
+            columns = [np.diff(begins), [hashlib.sha256(x).hexdigest() for x in each], [hashlib.sha256(x).hexdigest() for x in text.cast(pa.large_binary()).to_pylist()]]
+            if full:
+                columns += [each, text.cast(pa.string())]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, f.type) for c, f in zip(columns, list(out)[1:], strict=True))], schema=out)
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids binary, decoded string" * full)

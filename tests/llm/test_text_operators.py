@@ -6,6 +6,7 @@ import hashlib
 import random
 import re
 import struct
+import sys
 import time
 import zlib
 from collections import Counter
@@ -251,6 +252,51 @@ def test_bpe_equals_library_on_random_texts():
             assert b"".join(k.ids[w] for w in words) == struct.pack(f"<{len(e.ids)}I", *e.ids)
 
 
+def test_bpe_of_new_words_of_known_parts_takes_no_call_a_letter():
+    path = public_tokenizers.path("word_bpe_49k.json")
+    t, k, r = Tokenizer.from_file(path), bpe.Known(path), random.Random(7)
+    parts = ["th", "ing", "on", "re", "tion", "le", "der", "schaft", "é", "ción"]
+    first, then = ({"".join(r.choice(parts) for _ in range(r.randint(1, 7))) for _ in range(20_000)} for _ in range(2))
+    k.learn(first)
+    new, calls = sorted(then - first), [0]
+
+    def count(frame, event, arg):
+        calls[0] += event == "call"
+
+    sys.setprofile(count)
+    try:
+        k.learn(set(new))
+    finally:
+        sys.setprofile(None)
+    assert len(new) > 10_000 and calls[0] < len(new) / 2
+    for w, e in zip(new, t.encode_batch(new, add_special_tokens=False), strict=True):
+        assert k.ids[w] == struct.pack(f"<{len(e.ids)}I", *e.ids)
+
+
+def test_bpe_cache_is_bounded_and_forgets_nothing_of_the_texts_at_hand():
+    path = public_tokenizers.path("word_bpe_49k.json")
+    t, k = Tokenizer.from_file(path), bpe.Known(path, most=40, letters=300)
+    for n in range(30):
+        xs = [f"word{chr(97 + n % 26)}{i} Ünd\x1cso <|endoftext|> {'x' * n * i}" for i in range(12)] + ["", None]
+        ids, begins = k.encoded(xs)
+        text = k.decoded(ids, begins).to_pylist()
+        for x, a, b, d in zip(xs, begins, begins[1:], text, strict=False):
+            want = t.encode(x or "", add_special_tokens=False).ids
+            assert ids[a:b].tolist() == want and d == t.decode(want, skip_special_tokens=False)
+        assert len(k.ids) <= 40 or len(k.ids) == len({w for x in xs if x for w in k.bpe.words_of(x)})
+
+
+def test_bpe_gives_ids_and_token_strings_whole(docs, texts):
+    path = public_tokenizers.path("word_bpe_49k.json")
+    t = Tokenizer.from_file(path)
+    want = []
+    for i, x in texts:
+        ids = t.encode(x or "", add_special_tokens=False).ids
+        want.append((i, struct.pack(f"<{len(ids)}I", *ids), t.decode(ids, skip_special_tokens=False)))
+    got = [(r.doc_id, bytes(r.ids), r.decoded) for r in bpe.encode(docs, path, full=True).collect()]
+    assert sorted(got) == sorted(want)
+
+
 def test_packing(docs, texts):
     path = public_tokenizers.path("byte_bpe_50k.json")
     t = Tokenizer.from_file(path)
