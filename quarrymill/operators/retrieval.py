@@ -4,7 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -12,23 +15,181 @@ from quarrymill.functions import stats
 from quarrymill.session import shipped
 
 
-def nearest(queries: DataFrame, corpus: DataFrame, k: int, query_bound: int = 1000) -> DataFrame:
-    """(qid, id, score): the k nearest corpus rows of each query by cosine, ties by id. queries (qid, vec), corpus (id, vec).
+#: Corpus rows of a block.
+BLOCK = 4096
+#: Pairs of rows that are scored at once.
+PAIRS = 1 << 16
+
+
+def _packed(rows: DataFrame, size: int, first: int | None = None) -> DataFrame:
+    """(block, dim, ids, vecs): rows (id, vec) in blocks of at most size, ids in order, the vectors one after another as bytes. dim is 0 for vectors that are null, empty or hold a null; those have no bytes. Of equal vectors in a block only the first so many ids are kept: no list of that length can name others."""
+    name, vec = rows.columns
+    kind = np.dtype("f4" if rows.schema[vec].dataType.simpleString() == "array<float>" else "f8")
+
+    def run(batches):
+        number = 0
+        for batch in batches:
+            ids, lists = batch.column(0), batch.column(1)
+            dims = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False).copy()
+            if lists.flatten().null_count:
+                holes = pc.list_parent_indices(lists).filter(lists.flatten().is_null())
+                dims[holes.to_numpy()] = 0
+            for dim in np.unique(dims).tolist():
+                mine = np.flatnonzero(dims == dim)
+                for s in range(0, len(mine), size):
+                    at = mine[s : s + size]
+                    at = at[_order(pa.table({"id": ids.take(pa.array(at))}), [("id", "ascending")])]
+                    x = lists.take(pa.array(at)).flatten().to_numpy().astype(kind, copy=False).reshape(len(at), dim) if dim else np.zeros((len(at), 0), kind)
+                    if first is not None:
+                        keep = _firsts(np.ascontiguousarray(x).view(f"V{dim * kind.itemsize}")[:, 0] if dim else np.zeros(len(at)), first)
+                        at, x = at[keep], x[keep]
+                    own = pa.ListArray.from_arrays(pa.array([0, len(at)], pa.int32()), ids.take(pa.array(at)))
+                    yield pa.RecordBatch.from_arrays([pa.array([number], pa.int32()), pa.array([dim], pa.int32()), own, pa.array([x.tobytes()], pa.binary())], names=["block", "dim", "ids", "vecs"])
+                    number += 1
+
+    listed = rows.select(F.col(name), F.col(vec).cast(f"array<{'float' if kind.itemsize == 4 else 'double'}>").alias(vec))
+    return listed.mapInArrow(run, f"block int, dim int, ids array<{rows.schema[name].dataType.simpleString()}>, vecs binary")
+
+
+def _order(table: pa.Table, keys: list[tuple[str, str]]) -> np.ndarray:
+    """Spark's order: NaN before other numbers where they fall, null before all where they rise."""
+    return pc.sort_indices(table, sort_keys=keys, null_placement="at_start").to_numpy()
+
+
+def _firsts(values: np.ndarray, n: int) -> np.ndarray:
+    """The places of the first n of each value, in order."""
+    order = np.argsort(values, kind="stable")
+    s = values[order]
+    starts = np.flatnonzero(np.concatenate([[True], s[1:] != s[:-1]])) if len(s) else np.zeros(0, np.int64)
+    within = np.arange(len(s)) - np.repeat(starts, np.diff(np.append(starts, len(s))))
+    return np.sort(order[within < n])
+
+
+def _sums(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Sums over the first axis of the products, one after another as SQL adds them up."""
+    out = np.zeros(x.shape[1])
+    for a, b in zip(x, y, strict=True):
+        out += a * b
+    return out
+
+
+class _Block:
+    """Vectors by component, their squares' sums, and unit vectors in single precision."""
+
+    def __init__(self, dim: int, kind: np.dtype, vecs: bytes) -> None:
+        self.x = np.ascontiguousarray(np.frombuffer(vecs, kind).reshape(-1, dim).T.astype(np.float64))
+        self.squares = _sums(self.x, self.x)
+        # of numbers whose squares are lost or overflow, the unit is not a number and they are always scored
+        ordinary = (self.squares > 1e-140) & (self.squares < 1e140)
+        size = np.where(self.squares == 0, 1.0, np.sqrt(np.where(ordinary | (self.squares == 0), self.squares, np.nan)))
+        self.unit = np.ascontiguousarray((self.x / size).T.astype(np.float32))
+
+
+def _cosines(q: _Block, c: _Block, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Cosines of pairs of places in double precision, to the last bit as in SQL; 0 with a zero vector."""
+    out = np.zeros(len(i))
+    for s in range(0, len(i), PAIRS):
+        a, b = i[s : s + PAIRS], j[s : s + PAIRS]
+        dot = np.zeros(len(a))
+        for x, y in zip(q.x, c.x, strict=True):
+            dot += x[a] * y[b]
+        m, n = q.squares[a], c.squares[b]
+        both = m * n
+        norm = np.where((both > 1e-290) & (both < 1e290), np.sqrt(both), np.sqrt(m) * np.sqrt(n))
+        with np.errstate(all="ignore"):
+            out[s : s + PAIRS] = np.where(norm == 0, 0.0, np.clip(dot / norm, -1.0, 1.0)) + 0.0
+    return out
+
 
-    Exact search of a query set against all rows: the queries, whose number is checked
-    against query_bound, are broadcast in blocks of that many; each task keeps the k
-    best of its rows for each query, so only partial top-k lists are shuffled.
+def nearest(queries: DataFrame, corpus: DataFrame, k: int, query_bound: int = 1000) -> DataFrame:
+    """(qid, id, score, rank): the k nearest corpus rows of each query by cosine, ties by id. queries (qid, vec), corpus (id, vec).
+
+    Exact search of a query set against all rows. Queries are dealt out in blocks of about
+    query_bound, the corpus in blocks over so few parts that all cores have work; a task meets one
+    part with one block of queries, a block at a time, and keeps the k best of each
+    query. Products of unit vectors in single precision tell, with their error bound, which
+    pairs can be among these; only those are scored, in double precision. Time grows with
+    queries x rows, memory with neither, and what is shuffled is the corpus once and k rows a query and part.
+    Vectors that are null, empty, zero, of another length or hold a null have the score 0.
     """
-    out = None
-    n = queries.count()
-    blocks = -(-n // query_bound) if n else 1
-    q = queries.withColumn("_b", F.pmod(F.xxhash64("qid"), F.lit(blocks)))
-    for b in range(blocks):
-        part = F.broadcast(q.where(F.col("_b") == b).select("qid", F.col("vec").alias("qv")))
-        met = corpus.join(part).select("qid", "id", stats.cosine(F.col("qv"), F.col("vec")).alias("score"))
-        out = met if out is None else out.unionByName(met)
+    spark = queries.sparkSession
+    shipped(spark)
+    k = max(k, 0)
+    blocks = max(1, -(-queries.count() // query_bound))
+    parts = max(1, -(-4 * spark.sparkContext.defaultParallelism // blocks))
+    asked, rows = queries.select("qid", "vec"), corpus.select("id", "vec")
+    c = _packed(rows, BLOCK, max(k, 1)).repartition(parts).drop("block")
+    q = _packed(asked.repartition(blocks), 2 * query_bound).select("block", F.col("dim").alias("_dim"), F.col("ids").alias("qids"), F.col("vecs").alias("_vecs"))
+    kinds = [np.dtype("f4" if x.schema["vec"].dataType.simpleString() == "array<float>" else "f8") for x in (rows, asked)]
+
+    def run(batches):
+        read: dict[int, _Block] = {}
+        found: dict[int, pa.Table] = {}
+        more: dict[int, list[pa.Table]] = {}
+        bars: dict[int, np.ndarray] = {}
+        names: dict[int, pa.Array] = {}
+        for batch in batches:
+            last, y = None, None
+            for r in range(batch.num_rows):
+                dim, ids, vecs, number, other, qids, asks = (batch.column(x)[r] for x in ("dim", "ids", "vecs", "block", "_dim", "qids", "_vecs"))
+                dim, number, ids = dim.as_py(), number.as_py(), ids.values
+                if number not in names:
+                    names[number], bars[number] = qids.values, np.full(len(qids.values), -np.inf)
+                    read[number] = _Block(other.as_py(), kinds[1], asks.as_py()) if other.as_py() else None
+                x, bar = read[number], bars[number]
+                if x is None or dim != len(x.x):
+                    # every score is 0: the first ids
+                    n = min(k, len(ids))
+                    i, j = (a.ravel() for a in np.mgrid[0 : len(bar), 0:n])
+                    scores = np.zeros(len(i))
+                else:
+                    own = vecs.as_buffer()
+                    if last != own.address:
+                        last, y = own.address, _Block(dim, kinds[0], own)
+                    i, j, scores = _above(x, y, bar, k)
+                reach = ~(scores < bar[i])
+                more.setdefault(number, []).append(pa.table({"q": i[reach], "score": scores[reach], "id": ids.take(pa.array(j[reach]))}))
+                # not at each block, as lists are long beside what comes later
+                if number not in found or 4 * sum(map(len, more[number])) >= len(found[number]):
+                    found[number] = _best([*([found[number]] if number in found else []), *more.pop(number)], k, bar)
+        for number, table in found.items():
+            for b in _best([table, *more.get(number, [])], k, bars[number]).to_batches(max_chunksize=BLOCK):
+                yield pa.RecordBatch.from_arrays([names[number].take(b.column("q")), b.column("id"), b.column("score")], names=["qid", "id", "score"])
+
+    kind = lambda df, x: df.schema[x].dataType.simpleString()
+    met = c.crossJoin(q.hint("shuffle_replicate_nl")).mapInArrow(run, f"qid {kind(asked, 'qid')}, id {kind(rows, 'id')}, score double")
     w = Window.partitionBy("qid").orderBy(F.desc("score"), "id")
-    return out.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    return met.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+
+
+def _best(parts: list[pa.Table], k: int, bar: np.ndarray) -> pa.Table:
+    """The first k of each query of parts (q, score, id); their k-th scores go to bar."""
+    every = pa.concat_tables(parts)
+    every = every.take(pa.array(_order(every, [("q", "ascending"), ("score", "descending"), ("id", "ascending")])))
+    of = every["q"].to_numpy()
+    at = np.arange(len(of)) - np.searchsorted(of, of)
+    ends = at == k - 1
+    bar[of[ends]] = np.nan_to_num(every["score"].to_numpy()[ends], nan=np.inf)
+    return every.filter(pa.array(at < k)).combine_chunks()
+
+
+def _above(q: _Block, c: _Block, bar: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Places of queries and rows, and their cosines: of all pairs that can be among a query's first k, whose k-th best so far is bar."""
+    # of the units, of so many terms' products and of their sums
+    slack = (len(q.x) + 16) * 1.2e-7
+    of, to, n = [], [], max(1, (1 << 22) // max(1, len(c.unit)))
+    for s in range(0, len(q.unit), n):
+        near = q.unit[s : s + n] @ c.unit.T
+        least = bar[s : s + n] - slack
+        new = np.flatnonzero(np.isneginf(least))
+        if len(new) and near.shape[1] > k > 0:
+            low = np.where(np.isnan(near[new]), -np.inf, near[new])
+            least[new] = np.partition(low, near.shape[1] - k, axis=1)[:, near.shape[1] - k] - 2 * slack
+        i, j = np.nonzero(~(near < least.astype(np.float32)[:, None]))
+        of.append(i + s)
+        to.append(j)
+    i, j = np.concatenate(of), np.concatenate(to)
+    return i, j, _cosines(q, c, i, j)
 
 
 def bm25(queries: DataFrame, docs: DataFrame, tokens: Column, k1: float = 1.5, b: float = 0.75) -> DataFrame:
