@@ -65,7 +65,7 @@ def test_names_of_any_kind_and_nothing_to_search(spark):
 SF = "/root/testdata/sf0.01"
 
 
-@pytest.mark.parametrize("name", ["ir06_multi_query", "ir12_votes", "ir09_rerank", "vec03_nearest", "ir11_vote_sweep", "ir05_weighted", "ir04_rrf", "ir13_metrics", "ir14_alpha_grid"])
+@pytest.mark.parametrize("name", ["ir06_multi_query", "ir12_votes", "ir09_rerank", "vec03_nearest", "ir11_vote_sweep", "ir05_weighted", "ir04_rrf", "ir13_metrics", "ir14_alpha_grid", "ir09_reranked"])
 def test_no_row_for_each_pair(spark, name):
     """Before, each query met each row in a join, and expressions summed up the components of every pair."""
     plan = catalog.QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
