@@ -27,9 +27,9 @@ def query(sql: str | None = None):
 
 @query("SELECT 'text' AS method, sum(octet_length(encode(coalesce(text, ''))) + 1)::BIGINT AS n_bytes, 0::BIGINT AS failed FROM documents")
 def src01_text_files(spark, d):
-    """SRC-01, SRC-02: the documents as text files, read by suffix; of each file the whole text."""
+    """SRC-01, SRC-02: the documents as text files of bounded size, read by suffix; of each file the whole text."""
     path = scratch(spark, "text-files")
-    read(spark, d, "documents").select(F.coalesce("text", F.lit("")).alias("value")).write.text(path)
+    writers.text_files(read(spark, d, "documents").select("text"), path)
     return readers.documents(spark, path).where("path like '%.txt'").groupBy("method").agg(F.sum(F.octet_length("text")).alias("n_bytes"), F.count_if(F.col("error").isNotNull()).alias("failed"))
 
 

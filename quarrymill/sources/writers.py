@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quarrymill.session import shipped
+
 #: Upper edges of the latency histogram, in seconds.
 LATENCY_EDGES = (0.005, 0.01, 0.025, 0.05, 0.1, 0.25, 0.5, 1.0, 2.5, 5.0, 10.0, 30.0, 60.0)
 
@@ -14,6 +19,23 @@ def jsonl(df: DataFrame, path: str) -> None:
     df.select(F.to_json(F.struct(*[F.col(f"`{c}`") for c in df.columns])).alias("value")).write.mode("overwrite").text(path)
 
 
+def text_files(values: DataFrame, path: str, most: int = 1 << 23) -> None:
+    """Text files under path, a value (the one column; null: empty) a line and no line cut. A file begins at each multiple of most bytes of a task's values, so it holds fewer than most bytes and one value, however large the task is."""
+    shipped(values.sparkSession)
+
+    @F.pandas_udf("long")
+    def at(sizes: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        done = 0
+        for s in sizes:
+            ends = s.astype("int64").cumsum() + done
+            yield (ends - s) // most
+            done = int(ends.iloc[-1]) if len(ends) else done
+
+    value = F.coalesce(F.col(f"`{values.columns[0]}`"), F.lit(""))
+    # only the lengths go to Python
+    values.select(value.alias("value")).withColumn("_part", at(F.octet_length("value").cast("long") + 1)).write.partitionBy("_part").text(path)
+
+
 def swap(spark: SparkSession, df: DataFrame, base: str, version: str, alias_path: str, alias: str) -> DataFrame:
     """Write a new version beside the old ones, then point the alias at it: readers see the old version or the new one, never a part."""
     path = f"{base}/version={version}"
